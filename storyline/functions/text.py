@@ -17,7 +17,7 @@ def words(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct letter runs in sorted order: equal sets give equal arrays."""
-    return F.array_sort(F.array_distinct(words(text)))
+    return F.sort_array(F.array_distinct(words(text)))
 
 
 def first_line(text: Column) -> Column:
