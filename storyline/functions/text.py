@@ -35,16 +35,16 @@ def feed_query(topic: Column) -> Column:
     return F.concat_ws(" ", F.lit(C.QUERY_PREFIX), topic)
 
 
-def _printed(value: Column) -> Column:
+def printed(value: Column) -> Column:
     """A missing value is printed as ``None`` in prompts and documents."""
     return F.coalesce(value, F.lit("None"))
 
 
 def article_text(title: Column, description: Column, content: Column) -> Column:
     return F.concat(
-        F.lit("Title: "), _printed(title),
-        F.lit("\n\nDescription: "), _printed(description),
-        F.lit("\n\nContent: "), _printed(content),
+        F.lit("Title: "), printed(title),
+        F.lit("\n\nDescription: "), printed(description),
+        F.lit("\n\nContent: "), printed(content),
     )
 
 
@@ -54,7 +54,7 @@ def combined_text(headline: Column, summary: Column) -> Column:
 
 
 def document_text(headline: Column, summary: Column) -> Column:
-    return combined_text(_printed(headline), _printed(summary))
+    return combined_text(printed(headline), printed(summary))
 
 
 def parse_categories(text: Column) -> Column:

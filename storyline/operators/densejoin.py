@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyline.functions.vectors import l2_norm
+from storyline.operators.blocks import best_per_row, matrix
 from storyline.operators.skew import hot_limit, join_hot, top_n_per_group
 from storyline.session import materialize
 
@@ -25,20 +27,12 @@ MAX_PIVOTS = 1024
 ANGLE_SLACK = 1e-6
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(array), -1) if len(array) else flat.reshape(0, 0)
-
-
 def _angle(similarity: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(similarity, -1.0, 1.0))
 
 
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str, normalize: bool = True) -> DataFrame:
     """(id, vec DOUBLE array); rows without a vector or with a zero vector are left out."""
-    from storyline.functions.vectors import l2_norm
-
     vec = F.col(vector_col)
     rows = df.where(vec.isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"),
@@ -62,7 +56,7 @@ def _assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            similarity = _matrix(batch.column("vec")) @ pivots.T
+            similarity = matrix(batch.column("vec")) @ pivots.T
             cell = similarity.argmax(axis=1)
             angle = _angle(similarity[np.arange(len(cell)), cell])
             yield pa.RecordBatch.from_arrays(
@@ -94,18 +88,11 @@ def _best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
                 a, b = left.slice(i, 1).flatten(), right.slice(i, 1).flatten()
                 ids_a = a.field("gid").to_numpy()
                 ids_b = b.field("gid").to_numpy()
-                similarity = _matrix(a.field("vec")) @ _matrix(b.field("vec")).T
-                similarity[ids_a[:, None] == ids_b[None, :]] = -np.inf
-                near = min(k, len(ids_b))
-                # every partner that ties with the k-th stays in for the final cut by id
-                floor = -np.partition(-similarity, near - 1, axis=1)[:, near - 1 : near]
-                rows, cols = np.nonzero((similarity >= floor) & np.isfinite(similarity))
-                score = similarity[rows, cols]
-                order = np.lexsort((ids_b[cols], -score, rows))
-                rows, cols, score = rows[order], cols[order], score[order]
-                keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < near
+                similarity = matrix(a.field("vec")) @ matrix(b.field("vec")).T
+                others = ids_a[:, None] != ids_b[None, :]
+                rows, cols = best_per_row(similarity, ids_b, k, others)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids_a[rows[keep]]), pa.array(ids_b[cols[keep]]), pa.array(score[keep])],
+                    [pa.array(ids_a[rows]), pa.array(ids_b[cols]), pa.array(similarity[rows, cols])],
                     names=["src", "dst", "sim"],
                 )
 

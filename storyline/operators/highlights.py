@@ -23,18 +23,20 @@ def _line(*parts) -> Column:
 def article_block(as_of: Column) -> Column:
     """Markdown of one article row."""
     c = F.col
+    sentiment = F.coalesce(c("sentiment"), F.lit(""))
     headline = _line(
-        "### ", c("headline"),
+        "### ", X.printed(c("headline")),
         F.when(is_new(c("publishedAt"), as_of), F.lit(C.NEW_MARK)).otherwise(F.lit("")), "\n\n",
     )
-    name = F.when(X.present(c("url")), _line("[", c("source"), "](", c("url"), ")")).otherwise(c("source"))
-    origin = _line("*Source: **", name, "** | Published: ", minute_text(c("publishedAt")), "*\n\n")
-    mood = _line("*Sentiment: ", X.sentiment_mark(c("sentiment")), " ", X.capitalize(c("sentiment")), "*\n\n")
+    source = X.printed(c("source"))
+    name = F.when(X.present(c("url")), _line("[", source, "](", c("url"), ")")).otherwise(source)
+    origin = _line("*Source: **", name, "** | Published: ", F.coalesce(minute_text(c("publishedAt")), F.lit("")), "*\n\n")
+    mood = _line("*Sentiment: ", X.sentiment_mark(sentiment), " ", X.capitalize(sentiment), "*\n\n")
     frequency = F.when(
         c("duplicate_count") > 1,
         _line("*Frequency: 🔄 This event has been reported ", c("duplicate_count").cast("string"), " times*\n\n"),
     ).otherwise(F.lit(""))
-    summary = _line(c("summary"), "\n\n")
+    summary = _line(X.printed(c("summary")), "\n\n")
     rendered = X.render_keywords(c("keywords"))
     keywords = F.when(X.present(rendered), _line("**Keywords:** ", rendered, "\n\n")).otherwise(F.lit(""))
     more = F.when(X.present(c("url")), _line("[Read Full Article](", c("url"), ")\n\n")).otherwise(F.lit(""))

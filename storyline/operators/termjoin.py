@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from storyline import constants as C
 from storyline.functions.text import word_set
+from storyline.operators.blocks import best_per_row, entry_rows
 from storyline.operators.skew import hot_limit, join_hot, top_n_per_group
 from storyline.session import materialize
 
@@ -109,8 +110,7 @@ def _short_list_pairs(short: DataFrame, reps: DataFrame, percent: int) -> DataFr
 def _incidence(lists: pa.ChunkedArray, codes: dict) -> tuple[np.ndarray, np.ndarray]:
     """Row and word number of every entry of a list column."""
     array = lists.combine_chunks()
-    lengths = np.diff(array.offsets.to_numpy())
-    rows = np.repeat(np.arange(len(array)), lengths)
+    rows = entry_rows(array)
     encoded = array.flatten().dictionary_encode()
     known = encoded.dictionary.to_pylist()
     mapping = np.array([codes.setdefault(w, len(codes)) for w in known], dtype=np.int64)
@@ -140,14 +140,9 @@ def _block_kernel(k: int, percent: int):
     )
 
     def best(ids_a, ids_b, n_b, shared, allowed):
-        rows, cols = np.nonzero(allowed)
+        score = shared.astype(np.float64) ** 2 / n_b[None, :]
+        rows, cols = best_per_row(score, ids_b, k, allowed)
         o = shared[rows, cols].astype(np.int64)
-        score = (o * o).astype(np.float64) / n_b[cols]
-        order = np.lexsort((ids_b[cols], -score, rows))
-        rows, cols, o = rows[order], cols[order], o[order]
-        starts = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - starts < k
-        rows, cols, o = rows[keep], cols[keep], o[keep]
         return pa.table([ids_a[rows], ids_b[cols], o, n_b[cols]], schema=out_schema)
 
     def kernel(table: pa.Table) -> pa.Table:
