@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyline import constants as C
 from storyline.functions.text import words
 from storyline.functions.vectors import reciprocal_rank_fusion
-from storyline.operators.skew import HOT_GROUP_ROWS, rank_in_group
+from storyline.operators.skew import HOT_GROUP_ROWS, broadcast_if_small, rank_in_group
 
 MAX_TOPIC_WORDS = 100_000
 
@@ -48,7 +48,7 @@ def squared_norm(tokens: Column) -> Column:
 
 
 def topic_relevance(
-    articles: DataFrame, topics: DataFrame, key: str, text: str, checked: bool = False
+    articles: DataFrame, topics: DataFrame, key: str, text: str
 ) -> DataFrame:
     """Cosine of word counts for every (article, topic) pair that shares a word.
 
@@ -56,11 +56,10 @@ def topic_relevance(
     before it is broadcast; a larger table is joined by shuffle. Pairs without a
     shared word have relevance 0 and are not listed: readers fill them in.
     """
-    small = checked or topics.count() <= MAX_TOPIC_WORDS
-    side = F.broadcast(topics) if small else topics
+    side = broadcast_if_small(topics, MAX_TOPIC_WORDS)
     tokens = articles.select(key, words(F.col(text)).alias("_tokens"))
     hits = (
-        tokens.select(key, F.explode("_tokens").alias("term"))
+        tokens.select(key, F.explode_outer("_tokens").alias("term"))
         .join(side, "term")
         .groupBy(key, "topic", "topic_norm2")
         .agg(F.sum("topic_tf").alias("dot"))

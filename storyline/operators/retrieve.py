@@ -14,13 +14,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline import constants as C
 from storyline.functions.vectors import reciprocal_rank_fusion
 from storyline.operators.blocks import best_per_row, entry_rows, matrix
-from storyline.operators.skew import top_n_per_group
+from storyline.operators.skew import broadcast_if_small, top_n_per_group
 from storyline.operators.textindex import idf_weight
 from storyline.session import materialize
 
@@ -78,8 +78,6 @@ def _scan(
 
 def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
     """Merge the per-task lists; ``pos`` is the 1-based place."""
-    from pyspark.sql import Window
-
     hits = parts[0]
     if len(parts) > 1:
         hits = reduce(lambda a, b: a.unionByName(b), [materialize(p, "question-slice") for p in parts])
@@ -174,8 +172,6 @@ def _no_hits(chunks: DataFrame) -> DataFrame:
 
 def hybrid_top_k(dense: DataFrame, sparse: DataFrame, k: int = C.TOP_K) -> DataFrame:
     """Fuse two result lists by reciprocal rank; a list that lacks the chunk adds nothing."""
-    from pyspark.sql import Window
-
     d = dense.select("question_id", "chunk_id", F.col("pos").alias("dense_pos"))
     s = sparse.select("question_id", "chunk_id", F.col("pos").alias("sparse_pos"))
     both = d.join(s, ["question_id", "chunk_id"], "full_outer")
@@ -218,10 +214,11 @@ def context_record(text: Column, metadata: str = "metadata") -> Column:
 def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, context): JSON list of the records of its hits in rank order.
 
-    The hits of a checked batch of questions are at most k per question; they
-    are the small side of the join against the chunk table.
+    Hits are at most k per question. Their number is checked: a batch of usual
+    size is broadcast, so the chunk texts stay where they are.
     """
-    records = hits.join(chunks.select("chunk_id", "text", "metadata"), "chunk_id").select(
+    hits = broadcast_if_small(materialize(hits, "hits"))
+    records = chunks.select("chunk_id", "text", "metadata").join(hits, "chunk_id").select(
         "question_id", "pos", context_record(F.col("text")).alias("record")
     )
     listed = F.transform(

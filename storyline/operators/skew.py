@@ -9,6 +9,7 @@ from storyline.session import materialize
 
 HOT_GROUP_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
+MAX_BROADCAST_ROWS = 500_000
 BUCKETS = 256
 
 
@@ -37,6 +38,15 @@ def join_hot(
     return hot_part.unionByName(rest_part)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when the counted rows stay below the bound.
+
+    ``df`` should be a stored table of short rows, so that counting is cheap;
+    beyond the bound the join falls back to a shuffle.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _hot_groups(df: DataFrame, group: str, order: str, hot_rows: int) -> dict:
     """Groups above ``hot_rows`` with order-value bounds that cut them evenly.
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from storyline.operators.skew import hot_limit, join_hot, top_n_per_group
 from storyline.session import materialize
 
 POSTING_LIMIT = 512
+FREQUENT_WORDS = 50_000
 VOCABULARY_SLICE = 4096
 
 
@@ -57,17 +59,55 @@ def copy_groups(sets: DataFrame, k: int) -> DataFrame:
     return materialize(groups.select("key", "gid", "ids", "copies"), "copy-groups")
 
 
+def _frequent_words(reps: DataFrame) -> list[str]:
+    """The most frequent words, most frequent first; a bounded list of FREQUENT_WORDS."""
+    counts = reps.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    top = counts.orderBy(F.desc("df"), "term").limit(FREQUENT_WORDS)
+    return [r["term"] for r in top.select("term").collect()]
+
+
 def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """Rare-first prefix of each set: (gid, n, term, pos)."""
-    total = reps.agg(F.sum("n")).first()[0] or 0
-    exploded = reps.select("gid", "n", F.explode("terms").alias("term"))
-    frequency = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = join_hot(exploded, frequency, ["term"], "df", hot_limit(total))
-    in_set = Window.partitionBy("gid").orderBy("df", "term")
-    least_overlap = F.expr(f"(n * {percent * percent} + 9999) div 10000")
-    placed = weighted.withColumn("pos", F.row_number().over(in_set).cast("bigint"))
-    placed = placed.where(F.col("pos") <= F.col("n") - least_overlap + 1)
-    return materialize(placed.select("gid", "n", "term", "pos"), "prefixes")
+    """Rare-first prefix of each set: (gid, n, term, pos).
+
+    Any order that is the same for all sets keeps the join exact. This one is
+    row-local: words outside the bounded list of frequent words come first, then
+    the frequent ones, least frequent first. No token is shuffled for it.
+    """
+    frequent = _frequent_words(reps)
+
+    def cut(batches):
+        listed = pa.array(frequent, pa.string())
+        for batch in batches:
+            lists = batch.column("terms")
+            rows = entry_rows(lists)
+            encoded = lists.flatten().dictionary_encode()
+            place = pc.index_in(encoded.dictionary, value_set=listed)
+            place = pc.fill_null(place, len(listed)).to_numpy()
+            # rank of each distinct word in (rare first, then by word)
+            by_word = pc.sort_indices(encoded.dictionary).to_numpy()
+            rank = np.empty(len(by_word), dtype=np.int64)
+            rank[by_word[np.argsort(-place[by_word], kind="stable")]] = np.arange(len(by_word))
+            codes = encoded.indices.to_numpy()
+            order = np.lexsort((rank[codes], rows))
+            rows, codes = rows[order], codes[order]
+            n = batch.column("n").to_numpy()
+            first = np.concatenate([[0], np.cumsum(n)])[:-1]
+            pos = np.arange(len(rows)) - first[rows] + 1
+            least_overlap = (n * percent * percent + 9999) // 10_000
+            keep = pos <= (n - least_overlap + 1)[rows]
+            rows, codes, pos = rows[keep], codes[keep], pos[keep]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("gid").take(pa.array(rows)),
+                    pa.array(n[rows]),
+                    encoded.dictionary.take(pa.array(codes)),
+                    pa.array(pos),
+                ],
+                names=["gid", "n", "term", "pos"],
+            )
+
+    placed = reps.select("gid", "n", "terms").mapInArrow(cut, "gid long, n long, term string, pos long")
+    return materialize(placed, "prefixes")
 
 
 def _reaches(overlap: str, n_a: str, n_b: str, percent: int) -> str:
@@ -221,11 +261,16 @@ def neighbour_edges(
 
     lists = prefixes.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     lists = materialize(lists, "posting-sizes")
-    tagged = join_hot(prefixes, lists, ["term"], "rows", hot_limit(prefixes.count()))
-    short = tagged.where(F.col("rows") <= posting_limit)
+    limit = hot_limit(prefixes.count())
+    # very long lists leave before the shuffle by word; at most MAX_HOT_KEYS words
+    very_long = F.broadcast(lists.where(F.col("rows") > limit).select("term"))
+    short = prefixes.join(very_long, "term", "left_anti").join(
+        lists.where(F.col("rows") <= posting_limit).select("term"), "term"
+    )
     pairs = _short_list_pairs(short, reps, percent)
-    if not lists.where(F.col("rows") > posting_limit).isEmpty():
-        long = tagged.where(F.col("rows") > posting_limit)
+    long_lists = lists.where(F.col("rows") > posting_limit)
+    if not long_lists.isEmpty():
+        long = join_hot(prefixes, long_lists, ["term"], "rows", limit)
         from_long = _long_list_pairs(long, prefixes, reps, k, percent, posting_limit)
         pairs = pairs.unionByName(from_long).dropDuplicates(["src", "dst"])
 

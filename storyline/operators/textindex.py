@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,11 +57,12 @@ def chunk_sliding(
     """
     others = [c for c in df.columns if c != "text"]
     last = F.greatest(F.size("_words") - F.lit(overlap + 1), F.lit(0))
-    starts = F.sequence(F.lit(0), last, F.lit(size - overlap))
+    starts = F.when(F.size("_words") > 0, F.sequence(F.lit(0), last, F.lit(size - overlap)))
+    # outer, as the plain form adds a pushed-down filter that splits the text once more
     return (
         df.withColumn("_words", _split_words(F.col("text")))
-        .where(F.size("_words") > 0)
-        .select(*others, "_words", F.posexplode(starts).alias("chunk_no", "_start"))
+        .select(*others, "_words", F.posexplode_outer(starts).alias("chunk_no", "_start"))
+        .where(F.col("_start").isNotNull())
         .withColumn("_part", F.slice("_words", F.col("_start") + 1, F.lit(size)))
         .select(
             _chunk_id().alias("chunk_id"), *others,
@@ -137,7 +138,9 @@ def chunk_sentences(
         df.withColumn("_units", _sentence_units(F.col("text"), size - overlap))
         .withColumn("_lengths", F.transform("_units", lambda u: F.size(u)))
         .withColumn("_spans", _pack_spans(F.col("_lengths"), size, overlap))
-        .select(*others, "_units", F.posexplode("_spans").alias("chunk_no", "_span"))
+        # outer, as the plain form adds a pushed-down filter that packs the text once more
+        .select(*others, "_units", F.posexplode_outer("_spans").alias("chunk_no", "_span"))
+        .where(F.col("_span").isNotNull())
         .withColumn(
             "_part",
             F.flatten(F.slice("_units", F.col("_span.first"), F.col("_span.last") - F.col("_span.first") + 1)),
@@ -230,10 +233,9 @@ def idf_weight(df: Column, total: Column) -> Column:
 
 def idf_table(chunks: DataFrame) -> DataFrame:
     """(term, df, weight) over all chunks."""
-    total = chunks.agg(F.count(F.lit(1)).alias("total"))
-    # one row
-    return document_frequency(chunks).join(F.broadcast(total)).select(
-        "term", "df", idf_weight(F.col("df"), F.col("total")).alias("weight")
+    total = F.lit(chunks.count())
+    return document_frequency(chunks).select(
+        "term", "df", idf_weight(F.col("df"), total).alias("weight")
     )
 
 
@@ -245,8 +247,6 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
     run facts, counted while the chunks were written.
     """
     spark = docs.sparkSession
-    from pyspark.sql import Observation
-
     seen = Observation()
     chunks = vectorize(chunk_sentences(docs, size, overlap), dims=dims)
     chunks = chunks.observe(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyline.functions.text import after_first_line, first_line
 from storyline.session import materialize
+from storyline.sources.tables import spread
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 # articles carry the first events' times, so their pages are read early in the month
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for row-local text work, spread over the cores if the file is one piece."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
+
+
 def stage(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame],
     store: bool = True,

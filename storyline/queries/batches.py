@@ -9,7 +9,7 @@ from storyline.operators import profile
 from storyline.operators.clean import restamp, stamp_batch, union_frames
 from storyline.operators.skew import dense_row_id
 from storyline.queries.base import (
-    AS_OF_TEXT, EVENTS_SQL, FEED_AS_OF_TEXT, MODEL_NAME, MODEL_VERSION, as_of, events, table, with_sql,
+    AS_OF_TEXT, EVENTS_SQL, FEED_AS_OF_TEXT, MODEL_NAME, MODEL_VERSION, as_of, events, table, texts, with_sql,
 )
 from storyline.session import scratch_path
 from storyline.sources import feed, tables
@@ -96,7 +96,7 @@ FEED_TERMS = ["The", "in"]
 
 
 def feed_term_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = texts(spark, sf_dir, "lang")
     return feed.matching_terms(docs, FEED_TERMS, "text").select("doc_id", "lang")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from storyline.functions import text as X
 from storyline.operators import dedup, profile, rank, termjoin
 from storyline.operators.skew import rank_in_group, top_n_per_group
-from storyline.queries.base import LANGUAGES, articles, stage, table
+from storyline.queries.base import LANGUAGES, articles, stage, table, texts
 from storyline.session import scratch_path
 from storyline.sources.tables import write_table
 
@@ -16,7 +16,7 @@ TOPIC_WORD_LENGTH = 5
 
 
 def _term_sets(spark, sf_dir):
-    return termjoin.term_sets(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return termjoin.term_sets(texts(spark, sf_dir), "doc_id", "text")
 
 
 def edges(spark, sf_dir):
@@ -55,8 +55,8 @@ def greedy_dedup(spark, sf_dir):
 
 def derived_topics(spark, sf_dir):
     """(topic, text): the most widespread longer words of each language."""
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("topic"), F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")
+    docs = texts(spark, sf_dir, "lang").select(
+        F.col("lang").alias("topic"), F.explode_outer(F.array_distinct(X.words(F.col("text")))).alias("term")
     )
     counts = profile.group_counts(docs.where(F.length("term") >= TOPIC_WORD_LENGTH), "topic", "term")
     top = top_n_per_group(counts, ["topic"], [F.desc("n"), F.col("term")], TOPIC_WORDS)
@@ -65,7 +65,7 @@ def derived_topics(spark, sf_dir):
 
 def _relevance(spark, sf_dir):
     topics = stage(spark, sf_dir, "topics", derived_topics)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = texts(spark, sf_dir).withColumnRenamed("doc_id", "id")
     return rank.topic_relevance(docs, rank.topic_words_of(topics), "id", "text")
 
 

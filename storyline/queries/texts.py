@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from storyline import constants as C
 from storyline.operators import retrieve, textindex
 from storyline.operators.chat import message_list
-from storyline.queries.base import ARTICLES_SQL, articles, stage, table
+from storyline.queries.base import ARTICLES_SQL, articles, stage, table, texts
 from storyline.session import scratch_path
 
 SYSTEM_TEXT = "Answer from the articles only and name their sources."
@@ -15,7 +15,7 @@ CATEGORIES = ["general", "de", "en", "es", "fr"]
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return texts(spark, sf_dir).withColumnRenamed("doc_id", "id")
 
 
 def _brief(chunks):

@@ -90,6 +90,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a scan that comes in fewer pieces than there are cores.
+
+    Meant for a bare scan in front of row-local text work; a table of many files
+    is returned as it is and never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_latest(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     return latest_batch(read_table(spark, path, schema))
 
