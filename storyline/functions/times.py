@@ -9,11 +9,16 @@ from storyline import constants as C
 
 
 def parse_published(text: Column) -> Column:
-    """Timestamp of the text: general parse, then the fixed feed format, else null."""
-    return F.coalesce(
+    """Timestamp of the text: general parse, then the fixed feed format, else null.
+
+    A text without a leading year is no timestamp: words such as ``now`` and bare
+    times would otherwise take the clock of the run.
+    """
+    parsed = F.coalesce(
         F.try_to_timestamp(text),
         F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")),
     )
+    return F.when(text.rlike(r"^\s*[0-9]{4}"), parsed)
 
 
 def lower_date_bound(as_of: Column, days: int = C.FEED_WINDOW_DAYS) -> Column:

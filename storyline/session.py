@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
-    app_name: str = "storyline", master: str | None = None, shuffle_partitions: int | None = None
+    app_name: str = "storyline", master: str | None = None, shuffle_partitions: int | None = None,
+    options: dict[str, str] | None = None,
 ) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE with skew handling)."""
     builder = (
@@ -25,6 +26,8 @@ def build_session(
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for name, value in (options or {}).items():
+        builder = builder.config(name, value)
     return builder.getOrCreate()
 
 

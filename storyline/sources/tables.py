@@ -20,12 +20,10 @@ def latest_batch_value(df: DataFrame, batch: str = BATCH) -> DataFrame:
 def latest_batch(df: DataFrame, batch: str = BATCH) -> DataFrame:
     """Rows of the newest batch only.
 
-    The newest stamp is a one-row aggregate, so broadcasting it is safe at any
-    table size, and on a table partitioned by the stamp the join prunes the
-    scan to one partition at run time.
+    The newest stamp is a scalar subquery, so on a table partitioned by the
+    stamp it becomes a partition filter and only one folder is read.
     """
-    newest = latest_batch_value(df, batch).withColumnRenamed(batch, "_newest")
-    return df.join(F.broadcast(newest), F.col(batch) == F.col("_newest"), "left_semi")
+    return df.where(F.col(batch) == df.agg(F.max(batch)).scalar())
 
 
 def write_table(
@@ -115,7 +113,7 @@ def save_as_table(df: DataFrame | None, name: str, overwrite: bool = False) -> N
     columns = spark.table(name).columns
     if set(columns) != set(df.columns):
         raise ValueError(f"columns differ from table {name}")
-    df.select(*columns).writeTo(name).append()
+    df.select(*columns).write.mode("append").saveAsTable(name)
 
 
 def export_full_and_subset(df: DataFrame, full_path: str, subset_path: str, cut: int) -> None:

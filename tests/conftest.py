@@ -3,14 +3,20 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(HERE))
+# functions written in the tests are found by the Python workers
+os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.environ.get("PYTHONPATH", "")])
 
 from storyline.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("storyline-tests", master="local[4]", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = build_session(
+        "storyline-tests", master="local[4]", shuffle_partitions=4,
+        options={"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
