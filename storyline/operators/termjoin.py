@@ -27,7 +27,7 @@ from storyline import constants as C
 from storyline.functions.text import word_set
 from storyline.operators.blocks import best_per_row, entry_rows
 from storyline.operators.skew import hot_limit, join_hot, top_n_per_group
-from storyline.session import materialize
+from storyline.session import materialize, shuffle_partitions
 
 POSTING_LIMIT = 512
 FREQUENT_WORDS = 50_000
@@ -127,6 +127,8 @@ def _short_list_pairs(short: DataFrame, reps: DataFrame, percent: int) -> DataFr
         .withColumn("most", F.expr("1 + least(na - pa, nb - pb)"))
         .where(_reaches("most", "na", "nb", percent))
         .select("a", "b", "na", "nb")
+        # one shuffle serves both the distinct and the first join
+        .repartition(shuffle_partitions(short.sparkSession), "a")
         .distinct()
     )
     left = reps.select(F.col("gid").alias("a"), F.col("terms").alias("ta"))

@@ -69,7 +69,7 @@ ev AS (
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles: documents with their label as sentiment and an event time by id."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     times = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("publishedAt")
