@@ -22,16 +22,19 @@ def best_per_row(
     scores: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """(rows, columns) of the ``k`` best columns per row: score first, then lowest id."""
-    if scores.shape[1] == 0:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty
-    if allowed is not None:
-        scores = np.where(allowed, scores, -np.inf)
-    near = min(k, scores.shape[1])
-    # columns that tie with the k-th stay in until the cut by id
-    floor = -np.partition(-scores, near - 1, axis=1)[:, near - 1 : near]
-    rows, cols = np.nonzero((scores >= floor) & np.isfinite(scores))
-    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-    return rows[keep], cols[keep]
+    by_id = np.argsort(ids, kind="stable")
+    left = scores[:, by_id] if allowed is None else np.where(allowed, scores, -np.inf)[:, by_id]
+    every = np.arange(len(left))
+    rows, cols = [], []
+    # with columns in id order, the first maximum is the one with the lowest id
+    for _ in range(min(k, left.shape[1])):
+        col = left.argmax(axis=1)
+        found = np.isfinite(left[every, col])
+        if not found.any():
+            break
+        rows.append(every[found])
+        cols.append(by_id[col[found]])
+        left[every, col] = -np.inf
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(rows), np.concatenate(cols)

@@ -30,6 +30,7 @@ from storyline.operators.skew import hot_limit, join_hot, top_n_per_group
 from storyline.session import materialize, shuffle_partitions
 
 POSTING_LIMIT = 512
+BLOCK_ROWS = 2048
 FREQUENT_WORDS = 50_000
 VOCABULARY_SLICE = 4096
 
@@ -161,14 +162,23 @@ def _incidence(lists: pa.ChunkedArray, codes: dict) -> tuple[np.ndarray, np.ndar
     return rows, mapping[encoded.indices.to_numpy()]
 
 
-def _shared_words(a, b, shape: tuple[int, int], vocabulary: int) -> np.ndarray:
-    """Number of shared words of every row pair, by matrix product over word slices."""
+def _shared_words(a, b, shape: tuple[int, int], vocabulary: int, same: bool) -> np.ndarray:
+    """Number of shared words of every pair of different rows, by matrix products.
+
+    Only words that occur on both sides (in two rows, when a block meets itself)
+    can be shared, so only those get a column.
+    """
+    in_a, in_b = (np.bincount(cols, minlength=vocabulary) for _, cols in (a, b))
+    useful = in_a > 1 if same else (in_a > 0) & (in_b > 0)
+    column = np.cumsum(useful) - 1
+    sides = [(rows[useful[cols]], column[cols[useful[cols]]]) for rows, cols in (a, b)]
     shared = np.zeros(shape, dtype=np.float32)
-    for start in range(0, vocabulary, VOCABULARY_SLICE):
+    for start in range(0, int(useful.sum()), VOCABULARY_SLICE):
+        width = min(VOCABULARY_SLICE, int(useful.sum()) - start)
         parts = []
-        for (rows, cols), height in ((a, shape[0]), (b, shape[1])):
-            inside = (cols >= start) & (cols < start + VOCABULARY_SLICE)
-            matrix = np.zeros((height, VOCABULARY_SLICE), dtype=np.float32)
+        for (rows, cols), height in zip(sides, shape):
+            inside = (cols >= start) & (cols < start + width)
+            matrix = np.zeros((height, width), dtype=np.float32)
             matrix[rows[inside], cols[inside] - start] = 1.0
             parts.append(matrix)
         shared += parts[0] @ parts[1].T
@@ -190,28 +200,23 @@ def _block_kernel(k: int, percent: int):
     def kernel(table: pa.Table) -> pa.Table:
         first, second = table["a"][0].as_py(), table["b"][0].as_py()
         block = table["block"].to_numpy()
-        codes: dict = {}
-        sides = []
-        for number in (first, second):
-            part = table.filter(pa.array(block == number))
-            sides.append(
-                (
-                    part["gid"].to_numpy(),
-                    part["n"].to_numpy(),
-                    _incidence(part["terms"], codes),
-                    _incidence(part["earlier"], codes),
-                )
-            )
-        (ids_a, n_a, terms_a, early_a), (ids_b, n_b, terms_b, early_b) = sides
+        parts = [table.filter(pa.array(block == number)) for number in (first, second)]
+        (ids_a, n_a), (ids_b, n_b) = [(p["gid"].to_numpy(), p["n"].to_numpy()) for p in parts]
         shape = (len(ids_a), len(ids_b))
         if 0 in shape:
             return out_schema.empty_table()
-        shared = _shared_words(terms_a, terms_b, shape, len(codes))
         # a pair belongs to the list of its first shared word only
-        seen = _shared_words(early_a, early_b, shape, len(codes))
+        codes: dict = {}
+        early = [_incidence(p["earlier"], codes) for p in parts]
+        seen = _shared_words(*early, shape, len(codes), first == second)
+        allowed = (seen == 0) & (ids_a[:, None] != ids_b[None, :])
+        if not allowed.any():
+            return out_schema.empty_table()
+        codes = {}
+        terms = [_incidence(p["terms"], codes) for p in parts]
+        shared = _shared_words(*terms, shape, len(codes), first == second)
         o = shared.astype(np.int64)
-        allowed = 10_000 * o * o >= percent * percent * np.outer(n_a, n_b)
-        allowed &= (seen == 0) & (ids_a[:, None] != ids_b[None, :])
+        allowed &= 10_000 * o * o >= percent * percent * np.outer(n_a, n_b)
         result = best(ids_a, ids_b, n_b, shared, allowed)
         if first != second:
             other = best(ids_b, ids_a, n_a, shared.T, allowed.T)
@@ -222,7 +227,7 @@ def _block_kernel(k: int, percent: int):
 
 
 def _long_list_pairs(
-    long: DataFrame, prefixes: DataFrame, reps: DataFrame, k: int, percent: int, limit: int
+    long: DataFrame, prefixes: DataFrame, reps: DataFrame, k: int, percent: int, block_rows: int
 ) -> DataFrame:
     """Best partners from long posting lists, compared block against block."""
     ordered = prefixes.groupBy("gid").agg(
@@ -230,7 +235,7 @@ def _long_list_pairs(
             F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]
         ).alias("prefix")
     )
-    blocks = F.ceil(F.col("rows") / F.lit(limit)).cast("int")
+    blocks = F.ceil(F.col("rows") / F.lit(block_rows)).cast("int")
     placed = long.withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
     )
@@ -250,6 +255,7 @@ def neighbour_edges(
     k: int = C.NEIGHBOURS,
     percent: int = C.SIMILARITY_PERCENT,
     posting_limit: int = POSTING_LIMIT,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` best other texts of each text among those that reach the threshold.
 
@@ -273,7 +279,7 @@ def neighbour_edges(
     long_lists = lists.where(F.col("rows") > posting_limit)
     if not long_lists.isEmpty():
         long = join_hot(prefixes, long_lists, ["term"], "rows", limit)
-        from_long = _long_list_pairs(long, prefixes, reps, k, percent, posting_limit)
+        from_long = _long_list_pairs(long, prefixes, reps, k, percent, block_rows)
         pairs = pairs.unionByName(from_long).dropDuplicates(["src", "dst"])
 
     by_similarity = F.desc(F.col("o").cast("double") * F.col("o") / F.col("n_dst"))

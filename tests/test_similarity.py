@@ -47,7 +47,7 @@ def some_texts(seed, n=60):
 def test_near_copies_equal_brute_force(spark, seed, posting_limit):
     texts = some_texts(seed)
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
-    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90, posting_limit)
+    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90, posting_limit, posting_limit)
     got = {tuple(r) for r in got.select("src", "dst", "pos", "overlap", "n_src", "n_dst").collect()}
     assert got == brute_edges(texts, 4, 90)
 
@@ -56,7 +56,7 @@ def test_rare_words_beyond_the_frequent_list(spark, monkeypatch):
     monkeypatch.setattr(termjoin, "FREQUENT_WORDS", 3)
     texts = some_texts(5)
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
-    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90, 4)
+    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90, 4, 3)
     got = {tuple(r) for r in got.select("src", "dst", "pos", "overlap", "n_src", "n_dst").collect()}
     assert got == brute_edges(texts, 4, 90)
 
