@@ -86,6 +86,14 @@ def sentiment_mark(sentiment: Column) -> Column:
     return marks.otherwise(F.lit(C.OTHER_SENTIMENT_MARK))
 
 
+def list_text(items: Column) -> Column:
+    """JSON text of a list of strings, elements parted by comma and blank; null stays null."""
+    quoted = F.transform(
+        items, lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    )
+    return F.concat(F.lit("["), F.array_join(quoted, ", ", "null"), F.lit("]"))
+
+
 def render_keywords(text: Column) -> Column:
     """List text as back-quoted words; unreadable text stays as it is."""
     items = F.from_json(text, "array<string>")

@@ -99,22 +99,26 @@ def _best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("left", "right").mapInArrow(best, "src long, dst long, sim double")
 
 
-def _cells_to_visit(stats: list, pivots: np.ndarray) -> list[tuple[int, int]]:
+def _cells_to_visit(stats: list, pivots: np.ndarray, unit: bool) -> list[tuple[int, int]]:
     """Cell pairs that may still hold a better partner; at most MAX_PIVOTS squared."""
     cells = np.array([r["cell"] for r in stats])
     radius = np.array([r["radius"] for r in stats])
     needed = np.array([np.pi if r["floor"] is None else r["floor"] for r in stats])
     between = _angle(pivots[cells] @ pivots[cells].T)
     least = between - radius[:, None] - radius[None, :]
-    visit = least <= needed[:, None] + ANGLE_SLACK
+    visit = (least <= needed[:, None] + ANGLE_SLACK) | (not unit)
     np.fill_diagonal(visit, False)
     return [(int(cells[i]), int(cells[j])) for i, j in zip(*np.nonzero(visit))]
 
 
-def nearest_neighbours(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_neighbours(
+    vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS, unit: bool = True
+) -> DataFrame:
     """The ``k`` most similar other rows of each row of ``vectors`` (id, vec).
 
-    Ordered by similarity, then id. Columns: src, dst, pos (1-based), sim.
+    Ordered by inner product, then id. Columns: src, dst, pos (1-based), sim.
+    ``unit=False`` takes vectors of any length: angles bound nothing then, so
+    every cell is visited.
     """
     spark = vectors.sparkSession
     keyed = vectors.select("id", F.sha2(F.to_json("vec"), 256).alias("key"), "vec")
@@ -161,7 +165,7 @@ def nearest_neighbours(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS)
         )
         .collect()
     )
-    visits = _cells_to_visit(stats, pivots)
+    visits = _cells_to_visit(stats, pivots, unit)
     if visits:
         visit = spark.createDataFrame(
             pd.DataFrame(visits, columns=["cell", "cell_b"]), "cell int, cell_b int"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyline import constants as C
-from storyline.functions.text import words
+from storyline.functions.text import list_text, words
 from storyline.functions.vectors import reciprocal_rank_fusion
 from storyline.operators.skew import HOT_GROUP_ROWS, broadcast_if_small, rank_in_group
 
@@ -113,9 +114,15 @@ def top_with_ties(df: DataFrame, cut: int = C.UI_RANK_CUT) -> DataFrame:
 
 
 def ui_projection(df: DataFrame) -> DataFrame:
-    """The export columns; ``source`` becomes the name held inside the struct."""
+    """The export columns; ``source`` becomes the name held inside the struct.
+
+    Keywords are exported as JSON list text, also when they come as a list.
+    """
+    keywords = F.col("keywords")
+    if isinstance(df.schema["keywords"].dataType, T.ArrayType):
+        keywords = list_text(keywords)
     return df.select(
         F.col("source.name").alias("source"),
-        "author", "headline", "summary", "keywords", "rrf_rank",
+        "author", "headline", "summary", keywords.alias("keywords"), "rrf_rank",
         "sentiment", "publishedAt", "duplicate_count", "url", "topic",
     )

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from storyline import constants as C
 from storyline.functions.text import document_text, first_line, words
 from storyline.functions.times import zone_text
+from storyline.functions.vectors import inner_product
 from storyline.operators.blocks import entry_rows
 from storyline.schemas import CHUNK_METADATA
 
@@ -210,6 +211,13 @@ def vectorize(df: DataFrame, text: str = "text", dims: int = DENSE_DIMS) -> Data
     return df.withColumn("_words", words(F.col(text))).mapInArrow(count, schema)
 
 
+def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Use a model's dense vectors (key, dense) instead of the offline ones."""
+    length2 = inner_product(F.col("dense"), F.col("dense"))
+    given = vectors.select(key, "dense").withColumn("norm2", length2)
+    return chunks.drop("dense", "norm2").join(given, key)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term, tf) of every sparse vector entry."""
     return chunks.select(

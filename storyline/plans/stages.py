@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline import constants as C
 from storyline.functions.replies import parse_reply
 from storyline.functions.text import article_text, combined_text
 from storyline.operators import callback, dedup, densejoin, rank, retrieve, termjoin, textindex
-from storyline.operators.clean import clean_articles
+from storyline.operators.chat import message_list
+from storyline.operators.clean import clean_articles, stamp_batch
 from storyline.operators.skew import dense_row_id, first_per_key
+from storyline.schemas import ARTICLE
 from storyline.session import materialize
+from storyline.sources import feed
 from storyline.sources.tables import export_full_and_subset
 
 clean = clean_articles
 
 
+def acquire(
+    spark: SparkSession, fetch: feed.Fetch, as_of: datetime, model_name: str, model_version: str,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Stamped articles of one run, and the topics that stopped with an error.
+
+    The feed is called once and stored, so both results come from the same pages.
+    """
+    from_date = (as_of - timedelta(days=C.FEED_WINDOW_DAYS)).strftime("%Y-%m-%d")
+    fetched = materialize(feed.read_feed(spark, fetch, from_date=from_date, **options), "fetched")
+    stamp = F.lit(int(as_of.timestamp()))
+    articles = fetched.where(F.col("error").isNull()).drop("error")
+    stamped = stamp_batch(articles, stamp, model_name, model_version).select(*ARTICLE.fieldNames())
+    return stamped, fetched.where(F.col("error").isNotNull()).select("topic", "error")
+
+
 def enrich(articles: DataFrame, make_client, model, **options) -> DataFrame:
     """Ask the model about every article and add the parsed reply columns."""
     prompts = articles.select(
@@ -47,7 +68,7 @@ def deduplicate_by_vectors(
     """First per url, then near copies by title vector; rows without a vector stay."""
     unique = materialize(first_per_key(articles, ["url"], ["id"]), "unique-urls")
     vectors = densejoin.unit_vectors(unique, "id", vector, normalize)
-    near = materialize(densejoin.nearest_neighbours(vectors, k), "neighbours")
+    near = materialize(densejoin.nearest_neighbours(vectors, k, unit=normalize), "neighbours")
     return deduplicate(unique, densejoin.threshold_edges(near, threshold), batch)
 
 
@@ -81,6 +102,13 @@ def export(ranked: DataFrame, full_path: str, ui_path: str) -> None:
     export_full_and_subset(rank.ui_projection(ranked), full_path, ui_path, C.UI_RANK_CUT)
 
 
+def index_export(spark: SparkSession, full_path: str, index_path: str, **options) -> DataFrame:
+    """Chunk and index the full export; returns the run facts."""
+    rows = dense_row_id(spark.read.parquet(full_path), ["topic", "rrf_rank", "url"])
+    docs = textindex.documents(rows).withColumn("topic", F.col("metadata.topic"))
+    return textindex.build_index(docs, index_path, **options)
+
+
 def answer_prompts(
     questions: DataFrame, index_path: str, system: Column, history: DataFrame | None = None,
     k: int = C.TOP_K,
@@ -98,6 +126,4 @@ def answer_prompts(
         "question_id", "question", "rephrased",
         retrieve.user_prompt(F.col("rephrased"), F.coalesce("context", F.lit("[]"))).alias("prompt"),
     )
-    from storyline.operators.chat import message_list
-
     return message_list(prompts, system, history)

@@ -54,8 +54,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; never reused, so retries cannot collide."""
-    return f"{checkpoint_root(spark)}/storyline-scratch/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; never reused, so retries cannot collide.
+
+    All paths of one application share a folder, which may be dropped after it ends.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{checkpoint_root(spark)}/storyline-scratch/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -130,8 +130,8 @@ def test_dense_top_k_equals_brute_force(spark, index, slice_rows, filtered):
     assert hits(got) == brute_hits(docs, asked, dense_score, 7, filtered)
 
 
-@pytest.mark.parametrize("slice_rows", [1000, 7])
-def test_sparse_top_k_equals_brute_force(spark, index, slice_rows):
+@pytest.mark.parametrize("slice_rows,filtered", [(1000, False), (7, False), (1000, True)])
+def test_sparse_top_k_equals_brute_force(spark, index, slice_rows, filtered):
     import math
 
     path, docs, asked, questions = index
@@ -143,8 +143,19 @@ def test_sparse_top_k_equals_brute_force(spark, index, slice_rows):
         return sum(n * b[w] * weight[w] for w, n in a.items() if w in b) or None
 
     chunks = textindex.read_chunks(spark, path).repartition(5)
-    got = retrieve.sparse_top_k(chunks, textindex.read_frequencies(spark, path), questions, 7, slice_rows=slice_rows)
-    assert hits(got) == brute_hits(docs, asked, score, 7, False)
+    frequencies = textindex.read_frequencies(spark, path)
+    category = "category" if filtered else None
+    got = retrieve.sparse_top_k(chunks, frequencies, questions, 7, category, slice_rows)
+    assert hits(got) == brute_hits(docs, asked, score, 7, filtered)
+
+
+def test_vectors_of_a_model_replace_the_offline_ones(spark, index):
+    chunks = textindex.read_chunks(spark, index[0])
+    given = chunks.select("chunk_id", F.array(F.col("chunk_id").cast("float"), F.lit(1.0).cast("float")).alias("dense"))
+    chunks = textindex.attach_vectors(chunks, given)
+    asked = spark.createDataFrame([(1, [0.0, 1.0], 1.0)], "question_id bigint, dense array<float>, norm2 double")
+    got = retrieve.dense_top_k(chunks, asked, 2).orderBy("pos").collect()
+    assert [(r["chunk_id"], r["pos"]) for r in got] == [(0, 1), (1 << textindex.CHUNK_BITS, 2)]
 
 
 def test_hybrid_prefers_chunks_in_both_lists(spark):

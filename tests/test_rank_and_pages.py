@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from storyline import constants as C
 from storyline.operators import callback, chat, highlights, profile, rank
 from storyline.plans import stages
+from storyline.sources import tables
 from storyline.sources.tables import export_full_and_subset
 
 
@@ -159,6 +160,59 @@ def test_stages_from_articles_to_export(spark, tmp_path):
     assert out["source"] == "s0" and out["headline"] == "Band plays concert!"
 
 
+def fetch(query, language, from_date, page, page_size):
+    topic = query.split()[1]
+    if topic == "finance":
+        raise RuntimeError("quota")
+    return [
+        {
+            "title": f"{topic} {i % 2}", "description": "concert", "content": from_date, "url": f"{topic}/{i}",
+            "publishedAt": f"2024-01-0{i + 1}T00:00:00Z", "source": {"id": None, "name": f"s{i}"},
+        }
+        for i in range(4)
+    ]
+
+
+async def topic_model(client, prompt):
+    topic, number = prompt.split("\n")[0].removeprefix("Title: ").split()
+    return '{"categories": ["%s"], "summary": "a concert", "headline": "%s no %s", "sentiment": "neutral"}' % (
+        topic, topic, number,
+    )
+
+
+async def number_vector(client, title):
+    topic, number = title.split()
+    return [1.0 if t == topic else 0.0 for t in C.TOPICS] + [2.0 * int(number)]
+
+
+def test_every_stage_from_feed_to_prompt(spark, tmp_path):
+    as_of = dt.datetime(2024, 1, 10, tzinfo=dt.timezone.utc)
+    news, errors = stages.acquire(spark, fetch, as_of, "m", "v")
+    assert [tuple(r) for r in errors.collect()] == [("finance", "page 1: quota")]
+    tables.write_batch(news, str(tmp_path / "news"))
+    latest = tables.read_latest(spark, str(tmp_path / "news"))
+    assert latest.count() == 12 and latest.first()["content"] == "2023-12-27"
+    articles = stages.clean(latest, F.lit(2))
+    rich = stages.embed(stages.enrich(articles, make_client, topic_model), make_client, number_vector)
+    kept = stages.deduplicate_by_vectors(rich, "title_embedding", F.lit(3))
+    # odd numbers are near each other over all topics, even ones only within theirs
+    evens = kept.where("headline like '%no 0'").collect()
+    assert sorted((r["headline"], r["duplicate_count"]) for r in evens) == [
+        ("lifestyle no 0", 2), ("music no 0", 2), ("sports no 0", 2),
+    ]
+    words = rank.topic_words(C.TOPIC_KEYWORDS, spark)
+    ranked = stages.rank_topics(kept, words, C.TOPICS, F.lit(4))
+    full, page, index = (str(tmp_path / n) for n in ("full", "ui", "index-v1"))
+    stages.export(ranked, full, page)
+    facts = stages.index_export(spark, full, index).first()
+    assert facts["num_docs"] == ranked.count() and facts["collection"] == "index-v1"
+    asked = spark.createDataFrame(
+        [(1, "a concert", True, "music")], "question_id bigint, question string, intention boolean, category string"
+    )
+    prompt = stages.answer_prompts(asked, index, F.lit("sys")).where("part = 3").first()["content"]
+    assert '"topic":"music"' in prompt and '"topic":"sports"' not in prompt
+
+
 def test_chat_rows(spark):
     log = spark.createDataFrame(
         [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 5, "user", "d")],

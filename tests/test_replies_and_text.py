@@ -76,6 +76,14 @@ def test_keywords(spark):
     assert one(spark, X.render_keywords(F.lit(None).cast("string"))) is None
 
 
+def test_list_text(spark):
+    items = F.array(F.lit('a "q"'), F.lit("[b]"), F.lit(None))
+    assert one(spark, X.list_text(items)) == '["a \\"q\\"", "[b]", null]'
+    assert one(spark, X.list_text(F.array().cast("array<string>"))) == "[]"
+    assert one(spark, X.list_text(F.lit(None).cast("array<string>"))) is None
+    assert one(spark, X.parse_categories(X.list_text(items))) == ['a "q"', "[b]", None]
+
+
 def test_capitalize_lowers_the_rest(spark):
     assert one(spark, X.capitalize(F.lit("MIXED view"))) == "Mixed view"
     assert one(spark, X.sentiment_mark(F.lit("positive"))) == "😀"

@@ -127,6 +127,17 @@ def test_nearest_neighbours_equal_brute_force(spark, block_rows):
     assert dict(got) == brute_nearest(ids, m, 4)
 
 
+def test_raw_inner_product_of_vectors_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(80, 5)) * rng.uniform(0.1, 9, size=(80, 1))
+    m[10:14] = m[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
+    got = defaultdict(list)
+    for r in densejoin.nearest_neighbours(df, 4, 9, unit=False).orderBy("src", "pos").collect():
+        got[r["src"]].append(r["dst"])
+    assert dict(got) == brute_nearest(list(range(80)), m, 4)
+
+
 def test_fewer_rows_than_neighbours(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id bigint, vec array<double>")
     got = {(r["src"], r["dst"]) for r in densejoin.nearest_neighbours(df, 4).collect()}
