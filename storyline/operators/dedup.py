@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.session import materialize
 
+JOIN_ROUNDS = 5
+FINISH_EDGES = 1_000_000
+
 
 def duplicate_count(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """Add ``duplicate_count``: 1 plus the number of near copies listed for the row.
@@ -21,7 +25,24 @@ def duplicate_count(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> D
     )
 
 
-def dropped_ids(edges: DataFrame) -> DataFrame:
+def _finish(open_edges: DataFrame) -> DataFrame:
+    """Walk a counted, small rest of edges in id order within one task."""
+
+    def walk(batches):
+        gone = set()
+        for batch in batches:
+            for src, dst in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist()):
+                if src not in gone:
+                    gone.add(dst)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], names=["id"])
+
+    ordered = open_edges.coalesce(1).sortWithinPartitions("src", "dst")
+    return ordered.mapInArrow(walk, "id long")
+
+
+def dropped_ids(
+    edges: DataFrame, rounds: int = JOIN_ROUNDS, finish_edges: int = FINISH_EDGES
+) -> DataFrame:
     """Ids that a smaller kept id lists as its near copy.
 
     Walking ids upwards, a row is kept unless an earlier kept row listed it.
@@ -30,11 +51,18 @@ def dropped_ids(edges: DataFrame) -> DataFrame:
     dropped ids go away, and the rest is looked at again. Each round settles at
     least the smallest open id. Every round is written to the shared folder, so
     the plan stays short and a lost executor costs one round.
+
+    A long chain settles one link per round. When open edges are left after
+    ``rounds`` rounds and are counted to be few, they are walked in one go;
+    otherwise the rounds go on.
     """
     open_edges = materialize(edges.where("src < dst").select("src", "dst"), "dedup-edges")
     spark = open_edges.sparkSession
     dropped = spark.createDataFrame([], "id bigint")
+    done = 0
     while not open_edges.isEmpty():
+        if done >= rounds and open_edges.count() <= finish_edges:
+            return dropped.unionByName(_finish(open_edges))
         targets = open_edges.select(F.col("dst").alias("src")).distinct()
         newly = (
             open_edges.join(targets, "src", "left_anti")
@@ -49,6 +77,7 @@ def dropped_ids(edges: DataFrame) -> DataFrame:
             .select("src", "dst"),
             "dedup-edges",
         )
+        done += 1
     return dropped
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from storyline import constants as C
 from storyline.functions.text import list_text, words
-from storyline.functions.vectors import reciprocal_rank_fusion
+from storyline.functions.vectors import inner_product, l2_normalize, reciprocal_rank_fusion
 from storyline.operators.skew import HOT_GROUP_ROWS, broadcast_if_small, rank_in_group
 
 MAX_TOPIC_WORDS = 100_000
@@ -73,6 +73,23 @@ def topic_relevance(
     )
 
 
+def vector_relevance(
+    articles: DataFrame, key: str, vector: str, topics: dict[str, list[float]]
+) -> DataFrame:
+    """One ``<topic>_importance`` column per topic: cosine of a model's vectors.
+
+    The few topic vectors are literals, so this is a projection without a join.
+    A vector without direction has no relevance (null).
+    """
+    unit = articles.select(key, l2_normalize(F.col(vector)).alias("_unit"))
+    columns = []
+    for topic, values in topics.items():
+        length = sum(x * x for x in values) ** 0.5
+        literal = F.array(*[F.lit(float(x) / length) for x in values])
+        columns.append(inner_product(F.col("_unit"), literal).alias(f"{topic}_importance"))
+    return unit.select(key, *columns)
+
+
 def articles_by_topic(articles: DataFrame, categories: str, topics: list[str]) -> DataFrame:
     """One row per article and matching topic; an article may be in several."""
     wanted = F.array(*[F.lit(t) for t in topics])

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from storyline.functions import replies, vectors
 from storyline.functions import text as X
-from storyline.operators import callback, densejoin, profile
+from storyline.operators import callback, densejoin, profile, rank
+from storyline.operators.skew import first_per_key
 from storyline.queries.base import ARTICLES_SQL, articles, stage, table, with_sql
 
 
@@ -126,6 +127,18 @@ def vector_near_edges(spark, sf_dir):
     return densejoin.threshold_edges(near, VECTOR_THRESHOLD).select("src", "dst", "pos")
 
 
+VECTOR_TOPICS = range(10)
+
+
+def topic_vector_relevance(spark, sf_dir):
+    """Cosine of every vector with one topic vector per label, its first one."""
+    rows = table(spark, sf_dir, "embeddings")
+    first = first_per_key(rows, ["label"], ["vec_id"]).where(F.col("label").isin(list(VECTOR_TOPICS)))
+    topics = {f"topic_{r['label']}": r["embedding"] for r in first.orderBy("label").collect()}
+    wide = rank.vector_relevance(rows, "vec_id", "embedding", topics)
+    return wide.select("vec_id", *[F.round(c, 6).alias(c) for c in wide.columns if c != "vec_id"])
+
+
 QUERIES = {
     "model_reply_parse": model_reply_parse,
     "enrich_success_rate": enrich_success_rate,
@@ -138,6 +151,7 @@ QUERIES = {
     "embedding_json_roundtrip": embedding_json_roundtrip,
     "knn_self_join": knn_self_join,
     "vector_near_edges": vector_near_edges,
+    "topic_vector_relevance": topic_vector_relevance,
 }
 
 _REPLIES = with_sql(ARTICLES_SQL) + r""", raw AS (
@@ -208,3 +222,13 @@ near AS (
 """
 SQL["knn_self_join"] = _KNN + "SELECT src, dst, pos, round(sim, 6) AS sim FROM near WHERE pos <= 4"
 SQL["vector_near_edges"] = _KNN + f"SELECT src, dst, pos FROM near WHERE pos <= 4 AND sim >= {VECTOR_THRESHOLD}"
+
+SQL["topic_vector_relevance"] = """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding::DOUBLE[],
+         lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS vec FROM embeddings),
+t AS (SELECT label, arg_min(vec, vec_id) AS vec FROM v GROUP BY label)
+SELECT v.vec_id, """ + ", ".join(
+    f"round(max(list_inner_product(v.vec, t.vec)) FILTER (t.label = {i}), 6) AS topic_{i}_importance"
+    for i in VECTOR_TOPICS
+) + " FROM v CROSS JOIN t GROUP BY v.vec_id"

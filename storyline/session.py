@@ -41,7 +41,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder; on a cluster that
     folder would be lost together with its executor.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    name = "spark.checkpoint.dir"
+    configured = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -96,6 +96,17 @@ def test_fixpoint_equals_the_walk(spark, pairs):
     assert sorted(r["id"] for r in kept.collect()) == sequential_kept(15, pairs)
 
 
+def test_long_chain_is_finished_in_one_go(spark):
+    n = 4000
+    chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    extra = spark.createDataFrame([(3, 9), (10, 11), (10, 3000)], "src bigint, dst bigint")
+    edges = chain.unionByName(extra).repartition(4)
+    pairs = {(i, i + 1) for i in range(n - 1)} | {(3, 9), (10, 11), (10, 3000)}
+    gone = dedup.dropped_ids(edges, rounds=1)
+    kept = set(range(n)) - {r["id"] for r in gone.collect()}
+    assert sorted(kept) == sequential_kept(n, pairs)
+
+
 def test_chain_keeps_both_ends(spark):
     # a-b and b-c are near, a-c is not: a hides b, c stays
     edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1)], "src bigint, dst bigint")
