@@ -38,3 +38,26 @@ def best_per_row(
     if not rows:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate(rows), np.concatenate(cols)
+
+
+def best_matrix(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the ``k`` best columns per row as two rows x k matrices, padded."""
+    best = np.full((len(scores), k), -np.inf)
+    best_ids = np.full((len(scores), k), np.iinfo(np.int64).max)
+    rows, cols = best_per_row(scores, ids, k)
+    order = np.argsort(rows, kind="stable")
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    best[rows, place] = scores[rows, cols]
+    best_ids[rows, place] = ids[cols]
+    return best, best_ids
+
+
+def merge_best(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Best ``k`` per row of two such pairs of matrices."""
+    k = a[0].shape[1]
+    scores, ids = (np.concatenate([x, y], axis=1) for x, y in zip(a, b))
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    scores, ids = (np.take_along_axis(x, by_id, axis=1) for x in (scores, ids))
+    by_score = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return tuple(np.take_along_axis(x, by_score, axis=1) for x in (scores, ids))

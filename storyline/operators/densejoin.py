@@ -23,6 +23,7 @@ from storyline.operators.skew import hot_limit, join_hot, top_n_per_group
 from storyline.session import materialize
 
 BLOCK_ROWS = 1024
+BLOCK_VALUES = 1_000_000
 MAX_PIVOTS = 1024
 ANGLE_SLACK = 1e-6
 
@@ -44,11 +45,11 @@ def unit_vectors(df: DataFrame, id_col: str, vector_col: str, normalize: bool =
     return rows.select("id", F.transform("vec", lambda x: x / F.col("_norm")).alias("vec"))
 
 
-def _pivots(vectors: DataFrame, block_rows: int) -> np.ndarray:
+def _pivots(vectors: DataFrame, rows: int, block_rows: int) -> np.ndarray:
     """A bounded, repeatable choice of pivots; it steers the cost, never the result."""
-    count = min(MAX_PIVOTS, max(1, vectors.count() // block_rows))
-    rows = vectors.orderBy(F.xxhash64("gid"), "gid").limit(count).select("vec").collect()
-    return np.array([r[0] for r in rows], dtype=np.float64)
+    count = min(MAX_PIVOTS, max(1, rows // block_rows))
+    picked = vectors.orderBy(F.xxhash64("gid"), "gid").limit(count).select("vec").collect()
+    return np.array([r[0] for r in picked], dtype=np.float64)
 
 
 def _assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -68,7 +69,7 @@ def _assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _pack_blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row per block: its cell, number, ids and vectors; about BLOCK_ROWS vectors each."""
+    """One row per block: its cell, number, ids and vectors; of about equal, bounded size."""
     # one row per cell, at most MAX_PIVOTS
     blocked = placed.join(F.broadcast(sizes), "cell").withColumn(
         "block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
@@ -136,7 +137,10 @@ def nearest_neighbours(
     distinct = keyed.select(F.col("id").alias("gid"), "vec").join(
         groups.select("gid"), "gid", "left_semi"
     )
-    pivots = _pivots(distinct, block_rows)
+    shape = distinct.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vec")).alias("dims")).first()
+    # a packed block stays below BLOCK_VALUES numbers, whatever the dimension
+    block_rows = max(1, min(block_rows, BLOCK_VALUES // (shape["dims"] or 1)))
+    pivots = _pivots(distinct, shape["rows"], block_rows)
     if len(pivots) == 0:
         return spark.createDataFrame([], "src bigint, dst bigint, pos bigint, sim double")
     placed = materialize(_assign_cells(distinct, pivots), "cells")

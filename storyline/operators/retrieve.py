@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from storyline import constants as C
 from storyline.functions.vectors import reciprocal_rank_fusion
-from storyline.operators.blocks import best_per_row, entry_rows, matrix
+from storyline.operators.blocks import best_matrix, entry_rows, matrix, merge_best
 from storyline.operators.skew import broadcast_if_small, top_n_per_group
 from storyline.operators.textindex import idf_weight
 from storyline.session import materialize
 
-QUESTION_SLICE = 2_000
+QUESTION_SLICE = 500
 SCAN_ROWS = 256
 HITS = "question_id long, chunk_id long, score double"
 
@@ -46,8 +46,7 @@ def _scan(
     wanted = pa.array(categories or [], pa.string()).to_numpy(zero_copy_only=False)
 
     def scan(batches):
-        held_ids = np.zeros(0, dtype=np.int64)
-        held = np.zeros((len(ids), 0))
+        held = best_matrix(np.zeros((len(ids), 0)), np.zeros(0, dtype=np.int64), k)
         for whole in batches:
             for start in range(0, whole.num_rows, SCAN_ROWS):
                 batch = whole.slice(start, SCAN_ROWS)
@@ -56,19 +55,13 @@ def _scan(
                     topics = batch.column("topic").to_numpy(zero_copy_only=False)
                     match = (wanted[:, None] == C.GENERAL_CATEGORY) | (wanted[:, None] == topics[None, :])
                     scores = np.where(match, scores, -np.inf)
-                chunk_ids = np.concatenate([held_ids, batch.column("chunk_id").to_numpy()])
-                both = np.concatenate([held, scores], axis=1)
-                rows, cols = best_per_row(both, chunk_ids, k)
-                # keep only columns that are still somebody's best
-                kept = np.unique(cols)
-                place = np.searchsorted(kept, cols)
-                held_ids = chunk_ids[kept]
-                held = np.full((len(ids), len(kept)), -np.inf)
-                held[rows, place] = both[rows, cols]
-        rows, cols = best_per_row(held, held_ids, k)
+                chunk_ids = batch.column("chunk_id").to_numpy()
+                held = merge_best(held, best_matrix(scores, chunk_ids, k))
+        scores, chunk_ids = held
+        rows, cols = np.nonzero(np.isfinite(scores))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[rows], pa.int64()), pa.array(held_ids[cols], pa.int64()),
-             pa.array(held[rows, cols], pa.float64())],
+            [pa.array(ids[rows], pa.int64()), pa.array(chunk_ids[rows, cols], pa.int64()),
+             pa.array(scores[rows, cols], pa.float64())],
             names=["question_id", "chunk_id", "score"],
         )
 
@@ -138,25 +131,30 @@ def sparse_top_k(
         found = frequencies.join(F.broadcast(named), "term").select(
             "term", idf_weight(F.col("df"), F.lit(total)).alias("weight")
         )
-        weights = np.zeros(len(vocabulary))
-        for r in found.collect():
-            weights[place[r["term"]]] = r["weight"]
-        asked = np.zeros((len(rows), len(vocabulary)))
-        for i, r in enumerate(rows):
-            for term, tf in zip(r["sparse_terms"], r["sparse_tf"]):
-                asked[i, place[term]] = tf
-        asked *= weights[None, :]
+        weight = {r["term"]: r["weight"] for r in found.collect()}
+        entries = [
+            (i, place[term], tf * weight.get(term, 0))
+            for i, r in enumerate(rows)
+            for term, tf in zip(r["sparse_terms"], r["sparse_tf"])
+        ]
+        asked_row, asked_col, asked_value = (np.array(x) for x in zip(*entries))
         ids = np.array([r["question_id"] for r in rows], dtype=np.int64)
         categories = [r[category] for r in rows] if category else None
 
-        def overlap(batch, asked=asked, vocabulary=vocabulary):
+        def overlap(batch, ids=ids, vocabulary=vocabulary, asked_row=asked_row, asked_col=asked_col,
+                    asked_value=asked_value):
             lists = batch.column("sparse_terms")
             found = pc.index_in(lists.flatten(), value_set=pa.array(vocabulary, pa.string()))
-            tf = batch.column("sparse_tf").flatten().to_numpy()
             known = found.is_valid().to_numpy(zero_copy_only=False)
-            cols = found.drop_null().to_numpy()
-            counts = np.zeros((batch.num_rows, len(vocabulary)))
-            counts[entry_rows(lists)[known], cols] = tf[known]
+            # only words that occur in this batch get a column
+            present, cols = np.unique(found.drop_null().to_numpy(), return_inverse=True)
+            counts = np.zeros((batch.num_rows, len(present)))
+            counts[entry_rows(lists)[known], cols] = batch.column("sparse_tf").flatten().to_numpy()[known]
+            column = np.full(len(vocabulary), -1)
+            column[present] = np.arange(len(present))
+            used = column[asked_col] >= 0
+            asked = np.zeros((len(ids), len(present)))
+            asked[asked_row[used], column[asked_col[used]]] = asked_value[used]
             scores = asked @ counts.T
             return np.where(scores > 0, scores, -np.inf)
 
