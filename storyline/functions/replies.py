@@ -18,19 +18,15 @@ def strip_fence_if_present(reply: Column) -> Column:
     return F.when(F.startswith(reply, F.lit("```json")), strip_fence(reply)).otherwise(reply)
 
 
-def _object_keys(body: Column) -> Column:
-    """Keys of a JSON object; null when the text is bad or not an object."""
-    variant = F.try_parse_json(body)
-    is_object = F.schema_of_variant(variant).startswith("OBJECT")
-    return F.when(is_object, F.json_object_keys(body))
+def _with_object(df: DataFrame, body: Column) -> DataFrame:
+    """Add the reply parsed once and its keys; no keys when it is bad or no object."""
+    df = df.withColumn("_body", body).withColumn("_parsed", F.try_parse_json("_body"))
+    is_object = F.schema_of_variant("_parsed").startswith("OBJECT")
+    return df.withColumn("_keys", F.when(is_object, F.json_object_keys("_body")))
 
 
-def _text_field(body: Column, key: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(body), f"$.{key}", "string")
-
-
-def _list_field(body: Column, key: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(body), f"$.{key}", "array<string>")
+def _field(key: str, kind: str) -> Column:
+    return F.try_variant_get(F.col("_parsed"), f"$.{key}", kind)
 
 
 def parse_reply(df: DataFrame, reply: str = "reply") -> DataFrame:
@@ -40,22 +36,20 @@ def parse_reply(df: DataFrame, reply: str = "reply") -> DataFrame:
     empty texts, false). A missing key gets its default; a key that is present
     with null keeps null.
     """
-    body = F.col("_body")
     keys = F.col("_keys")
-    df = df.withColumn("_body", strip_fence(F.col(reply)))
-    df = df.withColumn("_keys", _object_keys(body))
+    df = _with_object(df, strip_fence(F.col(reply)))
     columns: dict[str, Column] = {}
     for name in REPLY_LISTS:
         empty = F.array().cast("array<string>")
         columns[name] = F.when(
-            F.array_contains(keys, name), _list_field(body, name)
+            F.array_contains(keys, name), _field(name, "array<string>")
         ).otherwise(empty)
     for name in REPLY_TEXTS:
         columns[name] = F.when(
-            F.array_contains(keys, name), _text_field(body, name)
+            F.array_contains(keys, name), _field(name, "string")
         ).otherwise(F.lit(""))
     columns["success"] = keys.isNotNull()
-    return df.withColumns(columns).drop("_body", "_keys")
+    return df.withColumns(columns).drop("_body", "_parsed", "_keys")
 
 
 def parse_intent(df: DataFrame, reply: str = "reply") -> DataFrame:
@@ -64,19 +58,17 @@ def parse_intent(df: DataFrame, reply: str = "reply") -> DataFrame:
     ``intention`` must be present; ``category`` defaults to general only when
     its key is missing.
     """
-    body = F.col("_body")
     keys = F.col("_keys")
-    df = df.withColumn("_body", strip_fence_if_present(F.col(reply)))
-    df = df.withColumn("_keys", _object_keys(body))
+    df = _with_object(df, strip_fence_if_present(F.col(reply)))
     valid = F.coalesce(F.array_contains(keys, "intention"), F.lit(False))
     general = F.lit(C.GENERAL_CATEGORY)
-    intention = F.try_variant_get(F.try_parse_json(body), "$.intention", "boolean")
+    intention = _field("intention", "boolean")
     category = F.when(
-        F.array_contains(keys, "category"), _text_field(body, "category")
+        F.array_contains(keys, "category"), _field("category", "string")
     ).otherwise(general)
     return df.withColumns(
         {
             "intention": F.when(valid, F.coalesce(intention, F.lit(False))).otherwise(F.lit(False)),
             "category": F.when(valid, category).otherwise(general),
         }
-    ).drop("_body", "_keys")
+    ).drop("_body", "_parsed", "_keys")

@@ -21,7 +21,7 @@ def word_set(text: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return F.split_part(text, F.lit("\n"), F.lit(1))
+    return F.substring_index(text, "\n", 1)
 
 
 def after_first_line(text: Column) -> Column:
