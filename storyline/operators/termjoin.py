@@ -269,7 +269,8 @@ def neighbour_edges(
 
     lists = prefixes.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     lists = materialize(lists, "posting-sizes")
-    limit = hot_limit(prefixes.count())
+    # never below posting_limit, or a list would be neither short nor long
+    limit = max(hot_limit(prefixes.count()), posting_limit)
     # very long lists leave before the shuffle by word; at most MAX_HOT_KEYS words
     very_long = F.broadcast(lists.where(F.col("rows") > limit).select("term"))
     short = prefixes.join(very_long, "term", "left_anti").join(

@@ -61,6 +61,17 @@ def test_rare_words_beyond_the_frequent_list(spark, monkeypatch):
     assert got == brute_edges(texts, 4, 90)
 
 
+def test_hot_words_and_hot_groups_take_the_broadcast_way(spark, monkeypatch):
+    monkeypatch.setattr(termjoin, "hot_limit", lambda rows: 3)
+    texts = some_texts(7, 80)
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    for posting_limit in (512, 4):
+        sets = termjoin.term_sets(df, "id", "text")
+        got = termjoin.neighbour_edges(sets, 4, 90, max(posting_limit, 4), 5)
+        got = {tuple(r) for r in got.select("src", "dst", "pos", "overlap", "n_src", "n_dst").collect()}
+        assert got == brute_edges(texts, 4, 90)
+
+
 def test_a_mass_of_copies_lists_the_lowest_ids(spark):
     df = spark.range(3000).select("id", F.lit("one two three four five").alias("text"))
     edges = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text")).cache()

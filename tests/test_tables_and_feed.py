@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from storyline import session
 from storyline.operators import clean
 from storyline.schemas import ARTICLE
 from storyline.sources import feed, tables
@@ -175,3 +176,27 @@ def test_stream_ingest_appends_batches_once(spark, tmp_path):
     got = spark.read.parquet(table)
     assert rows(got, "title", "batch_query_time") == [("one", 100), ("three", 101), ("two", 100)]
     assert rows(tables.read_latest(spark, table), "title", "query") == [("three", "Australian music")]
+
+
+class Settings:
+    def __init__(self, value):
+        self.value = value
+
+    def get(self, name, default=None):
+        return self.value or default
+
+
+class Cluster:
+    def __init__(self, value):
+        self.conf = Settings(value)
+        self.sparkContext = self
+        self.master = "yarn"
+
+    def getConf(self):
+        return self.conf
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert session.checkpoint_root(Cluster("hdfs://shared/dir/")) == "hdfs://shared/dir"
+    with pytest.raises(ValueError):
+        session.checkpoint_root(Cluster(None))
