@@ -47,18 +47,19 @@ def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _hot_groups(df: DataFrame, group: str, order: str, hot_rows: int) -> dict:
-    """Groups above ``hot_rows`` with order-value bounds that cut them evenly.
+def hot_names(df: DataFrame, group: str, hot_rows: int = HOT_GROUP_ROWS) -> list:
+    """Groups of more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    return [row[0] for row in counts.where(F.col(group).isNotNull()).select(group).collect()]
 
-    At most ``rows / hot_rows`` groups qualify, so this is a small fetch.
-    """
-    steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    counts = df.groupBy(group).agg(F.count(order).alias("_n")).where(F.col("_n") > hot_rows)
-    names = [row[0] for row in counts.select(group).collect()]
+
+def _hot_bounds(df: DataFrame, group: str, order: str, names: list) -> dict:
+    """Order-value bounds that cut each hot group into even buckets; a small fetch."""
     if not names:
         return {}
+    steps = [i / BUCKETS for i in range(1, BUCKETS)]
     bounds = (
-        df.where(F.col(group).isin(names))
+        df.where(F.col(group).isin(names) & F.col(order).isNotNull())
         .groupBy(group)
         .agg(F.percentile_approx(order, steps, F.lit(10_000)).alias("_q"))
         .collect()
@@ -114,30 +115,33 @@ def rank_in_group(
     out: str,
     descending: bool = True,
     hot_rows: int = HOT_GROUP_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """1-based rank of ``value`` in its group, ties share the smallest rank.
 
     Null and NaN values stay unranked. Groups up to ``hot_rows`` rows use one
     window each; larger ones are ranked in buckets, so no task ever holds a
-    whole hot group.
+    whole hot group. ``hot`` takes the answer of :func:`hot_names` when several
+    ranks are made over the same groups.
     """
     types = dict(df.dtypes)
     clean = F.nanvl(F.col(value), F.lit(None)) if types[value] in ("double", "float") else F.col(value)
     df = df.withColumn("_value", clean)
-    bounds = _hot_groups(df, group, "_value", hot_rows)
+    names = hot_names(df, group, hot_rows) if hot is None else hot
+    bounds = _hot_bounds(df, group, "_value", names)
     order = F.desc_nulls_last("_value") if descending else F.asc_nulls_last("_value")
     window = Window.partitionBy(group).orderBy(order)
     ranked = F.when(F.col("_value").isNotNull(), F.rank().over(window)).cast("bigint")
-    if not bounds:
+    if not names:
         return df.withColumn(out, ranked).drop("_value")
-    is_hot = F.coalesce(F.col(group).isin(list(bounds)), F.lit(False))
+    is_hot = F.coalesce(F.col(group).isin(names), F.lit(False))
     cold = df.where(~is_hot).withColumn(out, ranked)
-    hot = df.where(is_hot)
-    valued = hot.where(F.col("_value").isNotNull())
+    large = df.where(is_hot)
+    valued = large.where(F.col("_value").isNotNull())
     totals = _totals_per_value(valued, group, "_value", F.lit(1), bounds, descending)
     placed = join_hot(valued, totals, [group, "_value"], "_rows", hot_rows)
     placed = placed.withColumn(out, (F.col("_before") + 1).cast("bigint"))
-    unranked = hot.where(F.col("_value").isNull()).withColumn(out, F.lit(None).cast("bigint"))
+    unranked = large.where(F.col("_value").isNull()).withColumn(out, F.lit(None).cast("bigint"))
     columns = [c for c in df.columns if c != "_value"] + [out]
     parts = [cold.select(*columns), placed.select(*columns), unranked.select(*columns)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -152,17 +156,23 @@ def running_total(
     hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Sum of ``weight`` over the rows of the group up to and including this order value."""
-    bounds = _hot_groups(df, group, order, hot_rows)
+    names = hot_names(df, group, hot_rows)
     window = Window.partitionBy(group).orderBy(order)
-    if not bounds:
+    if not names:
         return df.withColumn(out, F.sum(weight).over(window).cast("bigint"))
-    is_hot = F.coalesce(F.col(group).isin(list(bounds)), F.lit(False))
+    bounds = _hot_bounds(df, group, order, names)
+    is_hot = F.coalesce(F.col(group).isin(names), F.lit(False))
     cold = df.where(~is_hot).withColumn(out, F.sum(weight).over(window).cast("bigint"))
-    hot = df.where(is_hot)
-    totals = _totals_per_value(hot, group, order, weight, bounds, descending=False)
-    placed = join_hot(hot, totals, [group, order], "_rows", hot_rows)
-    placed = placed.withColumn(out, (F.col("_before") + F.col("_own")).cast("bigint"))
-    return cold.unionByName(placed.select(*cold.columns))
+    large = df.where(is_hot)
+    totals = _totals_per_value(large, group, order, weight, bounds, descending=False)
+    placed = join_hot(large, totals, [group, order], "_rows", hot_rows)
+    # rows without an order value come first; one total per hot group
+    missing = totals.where(F.col(order).isNull()).drop(order)
+    first = large.where(F.col(order).isNull()).join(F.broadcast(missing), group)
+    total = (F.col("_before") + F.col("_own")).cast("bigint")
+    for part in (placed, first):
+        cold = cold.unionByName(part.withColumn(out, total).select(*df.columns, out))
+    return cold
 
 
 def dense_row_id(df: DataFrame, order_by: list[str], out: str = "id") -> DataFrame:

@@ -37,8 +37,10 @@ def test_article_in_two_topics_appears_twice(spark):
 def test_fused_ranks_are_within_the_topic(spark):
     rows = [(1, "a", 0.9, 1), (2, "a", 0.5, 3), (3, "a", 0.5, 1), (4, "b", 0.1, 5)]
     df = spark.createDataFrame(rows, "id int, topic string, importance double, duplicate_count int")
-    got = {r["id"]: (r["importance_rank"], r["feq_rank"], r["rrf_rank"]) for r in rank.fused_ranks(df).collect()}
-    assert got == {1: (1, 2, 1), 2: (2, 1, 1), 3: (2, 2, 3), 4: (1, 1, 1)}
+    for hot_rows in (1_000_000, 1):
+        ranked = rank.fused_ranks(df, hot_rows=hot_rows).collect()
+        got = {r["id"]: (r["importance_rank"], r["feq_rank"], r["rrf_rank"]) for r in ranked}
+        assert got == {1: (1, 2, 1), 2: (2, 1, 1), 3: (2, 2, 3), 4: (1, 1, 1)}
 
 
 def test_ties_at_the_cut_stay_but_head_is_exact(spark):

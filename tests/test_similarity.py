@@ -193,7 +193,7 @@ def test_rank_in_group(spark, hot_rows, descending):
     rng = random.Random(4)
     rows = []
     for i in range(400):
-        value = rng.choice([None, float("nan"), 0.0, 0.0, 0.0, rng.random(), rng.randrange(9) / 3])
+        value = None if i % 3 == 0 and i > 300 else rng.choice([None, float("nan"), 0.0, 0.0, 0.0, rng.random(), rng.randrange(9) / 3])
         rows.append((i, "hot" if i % 3 else rng.choice(["a", "b"]), value))
     df = spark.createDataFrame(rows, "id int, g string, v double")
     got = skew.rank_in_group(df, "g", "v", "r", descending, hot_rows)
@@ -204,10 +204,14 @@ def test_rank_in_group(spark, hot_rows, descending):
 @pytest.mark.parametrize("hot_rows", [1_000_000, 25])
 def test_running_total(spark, hot_rows):
     rng = random.Random(5)
-    rows = [(i, rng.choice(["a", "b", "hot", "hot", "hot"]), rng.randrange(150), rng.randrange(2)) for i in range(300)]
+    rows = [
+        (i, rng.choice(["a", "b", "hot", "hot", "hot"]), rng.choice([None, *range(90)]), rng.randrange(2))
+        for i in range(300)
+    ]
     df = spark.createDataFrame(rows, "id int, g string, at int, w int")
     got = skew.running_total(df, "g", "at", F.col("w"), "total", hot_rows)
-    want = {i: sum(w2 for _, g2, at2, w2 in rows if g2 == g and at2 <= at) for i, g, at, w in rows}
+    place = lambda at: -1 if at is None else at
+    want = {i: sum(w2 for _, g2, at2, w2 in rows if g2 == g and place(at2) <= place(at)) for i, g, at, w in rows}
     assert {r["id"]: r["total"] for r in got.collect()} == want
 
 
