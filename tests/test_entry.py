@@ -16,7 +16,10 @@ dense_retrieve_topk dense_retrieve_filtered interaction_count chat_history inten
 
 def test_every_planned_query_is_registered_with_sql():
     assert set(PLANNED) <= set(entry.queries())
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    # the training-data operators (op..., pipeline) bring SQL only where SQL can express them
+    own = {n for n in entry.queries() if n != "pipeline" and not n.startswith("op")}
+    assert own <= set(entry.oracle_sql())
 
 
 def test_flagship_runs(spark):
