@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import simhash_gray
+from storyline.llm import simhash_gray, stream_bpe, vector_packing
 from storyline.llm.common import read_table
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gray.near_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = vector_packing.pack_documents(read_table(spark, sf_dir, "documents"), VOCABULARY)
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+    )
+
+
+def op8_stream_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_bpe.round_trip(read_table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op5_simhash_gray": op5_simhash_gray,
+    "op6_vector_packing": op6_vector_packing,
+    "op8_stream_bpe": op8_stream_bpe,
 }
 SQL: dict[str, str] = {}
