@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import simhash_gray, stream_bpe, vector_packing
+from storyline.llm import lang_ppm, line_templates, scaled_sketch, simhash_gray, stream_bpe, vector_packing
 from storyline.llm.common import read_table
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = lang_ppm.predict(docs, lang_ppm.train_on(docs), ["doc_id"])
+    return found.select("doc_id", lang_ppm.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gray.near_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -26,13 +32,25 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.drop_recurring(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.col("text").alias("kept_text"))
+
+
 def op8_stream_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_bpe.round_trip(read_table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
+def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_lang_ppm": op4_lang_ppm,
     "op5_simhash_gray": op5_simhash_gray,
     "op6_vector_packing": op6_vector_packing,
+    "op7_line_templates": op7_line_templates,
     "op8_stream_bpe": op8_stream_bpe,
+    "op9_scaled_sketch": op9_scaled_sketch,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_line_templates": line_templates.SQL}

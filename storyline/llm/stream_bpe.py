@@ -59,7 +59,7 @@ class Merges:
         self.tokens = {t for t in products if t in vocab}
         self.starts = {t[:n] for t in self.tokens for n in range(len(t))}
         self.id_bytes = {t: n.to_bytes(4, "little") for t, n in vocab.items()}
-        self.longest = max(map(len, self.tokens))
+        self.longest = max(map(len, self.tokens), default=1)
         self.lookahead = self.longest - 1
         self.parts = {a + b: (a, b) for a, b in reversed(merges)}
         self._apart: dict[tuple[bytes, bytes], bool] = {}
