@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm.common import slices, utf8
+from storyline.operators.skew import top_n_per_group
 
 ORDER = 3
 SYMBOLS = 64
@@ -159,13 +160,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train_on(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """A model of the languages of ``docs``, from at most ``rows`` texts of each.
 
-    Texts are taken by a hash of the id and of the text, the same at every run; each
-    task sends at most ``rows`` per language.
+    Texts are taken by a hash of the id and of the text, the same at every run. Counts
+    per language come first, so that each task sends only about as many texts as are
+    needed in all.
     """
-    from storyline.operators.skew import top_n_per_group
-
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    cut = labelled.select("lang", F.substring("text", 1, TRAIN_BYTES).alias("text"), F.xxhash64("doc_id", "text").alias("order"))
+    # one row per language
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    every = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (2 * rows)))])
+    chosen = F.xxhash64("doc_id", "text")
+    cut = labelled.where(F.pmod(chosen, every[F.col("lang")]) == 0).select(
+        "lang", F.substring("text", 1, TRAIN_BYTES).alias("text"), chosen.alias("order")
+    )
     taken = top_n_per_group(cut, ["lang"], [F.col("order"), F.col("text")], rows)
     return train([(r.lang, r.text) for r in taken.orderBy("lang", "order", "text").collect()])
 

@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import lang_ppm, line_templates, scaled_sketch, simhash_gray, stream_bpe, vector_packing
+from storyline.llm import lang_ppm, line_templates, scaled_sketch, simhash_gray, stream_bpe, suffix_family, vector_packing
 from storyline.llm.common import read_table
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_family.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = lang_ppm.predict(docs, lang_ppm.train_on(docs), ["doc_id"])
@@ -46,6 +54,7 @@ def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_suffix_family": op3_suffix_family,
     "op4_lang_ppm": op4_lang_ppm,
     "op5_simhash_gray": op5_simhash_gray,
     "op6_vector_packing": op6_vector_packing,
