@@ -6,13 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import lang_ppm, line_templates, scaled_sketch, simhash_gray, stream_bpe, suffix_family, vector_packing
+from storyline.llm import (
+    chat_windows, lang_ppm, line_templates, multi_index, scaled_sketch, secret_forest, simhash_gray, stream_bpe,
+    suffix_family, vector_packing,
+)
 from storyline.llm.common import read_table
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    tricky = spark.createDataFrame(
+        [(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
+    )
+    turns = read_table(spark, sf_dir, "conversations").select(*tricky.columns).unionByName(tricky)
+    return chat_windows.read_back(chat_windows.windows(turns, VOCABULARY))
+
+
 def op3_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_family.remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select(
@@ -53,7 +69,13 @@ def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(read_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 QUERIES = {
+    "op1_multi_index": op1_multi_index,
+    "op2_chat_windows": op2_chat_windows,
     "op3_suffix_family": op3_suffix_family,
     "op4_lang_ppm": op4_lang_ppm,
     "op5_simhash_gray": op5_simhash_gray,
@@ -61,5 +83,6 @@ QUERIES = {
     "op7_line_templates": op7_line_templates,
     "op8_stream_bpe": op8_stream_bpe,
     "op9_scaled_sketch": op9_scaled_sketch,
+    "op10_secret_forest": op10_secret_forest,
 }
 SQL: dict[str, str] = {"op7_line_templates": line_templates.SQL}
