@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 TEXT_ROWS = 500
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
