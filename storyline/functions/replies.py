@@ -29,12 +29,19 @@ def _field(key: str, kind: str) -> Column:
     return F.try_variant_get(F.col("_parsed"), f"$.{key}", kind)
 
 
+def _list_field(key: str) -> Column:
+    """A list of texts; a single text counts as a list of one."""
+    listed, one = _field(key, "array<string>"), _field(key, "string")
+    scalar = F.schema_of_variant(F.try_variant_get(F.col("_parsed"), f"$.{key}", "variant")) == "STRING"
+    return F.when(scalar, F.array(one)).otherwise(listed)
+
+
 def parse_reply(df: DataFrame, reply: str = "reply") -> DataFrame:
     """Add the enrichment columns and ``success``.
 
     Bad text and JSON that is no object give the failure record (empty lists,
     empty texts, false). A missing key gets its default; a key that is present
-    with null keeps null.
+    with null keeps null; a text in place of a list is a list of one.
     """
     keys = F.col("_keys")
     df = _with_object(df, strip_fence(F.col(reply)))
@@ -42,7 +49,7 @@ def parse_reply(df: DataFrame, reply: str = "reply") -> DataFrame:
     for name in REPLY_LISTS:
         empty = F.array().cast("array<string>")
         columns[name] = F.when(
-            F.array_contains(keys, name), _field(name, "array<string>")
+            F.array_contains(keys, name), _list_field(name)
         ).otherwise(empty)
     for name in REPLY_TEXTS:
         columns[name] = F.when(

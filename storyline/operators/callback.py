@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline import constants as C
+from storyline.session import materialize
 
 AsyncModel = Callable[[object, str], Awaitable[object]]
 
@@ -24,38 +25,62 @@ def call_model(
     result_type: str = "string",
     max_concurrency: int = C.MAX_CONCURRENCY,
     partitions: int | None = None,
+    error: str | None = None,
 ) -> DataFrame:
     """Keyed results of ``await model(client, item)`` for every row of ``df``.
 
-    One client per task and at most ``max_concurrency`` calls in flight in it;
+    One client and one event loop per task, so that a client may keep pools or
+    locks between batches, and at most ``max_concurrency`` calls in flight in it;
     the total in flight is that times the tasks running, which ``partitions``
     bounds. Items are taken from the Arrow batches as they come, so a task holds
-    one batch at a time. A call that fails gives null for its row only.
+    one batch at a time. A call that fails gives null for its row only; ``error``
+    names a column for what it said. A client with ``aclose`` or ``close`` is
+    closed in the end. Store the result if more than one action reads it: each
+    action calls the model again.
     """
     key_type = dict(df.dtypes)[key]
     rows = df.select(F.col(key), F.col(item).cast("string").alias("_item"))
     if partitions:
         rows = rows.repartition(partitions)
 
-    async def run(client, items: list[str]) -> list:
+    async def run(client, items: list[str]) -> list[tuple]:
         gate = asyncio.Semaphore(max_concurrency)
 
         async def one(text):
             async with gate:
                 try:
-                    return await model(client, text)
-                except Exception:
-                    return None
+                    return await model(client, text), None
+                except Exception as failure:
+                    return None, f"{type(failure).__name__}: {failure}"
 
         return await asyncio.gather(*[one(text) for text in items])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
-        for batch in batches:
-            replies = asyncio.run(run(client, batch["_item"].tolist()))
-            yield pd.DataFrame({key: batch[key], result: pd.Series(replies, dtype=object)})
+        with asyncio.Runner() as loop:
+            client = loop.run(_made(make_client))
+            try:
+                for batch in batches:
+                    answers = loop.run(run(client, batch["_item"].tolist()))
+                    found = {key: batch[key], result: pd.Series([a for a, _ in answers], dtype=object)}
+                    if error:
+                        found[error] = pd.Series([e for _, e in answers], dtype=object)
+                    yield pd.DataFrame(found)
+            finally:
+                loop.run(_closed(client))
 
-    return rows.mapInPandas(call, f"`{key}` {key_type}, `{result}` {result_type}")
+    schema = f"`{key}` {key_type}, `{result}` {result_type}"
+    return rows.mapInPandas(call, schema + (f", `{error}` string" if error else ""))
+
+
+async def _made(make_client: Callable[[], object]) -> object:
+    return make_client()
+
+
+async def _closed(client: object) -> None:
+    close = getattr(client, "aclose", None) or getattr(client, "close", None)
+    waiting = close() if close else None
+    if asyncio.iscoroutine(waiting):
+        await waiting
 
 
 def merge_results(articles: DataFrame, results: DataFrame, key: str) -> DataFrame:
@@ -81,4 +106,5 @@ def embed_titles(
     vectors = call_model(
         embeddable(articles, title), key, title, make_client, model, out, "array<float>", **options
     )
-    return merge_results(articles, vectors, key)
+    # stored, as every reading would ask (and pay) the model again
+    return merge_results(articles, materialize(vectors, "vectors"), key)

@@ -56,10 +56,15 @@ def bad_timestamps(df: DataFrame, text: str) -> DataFrame:
 
 
 def clean_articles(news: DataFrame, batch: Column, order_by: list[str] | None = None) -> DataFrame:
-    """Typed, stamped, first per (url, topic), with a dense id."""
-    order = order_by or ["publishedAt", "url", "topic"]
+    """Typed, stamped, first per (url, topic), with a dense id.
+
+    Rows equal in the given order are told apart by a hash of the whole row, so the
+    pick and the ids are the same at every run; rows of one hash are equal.
+    """
+    order = [*(order_by or ["publishedAt", "url", "topic"]), "_row"]
     typed = with_published(restamp(news, batch))
-    return dense_row_id(first_per_key(typed, ["url", "topic"], order), order)
+    typed = typed.withColumn("_row", F.xxhash64(F.to_json(F.struct(*typed.columns))))
+    return dense_row_id(first_per_key(typed, ["url", "topic"], order), order).drop("_row")
 
 
 def limit_or_all(df: DataFrame, n: int, order_by: str) -> DataFrame:

@@ -10,6 +10,7 @@ from storyline import constants as C
 from storyline.functions.text import list_text, words
 from storyline.functions.vectors import inner_product, l2_normalize, reciprocal_rank_fusion
 from storyline.operators.skew import HOT_GROUP_ROWS, broadcast_if_small, hot_names, rank_in_group
+from storyline.session import materialize
 
 MAX_TOPIC_WORDS = 100_000
 
@@ -90,6 +91,22 @@ def vector_relevance(
     return unit.select(key, *columns)
 
 
+def vector_relevance_rows(articles: DataFrame, key: str, vector: str, topics: DataFrame) -> DataFrame:
+    """(key, topic, importance): cosine of a model's vectors with every topic of a table.
+
+    ``topics`` is (topic, topic_vector), one row per topic; it travels as one value
+    inside the scan, so articles are neither joined nor shuffled.
+    """
+    listed = topics.select(
+        F.collect_list(F.struct("topic", l2_normalize(F.col("topic_vector")).alias("unit"))).alias("listed")
+    )
+    return (
+        articles.select(key, l2_normalize(F.col(vector)).alias("_unit"))
+        .withColumn("_topic", F.explode(listed.scalar()))
+        .select(key, "_topic.topic", inner_product(F.col("_unit"), F.col("_topic.unit")).alias("importance"))
+    )
+
+
 def articles_by_topic(articles: DataFrame, categories: str, topics: list[str]) -> DataFrame:
     """One row per article and matching topic; an article may be in several."""
     wanted = F.array(*[F.lit(t) for t in topics])
@@ -120,7 +137,11 @@ def fused_ranks(df: DataFrame, k: int = C.RRF_CONSTANT, hot_rows: int = HOT_GROU
     """Add importance, frequency and fused ranks within each topic."""
     hot = hot_names(df, "topic", hot_rows)
     df = rank_in_group(df, "topic", "importance", "importance_rank", hot_rows=hot_rows, hot=hot)
+    if hot:  # a rank of hot topics reads its input several times: store it, or reads multiply
+        df = materialize(df, "importance-rank")
     df = rank_in_group(df, "topic", "duplicate_count", "feq_rank", hot_rows=hot_rows, hot=hot)
+    if hot:
+        df = materialize(df, "frequency-rank")
     score = reciprocal_rank_fusion([F.col("importance_rank"), F.col("feq_rank")], k)
     df = df.withColumn("rrf_score", score)
     return rank_in_group(df, "topic", "rrf_score", "rrf_rank", hot_rows=hot_rows, hot=hot)

@@ -26,6 +26,8 @@ from storyline.session import materialize
 
 QUESTION_SLICE = 500
 SCAN_ROWS = 256
+#: The fields of one chunk that the model is shown, in this order.
+CONTEXT_FIELDS = ("source", "content", "publishedAt", "url", "topic", "sentiment", "repeated_count", "keywords")
 HITS = "question_id long, chunk_id long, score double"
 
 
@@ -219,10 +221,23 @@ def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     records = chunks.select("chunk_id", "text", "metadata").join(hits, "chunk_id").select(
         "question_id", "pos", context_record(F.col("text")).alias("record")
     )
-    listed = F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "record"))), lambda x: x["record"]
+    ordered = F.array_sort(F.collect_list(F.struct("pos", indented_json(F.col("record")).alias("json"))))
+    listed = F.array_join(F.transform(ordered, lambda x: x["json"]), ",\n")
+    return records.select("question_id", "pos", "record").groupBy("question_id").agg(
+        F.concat(F.lit("[\n"), listed, F.lit("\n]")).alias("context")
     )
-    return records.groupBy("question_id").agg(F.to_json(listed).alias("context"))
+
+
+def json_value(value: Column) -> Column:
+    """One value as JSON text."""
+    whole = F.to_json(F.struct(value.alias("v")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def indented_json(record: Column, fields: tuple[str, ...] = CONTEXT_FIELDS) -> Column:
+    """A flat record as a JSON object inside a list, two blanks per level, as the model reads it."""
+    lines = [F.concat(F.lit(f'    "{name}": '), json_value(record[name])) for name in fields]
+    return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *lines), F.lit("\n  }"))
 
 
 def user_prompt(question: Column, context: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,8 @@ def acquire(
     """
     from_date = (as_of - timedelta(days=C.FEED_WINDOW_DAYS)).strftime("%Y-%m-%d")
     fetched = materialize(feed.read_feed(spark, fetch, from_date=from_date, **options), "fetched")
-    stamp = F.lit(int(as_of.timestamp()))
+    known = as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
+    stamp = F.lit(int(known.timestamp()))
     articles = fetched.where(F.col("error").isNull()).drop("error")
     stamped = stamp_batch(articles, stamp, model_name, model_version).select(*ARTICLE.fieldNames())
     return stamped, fetched.where(F.col("error").isNotNull()).select("topic", "error")
@@ -43,7 +44,8 @@ def enrich(articles: DataFrame, make_client, model, **options) -> DataFrame:
     prompts = articles.select(
         "id", article_text(F.col("title"), F.col("description"), F.col("content")).alias("prompt")
     )
-    replies = callback.call_model(prompts, "id", "prompt", make_client, model, **options)
+    # stored, as every reading would ask (and pay) the model again
+    replies = materialize(callback.call_model(prompts, "id", "prompt", make_client, model, **options), "replies")
     return callback.merge_results(articles, parse_reply(replies).drop("reply"), "id")
 
 

@@ -14,7 +14,6 @@ from storyline.queries.base import (
 from storyline.session import scratch_path
 from storyline.sources import feed, tables
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value", "batch_query_time"]
 
 
@@ -31,12 +30,10 @@ def append_then_latest(spark, sf_dir):
     rows = events(spark, sf_dir).select(*EVENT_COLUMNS)
     path = scratch_path(spark, "append")
     middle = F.lit("2024-01-16").cast("timestamp")
-    early = F.col("batch_query_time") < F.unix_seconds(middle)
+    early = F.coalesce(F.col("batch_query_time") < F.unix_seconds(middle), F.lit(False))
     tables.write_batch(rows.where(early), path)
     tables.write_batch(rows.where(~early).select(*sorted(EVENT_COLUMNS)), path)
-    return tables.read_latest(spark, path).select(
-        *EVENT_COLUMNS[:-1], F.col("batch_query_time").cast("bigint").alias("batch_query_time")
-    )
+    return tables.read_latest(spark, path, rows.schema).select(*EVENT_COLUMNS)
 
 
 def overwrite_roundtrip(spark, sf_dir):
@@ -51,7 +48,8 @@ def batch_stamp_union(spark, sf_dir):
     """One frame per topic, two of them without the value column, stamped and united."""
     rows = events(spark, sf_dir).select("event_id", "event_type", "value")
     frames = []
-    for topic in EVENT_TYPES:
+    types = [r.event_type for r in rows.select("event_type").distinct().orderBy("event_type").collect()]  # a few names
+    for topic in types:
         frame = rows.where(F.col("event_type") == topic).drop("event_type")
         if topic in ("error", "signup"):
             frame = frame.drop("value")

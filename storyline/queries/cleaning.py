@@ -10,7 +10,7 @@ from storyline.operators import clean, profile
 from storyline.operators.callback import embeddable
 from storyline.operators.rank import articles_by_topic
 from storyline.operators.skew import first_per_key
-from storyline.queries.base import LANGUAGES, table
+from storyline.queries.base import table
 
 
 def timestamp_parse(spark, sf_dir):
@@ -115,7 +115,8 @@ def category_parse_parity(spark, sf_dir):
 
 def category_membership(spark, sf_dir):
     rows = _categorized(spark, sf_dir).withColumn("categories", X.parse_categories(F.col("categories")))
-    return articles_by_topic(rows, "categories", LANGUAGES).select("doc_id", "topic")
+    topics = [r.lang for r in table(spark, sf_dir, "documents").where("lang is not null").select("lang").distinct().collect()]
+    return articles_by_topic(rows, "categories", sorted(topics)).select("doc_id", "topic")
 
 
 QUERIES = {

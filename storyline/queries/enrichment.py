@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+
 from pyspark.sql import functions as F
 
 from storyline.functions import replies, vectors
@@ -13,7 +15,7 @@ from storyline.queries.base import ARTICLES_SQL, articles, stage, table, with_sq
 
 def _replies(spark, sf_dir):
     """One raw reply per article; by id plain, fenced, broken, a list, with missing
-    keys, or with explicit nulls."""
+    keys, with a text in place of a list, or with explicit nulls."""
     rows = articles(spark, sf_dir)
     full = F.to_json(
         F.struct(
@@ -24,13 +26,15 @@ def _replies(spark, sf_dir):
     )
     partial = F.to_json(F.struct("summary", F.array("topic").alias("categories")))
     nulls = F.concat(F.lit('{"categories": null, "headline": null, "summary": '), F.to_json(F.struct("summary")), F.lit("}"))
-    kind = F.col("id") % 6
+    scalar = F.to_json(F.struct(F.col("topic").alias("categories"), F.col("source.name").alias("keywords")))
+    kind = F.col("id") % 7
     reply = (
         F.when(kind == 0, full)
         .when(kind == 1, F.concat(F.lit("```json\n"), full, F.lit("```")))
         .when(kind == 2, F.concat(F.lit("Sorry: "), full))
         .when(kind == 3, F.concat(F.lit("["), full, F.lit("]")))
         .when(kind == 4, partial)
+        .when(kind == 5, scalar)
         .otherwise(nulls)
     )
     return rows.select("id", reply.alias("reply"))
@@ -66,20 +70,30 @@ def embedding_merge(spark, sf_dir):
     )
 
 
+class _Client:
+    """Bound to the loop of its first call, as clients with pools or locks are."""
+
+    def __init__(self):
+        self.gate = asyncio.Semaphore(2)
+        self.name = "reply"
+
+
 def _make_client():
-    return "reply"
+    return _Client()
 
 
 async def _word_model(client, text):
     """Stands for a remote model: fails on texts with a digit, else counts."""
-    if any(c in "0123456789" for c in text):
-        raise ValueError("refused")
-    return f"{client}: {len(text)}"
+    async with client.gate:
+        await asyncio.sleep(0)
+        if any(c in "0123456789" for c in text):
+            raise ValueError("refused")
+        return f"{client.name}: {len(text)}"
 
 
 def batch_model_callback(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return callback.call_model(docs, "doc_id", "text", _make_client, _word_model)
+    return callback.call_model(docs, "doc_id", "text", _make_client, _word_model, error="error")
 
 
 def sentiment_badge(spark, sf_dir):
@@ -127,16 +141,14 @@ def vector_near_edges(spark, sf_dir):
     return densejoin.threshold_edges(near, VECTOR_THRESHOLD).select("src", "dst", "pos")
 
 
-VECTOR_TOPICS = range(10)
-
-
 def topic_vector_relevance(spark, sf_dir):
     """Cosine of every vector with one topic vector per label, its first one."""
     rows = table(spark, sf_dir, "embeddings")
-    first = first_per_key(rows, ["label"], ["vec_id"]).where(F.col("label").isin(list(VECTOR_TOPICS)))
-    topics = {f"topic_{r['label']}": r["embedding"] for r in first.orderBy("label").collect()}
-    wide = rank.vector_relevance(rows, "vec_id", "embedding", topics)
-    return wide.select("vec_id", *[F.round(c, 6).alias(c) for c in wide.columns if c != "vec_id"])
+    topics = first_per_key(rows, ["label"], ["vec_id"]).select(
+        F.col("label").alias("topic"), F.col("embedding").alias("topic_vector")
+    )
+    found = rank.vector_relevance_rows(rows, "vec_id", "embedding", topics)
+    return found.select("vec_id", F.col("topic").alias("label"), F.round("importance", 6).alias("importance"))
 
 
 QUERIES = {
@@ -155,7 +167,7 @@ QUERIES = {
 }
 
 _REPLIES = with_sql(ARTICLES_SQL) + r""", raw AS (
-  SELECT id, id % 6 AS kind,
+  SELECT id, id % 7 AS kind, json_object('categories', topic, 'keywords', source)::VARCHAR AS scalar,
          json_object('categories', [topic], 'summary', summary, 'keywords', [topic, source],
                      'key_entities', [source], 'sentiment', sentiment, 'headline', headline)::VARCHAR AS whole,
          json_object('summary', summary, 'categories', [topic])::VARCHAR AS part,
@@ -163,7 +175,7 @@ _REPLIES = with_sql(ARTICLES_SQL) + r""", raw AS (
   FROM art),
 rep AS (
   SELECT id, CASE kind WHEN 0 THEN whole WHEN 1 THEN '```json' || chr(10) || whole || '```'
-         WHEN 2 THEN 'Sorry: ' || whole WHEN 3 THEN '[' || whole || ']' WHEN 4 THEN part ELSE nulls END AS reply
+         WHEN 2 THEN 'Sorry: ' || whole WHEN 3 THEN '[' || whole || ']' WHEN 4 THEN part WHEN 5 THEN scalar ELSE nulls END AS reply
   FROM raw),
 body AS (
   SELECT id, regexp_replace(regexp_replace(reply, '^[`json]+', ''), '`+$', '') AS body FROM rep),
@@ -178,6 +190,7 @@ parsed AS (
 def _list(name: str) -> str:
     return (
         f"CASE WHEN NOT list_contains(keys, '{name}') THEN '' "
+        f"WHEN json_type(j->'$.{name}') = 'VARCHAR' THEN j->>'$.{name}' "
         f"ELSE array_to_string(CAST(j->'$.{name}' AS VARCHAR[]), '|') END"
     )
 
@@ -198,7 +211,8 @@ SELECT count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS
     "embedding_merge": """
 SELECT d.doc_id, d.lang, len(e.embedding) AS dims FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     "batch_model_callback": """
-SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'reply: ' || length(text) END AS reply FROM documents""",
+SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'reply: ' || length(text) END AS reply,
+       CASE WHEN regexp_matches(text, '[0-9]') THEN 'ValueError: refused' END AS error FROM documents""",
     "sentiment_badge": """
 SELECT d.doc_id, CASE l.quality WHEN 1 THEN '😀 Positive' WHEN 0 THEN '😟 Negative' ELSE '😐 Mixed view' END AS badge
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
@@ -228,7 +242,4 @@ WITH v AS (
   SELECT vec_id, label, list_transform(embedding::DOUBLE[],
          lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS vec FROM embeddings),
 t AS (SELECT label, arg_min(vec, vec_id) AS vec FROM v GROUP BY label)
-SELECT v.vec_id, """ + ", ".join(
-    f"round(max(list_inner_product(v.vec, t.vec)) FILTER (t.label = {i}), 6) AS topic_{i}_importance"
-    for i in VECTOR_TOPICS
-) + " FROM v CROSS JOIN t GROUP BY v.vec_id"
+SELECT v.vec_id, t.label, round(list_inner_product(v.vec, t.vec), 6) AS importance FROM v CROSS JOIN t"""

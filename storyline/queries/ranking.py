@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.functions import text as X
@@ -123,11 +126,9 @@ def rrf_rank(spark, sf_dir):
 def topic_union(spark, sf_dir):
     """The ranked frames of all topics united again."""
     rows = ranked(spark, sf_dir).select(F.col("id").alias("doc_id"), "topic", "rrf_rank")
-    frames = [rows.where(F.col("topic") == t) for t in LANGUAGES]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    topics = [r.topic for r in rows.select("topic").distinct().orderBy("topic").collect()]  # a few names
+    frames = [rows.where(F.col("topic").eqNullSafe(F.lit(t))) for t in topics]
+    return functools.reduce(DataFrame.unionByName, frames, rows.limit(0))
 
 
 def top15_with_ties(spark, sf_dir):

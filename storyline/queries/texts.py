@@ -160,15 +160,24 @@ def context_json(spark, sf_dir):
     return stage(spark, sf_dir, "contexts", _context)
 
 
+def _asked_rephrased(spark, sf_dir):
+    rephrased = questions(spark, sf_dir).withColumn("rephrased", retrieve.rephrase(F.col("question")))
+    return textindex.vectorize(rephrased, "rephrased")
+
+
+def _prompt_context(spark, sf_dir):
+    hits = retrieve.dense_top_k(chunks(spark, sf_dir), stage(spark, sf_dir, "asked-rephrased", _asked_rephrased))
+    return retrieve.contexts(hits, chunks(spark, sf_dir))
+
+
 def prompt_assemble(spark, sf_dir):
-    """The message rows of every question, filled with its context."""
+    """The message rows of every question, with what its rephrased form finds."""
     prompts = (
-        questions(spark, sf_dir)
-        .withColumn("rephrased", retrieve.rephrase(F.col("question")))
-        .join(context_json(spark, sf_dir), "question_id")
-        .withColumn("prompt", retrieve.user_prompt(F.col("rephrased"), F.col("context")))
+        stage(spark, sf_dir, "asked-rephrased", _asked_rephrased)
+        .join(_prompt_context(spark, sf_dir), "question_id", "left")
+        .withColumn("prompt", retrieve.user_prompt(F.col("rephrased"), F.coalesce("context", F.lit("[]"))))
     )
-    return message_list(prompts, F.lit(SYSTEM_TEXT))
+    return message_list(prompts.select("question_id", "question", "rephrased", "prompt"), F.lit(SYSTEM_TEXT))
 
 
 QUERIES = {
