@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,16 @@ from storyline.functions.text import document_text, first_line, words
 from storyline.functions.times import zone_text
 from storyline.functions.vectors import inner_product
 from storyline.operators.blocks import entry_rows
+from storyline.operators.skew import dense_row_id
 from storyline.schemas import CHUNK_METADATA
 
-BLANKS = "[ \t\n\r\f]+"
-SENTENCE = r"([^.!?\n]*[.!?]+|[^.!?\n]+)"
+BLANK = r" \t\n\r\f"
+# a word with the white space behind it
+WORD = rf"[^{BLANK}]+[{BLANK}]*"
+# a sentence ends with a mark before white space or the end, or before a line break
+SENTENCE = rf"[^{BLANK}](?s:.*?)(?:(?<=[.!?])(?=[{BLANK}]|\z)|(?=\n)|\z)[{BLANK}]*"
 DENSE_DIMS = 64
 IDF_UNIT = 1_000_000
-CHUNK_BITS = 20
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -38,14 +42,13 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def _split_words(text: Column) -> Column:
-    return F.filter(F.split(text, BLANKS), lambda w: w != "")
+    """The words, each with the white space behind it, so that nothing is lost."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _chunk_id() -> Column:
-    """Document id and chunk number in one sortable key."""
-    return F.shiftleft(F.col("id").cast("bigint"), CHUNK_BITS).bitwiseOR(
-        F.col("chunk_no").cast("bigint")
-    )
+def _joined(words: Column) -> Column:
+    """The stretch of text that consecutive words cover."""
+    return F.rtrim(F.array_join(words, ""), F.lit(" \t\n\r\f"))
 
 
 def chunk_sliding(
@@ -54,7 +57,8 @@ def chunk_sliding(
     """Windows of ``size`` words, ``overlap`` of them shared with the next window.
 
     A row-local expression: no shuffle and no Python. ``df`` needs ``id`` and
-    ``text``; other columns are carried along.
+    ``text``; other columns are carried along. Each chunk is a stretch of its text
+    as it stands; (id, chunk_no) names it.
     """
     others = [c for c in df.columns if c != "text"]
     last = F.greatest(F.size("_words") - F.lit(overlap + 1), F.lit(0))
@@ -66,18 +70,18 @@ def chunk_sliding(
         .where(F.col("_start").isNotNull())
         .withColumn("_part", F.slice("_words", F.col("_start") + 1, F.lit(size)))
         .select(
-            _chunk_id().alias("chunk_id"), *others,
+            *others,
             F.col("chunk_no").cast("bigint").alias("chunk_no"),
             F.size("_part").cast("bigint").alias("n_words"),
-            F.array_join("_part", " ").alias("text"),
+            _joined(F.col("_part")).alias("text"),
         )
     )
 
 
 def _sentence_units(text: Column, longest: int) -> Column:
     """Words of each sentence; a sentence beyond ``longest`` words is cut into runs."""
-    sentences = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1))
-    listed = F.filter(F.transform(sentences, _split_words), lambda ws: F.size(ws) > 0)
+    sentences = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    listed = F.transform(sentences, _split_words)
 
     def runs(ws: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(ws), F.lit(longest))
@@ -133,7 +137,8 @@ def chunk_sentences(
     df: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP
 ) -> DataFrame:
     """Chunks of whole sentences, at most ``size`` words, closing sentences repeated
-    up to ``overlap`` words. Folded inside each row over sentence lengths only."""
+    up to ``overlap`` words. Folded inside each row over sentence lengths only. Each
+    chunk is a stretch of its text as it stands; (id, chunk_no) names it."""
     others = [c for c in df.columns if c != "text"]
     return (
         df.withColumn("_units", _sentence_units(F.col("text"), size - overlap))
@@ -147,10 +152,10 @@ def chunk_sentences(
             F.flatten(F.slice("_units", F.col("_span.first"), F.col("_span.last") - F.col("_span.first") + 1)),
         )
         .select(
-            _chunk_id().alias("chunk_id"), *others,
+            *others,
             F.col("chunk_no").cast("bigint").alias("chunk_no"),
             F.size("_part").cast("bigint").alias("n_words"),
-            F.array_join("_part", " ").alias("text"),
+            _joined(F.col("_part")).alias("text"),
         )
     )
 
@@ -251,18 +256,23 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
                 overlap: int = C.CHUNK_OVERLAP, dims: int = DENSE_DIMS) -> DataFrame:
     """Write the chunk table (by topic) and the word-frequency table below ``path``.
 
-    ``docs`` has id, text, topic and may carry more columns. Returns one row of
-    run facts, counted while the chunks were written.
+    ``docs`` has id, text, topic and may carry more columns. Chunks get consecutive
+    numbers in the order of (id, chunk_no), so ids of any size stay apart. Returns
+    one row of run facts, counted while the chunks were written.
     """
     spark = docs.sparkSession
     seen = Observation()
-    chunks = vectorize(chunk_sentences(docs, size, overlap), dims=dims)
+    titled = docs if "title" in docs.columns else with_title(docs)
+    cut = dense_row_id(chunk_sentences(titled, size, overlap), ["id", "chunk_no"], "chunk_id")
+    chunks = vectorize(cut, dims=dims)
     chunks = chunks.observe(
         seen,
         F.count(F.lit(1)).alias("num_chunks"),
         F.count_if(F.col("chunk_no") == 0).alias("num_docs"),
     )
     chunks.write.partitionBy("topic").parquet(f"{path}/chunks")
+    # the reader's schema, as topics such as 2024 would be read as numbers
+    spark.createDataFrame([(chunks.schema.json(),)], "schema string").coalesce(1).write.parquet(f"{path}/schema")
     stored = read_chunks(spark, path)
     document_frequency(stored).write.parquet(f"{path}/frequencies")
     facts = seen.get
@@ -274,7 +284,8 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/chunks")
+    noted = spark.read.schema("schema string").parquet(f"{path}/schema").first()["schema"]
+    return spark.read.schema(T.StructType.fromJson(json.loads(noted))).parquet(f"{path}/chunks")
 
 
 def read_frequencies(spark: SparkSession, path: str) -> DataFrame:

@@ -118,11 +118,10 @@ def question_rephrase(spark, sf_dir):
     )
 
 
-def _hits(df):
-    return df.select(
-        "question_id", F.shiftright("chunk_id", textindex.CHUNK_BITS).alias("doc_id"),
-        F.col("chunk_id").bitwiseAND(F.lit((1 << textindex.CHUNK_BITS) - 1)).alias("chunk_no"),
-        "pos", F.round("score", 6).alias("score"),
+def _hits(df, chunks):
+    named = chunks.select("chunk_id", F.col("id").alias("doc_id"), "chunk_no")
+    return df.join(named, "chunk_id").select(
+        "question_id", "doc_id", "chunk_no", "pos", F.round("score", 6).alias("score"),
     )
 
 
@@ -137,19 +136,21 @@ def _sparse(spark, sf_dir):
 
 
 def dense_retrieve_topk(spark, sf_dir):
-    return _hits(_dense(spark, sf_dir))
+    return _hits(_dense(spark, sf_dir), chunks(spark, sf_dir))
 
 
 def dense_retrieve_filtered(spark, sf_dir):
-    return _hits(retrieve.dense_top_k(chunks(spark, sf_dir), asked(spark, sf_dir), category="category"))
+    found = retrieve.dense_top_k(chunks(spark, sf_dir), asked(spark, sf_dir), category="category")
+    return _hits(found, chunks(spark, sf_dir))
 
 
 def sparse_retrieve_topk(spark, sf_dir):
-    return _hits(_sparse(spark, sf_dir))
+    return _hits(_sparse(spark, sf_dir), chunks(spark, sf_dir))
 
 
 def hybrid_rrf(spark, sf_dir):
-    return _hits(retrieve.hybrid_top_k(_dense(spark, sf_dir), _sparse(spark, sf_dir)))
+    found = retrieve.hybrid_top_k(_dense(spark, sf_dir), _sparse(spark, sf_dir))
+    return _hits(found, chunks(spark, sf_dir))
 
 
 def _context(spark, sf_dir):
@@ -200,15 +201,16 @@ QUERIES = {
 # Sentence packing: from unit lengths summed up, the next chunk's bounds follow
 # from the last one's, so a recursive walk per document gives the same chunks.
 PACKED_SQL = r"""
-sentences AS (
-  SELECT id, text, list_filter(list_transform(
-           regexp_extract_all(text, '[^.!?\n]*[.!?]+|[^.!?\n]+'),
-           lambda s: list_filter(string_split_regex(s, '[ \t\n\r\f]+'), lambda t: t <> '')), lambda ws: len(ws) > 0) AS ss
-  FROM source_text),
-units AS (
-  SELECT id, flatten(list_transform(ss, lambda ws: list_transform(range(0, len(ws), 462),
-           lambda s: ws[s + 1 : s + 462]))) AS us FROM sentences),
-one AS (SELECT id, unnest(range(1, len(us) + 1)) AS i, unnest(us) AS ws FROM units),
+words AS (
+  SELECT id, unnest(range(1, len(ws) + 1)) AS w, unnest(ws) AS word
+  FROM (SELECT id, regexp_extract_all(text, '[^ \t\n\r\f]+[ \t\n\r\f]*') AS ws FROM source_text)),
+marked AS (
+  SELECT *, coalesce(sum((regexp_matches(word, '[.!?][ \t\n\r\f]*$') OR contains(word, chr(10)))::INT)
+           OVER (PARTITION BY id ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM words),
+sentences AS (SELECT id, s, list(word ORDER BY w) AS ws FROM marked GROUP BY id, s),
+one AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY s, part) AS i, ws[part + 1 : part + 462] AS ws
+  FROM (SELECT id, s, ws, unnest(range(0, len(ws), 462)) AS part FROM sentences)),
 cum AS (SELECT id, i, ws, sum(len(ws)) OVER (PARTITION BY id ORDER BY i)::BIGINT AS upto, len(ws) AS n FROM one),
 pack(id, chunk_no, first_unit, last_unit) AS (
   SELECT id, 0::BIGINT, 1::BIGINT, max(i) FILTER (upto <= 512) FROM cum GROUP BY id
@@ -225,7 +227,7 @@ pack(id, chunk_no, first_unit, last_unit) AS (
     GROUP BY p.id, p.chunk_no) nxt),
 chunk AS (
   SELECT p.id, p.chunk_no, sum(c.n)::BIGINT AS n_words,
-         string_agg(array_to_string(c.ws, ' '), ' ' ORDER BY c.i) AS text
+         rtrim(string_agg(array_to_string(c.ws, ''), '' ORDER BY c.i), ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS text
   FROM pack p JOIN cum c ON c.id = p.id AND c.i BETWEEN p.first_unit AND p.last_unit
   GROUP BY p.id, p.chunk_no)"""
 
@@ -303,14 +305,19 @@ questions AS (
 
 CONTEXT_SQL = """
 context AS (
-  SELECT s.question_id, '[' || string_agg(json_object(
-           'source', a.source, 'content', c.text,
-           'publishedAt', coalesce(strftime(a.published_at, '%Y-%m-%d %H:%M:%S') || ' +0000', ''),
-           'url', coalesce(a.url, ''), 'topic', a.topic, 'sentiment', a.sentiment,
-           'repeated_count', 1, 'keywords', coalesce(a.keywords, ''))::VARCHAR, ',' ORDER BY s.pos) || ']' AS context
+  SELECT s.question_id, '[' || chr(10) || string_agg('  {' || chr(10) || array_to_string([
+           '    "source": ' || to_json(a.source)::VARCHAR, '    "content": ' || to_json(c.text)::VARCHAR,
+           '    "publishedAt": ' || to_json(coalesce(strftime(a.published_at, '%Y-%m-%d %H:%M:%S') || ' +0000', ''))::VARCHAR,
+           '    "url": ' || to_json(coalesce(a.url, ''))::VARCHAR, '    "topic": ' || to_json(a.topic)::VARCHAR,
+           '    "sentiment": ' || to_json(a.sentiment)::VARCHAR, '    "repeated_count": 1',
+           '    "keywords": ' || to_json(coalesce(a.keywords, ''))::VARCHAR], ',' || chr(10)) || chr(10) || '  }',
+           ',' || chr(10) ORDER BY s.pos) || chr(10) || ']' AS context
   FROM sparse s JOIN chunk c ON c.id = s.id AND c.chunk_no = s.chunk_no JOIN art a ON a.id = s.id
   GROUP BY s.question_id)"""
 
+ASKED_REPHRASED_SQL = ASKED_SQL.replace("item_id", "question_id").replace("lower(text)", "lower(rephrased)").replace(
+    "FROM benchmark", "FROM questions").replace("question_id AS question_id", "question_id")
+
 _SPARSE = _with(*_INDEXED, SPARSE_SQL, ASKED_SQL, SPARSE_HITS_SQL)
 _DENSE = _with(*_INDEXED, SPARSE_SQL, ASKED_SQL, DENSE_SQL)
 _CONTEXT = (*_INDEXED, SPARSE_SQL, ASKED_SQL, SPARSE_HITS_SQL, CONTEXT_SQL)
@@ -318,11 +325,11 @@ _CONTEXT = (*_INDEXED, SPARSE_SQL, ASKED_SQL, SPARSE_HITS_SQL, CONTEXT_SQL)
 SQL = {
     "chunk_sliding": r"""
 WITH t AS (
-  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda w: w <> '') AS ws FROM documents),
+  SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f]+[ \t\n\r\f]*') AS ws FROM documents),
 s AS (
   SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 51, 0) + 1, 462)) AS start FROM t WHERE len(ws) > 0)
 SELECT doc_id, start // 462 AS chunk_no, len(ws[start + 1 : start + 512]) AS n_words,
-       md5(array_to_string(ws[start + 1 : start + 512], ' ')) AS text_md5
+       md5(rtrim(array_to_string(ws[start + 1 : start + 512], ''), ' ' || chr(9) || chr(10) || chr(13) || chr(12))) AS text_md5
 FROM s""",
     "chunk_sentences": _with(_RAW, PACKED_SQL)
     + "SELECT id AS doc_id, chunk_no, n_words, md5(text) AS text_md5 FROM chunk",
@@ -364,11 +371,13 @@ SELECT question_id, id AS doc_id, chunk_no, pos, round(score, 6) AS score FROM (
     FROM dense d FULL JOIN sparse s USING (question_id, id, chunk_no)))
 WHERE pos <= 7""",
     "context_json": _with(*_CONTEXT) + "SELECT question_id, context FROM context",
-    "prompt_assemble": _with(*_CONTEXT, _REPHRASED_SQL) + f"""
-SELECT question_id, 0 AS part, 1 AS position, 'system' AS role, '{SYSTEM_TEXT}' AS content
-FROM questions JOIN context USING (question_id)
-UNION ALL SELECT question_id, 2, 1, 'user', question FROM questions JOIN context USING (question_id)
-UNION ALL SELECT question_id, 2, 2, 'user', rephrased FROM questions JOIN context USING (question_id)
+    "prompt_assemble": _with(
+        *_INDEXED, SPARSE_SQL, _REPHRASED_SQL, ASKED_REPHRASED_SQL, DENSE_SQL, CONTEXT_SQL.replace("FROM sparse s", "FROM dense s")
+    ) + f"""
+SELECT question_id, 0 AS part, 1 AS position, 'system' AS role, '{SYSTEM_TEXT}' AS content FROM questions
+UNION ALL SELECT question_id, 2, 1, 'user', question FROM questions
+UNION ALL SELECT question_id, 2, 2, 'user', rephrased FROM questions
 UNION ALL SELECT question_id, 3, 1, 'user', chr(10) || '**User Question:** ' || rephrased || chr(10) || chr(10)
-  || '**Context (Articles):**' || chr(10) || context || chr(10) FROM questions JOIN context USING (question_id)""",
+  || '**Context (Articles):**' || chr(10) || coalesce(context, '[]') || chr(10)
+FROM questions LEFT JOIN context USING (question_id)""",
 }

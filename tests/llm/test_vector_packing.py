@@ -76,3 +76,12 @@ def test_documents(spark):
             end += length
         assert end <= 2048
     assert V.pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_ids_equal_the_library():
+    from test_stream_bpe import odd_texts
+
+    library, coder = Tokenizer.from_file(PATH), V.library_encoder(PATH)
+    assert coder.ranked is not None
+    for text in odd_texts():
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]

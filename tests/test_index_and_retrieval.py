@@ -10,10 +10,13 @@ from storyline.plans import stages
 
 
 def brute_pack(text, size, overlap):
-    units = []
-    for sentence in re.findall(r"[^.!?\n]*[.!?]+|[^.!?\n]+", text):
-        words = sentence.split()
-        units += [words[i : i + size - overlap] for i in range(0, len(words), size - overlap)]
+    units, sentence = [], []
+    words = re.findall(r"[^ \t\n\r\f]+[ \t\n\r\f]*", text)
+    for n, word in enumerate(words):
+        sentence.append(word)
+        if n + 1 == len(words) or "\n" in word or word.rstrip(" \t\r\f")[-1] in ".!?":
+            units += [sentence[i : i + size - overlap] for i in range(0, len(sentence), size - overlap)]
+            sentence = []
     chunks, first, held = [], 0, 0
     for i, unit in enumerate(units):
         if held + len(unit) > size:
@@ -25,7 +28,7 @@ def brute_pack(text, size, overlap):
         held += len(unit)
     if units:
         chunks.append((first, len(units) - 1))
-    return [" ".join(w for u in units[a : b + 1] for w in u) for a, b in chunks]
+    return ["".join(w for u in units[a : b + 1] for w in u).rstrip(" \t\n\r\f") for a, b in chunks]
 
 
 def random_text(rng, n):
@@ -49,6 +52,33 @@ def test_sentence_chunks_equal_a_plain_walk(spark, size, overlap):
     assert got == {i: c for i, c in want.items() if c}
 
 
+def test_chunks_are_stretches_of_their_text(spark):
+    rng = random.Random(4)
+    pieces = ["Version 3.14", "of example.com", "costs U.S. $5.20!", "é", "\n\n", "  ", "\t", "What?", "a.b.c", "...", "x"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", "  \n"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    for chunks in (textindex.chunk_sentences(df, 12, 4), textindex.chunk_sliding(df, 12, 4)):
+        words = Counter()
+        for r in chunks.collect():
+            assert r["text"] in texts[r["id"]] and len(r["text"].split()) == r["n_words"] <= 12
+            words[r["id"]] += r["n_words"]
+        assert all(words[i] >= len(t.split()) for i, t in enumerate(texts))
+    plain = textindex.chunk_sentences(spark.createDataFrame([(1, "Version 3.14 of example.com costs U.S. $5.20")], "id bigint, text string"))
+    assert plain.first()["text"] == "Version 3.14 of example.com costs U.S. $5.20"
+
+
+def test_large_ids_and_number_like_topics_stay_apart(spark, tmp_path):
+    rows = [(5, "2024", "one two"), (17592186044421, "2025", "one two"), (2**62, "2024", "three"), (-3, "007", "one")]
+    textindex.build_index(spark.createDataFrame(rows, "id bigint, topic string, text string"), str(tmp_path / "i-v1"))
+    chunks = textindex.read_chunks(spark, str(tmp_path / "i-v1"))
+    assert chunks.select("chunk_id").distinct().count() == 4
+    assert {r["topic"] for r in chunks.collect()} == {"2024", "2025", "007"}
+    assert {r["title"] for r in chunks.collect()} == {"one two", "three", "one"}
+    asked = textindex.vectorize(spark.createDataFrame([(1, "one two", "2025")], "question_id bigint, text string, category string"))
+    found = retrieve.dense_top_k(chunks, asked, 3, "category").join(chunks, "chunk_id").collect()
+    assert [r["id"] for r in found] == [17592186044421]
+
+
 def test_sliding_windows_cover_every_word_once_more_than_the_overlap(spark):
     df = spark.createDataFrame([(n, " ".join(str(i) for i in range(n))) for n in range(0, 40)], "id bigint, text string")
     chunks = {}
@@ -89,7 +119,7 @@ def index(spark, tmp_path_factory):
 
 
 def brute_hits(docs, asked, score, k, filtered):
-    result = set()
+    result, number = set(), {i: n for n, i in enumerate(sorted(d[0] for d in docs))}
     for q, text, category in asked:
         scored = []
         for i, topic, body in docs:
@@ -97,7 +127,7 @@ def brute_hits(docs, asked, score, k, filtered):
                 continue
             value = score(text, body)
             if value is not None:
-                scored.append((-value, i << textindex.CHUNK_BITS))
+                scored.append((-value, number[i]))
         result |= {(q, c, pos) for pos, (_, c) in enumerate(sorted(scored)[:k], 1)}
     return result
 
@@ -155,7 +185,7 @@ def test_vectors_of_a_model_replace_the_offline_ones(spark, index):
     chunks = textindex.attach_vectors(chunks, given)
     asked = spark.createDataFrame([(1, [0.0, 1.0], 1.0)], "question_id bigint, dense array<float>, norm2 double")
     got = retrieve.dense_top_k(chunks, asked, 2).orderBy("pos").collect()
-    assert [(r["chunk_id"], r["pos"]) for r in got] == [(0, 1), (1 << textindex.CHUNK_BITS, 2)]
+    assert [(r["chunk_id"], r["pos"]) for r in got] == [(0, 1), (1, 2)]
 
 
 def test_hybrid_prefers_chunks_in_both_lists(spark):
@@ -183,4 +213,4 @@ def test_prompts_of_accepted_questions_only(spark, index):
     assert got[-2]["content"].startswith("What are the recent developments")
     prompt = got[4]["content"]
     assert prompt.startswith("\n**User Question:** " + docs[7][2])
-    assert prompt.count('"source":"s"') == 7 and '"url":""' in prompt and '"repeated_count":2' in prompt
+    assert prompt.count('    "source": "s",\n') == 7 and '    "url": "",' in prompt and '    "repeated_count": 2,' in prompt

@@ -122,6 +122,43 @@ def test_calls_are_bounded_and_failures_are_nulls(spark):
     assert max(peaks) == 4
 
 
+class LoopBound:
+    """A client whose lock belongs to the loop it was made in."""
+
+    def __init__(self):
+        import asyncio
+
+        self.gate, self.loop, self.closed = asyncio.Semaphore(2), asyncio.get_running_loop(), False
+
+    async def aclose(self):
+        assert not self.closed
+        self.closed = True
+
+
+async def loop_bound_model(client, text):
+    import asyncio
+
+    async with client.gate:
+        await asyncio.sleep(0)
+        if asyncio.get_running_loop() is not client.loop:
+            raise RuntimeError("another loop")
+        if text == "bad":
+            raise ValueError("no")
+        return text
+
+
+def test_a_client_keeps_its_loop_over_all_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([(i, "bad" if i % 10 == 3 else f"t{i}") for i in range(60)], "id bigint, text string")
+        got = callback.call_model(df, "id", "text", LoopBound, loop_bound_model, partitions=2, error="error").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["id"], r["reply"], r["error"]) for r in got} == {
+        (i, None, "ValueError: no") if i % 10 == 3 else (i, f"t{i}", None) for i in range(60)
+    }
+
+
 async def title_vector(client, title):
     return [float(len(title)), 1.0]
 
@@ -212,7 +249,7 @@ def test_every_stage_from_feed_to_prompt(spark, tmp_path):
         [(1, "a concert", True, "music")], "question_id bigint, question string, intention boolean, category string"
     )
     prompt = stages.answer_prompts(asked, index, F.lit("sys")).where("part = 3").first()["content"]
-    assert '"topic":"music"' in prompt and '"topic":"sports"' not in prompt
+    assert '"topic": "music"' in prompt and '"topic": "sports"' not in prompt
 
 
 def test_chat_rows(spark):

@@ -45,6 +45,11 @@ def test_missing_key_has_default_but_null_stays_null(spark):
     assert row["headline"] == "" and row["keywords"] == []
 
 
+def test_a_text_in_place_of_a_list_is_a_list_of_one(spark):
+    got = parsed(spark, '{"categories": "sports", "keywords": ["a", "b"], "key_entities": null}')
+    assert (got["categories"], got["keywords"], got["key_entities"]) == (["sports"], ["a", "b"], None)
+
+
 def test_intents(spark):
     cases = {
         '{"intention": true, "category": "music"}': (True, "music"),

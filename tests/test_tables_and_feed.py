@@ -178,6 +178,27 @@ def test_stream_ingest_appends_batches_once(spark, tmp_path):
     assert rows(tables.read_latest(spark, table), "title", "query") == [("three", "Australian music")]
 
 
+def test_stream_ingest_keeps_bad_lines_and_stamps(spark, tmp_path):
+    landing, table, check = (str(tmp_path / n) for n in ("in", "table", "check"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"title": "one"}\n{broken\n')
+    ingest_landing(spark, landing, table, check, "music", "m", "v", 100).awaitTermination()
+    assert rows(spark.read.parquet(table), "title", "batch_query_time") == [("one", 100)]
+    assert rows(spark.read.parquet(f"{table}-corrupt"), "_corrupt_record", "batch_query_time") == [("{broken", 100)]
+    # the commit of the batch is lost, and the run that repeats it begins at another time
+    (tmp_path / "check" / "commits" / "0").unlink()
+    (tmp_path / "check" / "commits" / ".0.crc").unlink(missing_ok=True)
+    ingest_landing(spark, landing, table, check, "music", "m", "v", 999).awaitTermination()
+    assert rows(spark.read.parquet(table), "title", "batch_query_time") == [("one", 100)]
+
+
+def test_clean_articles_picks_the_same_of_tied_rows(spark):
+    data = [("u", "t", "2024-01-01T00:00:00Z", title, 1) for title in "abcdefgh"] + [(None, "t", "2024-01-01T00:00:00Z", "z", 1)]
+    frame = spark.createDataFrame(data, "url string, topic string, publishedAt string, title string, batch_query_time bigint")
+    picks = {tuple(rows(clean.clean_articles(frame.repartition(n), F.lit(2)), "id", "title")) for n in (1, 3, 7)}
+    assert len(picks) == 1
+
+
 class Settings:
     def __init__(self, value):
         self.value = value
