@@ -39,6 +39,7 @@ MEMO_CHARS = 64
 MEMO_STATES = 300_000
 MEMO_PAIRS = 1_000_000
 BLOCK_CHARS = 1 << 16
+BEFORE_BLANK = regex.compile("(?= )")
 
 
 def byte_letters() -> dict[str, int]:
@@ -289,8 +290,9 @@ class TextEncoder:
                 yield self.merges.special[part].to_bytes(4, "little")
                 continue
             for block in self._blocks(part):
-                first, *rest = block.split(" ")
-                pieces = [first, *[" " + word for word in rest]] if first else [" " + word for word in rest]
+                pieces = block.replace(" ", "\0 ").split("\0") if "\0" not in block else BEFORE_BLANK.split(block)
+                if not pieces[0]:
+                    del pieces[0]
                 if self.gap_run.search(block) or block[-1:] == " ":
                     pieces = self._joined(pieces)
                 memo, piece = self.memo.get, self._piece

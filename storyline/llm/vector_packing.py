@@ -13,20 +13,24 @@ part-filled, and these are cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from storyline.llm.stream_bpe import Merges, TextEncoder
+from storyline.llm.stream_bpe import SPLIT_PATTERN, Merges, TextEncoder
 
 POOL_TOKENS = 1 << 21
 END_ID = 1
+#: Characters below are the same letters, digits and marks to both libraries.
+LATIN_END = "\u0250"
 
 
 @dataclass(frozen=True)
@@ -38,15 +42,27 @@ class Limits:
 
 
 class LibraryEncoder(TextEncoder):
-    """Ids of the tokenizers library; pieces seen before come from a bounded memo."""
+    """Ids of the tokenizers library; pieces seen before come from a bounded memo.
+
+    New pieces of Latin letters go through the same merges by ranks, which is several
+    times faster for one short piece; all others through the library itself.
+    """
 
     def __init__(self, path: str):
         super().__init__(Merges({}, [], {}))
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        merges = Merges.from_file(path)
+        order = [merges.ids.get(a + b, -1) for a, b in merges.rank]
+        # ranks say the same as the merge list if merges make their ids in order
+        by_rank = order == sorted(order) and min(order) >= 256 and sorted(merges.ids.values()) == list(range(len(merges.ids)))
+        self.ranked = tiktoken.Encoding("ranked", pat_str=SPLIT_PATTERN, mergeable_ranks=merges.ids, special_tokens={}) if by_rank else None
+        self.special = [m[:2] for m in merges.special]
 
     def _encode_piece(self, piece: str) -> bytes:
+        if self.ranked and max(piece) < LATIN_END and not any(m in piece for m in self.special):
+            return array("I", self.ranked.encode_ordinary(piece)).tobytes()
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
 
