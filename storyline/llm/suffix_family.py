@@ -37,8 +37,8 @@ from storyline.llm.common import Roller, mix, parts_for, slices, spread_key, spr
 from storyline.session import materialize
 
 LEAST = 50
-FLUSH_BYTES = 32 << 20
-SLICE_BYTES = 2 << 20
+FLUSH_BYTES = 24 << 20
+SLICE_BYTES = 1 << 20
 #: Text bytes per key range of the families, and per bucket of documents.
 RANGE_BYTES = 12 << 20
 BUCKET_BYTES = 12 << 20
@@ -66,6 +66,7 @@ class Anchors:
         n = len(data)
         sizes = np.diff(ends)
         self.sums = _first.sums(data)
+        self.smallest = np.zeros(0, np.uint64)
         if n < least:
             self.place = np.zeros(0, np.int64)
         else:
@@ -77,7 +78,7 @@ class Anchors:
             # a head is an anchor if it is the smallest of some whole string around it
             pad = np.concatenate([np.zeros(window - 1, np.uint64), smallest, np.zeros(window - 1, np.uint64)])
             best = _window_min(pad, window, np.maximum)
-            self.place = np.flatnonzero(best == heads)
+            self.place, self.smallest = np.flatnonzero(best == heads), smallest
         self.row = np.searchsorted(ends, self.place, "right") - 1
         self.head = heads[self.place] if n >= least else np.zeros(0, np.uint64)
         self.start = np.maximum(ends[self.row], self.place - (window - 1))
@@ -86,12 +87,29 @@ class Anchors:
         left = (self.place - self.start).astype(np.uint64)
         self.context = mix(context + left * np.uint64(0x9FB21C651E98DF25))
 
-    def strings(self, data: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place, row and two hashes of every whole string around the chosen anchors."""
-        change = np.zeros(len(data) + 1, np.int32)
+    def covered(self, chosen: np.ndarray, shorter: int = 0) -> np.ndarray:
+        """Places in the contexts of the chosen anchors, or those that begin ``shorter`` bytes
+        before a context's end at the latest."""
+        change = np.zeros(len(self.sums), np.int32)
         np.add.at(change, self.start[chosen], 1)
-        np.add.at(change, self.end[chosen] - self.least + 1, -1)
-        place = np.flatnonzero(np.cumsum(change) > 0)
+        np.add.at(change, self.end[chosen] - shorter, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def strings(self, data: np.ndarray, opened: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place, row and two hashes of the whole strings whose own anchor is ``opened``.
+
+        Strings inside a ``known`` context are left out: a smaller document has them
+        too, and the smallest one that has a string never has it in such a context.
+        """
+        place = np.flatnonzero(self.covered(np.flatnonzero(opened), self.least - 1) & ~self.covered(np.flatnonzero(known), self.least - 1))
+        # a string's own anchor is the first one in it that bears its smallest head
+        heads, number = np.unique(self.head, return_inverse=True)
+        wide = len(self.sums) + 1
+        sorted_at = np.argsort(number, kind="stable")
+        listed = number[sorted_at] * wide + self.place[sorted_at]
+        asked = np.searchsorted(heads, self.smallest[place]) * wide + place
+        own = sorted_at[np.minimum(np.searchsorted(listed, asked), max(len(listed) - 1, 0))] if len(place) else place
+        place = place[opened[own]]
         one = _first.ranges(self.sums, place, place + self.least)
         two = _second.ranges(_second.sums(data), place, place + self.least)
         return place, np.searchsorted(self.ends, place, "right") - 1, one, two
@@ -282,7 +300,7 @@ def _matched(sent: DataFrame, parts: int, buckets: int, answer: int) -> DataFram
                 answers += [(answer if kind == RESOLVED else kind, d, c) for kind, d, c in found]
         yield _batch(list(_answer_rows(answers, buckets)), *_ANSWERS)
 
-    dealt = sent.repartition(parts, F.coalesce("part", F.col("bucket")))
+    dealt = sent.repartitionById(parts, F.coalesce("part", F.col("bucket")) % parts)
     return dealt.mapInArrow(run, ANSWERS)
 
 
@@ -325,9 +343,10 @@ def _open_strings(docs: DataFrame, answers: DataFrame, least: int, parts: int, b
         for _, _, ids, valid, data, ends in _text_slices(left):
             found = Anchors(data, ends, least)
             mark = _mark(ids[found.row], found.context)
-            chosen = np.flatnonzero(_in(opened, mark) & ~_in(resolved, mark) & valid[found.row])
-            if len(chosen):
-                _, row, one, two = found.strings(data, chosen)
+            open_here = _in(opened, mark) & valid[found.row]
+            if open_here.any():
+                gone = _in(resolved, mark) & valid[found.row]
+                _, row, one, two = found.strings(data, open_here & ~gone, gone)
                 sender.add(one, two, ids[row])
         packed, known = sender.flush()
         return pa.Table.from_batches([_sent(packed, _answer_rows(known, buckets))])
@@ -338,19 +357,19 @@ def _open_strings(docs: DataFrame, answers: DataFrame, least: int, parts: int, b
 
 def _covered(ids, valid, data, ends, resolved, opened, strings, least) -> np.ndarray:
     """Which bytes lie in a string that begins in a smaller document."""
-    change = np.zeros(len(data) + 1, np.int32)
-    if len(resolved) or len(strings):
-        found = Anchors(data, ends, least)
-        mark = _mark(ids[found.row], found.context)
-        gone = _in(resolved, mark) & valid[found.row]
-        np.add.at(change, found.start[gone], 1)
-        np.add.at(change, found.end[gone], -1)
-        if len(strings) and len(found.place):
-            place, row, _, two = found.strings(data, np.flatnonzero(_in(opened, mark) & ~gone & valid[found.row]))
-            again = _in(strings, _mark(ids[row], two))
-            np.add.at(change, place[again], 1)
-            np.add.at(change, place[again] + least, -1)
-    return np.cumsum(change[:-1]) > 0
+    if not len(resolved) and not len(strings):
+        return np.zeros(len(data), bool)
+    found = Anchors(data, ends, least)
+    mark = _mark(ids[found.row], found.context)
+    gone = _in(resolved, mark) & valid[found.row]
+    lost = found.covered(np.flatnonzero(gone))
+    if len(strings):
+        place, row, _, two = found.strings(data, _in(opened, mark) & ~gone & valid[found.row], gone)
+        place = place[_in(strings, _mark(ids[row], two))]
+        change = np.bincount(place, minlength=len(data) + 1)
+        change[: len(data) + 1] -= np.bincount(place + least, minlength=len(data) + 1)
+        lost |= np.cumsum(change[:-1]) > 0
+    return lost
 
 
 def _removed(docs: DataFrame, answers: DataFrame, least: int) -> DataFrame:
