@@ -67,6 +67,9 @@ def _scan(
             names=["question_id", "chunk_id", "score"],
         )
 
+    if filtered and C.GENERAL_CATEGORY not in categories:
+        # topics are partitions of the stored table: the others are not read
+        chunks = chunks.where(F.col("topic").isin(sorted({c for c in categories if c is not None})))
     picked = ["chunk_id", *columns] + (["topic"] if filtered else [])
     return chunks.select(*picked).mapInArrow(scan, HITS)
 

@@ -231,11 +231,12 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
-    return (
-        chunks.select(F.explode("sparse_terms").alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    return frequency_of(chunks.select(F.explode("sparse_terms").alias("term")))
+
+
+def frequency_of(posted: DataFrame) -> DataFrame:
+    """(term, df) out of postings, which have one row per chunk and term."""
+    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf_weight(df: Column, total: Column) -> Column:
@@ -254,7 +255,7 @@ def idf_table(chunks: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
                 overlap: int = C.CHUNK_OVERLAP, dims: int = DENSE_DIMS) -> DataFrame:
-    """Write the chunk table (by topic) and the word-frequency table below ``path``.
+    """Write the chunk table (by topic), its postings and the word frequencies below ``path``.
 
     ``docs`` has id, text, topic and may carry more columns. Chunks get consecutive
     numbers in the order of (id, chunk_no), so ids of any size stay apart. Returns
@@ -274,7 +275,8 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
     # the reader's schema, as topics such as 2024 would be read as numbers
     spark.createDataFrame([(chunks.schema.json(),)], "schema string").coalesce(1).write.parquet(f"{path}/schema")
     stored = read_chunks(spark, path)
-    document_frequency(stored).write.parquet(f"{path}/frequencies")
+    postings(stored).write.parquet(f"{path}/postings")
+    frequency_of(read_postings(spark, path)).write.parquet(f"{path}/frequencies")
     facts = seen.get
     row = (size, overlap, facts["num_docs"], facts["num_chunks"], path.rstrip("/").split("/")[-1])
     return spark.createDataFrame(
@@ -288,5 +290,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType.fromJson(json.loads(noted))).parquet(f"{path}/chunks")
 
 
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("chunk_id bigint, term string, tf bigint").parquet(f"{path}/postings")
+
+
 def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/frequencies")

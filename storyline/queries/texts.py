@@ -80,7 +80,7 @@ def idf_table(spark, sf_dir):
 
 def index_build_counts(spark, sf_dir):
     stored = chunks(spark, sf_dir)
-    posted = textindex.postings(stored).groupBy("chunk_id").agg(
+    posted = textindex.read_postings(spark, index(spark, sf_dir)[1]).groupBy("chunk_id").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("words")
     )
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,18 +89,28 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a scan that comes in fewer pieces than there are cores.
+def spread(df: DataFrame, key: str, most: int = 16) -> DataFrame:
+    """Use all cores on a scan that comes in a handful of pieces.
 
-    Meant for a bare scan in front of row-local text work; a table of many files
-    is returned as it is and never shuffled for this.
+    Meant for a bare scan in front of row-local text work. A scan of ``most`` pieces
+    or more is returned as it is, so what is shuffled for this is never more than a
+    few splits, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, most) else df
+
+
+def newest_folder(df: DataFrame, batch: str = BATCH) -> int | None:
+    """Newest stamp among the folders of a table partitioned by it; no file is opened."""
+    found = re.findall(rf"/{re.escape(batch)}=(-?\d+)/", "\n".join(df.inputFiles()))
+    return max(map(int, found), default=None)
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    return latest_batch(read_table(spark, path, schema))
+    """The newest batch of a stored table, by its folders if it is partitioned by the stamp."""
+    stored = read_table(spark, path, schema)
+    newest = newest_folder(stored)
+    return latest_batch(stored) if newest is None else stored.where(F.col(BATCH) == newest)
 
 
 def save_as_table(df: DataFrame | None, name: str, overwrite: bool = False) -> None:
