@@ -104,4 +104,4 @@ class Roller:
         """The same for every range of ``width`` bytes."""
         n = max(0, len(sums) - width)
         h = (sums[width:] - sums[:n]) * self._inverse[:n]
-        return mix(h + np.uint64(width) * np.uint64(0x632BE59BD9B4E019))
+        return mix(h + np.uint64(width * 0x632BE59BD9B4E019 % (1 << 64)))
