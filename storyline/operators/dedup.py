@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyline.operators.components import components
 from storyline.session import materialize
 
 JOIN_ROUNDS = 5
-FINISH_EDGES = 1_000_000
 
 
 def duplicate_count(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
@@ -26,23 +28,37 @@ def duplicate_count(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> D
 
 
 def _finish(open_edges: DataFrame) -> DataFrame:
-    """Walk a counted, small rest of edges in id order within one task."""
+    """Walk the rest of the edges in id order, each connected component by itself.
+
+    Components are dealt over the tasks and stream through them sorted, so a task
+    holds the listed ids ahead of the row it is at, never a whole component.
+    """
+    open_edges = materialize(open_edges, "dedup-edges")
+    roots = components(open_edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    rooted = open_edges.join(roots.withColumnRenamed("node", "src"), "src")
 
     def walk(batches):
-        gone = set()
+        root, at, gone, ahead = None, None, set(), []
         for batch in batches:
-            for src, dst in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist()):
-                if src not in gone:
+            out = []
+            for r, src, dst in zip(*[batch.column(c).to_pylist() for c in ("root", "src", "dst")]):
+                if r != root:
+                    root, at, gone, ahead = r, None, set(), []
+                if src != at:
+                    at = src
+                    while ahead and ahead[0] < src:
+                        gone.discard(heapq.heappop(ahead))
+                if src not in gone and dst not in gone:
                     gone.add(dst)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], names=["id"])
+                    heapq.heappush(ahead, dst)
+                    out.append(dst)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
 
-    ordered = open_edges.coalesce(1).sortWithinPartitions("src", "dst")
-    return ordered.mapInArrow(walk, "id long")
+    dealt = rooted.repartition("root").sortWithinPartitions("root", "src", "dst")
+    return dealt.select("root", "src", "dst").mapInArrow(walk, "id long")
 
 
-def dropped_ids(
-    edges: DataFrame, rounds: int = JOIN_ROUNDS, finish_edges: int = FINISH_EDGES
-) -> DataFrame:
+def dropped_ids(edges: DataFrame, rounds: int = JOIN_ROUNDS) -> DataFrame:
     """Ids that a smaller kept id lists as its near copy.
 
     Walking ids upwards, a row is kept unless an earlier kept row listed it.
@@ -52,16 +68,15 @@ def dropped_ids(
     least the smallest open id. Every round is written to the shared folder, so
     the plan stays short and a lost executor costs one round.
 
-    A long chain settles one link per round. When open edges are left after
-    ``rounds`` rounds and are counted to be few, they are walked in one go;
-    otherwise the rounds go on.
+    A long chain settles one link per round, so after ``rounds`` rounds the edges
+    still open are walked component by component (:func:`_finish`).
     """
     open_edges = materialize(edges.where("src < dst").select("src", "dst"), "dedup-edges")
     spark = open_edges.sparkSession
     dropped = spark.createDataFrame([], "id bigint")
     done = 0
     while not open_edges.isEmpty():
-        if done >= rounds and open_edges.count() <= finish_edges:
+        if done >= rounds:
             return dropped.unionByName(_finish(open_edges))
         targets = open_edges.select(F.col("dst").alias("src")).distinct()
         newly = (
