@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from storyline.llm import simhash_gray as S
+from storyline.operators.components import components
 
 
 def brute_fp(text, words=4):
@@ -58,7 +59,7 @@ def test_links_equal_brute_force_with_and_without_divided_cells(spark):
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     points = spark.createDataFrame([(f,) for f in signed], "fp long")
     for limit in (4096, 20):
-        roots = {r.node: r.root for r in S.components(S.near_links(points, limit=limit)).collect()}
+        roots = {r.node: r.root for r in components(S.near_links(points, limit=limit)).collect()}
         got, names = {}, {}
         for i, f in enumerate(signed):
             key = roots.get(f, f)
