@@ -11,6 +11,8 @@ Identical vectors are collapsed first, so a mass of copies costs one row.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -79,8 +81,8 @@ def _pack_blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def _best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` partners per row within each row of paired blocks."""
+def _best_of_pairs(pairs: DataFrame, k: int, floor: float) -> DataFrame:
+    """Best ``k`` partners per row within each row of paired blocks, none below ``floor``."""
 
     def best(batches):
         for batch in batches:
@@ -90,7 +92,7 @@ def _best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
                 ids_a = a.field("gid").to_numpy()
                 ids_b = b.field("gid").to_numpy()
                 similarity = matrix(a.field("vec")) @ matrix(b.field("vec")).T
-                others = ids_a[:, None] != ids_b[None, :]
+                others = (ids_a[:, None] != ids_b[None, :]) & (similarity >= floor)
                 rows, cols = best_per_row(similarity, ids_b, k, others)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids_a[rows]), pa.array(ids_b[cols]), pa.array(similarity[rows, cols])],
@@ -113,15 +115,18 @@ def _cells_to_visit(stats: list, pivots: np.ndarray, unit: bool) -> list[tuple[i
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS, unit: bool = True
+    vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS, unit: bool = True,
+    floor: float | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other rows of each row of ``vectors`` (id, vec).
 
     Ordered by inner product, then id. Columns: src, dst, pos (1-based), sim.
     ``unit=False`` takes vectors of any length: angles bound nothing then, so
-    every cell is visited.
+    every cell is visited. Partners below ``floor`` are not listed; it also bounds
+    from the start which cells can hold a partner.
     """
     spark = vectors.sparkSession
+    least = -math.inf if floor is None else floor
     keyed = vectors.select("id", F.sha2(F.to_json("vec"), 256).alias("key"), "vec")
     keyed = materialize(keyed, "vectors")
     members = keyed.select("id", "key")
@@ -152,16 +157,17 @@ def nearest_neighbours(
     left = blocks.select("cell", F.col("rows").alias("left"))
     right = blocks.select(F.col("cell").alias("cell_b"), F.col("rows").alias("right"))
     home = left.join(right, F.col("cell") == F.col("cell_b"))
-    near = materialize(top_by_source(_best_of_pairs(home, k), k), "home-neighbours")
+    near = materialize(top_by_source(_best_of_pairs(home, k, least), k), "home-neighbours")
 
     floors = near.groupBy("src").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("found"))
     floors = floors.select(
         F.col("src").alias("gid"), F.when(F.col("found") >= k, F.col("kth")).alias("kth")
     )
-    # a row with fewer than k partners so far has no bound yet
+    # a row with fewer than k partners so far has no bound but the given one
     stats = (
         placed.select("gid", "cell", "angle")
         .join(floors, "gid", "left")
+        .withColumn("kth", F.coalesce("kth", F.lit(floor).cast("double")))
         .groupBy("cell")
         .agg(
             F.max("angle").alias("radius"),
@@ -175,7 +181,7 @@ def nearest_neighbours(
             pd.DataFrame(visits, columns=["cell", "cell_b"]), "cell int, cell_b int"
         )
         away = left.join(F.broadcast(visit), "cell").join(right, "cell_b")
-        near = top_by_source(near.unionByName(_best_of_pairs(away, k)), k)
+        near = top_by_source(near.unionByName(_best_of_pairs(away, k, least)), k)
 
     # back to rows: own copies first, then the lowest ids of the near groups
     other = near.join(groups.select(F.col("gid").alias("dst"), "ids"), "dst").select(
@@ -191,7 +197,7 @@ def nearest_neighbours(
     listed = (
         own.unionByName(other)
         .withColumn("r", rank)
-        .where(F.col("r") <= k + 1)
+        .where((F.col("r") <= k + 1) & (F.lit(floor is None) | (F.col("sim") >= least)))
         .groupBy("gid")
         .agg(F.array_sort(F.collect_list(F.struct("r", "id", "sim"))).alias("near"))
         .join(groups.select("gid", "key", "copies"), "gid")

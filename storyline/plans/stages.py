@@ -70,7 +70,8 @@ def deduplicate_by_vectors(
     """First per url, then near copies by title vector; rows without a vector stay."""
     unique = materialize(first_per_key(articles, ["url"], ["id"]), "unique-urls")
     vectors = densejoin.unit_vectors(unique, "id", vector, normalize)
-    near = materialize(densejoin.nearest_neighbours(vectors, k, unit=normalize), "neighbours")
+    near = densejoin.nearest_neighbours(vectors, k, unit=normalize, floor=threshold)
+    near = materialize(near, "neighbours")
     return deduplicate(unique, densejoin.threshold_edges(near, threshold), batch)
 
 

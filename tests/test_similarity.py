@@ -149,6 +149,18 @@ def test_nearest_neighbours_equal_brute_force(spark, block_rows):
     assert dict(got) == brute_nearest(ids, m, 4)
 
 
+@pytest.mark.parametrize("floor", [0.5, 0.97, 0.9999])
+def test_a_floor_gives_the_same_list_cut(spark, floor):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(5, 6))[rng.integers(0, 5, 120)] + rng.normal(size=(120, 6)) * 0.15
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    m[50:56] = m[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
+    rows = lambda found: {(r["src"], r["dst"], r["pos"]) for r in found.collect()}
+    whole = densejoin.threshold_edges(densejoin.nearest_neighbours(df, 4, 8), floor)
+    assert rows(densejoin.nearest_neighbours(df, 4, 8, floor=floor)) == rows(whole)
+
+
 def test_raw_inner_product_of_vectors_of_any_length(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(80, 5)) * rng.uniform(0.1, 9, size=(80, 1))
