@@ -178,31 +178,34 @@ def train_on(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     return train([(r.lang, r.text) for r in taken.orderBy("lang", "order", "text").collect()])
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of every row, with lang_pred and score.
+def predict(
+    docs: DataFrame, model: Model | None, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``keep`` columns of every row (all of them, if not given), with lang_pred and score.
 
     Reads ``text`` alone. A null text, a text without letters, or any text if nothing
-    was learned gives ``und`` with score 0. Repeated rows come out again.
+    was learned gives ``und`` with score 0. Repeated rows come out again. The new
+    columns, named by ``out``, replace columns of that name.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training rows
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    rows = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out[0]}` string, `{out[1]}` double"
+    rows = docs.select(F.struct(*keep).alias("row"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = broadcast.value
         for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             names, score = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
             if frozen is not None and letters.any():
-                data, ends = utf8(batch.column("_text"))
+                data, ends = utf8(batch.column(1))
                 best, sure = decide(frozen, code_lengths(frozen, data, ends), np.diff(ends))
                 names = np.where(letters, np.array(frozen.languages, object)[best], UNKNOWN)
                 score = np.where(letters, sure, 0.0)
-            columns = [batch.column(c) for c in range(len(keep))]
+            columns = batch.column(0).flatten()
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
+                [*columns, pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64())], [*keep, *out]
             )
 
     return rows.mapInArrow(run, schema)

@@ -73,6 +73,9 @@ def test_rows_without_letters_null_and_empty(spark):
     assert len(got) == 18
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
     assert all(0 <= r.score <= 1 for r in got)
+    clash = docs.withColumn("score", F.lit("old")).withColumn("_text", F.lit(1)).withColumn("_letters", F.lit(2))
+    assert sorted(L.predict(clash, model).columns) == sorted([*docs.columns, "_text", "_letters", "lang_pred", "score"])
+    assert {r.score for r in L.predict(clash, model, out=("a", "b")).collect()} == {"old"}
     assert L.train_on(docs.limit(0)) is None
     assert L.predict(docs.limit(0), None).count() == 0
     assert {r.lang_pred for r in L.predict(docs, None).collect()} == {"und"}
