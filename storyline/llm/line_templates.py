@@ -29,42 +29,37 @@ MIN_TOKENS = 3
 
 def _tokens(line: Column) -> Column:
     """Tokens between blanks, with those that hold a digit made variable."""
-    return F.transform(
-        F.split(F.btrim(line, F.lit(" \t\r")), "[ \t\r]+"),
-        lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t),
-    )
+    split = F.split(F.btrim(line, F.lit(" \t\r")), "[ \t\r]+")
+    masked = F.transform(split, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    return F.when(line.rlike("[0-9]"), masked).otherwise(split)
+
+
+def _field(tokens: Column, n: Column, i: int) -> Column:
+    """Hash of the i-th of the fields that the tokens behind the lead are cut into."""
+    first = F.floor((n - LEAD) * i / FIELDS).cast("int")
+    last = F.floor((n - LEAD) * (i + 1) / FIELDS).cast("int")
+    return F.xxhash64(F.slice(tokens, LEAD + 1 + first, last - first))
 
 
 def _template_keys(tokens: Column, n: Column) -> Column:
     """Keys of the templates that a line belongs to: one per field that may vary."""
-    tail = n - LEAD
-    fields = [
-        F.array_join(
-            F.slice(
-                tokens,
-                LEAD + 1 + F.floor(tail * i / FIELDS).cast("int"),
-                (F.floor(tail * (i + 1) / FIELDS) - F.floor(tail * i / FIELDS)).cast("int"),
-            ),
-            " ",
-        )
-        for i in range(FIELDS)
-    ]
-    one_open = [F.xxhash64("leaf", F.lit(i), *[f for j, f in enumerate(fields) if j != i]) for i in range(FIELDS)]
-    whole = F.array(F.xxhash64("leaf", F.lit(-1), F.array_join(tokens, " ")))
-    return F.when(tail >= FIELDS, F.array(*one_open)).otherwise(whole)
+    one_open = [F.xxhash64("leaf", F.lit(i), *[f"field{j}" for j in range(FIELDS) if j != i]) for i in range(FIELDS)]
+    whole = F.array(F.xxhash64("leaf", F.lit(-1), tokens))
+    return F.when(n - LEAD >= FIELDS, F.array(*one_open)).otherwise(whole)
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, leaf, keys): every line of enough tokens, as hashes."""
+    # parsed before they are exploded, so that no later step parses a line again
     lines = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
-    parsed = lines.withColumn("tokens", _tokens(F.col("line"))).withColumn("n", F.size("tokens"))
-    parsed = parsed.where((F.col("n") >= MIN_TOKENS) & (F.btrim("line", F.lit(" \t\r")) != ""))
-    leaf = F.xxhash64("n", F.array_join(F.slice("tokens", 1, LEAD), " "))
-    return parsed.withColumn("leaf", leaf).select(
-        "doc_id", "text_hash", "line_no", "leaf", _template_keys(F.col("tokens"), F.col("n")).alias("keys")
+        "doc_id", F.xxhash64("text").alias("text_hash"),
+        F.posexplode(F.transform(F.split("text", "\n"), _tokens)).alias("line_no", "tokens"),
     )
+    tokens, n = F.col("tokens"), F.size("tokens")
+    fields = {f"field{i}": _field(tokens, n, i) for i in range(FIELDS)}
+    leaf = F.xxhash64(n, F.slice(tokens, 1, LEAD))
+    parsed = lines.where(n >= MIN_TOKENS).withColumns({"leaf": leaf, **fields})
+    return parsed.select("doc_id", "text_hash", "line_no", "leaf", _template_keys(tokens, n).alias("keys"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
