@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import Roller, mix, parts_for, slices, spread_key, spread_of, text_bytes, utf8
+from storyline.llm.common import Roller, mix, parts_for, release_finished, slices, spread_key, spread_of, text_bytes, utf8
 from storyline.session import materialize
 
 LEAST = 50
@@ -410,8 +410,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, flush_bytes: int = FLUSH
     bits = min(64, max(KEY_BITS, total.bit_length() + 12))
     sent = _send_anchors(docs, least, parts, buckets, flush_bytes, bits)
     answers = materialize(_matched(sent, parts, buckets, RESOLVED), "answers")
+    release_finished(docs.sparkSession)  # the suffixes on disk are as large as the texts
     placed = docs.select("doc_id", "text", spread_key("doc_id", buckets).alias("bucket"))
     strings = _open_strings(placed, answers, least, parts, buckets)
     found = materialize(_matched(strings, parts, buckets, STRING).where(F.col("kind") == STRING), "answers")
+    release_finished(docs.sparkSession)
     every = answers.unionByName(found)
     return _removed(placed, every, least)
