@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release_finished(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: the shuffle files of finished steps go with it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver collect its garbage: the shuffle files of finished steps go with it.
+
+    Twice, as Python hands its references back a moment after it drops them.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
