@@ -65,8 +65,10 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_hash, dropped array<int>): numbers of the lines to drop."""
     lines = materialize(parsed_lines(docs), "parsed-lines")
+    # stored, so that both sides of the joins are plain shuffles, which can be split at a hot key
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs)
-    crowded = lines.join(leaves.select("leaf"), "leaf", "left_semi")
+    leaves = materialize(leaves.select("leaf"), "crowded-leaves")
+    crowded = lines.join(leaves, "leaf", "left_semi")
     keyed = materialize(
         crowded.select("doc_id", "text_hash", "line_no", F.explode("keys").alias("key")), "template-keys"
     )
@@ -77,6 +79,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         .agg(F.count("*").alias("texts"), F.min("first").alias("first"))
         .where(F.col("texts") >= min_docs)
     )
+    recurring = materialize(recurring.select("key", "first"), "recurring-templates")
     later = keyed.join(recurring, "key").where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("dropped"))
 
