@@ -45,7 +45,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     fallback = spark.conf.get("storyline.local.scratch", None)
     if not fallback:
