@@ -22,7 +22,7 @@ from storyline.llm.shingles import shingle_hashes
 from storyline.session import materialize
 
 WORDS = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 4
 HASH_BITS = 48
 PART_BYTES = 16 << 20
 
@@ -128,7 +128,7 @@ def compare_with_edits(docs: DataFrame, words: int = WORDS, fraction: float = FR
     """
     rows = with_next_rows(docs, part_bytes)
     parts = parts_for(text_bytes(docs), part_bytes)
-    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    ordered = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "tail", "doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
