@@ -1,0 +1,76 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as P
+from storyline.llm import word_copies as W
+from storyline.llm.common import read_table
+from storyline.llm.simhash_gray import simhash
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute(rows, near=0.8):
+    """Ids that stay, by comparing every pair of texts."""
+    sets = [set(W.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for n in range(len(rows)):
+        for m in range(n):
+            small, large = sorted((len(sets[n]), len(sets[m])))
+            if small >= near * large and jaccard(sets[n], sets[m]) >= near:
+                root[max(find(n), find(m))] = min(find(n), find(m))
+    least = {}
+    for n, (k, _) in enumerate(rows):
+        least[find(n)] = min(k, least.get(find(n), k))
+    return sorted(least.values())
+
+
+def copies(seed=5):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    lead = [word() for _ in range(40)]
+    rows = []
+    for n in range(60):
+        words = (lead if n % 3 == 0 else []) + [word() for _ in range(rng.choice([1, 4, 5, 9, 60, 200]))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.randint(0, 3)):
+            changed = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 30))):
+                changed[rng.randrange(len(changed))] = word()
+            rows.append((len(rows), " ".join(changed)))
+    rng.shuffle(rows)
+    return rows
+
+
+def stage(spark, rows):
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], COLUMNS).repartition(3)
+    return P.near_dedup(spark, docs, "")
+
+
+@pytest.mark.parametrize("recurring", [8, 0])
+def test_stage_equals_brute_force_jaccard(spark, monkeypatch, recurring):
+    monkeypatch.setattr(W, "RECURRING", recurring)
+    monkeypatch.setattr(W, "SAMPLE_SHARE", 1 if recurring == 0 else 8)
+    rows = copies()
+    got = sorted(r.doc_id for r in stage(spark, rows).collect())
+    assert got == brute(rows) and len(got) < len(rows)
+
+
+def test_near_copies_of_far_fingerprints_go(spark):
+    docs = read_table(spark, "/root/testdata/sf0.1", "documents")
+    for a, b, bits in ((2566, 7725, 6), (4396, 8125, 8), (5108, 5918, 13)):
+        pair = docs.where(docs["doc_id"].isin(a, b))
+        prints = [simhash(W.shingle_hashes(r.text, 4)) for r in pair.collect()]
+        assert np.bitwise_count(np.uint64(prints[0] ^ prints[1])) == bits
+        assert [r.doc_id for r in P.near_dedup(spark, pair, "").collect()] == [a]
