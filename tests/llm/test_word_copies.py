@@ -74,3 +74,14 @@ def test_near_copies_of_far_fingerprints_go(spark):
         prints = [simhash(W.shingle_hashes(r.text, 4)) for r in pair.collect()]
         assert np.bitwise_count(np.uint64(prints[0] ^ prints[1])) == bits
         assert [r.doc_id for r in P.near_dedup(spark, pair, "").collect()] == [a]
+
+
+def test_different_texts_of_one_id_or_none_stay(spark):
+    rng = random.Random(8)
+    text = lambda n=40: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (3, c + " end"), (7, d), (7, e), (7, e), (9, f), (9, f + " end"), (None, None)]
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, rows).collect()), key=repr)
+    ends = [r for r in got if r[0] == 9]
+    assert len(ends) == 1 and ends[0] in rows
+    assert [r for r in got if r[0] != 9] == sorted([(None, a), (None, b), (3, c + " end"), (7, d), (7, e), (None, None)], key=repr)
