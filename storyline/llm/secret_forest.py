@@ -38,8 +38,7 @@ ASSIGN_PREFIX = re.compile(r"[A-Za-z_\-]{2,32}=+(?=.)")
 WORD = re.compile(r"[a-zA-Z]{4,}")
 NEAR = re.compile(r"[A-Za-z0-9_]+")
 MASK = "<SECRET>"
-#: Documents whose words make the dictionary and the training sentences, at most.
-SAMPLE_ROWS = 1000
+#: Words of the dictionary and the training sentences.
 DICTIONARY_WORDS = 5000
 TRAIN_EACH = 250
 THRESHOLD = 0.5
@@ -162,12 +161,9 @@ def labelled_findings(words: list[str], each: int = TRAIN_EACH, seed: int = 17)
     return out
 
 
-def corpus_words(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = DICTIONARY_WORDS) -> list[str]:
-    """Most frequent words of a sample of at most ``rows`` documents, chosen by hash."""
-    total = docs.count()
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, total // rows)))
-    sample = docs.where(chosen == 0).select("text").limit(rows)
-    found = sample.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w").between(4, 14))
+def corpus_words(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
+    """Most frequent words of all documents; ties go by the word."""
+    found = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w").between(4, 14))
     top = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
     return [r.w for r in top.collect()]
 

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +58,13 @@ def test_corpus_scan_finds_keys_and_leaves_card_numbers(spark):
     cards = found.where(F.col("value").rlike("^[0-9]{16}$")).agg(F.count("*"), F.sum(F.col("secret").cast("int"))).first()
     assert keys[0] > 0 and keys[1] == keys[0]
     assert cards[0] > 0 and (cards[1] or 0) <= 0.05 * cards[0]
+
+
+def test_dictionary_counts_words_of_all_documents(spark):
+    rng = random.Random(6)
+    made = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    rows = [(n, " ".join(rng.choice(made) for _ in range(3))) for n in range(2500)] + [(None, "Rarely, ünter x 12"), (None, None)]
+    counts = Counter(w for _, t in rows for w in re.split("[^a-z]+", (t or "").lower()) if 4 <= len(w) <= 14)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = sorted(counts, key=lambda w: (-counts[w], w))
+    assert S.corpus_words(docs) == want and S.corpus_words(docs, words=50) == want[:50]
