@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.llm import (
-    chat_windows, lang_ppm, line_templates, multi_index, scaled_sketch, secret_forest, simhash_gray, stream_bpe,
-    suffix_family, vector_packing,
+    chat_windows, lang_ppm, line_templates, multi_index, periodic_runs, scaled_sketch, secret_forest, simhash_gray,
+    stream_bpe, suffix_family, vector_packing,
 )
 from storyline.llm.common import read_table
 
@@ -73,6 +73,43 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.scan(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the words of every tenth document made to repeat.
+
+    Of h, the CRC-32 of the decimal doc_id, a multiple of ten chooses the document, the
+    rest the first repeated word and the period. Without an id or words nothing changes.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(words):
+        n = F.size(words)
+        first = (g % n).cast("int")
+        period = (1 + F.floor((n - first) / (3 + g % 8))).cast("int")
+        place = lambda i: F.when(i < first, i).otherwise(first + (i - first) % period)
+        again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i)))
+        return F.when(n > 0, F.array_join(again, " ")).otherwise("")
+
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    planted = F.transform(F.array(words), repeated)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole text as a count, the longest one and digests. A null or empty text has none;
+    repeated ids keep their rows, an empty table gives no rows, other columns are not read."""
+    found = periodic_runs.word_runs(with_planted_repeats(read_table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"),
+        (-F.col("longest.less")).alias("length"), F.col("longest.period").alias("period"),
+        F.floor(F.expr("1000 * -longest.less div longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_chat_windows": op2_chat_windows,
@@ -84,5 +121,6 @@ QUERIES = {
     "op8_stream_bpe": op8_stream_bpe,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_secret_forest": op10_secret_forest,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL: dict[str, str] = {"op7_line_templates": line_templates.SQL}
