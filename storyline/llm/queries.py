@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from storyline.llm import (
     chat_windows, lang_ppm, line_templates, multi_index, periodic_runs, scaled_sketch, secret_forest, simhash_gray,
-    stream_bpe, suffix_family, vector_packing,
+    stream_bpe, suffix_family, token_alignment, vector_packing,
 )
 from storyline.llm.common import read_table
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +111,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every whole text, with corpus-wide counts. Null and empty texts
+    have zeros; repeated rows count each, an empty table gives no rows, other columns are not read."""
+    return token_alignment.align(read_table(spark, sf_dir, "documents"), VOCABULARY, PIECES).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_chat_windows": op2_chat_windows,
@@ -122,5 +129,6 @@ QUERIES = {
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_secret_forest": op10_secret_forest,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 SQL: dict[str, str] = {"op7_line_templates": line_templates.SQL}
