@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.llm import (
-    chat_windows, lang_ppm, line_templates, multi_index, periodic_runs, scaled_sketch, secret_forest, simhash_gray,
-    stream_bpe, suffix_family, token_alignment, vector_packing,
+    chat_windows, lang_ppm, line_templates, multi_index, periodic_runs, pii_crf, scaled_sketch, secret_forest,
+    simhash_gray, stream_bpe, suffix_family, token_alignment, vector_packing,
 )
 from storyline.llm.common import read_table
 
@@ -111,6 +111,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the patterns' spans, and all spans. A null or empty
+    text has none; repeated rows stay, an empty table gives no rows, other columns are not read."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii_crf.find(docs, pii_crf.train_on(docs))
+    base = F.filter("spans", lambda s: s.base)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *map(count, pii_crf.KINDS), F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers over every whole text, with corpus-wide counts. Null and empty texts
     have zeros; repeated rows count each, an empty table gives no rows, other columns are not read."""
@@ -129,6 +143,7 @@ QUERIES = {
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_secret_forest": op10_secret_forest,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_pii_crf": op12_pii_crf,
     "op13_token_alignment": op13_token_alignment,
 }
 SQL: dict[str, str] = {"op7_line_templates": line_templates.SQL}
