@@ -13,15 +13,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline import constants as C
 from storyline.functions.vectors import reciprocal_rank_fusion
-from storyline.operators.blocks import best_matrix, entry_rows, matrix, merge_best
+from storyline.operators.blocks import best_matrix, matrix, merge_best
+from storyline.operators.postings import SparseIndex, walk
 from storyline.operators.skew import broadcast_if_small, top_n_per_group
-from storyline.operators.textindex import idf_weight
 from storyline.session import materialize
 
 QUESTION_SLICE = 500
@@ -114,59 +113,16 @@ def dense_top_k(
 
 
 def sparse_top_k(
-    chunks: DataFrame, frequencies: DataFrame, questions: DataFrame, k: int = C.TOP_K,
-    category: str | None = None, slice_rows: int = QUESTION_SLICE,
+    index: SparseIndex, questions: DataFrame, k: int = C.TOP_K, category: str | None = None,
 ) -> DataFrame:
     """Top-k by the sum of question count x chunk count x inverse document frequency.
 
     ``questions``: question_id, sparse_terms, sparse_tf. Chunks without a shared
-    word are no hits. Weights are whole millionths, so scores are exact.
+    word are no hits. Weights are whole millionths, so scores are exact. The stored
+    postings are searched; chunks are not read.
     """
-    total = chunks.count()
-    parts = []
-    for part in _slices(questions, slice_rows):
-        columns = ["question_id", "sparse_terms", "sparse_tf"] + ([category] if category else [])
-        rows = part.select(*columns).where(F.size("sparse_terms") > 0).collect()
-        if not rows:
-            continue
-        vocabulary = sorted({t for r in rows for t in r["sparse_terms"]})
-        place = {t: i for i, t in enumerate(vocabulary)}
-        # the words of one bounded slice of questions
-        named = chunks.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
-        found = frequencies.join(F.broadcast(named), "term").select(
-            "term", idf_weight(F.col("df"), F.lit(total)).alias("weight")
-        )
-        weight = {r["term"]: r["weight"] for r in found.collect()}
-        entries = [
-            (i, place[term], tf * weight.get(term, 0))
-            for i, r in enumerate(rows)
-            for term, tf in zip(r["sparse_terms"], r["sparse_tf"])
-        ]
-        asked_row, asked_col, asked_value = (np.array(x) for x in zip(*entries))
-        ids = np.array([r["question_id"] for r in rows], dtype=np.int64)
-        categories = [r[category] for r in rows] if category else None
-
-        def overlap(batch, ids=ids, vocabulary=vocabulary, asked_row=asked_row, asked_col=asked_col,
-                    asked_value=asked_value):
-            lists = batch.column("sparse_terms")
-            found = pc.index_in(lists.flatten(), value_set=pa.array(vocabulary, pa.string()))
-            known = found.is_valid().to_numpy(zero_copy_only=False)
-            # only words that occur in this batch get a column
-            present, cols = np.unique(found.drop_null().to_numpy(), return_inverse=True)
-            counts = np.zeros((batch.num_rows, len(present)))
-            counts[entry_rows(lists)[known], cols] = batch.column("sparse_tf").flatten().to_numpy()[known]
-            column = np.full(len(vocabulary), -1)
-            column[present] = np.arange(len(present))
-            used = column[asked_col] >= 0
-            asked = np.zeros((len(ids), len(present)))
-            asked[asked_row[used], column[asked_col[used]]] = asked_value[used]
-            scores = asked @ counts.T
-            return np.where(scores > 0, scores, -np.inf)
-
-        parts.append(_scan(chunks, ["sparse_terms", "sparse_tf"], overlap, ids, categories, k))
-    if not parts:
-        return _no_hits(chunks)
-    return _ranked(parts, k)
+    hits, _ = walk(questions, index, k, category)
+    return _ranked([hits.withColumn("score", F.col("score").cast("double"))], k)
 
 
 def _no_hits(chunks: DataFrame) -> DataFrame:

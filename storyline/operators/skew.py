@@ -175,20 +175,18 @@ def running_total(
     return cold
 
 
-def dense_row_id(df: DataFrame, order_by: list[str], out: str = "id") -> DataFrame:
-    """0-based consecutive row id in the given order, without a one-task window.
+def row_place(df: DataFrame) -> DataFrame:
+    """Add the partition and the place in it of every row, to be stored with the row.
 
-    The last order column should be unique: it splits runs of equal leading
-    keys over several range partitions. Rows are range-sorted and written once,
-    so the partition of a row is a stored fact and cannot change on a retry.
+    Only what was written holds: the places of a sorted, unstored frame may change on
+    a retry.
     """
-    ranged = (
-        df.repartitionByRange(*[F.col(c) for c in order_by])
-        .sortWithinPartitions(*order_by)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    stored = materialize(ranged, "row-id")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumns({"_part": F.spark_partition_id(), "_pos": place})
+
+
+def with_row_number(stored: DataFrame, out: str) -> DataFrame:
+    """Consecutive numbers from 0 out of the stored places, in their order."""
     # one row per partition
     running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -204,6 +202,17 @@ def dense_row_id(df: DataFrame, order_by: list[str], out: str = "id") -> DataFra
     )
 
 
+def dense_row_id(df: DataFrame, order_by: list[str], out: str = "id") -> DataFrame:
+    """0-based consecutive row id in the given order, without a one-task window.
+
+    The last order column should be unique: it splits runs of equal leading
+    keys over several range partitions. Rows are range-sorted and written once,
+    so the partition of a row is a stored fact and cannot change on a retry.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
+    return with_row_number(materialize(row_place(ranged), "row-id"), out)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """First row of each key in the given order; null keys are equal to each other.
 

@@ -16,7 +16,8 @@ from storyline.functions.text import document_text, first_line, words
 from storyline.functions.times import zone_text
 from storyline.functions.vectors import inner_product
 from storyline.operators.blocks import entry_rows
-from storyline.operators.skew import dense_row_id
+from storyline.operators.postings import idf_weight, postings_of, read_blocks, write_sparse
+from storyline.operators.skew import row_place, with_row_number
 from storyline.schemas import CHUNK_METADATA
 
 BLANK = r" \t\n\r\f"
@@ -25,7 +26,6 @@ WORD = rf"[^{BLANK}]+[{BLANK}]*"
 # a sentence ends with a mark before white space or the end, or before a line break
 SENTENCE = rf"[^{BLANK}](?s:.*?)(?:(?<=[.!?])(?=[{BLANK}]|\z)|(?=\n)|\z)[{BLANK}]*"
 DENSE_DIMS = 64
-IDF_UNIT = 1_000_000
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -223,26 +223,9 @@ def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id")
     return chunks.drop("dense", "norm2").join(given, key)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) of every sparse vector entry."""
-    return chunks.select(
-        "chunk_id", F.explode(F.arrays_zip("sparse_terms", "sparse_tf")).alias("p")
-    ).select("chunk_id", F.col("p.sparse_terms").alias("term"), F.col("p.sparse_tf").cast("bigint").alias("tf"))
-
-
 def document_frequency(chunks: DataFrame) -> DataFrame:
-    return frequency_of(chunks.select(F.explode("sparse_terms").alias("term")))
-
-
-def frequency_of(posted: DataFrame) -> DataFrame:
-    """(term, df) out of postings, which have one row per chunk and term."""
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def idf_weight(df: Column, total: Column) -> Column:
-    """Inverse document frequency in whole millionths: sums of it are exact in any order."""
-    rest = (total - df).cast("double") + 0.5
-    return F.round(F.log(rest / (df + 0.5) + 1.0) * IDF_UNIT).cast("bigint")
+    """(term, df): the number of chunks that hold a word."""
+    return chunks.select(F.explode("sparse_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf_table(chunks: DataFrame) -> DataFrame:
@@ -257,15 +240,16 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
                 overlap: int = C.CHUNK_OVERLAP, dims: int = DENSE_DIMS) -> DataFrame:
     """Write the chunk table (by topic), its postings and the word frequencies below ``path``.
 
-    ``docs`` has id, text, topic and may carry more columns. Chunks get consecutive
-    numbers in the order of (id, chunk_no), so ids of any size stay apart. Returns
-    one row of run facts, counted while the chunks were written.
+    ``docs`` has id, text, topic and may carry more columns. Documents are range-sorted
+    by id and cut where they lie; chunks are numbered by their place, so numbers follow
+    the order of (id, chunk_no) and ids of any size stay apart. Returns one row of run
+    facts, counted while the chunks were written.
     """
     spark = docs.sparkSession
     seen = Observation()
     titled = docs if "title" in docs.columns else with_title(docs)
-    cut = dense_row_id(chunk_sentences(titled, size, overlap), ["id", "chunk_no"], "chunk_id")
-    chunks = vectorize(cut, dims=dims)
+    ranged = titled.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    chunks = vectorize(row_place(chunk_sentences(ranged, size, overlap)), dims=dims)
     chunks = chunks.observe(
         seen,
         F.count(F.lit(1)).alias("num_chunks"),
@@ -274,9 +258,7 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
     chunks.write.partitionBy("topic").parquet(f"{path}/chunks")
     # the reader's schema, as topics such as 2024 would be read as numbers
     spark.createDataFrame([(chunks.schema.json(),)], "schema string").coalesce(1).write.parquet(f"{path}/schema")
-    stored = read_chunks(spark, path)
-    postings(stored).write.parquet(f"{path}/postings")
-    frequency_of(read_postings(spark, path)).write.parquet(f"{path}/frequencies")
+    write_sparse(read_chunks(spark, path), path)
     facts = seen.get
     row = (size, overlap, facts["num_docs"], facts["num_chunks"], path.rstrip("/").split("/")[-1])
     return spark.createDataFrame(
@@ -286,13 +268,11 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The stored chunks, numbered consecutively in the order of (id, chunk_no)."""
     noted = spark.read.schema("schema string").parquet(f"{path}/schema").first()["schema"]
-    return spark.read.schema(T.StructType.fromJson(json.loads(noted))).parquet(f"{path}/chunks")
+    stored = spark.read.schema(T.StructType.fromJson(json.loads(noted))).parquet(f"{path}/chunks")
+    return with_row_number(stored, "chunk_id")
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("chunk_id bigint, term string, tf bigint").parquet(f"{path}/postings")
-
-
-def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/frequencies")
+    return postings_of(read_blocks(spark, path))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyline import constants as C
-from storyline.operators import retrieve, textindex
+from storyline.operators import postings, retrieve, textindex
 from storyline.operators.chat import message_list
 from storyline.queries.base import ARTICLES_SQL, articles, stage, table, texts
 from storyline.session import scratch_path
@@ -130,9 +130,10 @@ def _dense(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir):
-    frequencies = textindex.read_frequencies(spark, index(spark, sf_dir)[1])
-    found = retrieve.sparse_top_k(chunks(spark, sf_dir), frequencies, asked(spark, sf_dir))
-    return found.withColumn("score", F.col("score") / textindex.IDF_UNIT)
+    facts, path = index(spark, sf_dir)
+    stored = postings.read_sparse(spark, path, facts.first()["num_chunks"])
+    found = retrieve.sparse_top_k(stored, asked(spark, sf_dir))
+    return found.withColumn("score", F.col("score") / postings.IDF_UNIT)
 
 
 def dense_retrieve_topk(spark, sf_dir):

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from storyline.operators import retrieve, textindex
+from storyline.operators import postings, retrieve, skew, textindex
 from storyline.plans import stages
 
 
@@ -160,8 +160,8 @@ def test_dense_top_k_equals_brute_force(spark, index, slice_rows, filtered):
     assert hits(got) == brute_hits(docs, asked, dense_score, 7, filtered)
 
 
-@pytest.mark.parametrize("slice_rows,filtered", [(1000, False), (7, False), (1000, True)])
-def test_sparse_top_k_equals_brute_force(spark, index, slice_rows, filtered):
+@pytest.mark.parametrize("range_chunks,zone_ranges,filtered", [(64, 64, False), (4, 3, False), (4, 3, True), (1, 1, True)])
+def test_sparse_top_k_equals_brute_force(spark, index, tmp_path, range_chunks, zone_ranges, filtered):
     import math
 
     path, docs, asked, questions = index
@@ -172,13 +172,55 @@ def test_sparse_top_k_equals_brute_force(spark, index, slice_rows, filtered):
         a, b = Counter(question.split()), Counter(body.split())
         return sum(n * b[w] * weight[w] for w, n in a.items() if w in b) or None
 
-    chunks = textindex.read_chunks(spark, path).repartition(5)
-    frequencies = textindex.read_frequencies(spark, path)
-    category = "category" if filtered else None
-    got = retrieve.sparse_top_k(chunks, frequencies, questions, 7, category, slice_rows)
+    # in batches of any size: a range may have several blocks of one word
+    postings.write_sparse(textindex.read_chunks(spark, path).repartition(3), str(tmp_path), range_chunks, zone_ranges)
+    stored = postings.read_sparse(spark, str(tmp_path), len(docs))
+    got = retrieve.sparse_top_k(stored, questions, 7, "category" if filtered else None)
     assert hits(got) == brute_hits(docs, asked, score, 7, filtered)
 
 
+def test_the_walk_skips_blocks_and_loses_nothing(spark, tmp_path):
+    """Every word is in every range; rare ones decide. Blocks read are counted."""
+    rng = random.Random(5)
+    common, rare = [f"c{chr(97 + i)}" for i in range(12)], [a + b for a in "pqrstuvw" for b in "abcdefghij"]
+    rows = []
+    for n in range(2000):
+        # rare words lie together, as the texts of one source do
+        near = rare[(n // 25) : (n // 25) + 2]
+        rows.append((n, "t", " ".join(rng.choices(common, k=20) + rng.choices(near, k=rng.randrange(0, 4)))))
+    docs = spark.createDataFrame(rows, "id bigint, topic string, text string")
+    path = str(tmp_path / "i-v1")
+    textindex.build_index(docs, path)
+    chunks = textindex.read_chunks(spark, path)
+    postings.write_sparse(chunks, str(tmp_path / "small"), 16, 8)
+    stored = postings.read_sparse(spark, str(tmp_path / "small"), 2000)
+    asked = [(q, f"{rng.choice(rare)} {rng.choice(rare)} {rng.choice(common)}", "general") for q in range(20)]
+    questions = textindex.vectorize(spark.createDataFrame(asked, "question_id bigint, text string, category string"))
+    found, visited = postings.walk(questions, stored, 7)
+    every = postings.range_scores(
+        postings.weighted_words(questions, stored, None),
+        questions.select("question_id").crossJoin(stored.blocks.select("topic", "zone", "range").distinct()), stored,
+    )
+    order = [F.desc("score"), F.col("chunk_id")]
+    best = lambda df: {tuple(r) for r in skew.top_n_per_group(df, ["question_id"], order, 7).collect()}
+    assert best(found) == best(every)
+    words = postings.weighted_words(questions, stored, None)
+    heads = stored.blocks.select("topic", "zone", "range", "term").distinct()
+    read = visited.join(words, "question_id").join(heads, ["topic", "zone", "range", "term"]).count()
+    full = words.join(heads, "term").count()
+    assert visited.distinct().count() == visited.count()
+    assert read < full / 3, (read, full)
+    # the frequent word has blocks in every range, so no task holds all of them
+    assert stored.blocks.where(F.col("term") == common[0]).select("range").distinct().count() == 125
+
+
+def test_postings_are_the_words_of_the_chunks(spark, index):
+    chunks = textindex.read_chunks(spark, index[0])
+    want = {(r["chunk_id"], t, n) for r in chunks.collect() for t, n in zip(r["sparse_terms"], r["sparse_tf"])}
+    got = [tuple(r) for r in textindex.read_postings(spark, index[0]).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_vectors_of_a_model_replace_the_offline_ones(spark, index):
     chunks = textindex.read_chunks(spark, index[0])
     given = chunks.select("chunk_id", F.array(F.col("chunk_id").cast("float"), F.lit(1.0).cast("float")).alias("dense"))
