@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from storyline import constants as C
 from storyline.operators.blocks import entry_rows
-from storyline.operators.skew import top_n_per_group
+from storyline.operators.skew import MAX_BROADCAST_ROWS, broadcast_if_small, top_n_per_group
 from storyline.session import materialize
 
 RANGE_CHUNKS = 64
@@ -138,22 +138,37 @@ def zone_bounds(words: DataFrame, index: SparseIndex) -> DataFrame:
     return joined.groupBy("question_id", "topic", "zone").agg(F.sum(F.col("value") * F.col("most")).alias("bound"))
 
 
-def range_bounds(words: DataFrame, zones: DataFrame, index: SparseIndex) -> DataFrame:
-    """(question_id, topic, zone, range, bound) of the ranges in the given zones of each question."""
-    heads = index.blocks.groupBy("folder", "topic", "zone", "range", "term").agg(F.max("most").alias("most"))
-    asked = words.join(zones.select("question_id", "topic", "zone"), "question_id").withColumn("folder", _folder())
-    joined = asked.join(heads, ["folder", "topic", "zone", "term"])
-    return joined.groupBy("question_id", "topic", "zone", "range").agg(F.sum(F.col("value") * F.col("most")).alias("bound"))
-
-
 def _folder() -> Column:
     return F.floor(F.col("zone") / FOLDER_ZONES).cast("long")
 
 
-def range_scores(words: DataFrame, ranges: DataFrame, index: SparseIndex) -> DataFrame:
+def _needed(words: DataFrame, places: DataFrame, rows: int | None) -> DataFrame:
+    """The words of each question with the places to look them up in.
+
+    As long as they are few, the blocks stay where they lie: ``rows`` bounds their number;
+    without it they are stored and counted.
+    """
+    asked = words.drop("wanted").join(places, "question_id").withColumn("folder", _folder())
+    if rows is None:
+        return broadcast_if_small(materialize(asked, "asked-places"))
+    return F.broadcast(asked) if rows <= MAX_BROADCAST_ROWS else asked
+
+
+def range_bounds(words: DataFrame, zones: DataFrame, index: SparseIndex, rows: int | None = None) -> DataFrame:
+    """(question_id, topic, zone, range, bound) of the ranges in the given zones of each question.
+
+    Several blocks of one word and range are added up, which keeps it a bound.
+    """
+    asked = _needed(words, zones.select("question_id", "topic", "zone"), rows)
+    heads = index.blocks.select("folder", "topic", "zone", "range", "term", "most")
+    joined = heads.join(asked, ["folder", "topic", "zone", "term"])
+    return joined.groupBy("question_id", "topic", "zone", "range").agg(F.sum(F.col("value") * F.col("most")).alias("bound"))
+
+
+def range_scores(words: DataFrame, ranges: DataFrame, index: SparseIndex, rows: int | None = None) -> DataFrame:
     """(question_id, chunk_id, score) of the chunks that share a word with the question, in its given ranges."""
-    asked = words.join(ranges.select("question_id", "topic", "zone", "range"), "question_id").withColumn("folder", _folder())
-    read = asked.join(index.blocks, ["folder", "topic", "zone", "range", "term"])
+    asked = _needed(words, ranges.select("question_id", "topic", "zone", "range"), rows)
+    read = index.blocks.join(asked, ["folder", "topic", "zone", "range", "term"])
     hits = read.select("question_id", "value", F.explode(F.arrays_zip("chunk_ids", "tfs")).alias("p"))
     score = F.sum(F.col("value") * F.col("p.tfs")).alias("score")
     return hits.groupBy("question_id", F.col("p.chunk_ids").alias("chunk_id")).agg(score)
@@ -169,13 +184,13 @@ def walk(questions: DataFrame, index: SparseIndex, k: int, category: str | None
     zones = materialize(zone_bounds(words, index), "zone-bounds")
     best = F.desc("bound")
     first_zones = top_n_per_group(zones, ["question_id"], [best, F.col("zone"), F.col("topic")], FIRST_ZONES)
-    first = range_bounds(words, first_zones, index)
+    asked = words.count()
+    first = range_bounds(words, first_zones, index, asked * FIRST_ZONES)
     first = materialize(top_n_per_group(first, ["question_id"], [best, F.col("range"), F.col("topic")], FIRST_RANGES), "first-ranges")
-    found = materialize(range_scores(words, first, index), "first-scores")
+    found = materialize(range_scores(words, first, index, asked * FIRST_RANGES), "first-scores")
     reached = top_n_per_group(found, ["question_id"], [F.desc("score"), F.col("chunk_id")], k).groupBy("question_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(0)).alias("threshold")
     )
-    reached = materialize(reached, "thresholds")
     left = zones.join(reached, "question_id", "left").where(F.col("bound") >= F.coalesce("threshold", F.lit(0)))
     more = range_bounds(words, left, index).join(reached, "question_id", "left")
     more = more.where(F.col("bound") >= F.coalesce("threshold", F.lit(0)))

@@ -8,18 +8,21 @@ How the join stays exact and small:
 
 * texts with equal word sets are collapsed first and only the ``k + 1`` lowest
   ids of each group travel on, so a mass of identical copies costs one row;
-* words are ordered rare first; two sets that reach the threshold must share a
-  word among the first ``n - ceil(t^2 n) + 1`` of each (prefix filter);
-* short posting lists are joined pairwise; posting lists longer than
-  ``posting_limit`` are cut into blocks and compared block against block inside
-  tasks, which return only the best ``k`` per row and never the pairs.
+* sets are banded by size; similar sets lie in one band or in neighbouring ones, and
+  the band of the larger one bounds in how many words they differ (at most D);
+* the words of a set are dealt by hash to a few more than D + 1 parts. Words that differ
+  touch at most D parts, so some part that holds words is the same in both. A part's
+  words, four or five of them, are a signature, and only sets that share one are met:
+  frequent words tell nothing by themselves and need no list;
+* a pair is met only where a stretch of shared parts begins, not once per part;
+* signatures of up to ``posting_limit`` sets are joined; those of a mass of near copies
+  are cut into blocks and compared inside tasks that return only the best ``k`` per row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,9 @@ from storyline.session import materialize, shuffle_partitions
 
 POSTING_LIMIT = 512
 BLOCK_ROWS = 2048
-FREQUENT_WORDS = 50_000
 VOCABULARY_SLICE = 4096
+#: Parts beyond D + 1: sets with at most so many empty parts share one that is not empty.
+SPARE_PARTS = 3
 
 
 def term_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,55 +64,85 @@ def copy_groups(sets: DataFrame, k: int) -> DataFrame:
     return materialize(groups.select("key", "gid", "ids", "copies"), "copy-groups")
 
 
-def _frequent_words(reps: DataFrame) -> list[str]:
-    """The most frequent words, most frequent first; a bounded list of FREQUENT_WORDS."""
-    counts = reps.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    top = counts.orderBy(F.desc("df"), "term").limit(FREQUENT_WORDS)
-    return [r["term"] for r in top.select("term").collect()]
+def size_bands(longest: int, percent: int) -> list[int]:
+    """First set size of each band; two similar sets lie in one band or in neighbouring ones."""
+    bounds = [1]
+    while bounds[-1] <= longest:
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 10_000 // (percent * percent))))
+    return [*bounds, max(bounds[-1] + 1, -(-bounds[-1] * 10_000 // (percent * percent)))]
 
 
-def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """Rare-first prefix of each set: (gid, n, term, pos).
+def differing(largest: int, percent: int) -> int:
+    """Words in which a set of ``largest`` words and a similar one of at most as many differ, at most."""
+    return 2 * largest * (100 - percent) // 100
 
-    Any order that is the same for all sets keeps the join exact. This one is
-    row-local: words outside the bounded list of frequent words come first, then
-    the frequent ones, least frequent first. No token is shuffled for it.
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return values ^ (values >> np.uint64(33))
+
+
+def _part_signatures(rows: np.ndarray, words: np.ndarray, band: np.ndarray, parts: np.ndarray, spare: np.ndarray) -> tuple:
+    """Signature, row and preceding signature of every part that is looked at.
+
+    ``parts`` and ``spare`` are per row. Empty parts count only for sets with more of
+    them than there are spare ones.
     """
-    frequent = _frequent_words(reps)
+    begin = np.concatenate(([0], np.cumsum(parts)))
+    slot = begin[rows] + (_mixed(words ^ np.uint64(0x5851F42D4C957F2D)) % parts[rows].astype(np.uint64)).astype(np.int64)
+    sums = np.zeros(begin[-1], np.uint64)
+    np.add.at(sums, slot, _mixed(words))
+    filled = np.bincount(slot, minlength=begin[-1]) > 0
+    owner = np.repeat(np.arange(len(parts)), parts)
+    place = np.arange(begin[-1])
+    empty = parts - np.bincount(owner, filled, len(parts)).astype(np.int64)
+    key = _mixed(sums + (place - begin[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + band[owner].astype(np.uint64)
+    key = _mixed(key)
+    last = np.maximum.accumulate(np.where(filled, place, -1))
+    before = np.concatenate(([-1], last[:-1])) if len(last) else last
+    inside = before >= begin[owner]
+    prior = np.where(inside, key[np.where(inside, before, 0)], np.uint64(0)) if len(last) else key
+    used = filled | (empty > spare)[owner]
+    return key[used], owner[used], prior[used]
+
+
+def _signatures(reps: DataFrame, percent: int) -> DataFrame:
+    """(key, gid, n, home, prior): what sets have to share, in their own and the next larger band.
+
+    ``home`` marks the own band, ``prior`` is the signature of the filled part before.
+    """
+    longest = reps.agg(F.max("n")).first()[0] or 1
+    bounds = np.array(size_bands(longest, percent))
+    differ = np.array([differing(int(after) - 1, percent) for after in bounds[1:]])
+    spare = np.minimum(differ, SPARE_PARTS)
 
-    def cut(batches):
-        listed = pa.array(frequent, pa.string())
+    def sign(batches):
         for batch in batches:
-            lists = batch.column("terms")
+            lists = batch.column("hashes")
             rows = entry_rows(lists)
-            encoded = lists.flatten().dictionary_encode()
-            place = pc.index_in(encoded.dictionary, value_set=listed)
-            place = pc.fill_null(place, len(listed)).to_numpy()
-            # rank of each distinct word in (rare first, then by word)
-            by_word = pc.sort_indices(encoded.dictionary).to_numpy()
-            rank = np.empty(len(by_word), dtype=np.int64)
-            rank[by_word[np.argsort(-place[by_word], kind="stable")]] = np.arange(len(by_word))
-            codes = encoded.indices.to_numpy()
-            order = np.lexsort((rank[codes], rows))
-            rows, codes = rows[order], codes[order]
+            words = lists.flatten().to_numpy().view(np.uint64)
             n = batch.column("n").to_numpy()
-            first = np.concatenate([[0], np.cumsum(n)])[:-1]
-            pos = np.arange(len(rows)) - first[rows] + 1
-            least_overlap = (n * percent * percent + 9999) // 10_000
-            keep = pos <= (n - least_overlap + 1)[rows]
-            rows, codes, pos = rows[keep], codes[keep], pos[keep]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("gid").take(pa.array(rows)),
-                    pa.array(n[rows]),
-                    encoded.dictionary.take(pa.array(codes)),
-                    pa.array(pos),
-                ],
-                names=["gid", "n", "term", "pos"],
-            )
-
-    placed = reps.select("gid", "n", "terms").mapInArrow(cut, "gid long, n long, term string, pos long")
-    return materialize(placed, "prefixes")
+            own = np.searchsorted(bounds, n, "right") - 1
+            for band, home in ((own, True), (own + 1, False)):
+                # sets that differ in no word are one set
+                wanted = differ[band] > 0
+                number = np.cumsum(wanted) - 1
+                take = wanted[rows]
+                picked = np.flatnonzero(wanted)
+                parts = (differ[band] + 1 + spare[band])[picked]
+                key, owner, prior = _part_signatures(number[rows[take]], words[take], band[picked], parts, spare[band][picked])
+                owner = picked[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key.view(np.int64)), batch.column("gid").take(pa.array(owner)), pa.array(n[owner]),
+                        pa.array(np.full(len(owner), home)), pa.array(prior.view(np.int64)),
+                    ],
+                    names=["key", "gid", "n", "home", "prior"],
+                )
+
+    hashed = reps.select("gid", "n", F.transform("terms", lambda w: F.xxhash64(w)).alias("hashes"))
+    return materialize(hashed.mapInArrow(sign, "key long, gid long, n long, home boolean, prior long"), "signatures")
 
 
 def _reaches(overlap: str, n_a: str, n_b: str, percent: int) -> str:
@@ -116,22 +150,25 @@ def _reaches(overlap: str, n_a: str, n_b: str, percent: int) -> str:
     return f"10000 * {overlap} * {overlap} >= {percent * percent} * {n_a} * {n_b}"
 
 
-def _short_list_pairs(short: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs from short posting lists, in both directions."""
-    a = short.select("term", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = short.select("term", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    candidates = (
-        a.join(b, "term")
-        .where("a < b")
+def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of the sets that share a signature, each pair once, ``a`` at home in its band."""
+    a = short.where("home").select("key", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prior").alias("pa"))
+    b = short.select("key", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prior").alias("pb"), F.col("home").alias("hb"))
+    return (
+        a.join(b, "key")
+        .where("pa != pb or pa = 0")
+        .where("a != b and (not hb or a < b)")
         .where(f"10000 * least(na, nb) >= {percent * percent} * greatest(na, nb)")
-        # best overlap still possible when this is the first shared word
-        .withColumn("most", F.expr("1 + least(na - pa, nb - pb)"))
-        .where(_reaches("most", "na", "nb", percent))
         .select("a", "b", "na", "nb")
         # one shuffle serves both the distinct and the first join
         .repartition(shuffle_partitions(short.sparkSession), "a")
         .distinct()
     )
+
+
+def _short_list_pairs(short: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Verified pairs from short signature lists, in both directions."""
+    candidates = candidate_pairs(short, percent)
     left = reps.select(F.col("gid").alias("a"), F.col("terms").alias("ta"))
     right = reps.select(F.col("gid").alias("b"), F.col("terms").alias("tb"))
     verified = (
@@ -186,7 +223,7 @@ def _shared_words(a, b, shape: tuple[int, int], vocabulary: int, same: bool) ->
 
 
 def _block_kernel(k: int, percent: int):
-    """Best ``k`` partners per row of one pair of blocks of one posting list."""
+    """Best ``k`` partners per row of one pair of blocks of one signature's list."""
     out_schema = pa.schema(
         [("src", pa.int64()), ("dst", pa.int64()), ("o", pa.int64()), ("n_dst", pa.int64())]
     )
@@ -205,14 +242,15 @@ def _block_kernel(k: int, percent: int):
         shape = (len(ids_a), len(ids_b))
         if 0 in shape:
             return out_schema.empty_table()
-        # a pair belongs to the list of its first shared word only
-        codes: dict = {}
-        early = [_incidence(p["earlier"], codes) for p in parts]
-        seen = _shared_words(*early, shape, len(codes), first == second)
-        allowed = (seen == 0) & (ids_a[:, None] != ids_b[None, :])
+        priors = [p["prior"].to_numpy() for p in parts]
+        homes = [p["home"].to_numpy(zero_copy_only=False) for p in parts]
+        # a pair belongs to the lists where a stretch of shared parts begins
+        allowed = (priors[0][:, None] != priors[1][None, :]) | (priors[0][:, None] == 0)
+        allowed &= homes[0][:, None] | homes[1][None, :]
+        allowed &= ids_a[:, None] != ids_b[None, :]
         if not allowed.any():
             return out_schema.empty_table()
-        codes = {}
+        codes: dict = {}
         terms = [_incidence(p["terms"], codes) for p in parts]
         shared = _shared_words(*terms, shape, len(codes), first == second)
         o = shared.astype(np.int64)
@@ -226,30 +264,27 @@ def _block_kernel(k: int, percent: int):
     return kernel
 
 
-def _long_list_pairs(
-    long: DataFrame, prefixes: DataFrame, reps: DataFrame, k: int, percent: int, block_rows: int
-) -> DataFrame:
-    """Best partners from long posting lists, compared block against block."""
-    ordered = prefixes.groupBy("gid").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]
-        ).alias("prefix")
-    )
+def _long_list_pairs(long: DataFrame, reps: DataFrame, k: int, percent: int, block_rows: int) -> DataFrame:
+    """Best partners from signatures of very many sets, compared block against block."""
     blocks = F.ceil(F.col("rows") / F.lit(block_rows)).cast("int")
     placed = long.withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
     )
-    carried = placed.join(reps.select("gid", "terms"), "gid").join(ordered, "gid")
-    paired = carried.select(
-        "term", "gid", "n", "block", "terms",
-        F.slice("prefix", F.lit(1), F.col("pos").cast("int") - 1).alias("earlier"),
+    paired = placed.join(reps.select("gid", "terms"), "gid").select(
+        "key", "gid", "n", "home", "prior", "block", "terms",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
-    return paired.groupBy("term", "a", "b").applyInArrow(
+    return paired.groupBy("key", "a", "b").applyInArrow(
         _block_kernel(k, percent), "src long, dst long, o long, n_dst long"
     )
 
 
+def shared_lists(signatures: DataFrame) -> DataFrame:
+    """(key, rows) of the signatures that several sets have, one of them at home."""
+    counts = signatures.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("_home"))
+    return materialize(counts.where("rows > 1 and _home").select("key", "rows"), "signature-lists")
+
+
 def neighbour_edges(
     sets: DataFrame,
     k: int = C.NEIGHBOURS,
@@ -265,22 +300,14 @@ def neighbour_edges(
     groups = copy_groups(sets, k)
     reps = sets.join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
     reps = materialize(reps.select(F.col("id").alias("gid"), "n", "terms"), "distinct-sets")
-    prefixes = _prefixes(reps, percent)
-
-    lists = prefixes.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    lists = materialize(lists, "posting-sizes")
-    # never below posting_limit, or a list would be neither short nor long
-    limit = max(hot_limit(prefixes.count()), posting_limit)
-    # very long lists leave before the shuffle by word; at most MAX_HOT_KEYS words
-    very_long = F.broadcast(lists.where(F.col("rows") > limit).select("term"))
-    short = prefixes.join(very_long, "term", "left_anti").join(
-        lists.where(F.col("rows") <= posting_limit).select("term"), "term"
-    )
+    signatures = _signatures(reps, percent)
+    lists = shared_lists(signatures)
+    short = signatures.join(lists.where(F.col("rows") <= posting_limit).select("key"), "key")
     pairs = _short_list_pairs(short, reps, percent)
     long_lists = lists.where(F.col("rows") > posting_limit)
     if not long_lists.isEmpty():
-        long = join_hot(prefixes, long_lists, ["term"], "rows", limit)
-        from_long = _long_list_pairs(long, prefixes, reps, k, percent, block_rows)
+        long = join_hot(signatures, long_lists, ["key"], "rows", max(hot_limit(signatures.count()), posting_limit))
+        from_long = _long_list_pairs(long, reps, k, percent, block_rows)
         pairs = pairs.unionByName(from_long).dropDuplicates(["src", "dst"])
 
     by_similarity = F.desc(F.col("o").cast("double") * F.col("o") / F.col("n_dst"))

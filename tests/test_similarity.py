@@ -52,13 +52,50 @@ def test_near_copies_equal_brute_force(spark, seed, posting_limit):
     assert got == brute_edges(texts, 4, 90)
 
 
-def test_rare_words_beyond_the_frequent_list(spark, monkeypatch):
-    monkeypatch.setattr(termjoin, "FREQUENT_WORDS", 3)
-    texts = some_texts(5)
+def test_similar_sets_share_a_filled_part(spark):
+    """Pairs at the very threshold, of all sizes, words shared by all or by none."""
+    rng = random.Random(12)
+    texts, number = {}, 0
+    for n in (5, 6, 7, 9, 10, 11, 19, 20, 50, 99, 100, 101, 230, 640):
+        for size in range(-(-81 * n // 100), n + 1, max(1, n // 25)):
+            # the smallest overlap that reaches the threshold with a set of n words
+            overlap = next((o for o in range(size + 1) if 10_000 * o * o >= 8100 * n * size), None)
+            if overlap is None or overlap > size:
+                continue
+            words = rng.sample([f"{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(11) for b in range(11) for c in range(11)], 2 * n)
+            texts[number], texts[number + 1] = " ".join(words[:n]), " ".join(words[:overlap] + words[n : n + size - overlap])
+            number += 2
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
-    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90, 4, 3)
-    got = {tuple(r) for r in got.select("src", "dst", "pos", "overlap", "n_src", "n_dst").collect()}
-    assert got == brute_edges(texts, 4, 90)
+    got = {tuple(r) for r in termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90).collect()}
+    assert got == brute_edges(texts, 4, 90) and len(got) > 100
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 97, 100])
+def test_bands_and_bound_of_differing_words(percent):
+    bounds = termjoin.size_bands(300, percent)
+    band = lambda n: max(i for i, b in enumerate(bounds) if b <= n)
+    for b in range(1, 301):
+        for a in range(1, b + 1):
+            least = next((o for o in range(a + 1) if 10_000 * o * o >= percent * percent * a * b), None)
+            if least is not None:
+                assert band(b) - band(a) <= 1
+                assert a + b - 2 * least <= termjoin.differing(b, percent) <= termjoin.differing(bounds[band(b) + 1] - 1, percent)
+
+
+def test_every_matching_part_but_the_first_of_a_stretch_is_passed_over(spark):
+    """Near copies meet a few times, not once for every part that they share."""
+    rng = random.Random(3)
+    base = [f"{chr(97 + a)}{chr(97 + b)}x" for a in range(20) for b in range(15)]
+    rows = [(i, " ".join([*base[: 296], *("q" + rng.choice("abcdefgh") * (j + 1) + str(i) for j in range(2))])) for i in range(40)]
+    sets = termjoin.term_sets(spark.createDataFrame(rows, "id bigint, text string"), "id", "text")
+    reps = sets.select(F.col("id").alias("gid"), "n", "terms")
+    signatures = termjoin._signatures(reps, 90)
+    met = signatures.join(termjoin.shared_lists(signatures), "key")
+    a, b = met.alias("a"), met.alias("b")
+    joined = a.join(b, "key").where("a.gid < b.gid and (a.home or b.home)")
+    parts, starts = joined.count(), joined.where("a.prior != b.prior or a.prior = 0").count()
+    assert termjoin.candidate_pairs(met, 90).count() == 40 * 39 // 2
+    assert starts < parts / 5
 
 
 def test_hot_words_and_hot_groups_take_the_broadcast_way(spark, monkeypatch):
