@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.operators.skew import HOT_GROUP_ROWS, rank_in_group, running_total
+from storyline.operators.skew import rank_in_group, running_total
 
 
-def interaction_count(log: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def interaction_count(log: DataFrame) -> DataFrame:
     """Add the running number of user turns of the session, rejected ones included."""
     asked = F.when(F.col("role") == "user", 1).otherwise(0).cast("bigint")
-    return running_total(log, "conv_id", "turn", asked, "interaction_count", hot_rows)
+    return running_total(log, "conv_id", "turn", asked, "interaction_count")
 
 
-def chat_history(log: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def chat_history(log: DataFrame) -> DataFrame:
     """Ordered messages of each session as rows (conv_id, position, role, content).
 
     Rows instead of one list per session: a session of any length stays spread.
     """
-    placed = rank_in_group(log, "conv_id", "turn", "position", descending=False, hot_rows=hot_rows)
+    placed = rank_in_group(log, "conv_id", "turn", "position", descending=False)
     return placed.select("conv_id", "position", "role", F.col("text").alias("content"))
 
 

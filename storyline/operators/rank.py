@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from storyline import constants as C
 from storyline.functions.text import list_text, words
 from storyline.functions.vectors import inner_product, l2_normalize, reciprocal_rank_fusion
-from storyline.operators.skew import HOT_GROUP_ROWS, broadcast_if_small, hot_names, rank_in_group
+from storyline.operators.skew import broadcast_if_small, rank_in_group
 from storyline.session import materialize
 
 MAX_TOPIC_WORDS = 100_000
@@ -133,18 +133,15 @@ def importance_columns(articles: DataFrame, relevance: DataFrame, key: str, topi
     return joined.fillna(0.0, subset=[f"{t}_importance" for t in topics])
 
 
-def fused_ranks(df: DataFrame, k: int = C.RRF_CONSTANT, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Add importance, frequency and fused ranks within each topic."""
-    hot = hot_names(df, "topic", hot_rows)
-    df = rank_in_group(df, "topic", "importance", "importance_rank", hot_rows=hot_rows, hot=hot)
-    if hot:  # a rank of hot topics reads its input several times: store it, or reads multiply
-        df = materialize(df, "importance-rank")
-    df = rank_in_group(df, "topic", "duplicate_count", "feq_rank", hot_rows=hot_rows, hot=hot)
-    if hot:
-        df = materialize(df, "frequency-rank")
+def fused_ranks(df: DataFrame, k: int = C.RRF_CONSTANT) -> DataFrame:
+    """Add importance, frequency and fused ranks within each topic.
+
+    A rank reads its input twice, so the ranks before the last one are stored.
+    """
+    df = rank_in_group(df, "topic", "importance", "importance_rank")
+    df = materialize(rank_in_group(df, "topic", "duplicate_count", "feq_rank"), "ranks")
     score = reciprocal_rank_fusion([F.col("importance_rank"), F.col("feq_rank")], k)
-    df = df.withColumn("rrf_score", score)
-    return rank_in_group(df, "topic", "rrf_score", "rrf_rank", hot_rows=hot_rows, hot=hot)
+    return rank_in_group(df.withColumn("rrf_score", score), "topic", "rrf_score", "rrf_rank")
 
 
 def top_with_ties(df: DataFrame, cut: int = C.UI_RANK_CUT) -> DataFrame:

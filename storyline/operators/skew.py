@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from storyline.session import materialize
 
-HOT_GROUP_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
 MAX_BROADCAST_ROWS = 500_000
-BUCKETS = 256
 
 
 def hot_limit(total_rows: int) -> int:
@@ -47,132 +45,56 @@ def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def hot_names(df: DataFrame, group: str, hot_rows: int = HOT_GROUP_ROWS) -> list:
-    """Groups of more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them."""
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    return [row[0] for row in counts.where(F.col(group).isNotNull()).select(group).collect()]
+def _sums_before(values: DataFrame, group: str, order: str, own: str, descending: bool) -> DataFrame:
+    """(_group, _at, _before, _own): sums of ``own`` over the earlier values of each group.
 
-
-def _hot_bounds(df: DataFrame, group: str, order: str, names: list) -> dict:
-    """Order-value bounds that cut each hot group into even buckets; a small fetch."""
-    if not names:
-        return {}
-    steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = (
-        df.where(F.col(group).isin(names) & F.col(order).isNotNull())
-        .groupBy(group)
-        .agg(F.percentile_approx(order, steps, F.lit(10_000)).alias("_q"))
-        .collect()
-    )
-    return {row[0]: sorted(set(row[1])) for row in bounds}
-
-
-def _bucket(group: str, order: str, bounds: dict) -> Column:
-    result = F.lit(0)
-    for name, values in bounds.items():
-        array = F.array(*[F.lit(v) for v in values])
-        place = F.size(F.filter(array, lambda b: b < F.col(order)))
-        result = F.when(F.col(group) == F.lit(name), place).otherwise(result)
-    return result
-
-
-def _totals_per_value(
-    hot: DataFrame, group: str, order: str, weight: Column, bounds: dict, descending: bool
-) -> DataFrame:
-    """For each (group, value): weight of strictly earlier values, own weight, rows.
-
-    Equal values are pre-aggregated to one row; each group is then summed in
-    bounded buckets whose totals are added up separately.
+    ``values`` has one row per group and value. They are range-sorted by group and value
+    and stored with their partition, so that a group of any size lies in as many pieces
+    as it needs. Sums run inside a piece; the sums of the pieces before are carried to it
+    by a join on (piece, group).
     """
-    values = (
-        hot.groupBy(group, order)
-        .agg(F.sum(weight).alias("_own"), F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_bucket", _bucket(group, order, bounds))
-    )
-    direction = F.desc if descending else F.asc
-    inside = Window.partitionBy(group, "_bucket").orderBy(direction(order))
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(group).orderBy(direction("_bucket"))
-    across = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        values.groupBy(group, "_bucket")
-        .agg(F.sum("_own").alias("_total"))
-        .withColumn("_offset", F.coalesce(F.sum("_total").over(across), F.lit(0)))
-        .drop("_total")
-    )
-    # hot groups x buckets rows: bounded by construction
-    return (
-        values.withColumn("_inside", F.coalesce(F.sum("_own").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), [group, "_bucket"])
-        .select(group, order, (F.col("_inside") + F.col("_offset")).alias("_before"), "_own", "_rows")
+    direction = F.desc_nulls_last if descending else F.asc_nulls_first
+    named = values.select(F.col(group).alias("_group"), F.col(order).alias("_at"), F.col(own).alias("_own"))
+    ranged = named.repartitionByRange(F.col("_group"), direction("_at")).withColumn("_part", F.spark_partition_id())
+    stored = materialize(ranged, "ordered-values")
+    piece = Window.partitionBy("_part", "_group").orderBy(direction("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per piece of a group
+    pieces = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stored.groupBy("_part", "_group").agg(F.sum("_own").alias("_total")).select(
+        F.col("_part").alias("_piece"), F.col("_group").alias("_of"), F.coalesce(F.sum("_total").over(pieces), F.lit(0)).alias("_carried")
     )
+    inside = stored.withColumn("_inside", F.coalesce(F.sum("_own").over(piece), F.lit(0)))
+    joined = inside.join(carried, (F.col("_part") == F.col("_piece")) & F.col("_group").eqNullSafe(F.col("_of")))
+    return joined.select("_group", "_at", (F.col("_inside") + F.col("_carried")).alias("_before"), "_own")
 
 
-def rank_in_group(
-    df: DataFrame,
-    group: str,
-    value: str,
-    out: str,
-    descending: bool = True,
-    hot_rows: int = HOT_GROUP_ROWS,
-    hot: list | None = None,
-) -> DataFrame:
+def rank_in_group(df: DataFrame, group: str, value: str, out: str, descending: bool = True) -> DataFrame:
     """1-based rank of ``value`` in its group, ties share the smallest rank.
 
-    Null and NaN values stay unranked. Groups up to ``hot_rows`` rows use one
-    window each; larger ones are ranked in buckets, so no task ever holds a
-    whole hot group. ``hot`` takes the answer of :func:`hot_names` when several
-    ranks are made over the same groups.
+    Null and NaN values stay unranked. Equal values are one row before they are moved,
+    and no task holds a whole group; the ranks are joined back by (group, value), where
+    adaptive execution splits a value that many rows share.
     """
     types = dict(df.dtypes)
     clean = F.nanvl(F.col(value), F.lit(None)) if types[value] in ("double", "float") else F.col(value)
     df = df.withColumn("_value", clean)
-    names = hot_names(df, group, hot_rows) if hot is None else hot
-    bounds = _hot_bounds(df, group, "_value", names)
-    order = F.desc_nulls_last("_value") if descending else F.asc_nulls_last("_value")
-    window = Window.partitionBy(group).orderBy(order)
-    ranked = F.when(F.col("_value").isNotNull(), F.rank().over(window)).cast("bigint")
-    if not names:
-        return df.withColumn(out, ranked).drop("_value")
-    is_hot = F.coalesce(F.col(group).isin(names), F.lit(False))
-    cold = df.where(~is_hot).withColumn(out, ranked)
-    large = df.where(is_hot)
-    valued = large.where(F.col("_value").isNotNull())
-    totals = _totals_per_value(valued, group, "_value", F.lit(1), bounds, descending)
-    placed = join_hot(valued, totals, [group, "_value"], "_rows", hot_rows)
-    placed = placed.withColumn(out, (F.col("_before") + 1).cast("bigint"))
-    unranked = large.where(F.col("_value").isNull()).withColumn(out, F.lit(None).cast("bigint"))
-    columns = [c for c in df.columns if c != "_value"] + [out]
-    parts = [cold.select(*columns), placed.select(*columns), unranked.select(*columns)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def running_total(
-    df: DataFrame,
-    group: str,
-    order: str,
-    weight: Column,
-    out: str,
-    hot_rows: int = HOT_GROUP_ROWS,
-) -> DataFrame:
-    """Sum of ``weight`` over the rows of the group up to and including this order value."""
-    names = hot_names(df, group, hot_rows)
-    window = Window.partitionBy(group).orderBy(order)
-    if not names:
-        return df.withColumn(out, F.sum(weight).over(window).cast("bigint"))
-    bounds = _hot_bounds(df, group, order, names)
-    is_hot = F.coalesce(F.col(group).isin(names), F.lit(False))
-    cold = df.where(~is_hot).withColumn(out, F.sum(weight).over(window).cast("bigint"))
-    large = df.where(is_hot)
-    totals = _totals_per_value(large, group, order, weight, bounds, descending=False)
-    placed = join_hot(large, totals, [group, order], "_rows", hot_rows)
-    # rows without an order value come first; one total per hot group
-    missing = totals.where(F.col(order).isNull()).drop(order)
-    first = large.where(F.col(order).isNull()).join(F.broadcast(missing), group)
+    values = df.where(F.col("_value").isNotNull()).groupBy(group, "_value").agg(F.count(F.lit(1)).alias("_rows"))
+    placed = _sums_before(values, group, "_value", "_rows", descending)
+    found = df.join(placed, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_value") == F.col("_at")), "left")
+    return found.withColumn(out, (F.col("_before") + 1).cast("bigint")).drop("_value", "_group", "_at", "_before", "_own")
+
+
+def running_total(df: DataFrame, group: str, order: str, weight: Column, out: str) -> DataFrame:
+    """Sum of ``weight`` over the rows of the group up to and including this order value.
+
+    Rows without an order value come first. As in :func:`rank_in_group`, no task holds a
+    whole group.
+    """
+    values = df.groupBy(group, order).agg(F.sum(weight).alias("_weight"))
+    placed = _sums_before(values, group, order, "_weight", descending=False)
+    found = df.join(placed, F.col(group).eqNullSafe(F.col("_group")) & F.col(order).eqNullSafe(F.col("_at")), "left")
     total = (F.col("_before") + F.col("_own")).cast("bigint")
-    for part in (placed, first):
-        cold = cold.unionByName(part.withColumn(out, total).select(*df.columns, out))
-    return cold
+    return found.withColumn(out, total).drop("_group", "_at", "_before", "_own")
 
 
 def row_place(df: DataFrame) -> DataFrame:

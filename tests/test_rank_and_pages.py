@@ -37,10 +37,9 @@ def test_article_in_two_topics_appears_twice(spark):
 def test_fused_ranks_are_within_the_topic(spark):
     rows = [(1, "a", 0.9, 1), (2, "a", 0.5, 3), (3, "a", 0.5, 1), (4, "b", 0.1, 5)]
     df = spark.createDataFrame(rows, "id int, topic string, importance double, duplicate_count int")
-    for hot_rows in (1_000_000, 1):
-        ranked = rank.fused_ranks(df, hot_rows=hot_rows).collect()
-        got = {r["id"]: (r["importance_rank"], r["feq_rank"], r["rrf_rank"]) for r in ranked}
-        assert got == {1: (1, 2, 1), 2: (2, 1, 1), 3: (2, 2, 3), 4: (1, 1, 1)}
+    ranked = rank.fused_ranks(df).collect()
+    got = {r["id"]: (r["importance_rank"], r["feq_rank"], r["rrf_rank"]) for r in ranked}
+    assert got == {1: (1, 2, 1), 2: (2, 1, 1), 3: (2, 2, 3), 4: (1, 1, 1)}
 
 
 def test_ties_at_the_cut_stay_but_head_is_exact(spark):
@@ -259,7 +258,5 @@ def test_chat_rows(spark):
     )
     counts = {(r["conv_id"], r["turn"]): r["interaction_count"] for r in chat.interaction_count(log).collect()}
     assert counts == {(1, 0): 1, (1, 1): 1, (1, 2): 2, (2, 5): 1}
-    split = {(r["conv_id"], r["turn"]): r["interaction_count"] for r in chat.interaction_count(log, hot_rows=1).collect()}
-    assert split == counts
     history = chat.chat_history(log).orderBy("conv_id", "position").collect()
     assert [(r["position"], r["content"]) for r in history] == [(1, "a"), (2, "b"), (3, "c"), (1, "d")]

@@ -236,34 +236,56 @@ def brute_rank(rows, descending):
     return result
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
+@pytest.fixture(params=[1, 13])
+def pieces(spark, request):
+    """How many pieces the ordered values are cut into; adaptive execution would join small ones."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    spark.conf.set(names[0], str(request.param))
+    spark.conf.set(names[1], "false")
+    yield request.param
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
 @pytest.mark.parametrize("descending", [True, False])
-def test_rank_in_group(spark, hot_rows, descending):
+def test_rank_in_group(spark, pieces, descending):
     rng = random.Random(4)
     rows = []
     for i in range(400):
         value = None if i % 3 == 0 and i > 300 else rng.choice([None, float("nan"), 0.0, 0.0, 0.0, rng.random(), rng.randrange(9) / 3])
-        rows.append((i, "hot" if i % 3 else rng.choice(["a", "b"]), value))
+        rows.append((i, "hot" if i % 3 else rng.choice(["a", "b", None]), value))
     df = spark.createDataFrame(rows, "id int, g string, v double")
-    got = skew.rank_in_group(df, "g", "v", "r", descending, hot_rows)
+    got = skew.rank_in_group(df, "g", "v", "r", descending)
     assert {r["id"]: r["r"] for r in got.collect()} == brute_rank(rows, descending)
     assert got.columns == ["id", "g", "v", "r"]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 25])
-def test_running_total(spark, hot_rows):
+def test_running_total(spark, pieces):
     rng = random.Random(5)
     rows = [
-        (i, rng.choice(["a", "b", "hot", "hot", "hot"]), rng.choice([None, *range(90)]), rng.randrange(2))
+        (i, rng.choice(["a", None, "hot", "hot", "hot"]), rng.choice([None, *range(90)]), rng.randrange(2))
         for i in range(300)
     ]
     df = spark.createDataFrame(rows, "id int, g string, at int, w int")
-    got = skew.running_total(df, "g", "at", F.col("w"), "total", hot_rows)
+    got = skew.running_total(df, "g", "at", F.col("w"), "total")
     place = lambda at: -1 if at is None else at
     want = {i: sum(w2 for _, g2, at2, w2 in rows if g2 == g and place(at2) <= place(at)) for i, g, at, w in rows}
     assert {r["id"]: r["total"] for r in got.collect()} == want
 
 
+def test_a_hot_group_lies_in_many_pieces(spark, pieces, monkeypatch):
+    stored = []
+    keep = skew.materialize
+    monkeypatch.setattr(skew, "materialize", lambda df, label: stored.append(keep(df, label)) or stored[-1])
+    df = spark.range(5000).select(F.lit("hot").alias("g"), F.col("id").alias("v"))
+    ranked = skew.rank_in_group(df, "g", "v", "r", descending=False)
+    assert ranked.where("r != v + 1").count() == 0
+    sizes = [r["count"] for r in stored[0].groupBy("_part").count().collect()]
+    assert len(sizes) == pieces and max(sizes) < 3 * 5000 / pieces
+    assert "256" not in ranked._jdf.queryExecution().toString() and len(ranked._jdf.queryExecution().toString()) < 60_000
+
+
 def test_join_hot_equals_a_plain_join(spark):
     left = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     right = left.groupBy("k").agg(F.count("*").alias("n"))
