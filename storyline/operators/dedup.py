@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyline.operators.components import components
 from storyline.session import materialize
 
-JOIN_ROUNDS = 5
+#: Open edges that one task walks through.
+TASK_ROWS = 1 << 20
 
 
 def duplicate_count(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
@@ -27,64 +25,66 @@ def duplicate_count(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> D
     )
 
 
-def _finish(open_edges: DataFrame) -> DataFrame:
-    """Walk the rest of the edges in id order, each connected component by itself.
+def _walk(batches):
+    """Ids that are dropped for certain, out of one piece of the edges, sorted by (dst, src).
 
-    Components are dealt over the tasks and stream through them sorted, so a task
-    holds the listed ids ahead of the row it is at, never a whole component.
+    A piece holds all edges to the ids strictly between its first and its last target,
+    so such an id is kept if each of its sources is dropped, and a source in between that
+    is no target is kept. The first and the last target may go on in the next piece: they
+    are dropped if a kept source is seen here, and open otherwise.
     """
-    open_edges = materialize(open_edges, "dedup-edges")
-    roots = components(open_edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    rooted = open_edges.join(roots.withColumnRenamed("node", "src"), "src")
-
-    def walk(batches):
-        root, at, gone, ahead = None, None, set(), []
-        for batch in batches:
-            out = []
-            for r, src, dst in zip(*[batch.column(c).to_pylist() for c in ("root", "src", "dst")]):
-                if r != root:
-                    root, at, gone, ahead = r, None, set(), []
-                if src != at:
-                    at = src
-                    while ahead and ahead[0] < src:
-                        gone.discard(heapq.heappop(ahead))
-                if src not in gone and dst not in gone:
-                    gone.add(dst)
-                    heapq.heappush(ahead, dst)
-                    out.append(dst)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
-
-    dealt = rooted.repartition("root").sortWithinPartitions("root", "src", "dst")
-    return dealt.select("root", "src", "dst").mapInArrow(walk, "id long")
-
-
-def dropped_ids(edges: DataFrame, rounds: int = JOIN_ROUNDS) -> DataFrame:
+    first = at = None
+    kept: dict[int, bool | None] = {}  # of the targets passed: kept, dropped, or open
+    hidden = waiting = False
+
+    def settle():
+        if hidden:
+            kept[at] = False
+        else:
+            kept[at] = None if waiting or at == first else True
+        return hidden
+
+    for batch in batches:
+        out = []
+        for src, dst, root in zip(*[batch.column(c).to_pylist() for c in ("src", "dst", "root")], strict=True):
+            if dst != at:
+                if at is None:
+                    first = dst
+                elif settle():
+                    out.append(at)
+                at, hidden, waiting = dst, False, False
+            state = True if root else kept.get(src, True if src > first else None)
+            hidden = hidden or state is True
+            waiting = waiting or state is None
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+    if at is not None and hidden:
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], names=["id"])
+
+
+def dropped_ids(edges: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Ids that a smaller kept id lists as its near copy.
 
-    Walking ids upwards, a row is kept unless an earlier kept row listed it.
-    That is a fixpoint over edges from smaller to larger ids: sources that are
-    nobody's target are kept, their targets are dropped, edges from and to
-    dropped ids go away, and the rest is looked at again. Each round settles at
-    least the smallest open id. Every round is written to the shared folder, so
-    the plan stays short and a lost executor costs one round.
-
-    A long chain settles one link per round, so after ``rounds`` rounds the edges
-    still open are walked component by component (:func:`_finish`).
+    Walking ids upwards, a row is kept unless an earlier kept row listed it. That is a
+    fixpoint over edges from smaller to larger ids: sources that are nobody's target are
+    kept, their targets are dropped, edges from and to dropped ids go away, and the rest
+    is looked at again.
+
+    Each round range-partitions the open edges by (target, source) into pieces of about
+    ``task_rows`` and walks all pieces at once (:func:`_walk`); what is dropped is carried
+    to the next round as a table. A piece that no open edge enters is settled whole, so
+    the rounds are at most as many as the pieces, and few unless one chain runs through
+    all of them in the order of its ids. No task holds more than a piece, whatever the
+    size of a component or the number of edges to one id. Every round is written to the
+    shared folder, so the plan stays short and a lost executor costs one round.
     """
-    open_edges = materialize(edges.where("src < dst").select("src", "dst"), "dedup-edges")
-    spark = open_edges.sparkSession
-    dropped = spark.createDataFrame([], "id bigint")
-    done = 0
-    while not open_edges.isEmpty():
-        if done >= rounds:
-            return dropped.unionByName(_finish(open_edges))
-        targets = open_edges.select(F.col("dst").alias("src")).distinct()
-        newly = (
-            open_edges.join(targets, "src", "left_anti")
-            .select(F.col("dst").alias("id"))
-            .distinct()
-        )
-        newly = materialize(newly, "dedup-dropped")
+    open_edges = materialize(edges.where("src < dst").select("src", "dst").distinct(), "dedup-edges")
+    dropped = open_edges.sparkSession.createDataFrame([], "id bigint")
+    while rows := open_edges.count():
+        targets = open_edges.select(F.col("dst").alias("src")).distinct().withColumn("_target", F.lit(True))
+        marked = open_edges.join(targets, "src", "left").select("src", "dst", F.col("_target").isNull().alias("root"))
+        pieces = -(-rows // task_rows)
+        dealt = marked.repartitionByRange(pieces, "dst", "src").sortWithinPartitions("dst", "src")
+        newly = materialize(dealt.mapInArrow(_walk, "id long").distinct(), "dedup-dropped")
         dropped = dropped.unionByName(newly)
         open_edges = materialize(
             open_edges.join(newly.withColumnRenamed("id", "dst"), "dst", "left_anti")
@@ -92,7 +92,6 @@ def dropped_ids(edges: DataFrame, rounds: int = JOIN_ROUNDS) -> DataFrame:
             .select("src", "dst"),
             "dedup-edges",
         )
-        done += 1
     return dropped
 
 

@@ -144,15 +144,28 @@ def test_fixpoint_equals_the_walk(spark, pairs):
     assert sorted(r["id"] for r in kept.collect()) == sequential_kept(15, pairs)
 
 
-def test_long_chain_is_finished_in_one_go(spark):
-    n = 4000
+@pytest.mark.parametrize("task_rows", [1, 4, 30])
+def test_pieces_of_any_size_give_the_walk(spark, task_rows):
+    rng = random.Random(task_rows)
+    n = 40
+    pairs = {(a, b) for _ in range(70) if (a := rng.randrange(n)) != (b := rng.randrange(n))}
+    pairs |= {(i, i + 1) for i in range(0, 12)} | {(i, 39) for i in range(0, 30, 2)} | {(2, b) for b in range(20, 30)}
+    edges = spark.createDataFrame(list(pairs) * 2, "src bigint, dst bigint")
+    gone = {r["id"] for r in dedup.dropped_ids(edges, task_rows).collect()}
+    assert sorted(set(range(n)) - gone) == sequential_kept(n, pairs)
+
+
+def test_a_chain_of_a_million_edges_and_a_star(spark, monkeypatch):
+    rounds, walk = [], dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df, label: rounds.append(label) or walk(df, label))
+    n = 1_000_001
     chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    extra = spark.createDataFrame([(3, 9), (10, 11), (10, 3000)], "src bigint, dst bigint")
-    edges = chain.unionByName(extra).repartition(4)
-    pairs = {(i, i + 1) for i in range(n - 1)} | {(3, 9), (10, 11), (10, 3000)}
-    gone = dedup.dropped_ids(edges, rounds=1)
-    kept = set(range(n)) - {r["id"] for r in gone.collect()}
-    assert sorted(kept) == sequential_kept(n, pairs)
+    star = spark.range(0, 300_000).select(F.col("id").alias("src"), F.lit(2_000_000).cast("long").alias("dst"))
+    gone = dedup.dropped_ids(chain.unionByName(star), 400_000)
+    facts = gone.agg(F.count("*").alias("n"), F.count_if(F.col("id") % 2 == 1).alias("odd"), F.max("id").alias("most")).first()
+    # 0 is kept, 1 dropped, 2 kept ... and the hub is listed by kept rows
+    assert (facts["n"], facts["odd"], facts["most"]) == (500_001, 500_000, 2_000_000)
+    assert rounds.count("dedup-dropped") <= 5  # one more than there are pieces at first
 
 
 def test_chain_keeps_both_ends(spark):
