@@ -35,6 +35,19 @@ def release_finished(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that is none of ``columns``, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, blanks and dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a column: what partition counts are made from."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]

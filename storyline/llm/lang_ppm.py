@@ -18,18 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyline.llm.common import slices, utf8
+from storyline.llm.common import quoted, slices, utf8
 from storyline.operators.skew import top_n_per_group
 
 ORDER = 3
 SYMBOLS = 64
 #: Training rows per language, at most: fixes the size of the model and of the driver's work.
 TRAIN_ROWS = 400
-#: Bytes of one training text that count, at most.
-TRAIN_BYTES = 4000
+#: Bytes of training text per language, at most, in whole texts (one text may be longer).
+TRAIN_BYTES = 1_600_000
+#: Longer texts are learned from only where shorter ones do not fill the sample.
+LONG_TEXT = 20_000
 UNKNOWN = "und"
 #: A text's bits count for at most this many bytes in its score, so that it stays below 1.
 SCORE_BYTES = 64
@@ -59,11 +61,11 @@ def _history(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[tuple[str, str]]) -> Model | None:
-    """Trees from (language, text) pairs, each text cut to TRAIN_BYTES; None without pairs."""
+    """Trees from (language, text) pairs, of whole texts; None without pairs."""
     languages = sorted({lang for lang, _ in texts})
     if not languages:
         return None
-    raw = {lang: [t.encode("utf-8", "surrogatepass")[:TRAIN_BYTES] for l, t in texts if l == lang] for lang in languages}
+    raw = {lang: [t.encode("utf-8", "surrogatepass") for l, t in texts if l == lang] for lang in languages}
     seen = sum(np.bincount(np.frombuffer(b"".join(r), np.uint8), minlength=256) for r in raw.values())
     symbol = np.zeros(256, np.uint8)  # symbol 0: all other bytes, and the time before a text
     frequent = [b for b in np.argsort(-seen, kind="stable") if seen[b]][: SYMBOLS - 1]
@@ -158,24 +160,27 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train_on(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of the languages of ``docs``, from at most ``rows`` texts of each.
+    """A model of the languages of ``docs``, from at most ``rows`` whole texts of each.
 
-    Texts are taken by a hash of the id and of the text, the same at every run. Counts
-    per language come first, so that each task sends only about as many texts as are
-    needed in all.
+    Texts are taken by a hash of the id and of the text, the same at every run, those of
+    up to LONG_TEXT characters first, until they have TRAIN_BYTES bytes; the first text
+    is taken whatever its length. They are chosen by hash and length alone, so that only
+    the texts taken are moved. Rows without a language or without letters and held-out
+    ids teach nothing; equal rows count as one.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    # one row per language
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    every = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (2 * rows)))])
     chosen = F.xxhash64("doc_id", "text")
-    cut = labelled.where(F.pmod(chosen, every[F.col("lang")]) == 0).select(
-        "lang", F.substring("text", 1, TRAIN_BYTES).alias("text"), chosen.alias("order")
-    )
-    taken = top_n_per_group(cut, ["lang"], [F.col("order"), F.col("text")], rows)
-    return train([(r.lang, r.text) for r in taken.orderBy("lang", "order", "text").collect()])
+    size = F.octet_length("text")
+    narrow = labelled.select("lang", chosen.alias("order"), size.alias("size"), (F.length("text") > LONG_TEXT).alias("long"))
+    order = [F.col("long"), F.col("order")]
+    taken = top_n_per_group(narrow.distinct(), ["lang"], order, rows)
+    before = Window.partitionBy("lang").orderBy("long", "order").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum("size").over(before), F.lit(0))
+    taken = taken.withColumn("before", upto).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= TRAIN_BYTES))
+    # at most ``rows`` short rows per language
+    keys = taken.select("lang", "order")
+    texts = labelled.select("lang", chosen.alias("order"), "text").join(F.broadcast(keys), ["lang", "order"], "left_semi").distinct()
+    return train([(r.lang, r.text) for r in texts.orderBy("lang", "order", "text").collect()])
 
 
 def predict(
@@ -191,7 +196,7 @@ def predict(
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training rows
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out[0]}` string, `{out[1]}` double"
-    rows = docs.select(F.struct(*keep).alias("row"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.struct(*quoted(keep)).alias("row"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = broadcast.value

@@ -7,7 +7,7 @@ tokens) belong to one template if all fields agree but one, which is then variab
 too; a line with fewer tokens behind the lead than there are fields must agree as a
 whole. A template recurs if its lines stand in at least ``MIN_DOCS`` documents of
 different text; then all its lines but the first one are dropped. So boilerplate is
-kept once, and no text is lost altogether.
+kept once; what the variable fields of the dropped lines held is lost with them.
 
 Leaves of too few lines are left out before templates are looked at; every step
 before a shuffle is an aggregate or carries hashes only, never texts.
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyline.llm.common import unused
 from storyline.session import materialize
 
 LEAD = 3
@@ -84,26 +85,29 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring(
+    docs: DataFrame, min_docs: int = MIN_DOCS, out: tuple[str, str] = ("n_lines", "n_dropped"),
+) -> DataFrame:
     """``docs`` with ``text`` without its recurring lines, and n_lines, n_dropped.
 
-    The columns of ``docs`` stay, whatever their names; ``n_lines`` and ``n_dropped``
-    replace columns of that name. A null text stays null and has no lines; an empty
+    The columns of ``docs`` stay, whatever their names; the new columns, named by
+    ``out``, replace columns of that name. A null text stays null and has no lines; an empty
     text has one empty line. Lines without tokens stay. Repeated rows are treated
     alike. The first line of a template is that of the smallest doc_id (null first).
     """
+    key, text_hash, dropped = (unused([*docs.columns, *out], name) for name in ("_id", "_hash", "_dropped"))
     found = recurring_lines(docs.select("doc_id", "text"), min_docs).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped")
+        F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("dropped").alias(dropped)
     )
     joined = docs.join(
-        found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left"
+        found, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left"
     )
     split = F.split("text", "\n")
-    kept = F.filter(split, lambda _, i: ~F.array_contains("_dropped", i.cast("int")))
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long"))
-    counted = counted.withColumn("n_dropped", F.when(F.col("_id").isNull() & F.col("_hash").isNull(), F.lit(0)).otherwise(F.size("_dropped")).cast("long"))
-    text = F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return counted.withColumn("text", text).drop("_id", "_hash", "_dropped")
+    kept = F.filter(split, lambda _, i: ~F.array_contains(dropped, i.cast("int")))
+    counted = joined.withColumn(out[0], F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long"))
+    counted = counted.withColumn(out[1], F.when(F.col(text_hash).isNull(), F.lit(0)).otherwise(F.size(dropped)).cast("long"))
+    text = F.when(F.col(out[1]) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return counted.withColumn("text", text).drop(key, text_hash, dropped)
 
 
 SQL = rf"""

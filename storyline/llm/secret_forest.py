@@ -23,6 +23,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyline.llm.common import unused
+
 #: Words that name credentials, and words beside harmless identifiers.
 CREDENTIAL_WORDS = "password passwd pwd token secret apikey api_key access_key auth credential private_key".split()
 HARMLESS_WORDS = "commit sha sha1 sha256 md5 uuid guid id hash build version revision checksum digest etag order invoice isbn card".split()
@@ -209,23 +211,35 @@ def scored_candidates(docs: DataFrame, model: RandomForestClassificationModel, d
 
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = MASK) -> DataFrame:
-    """``docs`` with every secret of ``found`` replaced by ``mask`` in ``text``; columns stay."""
+    """``docs`` with every secret of ``found`` replaced by ``mask`` in ``text``.
+
+    Columns stay, whatever their names; rows of one id and text are masked alike, a null
+    text stays null. The text is cut at the secrets once and put together again, so the
+    work is in proportion to its length.
+    """
+    key, text_hash, places = (unused(docs.columns, name) for name in ("_id", "_hash", "_spans"))
     spans = found.where("secret").groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")
-    ).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    step = lambda done, s: F.struct(
-        F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, (s["start"] - done["at"]).cast("int")), F.lit(mask)).alias("out"),
-        s["end"].cast("int").alias("at"),
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    finish = lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2**31 - 1)))
-    clean = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", start, step, finish)).otherwise(F.col("text"))
-    return joined.withColumn("text", clean).drop("_id", "_hash", "_spans")
+        F.sort_array(F.collect_set(F.struct("start", "end"))).alias(places)
+    ).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), places)
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left")
+    # the stretch before each secret, and the rest behind the last one
+    before = F.transform(places, lambda s, n: F.substring(
+        F.col("text"),
+        F.when(n > 0, F.get(F.col(places), n - 1)["end"]).otherwise(F.lit(0)).cast("int") + 1,
+        (s["start"] - F.when(n > 0, F.get(F.col(places), n - 1)["end"]).otherwise(F.lit(0))).cast("int"),
+    ))
+    rest = F.substring(F.col("text"), F.element_at(places, -1)["end"].cast("int") + 1, F.lit(2**31 - 1))
+    clean = F.array_join(F.concat(before, F.array(rest)), mask)
+    return joined.withColumn("text", F.when(F.col(places).isNotNull(), clean).otherwise(F.col("text"))).drop(key, text_hash, places)
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Scored candidates under a forest trained with the corpus' own words."""
+    """Scored candidates under a forest trained with the corpus' own words.
+
+    As :func:`scored_candidates`: null and empty texts have none, repeated rows have
+    theirs repeated, other columns are not read; an empty table gives no rows. Ties of
+    the dictionary go by the word, so the same table gives the same scores.
+    """
     words = corpus_words(docs)
     dictionary = Dictionary(frozenset(words))
     model = train(docs.sparkSession, labelled_findings(words), dictionary)

@@ -17,7 +17,7 @@ def brute_bits(train_texts, text, symbol):
     S, others = L.SYMBOLS, int((symbol == 0).sum())
     trees = [dict() for _ in range(L.ORDER + 1)]
     for t in train_texts:
-        s = [0] * L.ORDER + symbol[list(t.encode()[: L.TRAIN_BYTES])].tolist()
+        s = [0] * L.ORDER + symbol[list(t.encode())].tolist()
         for i in range(L.ORDER, len(s)):
             for k in range(L.ORDER + 1):
                 trees[k].setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
