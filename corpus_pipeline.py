@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import lang_ppm, line_templates, secret_forest, vector_packing, word_copies
-from storyline.llm.common import read_table, release_finished, small_batches
+from storyline.llm import lang_ppm, line_templates, secret_forest, simhash_gray, vector_packing
+from storyline.llm.common import quoted, read_table, small_batches, unused
 from storyline.session import materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,55 +22,68 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as they were, with ``n_chars`` of the text as it is now."""
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.select(*columns)
+    return docs.select(*quoted(columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language stay; a null text or one without letters goes.
 
-    A missing language is filled in with the predicted one. Repeated rows stay.
+    A missing language is filled in with the predicted one. Where no row has a language
+    nothing is learned, and every text with letters stays as it is. Repeated rows stay,
+    and so do other columns, whatever their names.
     """
     small_batches(spark)
-    found = lang_ppm.predict(docs, lang_ppm.train_on(docs), out=("_predicted", "_sure"))
-    kept = found.where(F.col("_predicted") != lang_ppm.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "_predicted")).select(*docs.columns)
+    model = lang_ppm.train_on(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    predicted, sure = (unused(docs.columns, name) for name in ("_predicted", "_sure"))
+    found = lang_ppm.predict(docs, model, out=(predicted, sure))
+    kept = found.where(F.col(predicted) != lang_ppm.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", predicted)).select(*quoted(docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for the first; so do documents left without words."""
-    kept = line_templates.drop_recurring(docs)
-    return _measured(kept.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")), docs.columns)
+    """Lines of recurring templates go, but for the first; so do documents left without words.
+
+    Null texts stay. Repeated rows and other columns stay, whatever their names.
+    """
+    counts = tuple(unused(docs.columns, name) for name in ("_lines", "_gone"))
+    kept = line_templates.drop_recurring(docs, out=counts)
+    return _measured(kept.where((F.col(counts[1]) == 0) | F.col("text").rlike(r"\S")), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word Jaccard similarity of 4/5 or more one stays.
+    """Of the documents linked by their SimHash fingerprints one stays, that of the smallest doc_id.
 
-    It is the one with the smallest doc_id. Rows without an id stay where no document
-    with one is linked. Rows of one id and one text are one document; different texts
-    that are not linked stay, under one id or none.
+    Fingerprints are of four-word shingles and link at 4 or fewer differing bits. A row
+    with an id goes before one without; of several texts under one id, or without any,
+    the one of least hash. Different texts that are not linked stay, under one id or
+    none. Null and empty texts are linked like any other. Of repeated rows one stays, and
+    of rows that differ in other columns alone the first in the order of those.
     """
     small_batches(spark)
-    groups = materialize(word_copies.copy_components(docs), "copies")
-    release_finished(spark)
-    least = groups.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("_least"))
-    is_least = F.struct("doc_id", "text_hash") == F.col("_least")
-    kept = groups.join(least, "component").where(F.col("_least").isNull() | is_least)
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    stay = docs.join(kept, same, "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = stay.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_row")) if others else stay.distinct()
-    return one.select(*[F.col(f"_row.{c}").alias(c) if c in others else F.col(c) for c in docs.columns])
+    row_id = F.struct(
+        F.col("doc_id").isNull().alias("without"),
+        F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"),
+        F.xxhash64("text").alias("text_hash"),
+    )
+    groups = simhash_gray.near_components(docs.select(row_id.alias("doc_id"), "text"))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    others = quoted([c for c in docs.columns if c not in ("doc_id", "text")])
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.select(row_id.alias("key"), order.alias("order"), F.struct(*quoted(docs.columns)).alias("row"))
+    stay = rows.join(kept, F.col("key") == F.col("kept"), "left_semi")
+    return stay.groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; no document goes."""
+    """Secrets are masked in the texts; no document goes, null texts stay null."""
     small_batches(spark)
     return _measured(secret_forest.redact(docs, secret_forest.scan(docs)), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, with their token ids."""
+    """Pieces of training sequences, with their token ids; a null text is empty."""
     small_batches(spark)
     pieces = vector_packing.pack_documents(docs, VOCABULARY)
     return pieces.select(
