@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from storyline import constants as C
 from storyline.functions.text import list_text, words
 from storyline.functions.vectors import inner_product, l2_normalize, reciprocal_rank_fusion
+from storyline.operators.blocks import entry_rows
 from storyline.operators.skew import broadcast_if_small, rank_in_group
 from storyline.session import materialize
 
+#: Words of the topics, and vectors of them, that are sent to the tasks at a time.
 MAX_TOPIC_WORDS = 100_000
+MAX_TOPICS = 512
 
 
 def topic_words(keywords: dict[str, list[str]], spark) -> DataFrame:
@@ -34,44 +43,68 @@ def topic_words_of(topics: DataFrame) -> DataFrame:
     return counted.join(norms, "topic")
 
 
-def squared_norm(tokens: Column) -> Column:
-    """Sum of squared word counts, by run lengths of the sorted words; no shuffle."""
-    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("bigint").alias("run"),
-                     F.lit(0).cast("bigint").alias("total"))
-
-    def step(acc, word):
-        same = acc["word"] == word
-        run = F.when(same, acc["run"] + 1).otherwise(F.lit(1).cast("bigint"))
-        # a run of length r adds r^2 in steps of 2r - 1
-        return F.struct(word.alias("word"), run.alias("run"),
-                        (acc["total"] + 2 * run - 1).alias("total"))
-
-    return F.aggregate(F.sort_array(tokens), start, step, lambda acc: acc["total"])
-
-
 def topic_relevance(
-    articles: DataFrame, topics: DataFrame, key: str, text: str
+    articles: DataFrame, topics: DataFrame, key: str, text: str, most_words: int = MAX_TOPIC_WORDS
 ) -> DataFrame:
     """Cosine of word counts for every (article, topic) pair that shares a word.
 
-    ``topics`` is the output of :func:`topic_words_of`. Its size is checked
-    before it is broadcast; a larger table is joined by shuffle. Pairs without a
-    shared word have relevance 0 and are not listed: readers fill them in.
+    ``topics`` is the output of :func:`topic_words_of`. Its words are counted; a block
+    of topics with up to ``most_words`` of them goes to the tasks, and each article is
+    multiplied with it where it lies, so nothing is shuffled by word. More topics are
+    taken block by block. Pairs without a shared word have relevance 0 and are not
+    listed: readers fill them in.
     """
-    side = broadcast_if_small(topics, MAX_TOPIC_WORDS)
+    topics = materialize(topics, "topic-words")
+    blocks = max(1, -(-topics.count() // most_words))
     tokens = articles.select(key, words(F.col(text)).alias("_tokens"))
-    hits = (
-        tokens.select(key, F.explode_outer("_tokens").alias("term"))
-        .join(side, "term")
-        .groupBy(key, "topic", "topic_norm2")
-        .agg(F.sum("topic_tf").alias("dot"))
-    )
-    norms = tokens.select(key, squared_norm(F.col("_tokens")).alias("norm2"))
-    return hits.join(norms, key).select(
-        key, "topic",
-        (F.col("dot").cast("double") / F.sqrt((F.col("norm2") * F.col("topic_norm2")).cast("double")))
-        .alias("importance"),
-    )
+    block = F.pmod(F.xxhash64("topic"), F.lit(blocks))
+    parts = [_block_relevance(tokens, key, topics.where(block == n)) for n in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _block_relevance(tokens: DataFrame, key: str, topics: DataFrame) -> DataFrame:
+    """Relevance of every row of tokens to a block of topics, by a sparse product in each batch."""
+    rows = topics.select("topic", "term", "topic_tf", "topic_norm2").collect()  # at most about MAX_TOPIC_WORDS
+    names = sorted({r["topic"] for r in rows}, key=lambda t: (t is None, t))
+    place = {name: n for n, name in enumerate(names)}
+    norms = np.zeros(len(names), np.int64)
+    listed: dict[str, list[tuple[int, int]]] = {}
+    for r in rows:
+        norms[place[r["topic"]]] = r["topic_norm2"]
+        listed.setdefault(r["term"], []).append((place[r["topic"]], r["topic_tf"]))
+    terms = pa.array(sorted(listed), pa.string())
+    entries = [listed[t] for t in terms.to_pylist()]
+    begin = np.concatenate(([0], np.cumsum([len(e) for e in entries]))).astype(np.int64)
+    of_topic = np.array([t for e in entries for t, _ in e], np.int64)
+    counts = np.array([n for e in entries for _, n in e], np.int64)
+    topic_type = topics.schema["topic"].dataType
+    schema = T.StructType([tokens.schema[key], T.StructField("topic", topic_type), T.StructField("importance", T.DoubleType())])
+
+    def multiply(batches):
+        shown = pa.array(names, to_arrow_type(topic_type))
+        for batch in batches:
+            lists = batch.column("_tokens")
+            owner = entry_rows(lists)
+            flat = lists.flatten().dictionary_encode()
+            codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            width = max(len(flat.dictionary), 1)
+            pairs, tf = np.unique(owner * width + codes, return_counts=True)
+            norm2 = np.bincount(pairs // width, tf.astype(np.float64) ** 2, batch.num_rows).astype(np.int64)
+            found = pc.fill_null(pc.index_in(flat.dictionary, value_set=terms), -1).to_numpy().astype(np.int64)
+            known = found[codes] >= 0
+            owner, word = owner[known], found[codes[known]]
+            sizes = begin[word + 1] - begin[word]
+            at = np.repeat(begin[word], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hits = np.repeat(owner, sizes) * max(len(names), 1) + of_topic[at]
+            hit, inverse = np.unique(hits, return_inverse=True)
+            dot = np.bincount(inverse, counts[at], len(hit))
+            row, topic = hit // max(len(names), 1), hit % max(len(names), 1)
+            importance = dot / np.sqrt((norm2[row] * norms[topic]).astype(np.float64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(row)), shown.take(pa.array(topic)), pa.array(importance)], [key, "topic", "importance"]
+            )
+
+    return tokens.select(key, "_tokens").where(F.size("_tokens") > 0).mapInArrow(multiply, schema)
 
 
 def vector_relevance(
@@ -91,24 +124,36 @@ def vector_relevance(
     return unit.select(key, *columns)
 
 
-def vector_relevance_rows(articles: DataFrame, key: str, vector: str, topics: DataFrame) -> DataFrame:
+def vector_relevance_rows(
+    articles: DataFrame, key: str, vector: str, topics: DataFrame, most_topics: int = MAX_TOPICS
+) -> DataFrame:
     """(key, topic, importance): cosine of a model's vectors with every topic of a table.
 
-    ``topics`` is (topic, topic_vector), one row per topic; it travels as one value
-    inside the scan, so articles are neither joined nor shuffled.
+    ``topics`` is (topic, topic_vector), one row per topic. They are counted and travel in
+    blocks of about ``most_topics`` as one value inside a scan, so articles are neither
+    joined nor shuffled.
     """
-    listed = topics.select(
-        F.collect_list(F.struct("topic", l2_normalize(F.col("topic_vector")).alias("unit"))).alias("listed")
-    )
-    return (
-        articles.select(key, l2_normalize(F.col(vector)).alias("_unit"))
-        .withColumn("_topic", F.explode(listed.scalar()))
-        .select(key, "_topic.topic", inner_product(F.col("_unit"), F.col("_topic.unit")).alias("importance"))
-    )
+    topics = materialize(topics.select("topic", l2_normalize(F.col("topic_vector")).alias("unit")), "topic-vectors")
+    blocks = max(1, -(-topics.count() // most_topics))
+    unit = articles.select(key, l2_normalize(F.col(vector)).alias("_unit"))
+    block = F.pmod(F.xxhash64("topic"), F.lit(blocks))
+    parts = []
+    for n in range(blocks):
+        listed = topics.where(block == n).select(F.collect_list(F.struct("topic", "unit")).alias("listed"))
+        parts.append(unit.withColumn("_topic", F.explode(listed.scalar())))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select(key, "_topic.topic", inner_product(F.col("_unit"), F.col("_topic.unit")).alias("importance"))
 
 
-def articles_by_topic(articles: DataFrame, categories: str, topics: list[str]) -> DataFrame:
-    """One row per article and matching topic; an article may be in several."""
+def articles_by_topic(articles: DataFrame, categories: str, topics: list[str] | DataFrame) -> DataFrame:
+    """One row per article and matching topic; an article may be in several.
+
+    ``topics`` are a few names, or a table of any size with a column ``topic``.
+    """
+    if isinstance(topics, DataFrame):
+        listed = articles.withColumn("topic", F.explode(F.array_distinct(F.col(categories))))
+        wanted = broadcast_if_small(materialize(topics.select("topic").distinct(), "topics"))
+        return listed.join(wanted, "topic", "left_semi").select(*articles.columns, "topic")
     wanted = F.array(*[F.lit(t) for t in topics])
     found = F.array_intersect(F.col(categories), wanted)
     return articles.withColumn("topic", F.explode(found))
@@ -149,9 +194,11 @@ def top_with_ties(df: DataFrame, cut: int = C.UI_RANK_CUT) -> DataFrame:
     return df.where(F.col("rrf_rank") <= cut)
 
 
-def ui_projection(df: DataFrame) -> DataFrame:
+def ui_projection(df: DataFrame, *carried: str) -> DataFrame:
     """The export columns; ``source`` becomes the name held inside the struct.
 
+    ``carried`` names columns that go along, such as the id that breaks ties.
+
     Keywords are exported as JSON list text, also when they come as a list.
     """
     keywords = F.col("keywords")
@@ -160,5 +207,5 @@ def ui_projection(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("source.name").alias("source"),
         "author", "headline", "summary", keywords.alias("keywords"), "rrf_rank",
-        "sentiment", "publishedAt", "duplicate_count", "url", "topic",
+        "sentiment", "publishedAt", "duplicate_count", "url", "topic", *carried,
     )

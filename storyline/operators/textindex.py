@@ -15,10 +15,12 @@ from storyline import constants as C
 from storyline.functions.text import document_text, first_line, words
 from storyline.functions.times import zone_text
 from storyline.functions.vectors import inner_product
+from storyline.operators.answers import Model, with_answers
 from storyline.operators.blocks import entry_rows
 from storyline.operators.postings import idf_weight, postings_of, read_blocks, write_sparse
 from storyline.operators.skew import row_place, with_row_number
 from storyline.schemas import CHUNK_METADATA
+from storyline.session import materialize
 
 BLANK = r" \t\n\r\f"
 # a word with the white space behind it
@@ -218,9 +220,18 @@ def vectorize(df: DataFrame, text: str = "text", dims: int = DENSE_DIMS) -> Data
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Use a model's dense vectors (key, dense) instead of the offline ones."""
-    length2 = inner_product(F.col("dense"), F.col("dense"))
-    given = vectors.select(key, "dense").withColumn("norm2", length2)
-    return chunks.drop("dense", "norm2").join(given, key)
+    return _with_norm(chunks.drop("dense", "norm2").join(vectors.select(key, "dense"), key))
+
+
+def _with_norm(rows: DataFrame) -> DataFrame:
+    """``norm2`` of ``dense``; a row without a vector has length 0 and is no dense hit."""
+    dense = F.transform(F.coalesce("dense", F.array()), lambda x: x.cast("float"))
+    return rows.withColumn("dense", dense).withColumn("norm2", inner_product(F.col("dense"), F.col("dense")))
+
+
+def model_vectors(rows: DataFrame, text: str, model: Model) -> DataFrame:
+    """``rows`` with the model's vector of ``text`` as ``dense``; each text is asked about once."""
+    return _with_norm(with_answers(rows.drop("dense", "norm2"), text, model, "dense"))
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
@@ -237,9 +248,11 @@ def idf_table(chunks: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
-                overlap: int = C.CHUNK_OVERLAP, dims: int = DENSE_DIMS) -> DataFrame:
+                overlap: int = C.CHUNK_OVERLAP, dims: int = DENSE_DIMS, vectors: Model | None = None) -> DataFrame:
     """Write the chunk table (by topic), its postings and the word frequencies below ``path``.
 
+    ``vectors`` gives the dense vectors; without it they are counted words.
+
     ``docs`` has id, text, topic and may carry more columns. Documents are range-sorted
     by id and cut where they lie; chunks are numbered by their place, so numbers follow
     the order of (id, chunk_no) and ids of any size stay apart. Returns one row of run
@@ -250,6 +263,8 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
     titled = docs if "title" in docs.columns else with_title(docs)
     ranged = titled.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     chunks = vectorize(row_place(chunk_sentences(ranged, size, overlap)), dims=dims)
+    if vectors:  # stored first: the places of the chunks must not change while the model is asked
+        chunks = model_vectors(materialize(chunks, "chunks"), "text", vectors)
     chunks = chunks.observe(
         seen,
         F.count(F.lit(1)).alias("num_chunks"),

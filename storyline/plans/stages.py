@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline import constants as C
-from storyline.functions.replies import parse_reply
-from storyline.functions.text import article_text, combined_text
+from storyline.functions.replies import parse_intent, parse_reply
+from storyline.functions.text import article_text, combined_text, first_line
+from storyline.operators.answers import Model, with_answers
 from storyline.operators import callback, dedup, densejoin, rank, retrieve, termjoin, textindex
 from storyline.operators.chat import message_list
 from storyline.operators.clean import clean_articles, stamp_batch
@@ -102,26 +103,55 @@ def rank_topics(articles: DataFrame, topics: DataFrame, names: list[str], batch:
 
 
 def export(ranked: DataFrame, full_path: str, ui_path: str) -> None:
-    export_full_and_subset(rank.ui_projection(ranked), full_path, ui_path, C.UI_RANK_CUT)
+    """Both exports; the id goes along, as highlights break ties by it."""
+    carried = [c for c in ("id",) if c in ranked.columns]
+    export_full_and_subset(rank.ui_projection(ranked, *carried), full_path, ui_path, C.UI_RANK_CUT)
 
 
-def index_export(spark: SparkSession, full_path: str, index_path: str, **options) -> DataFrame:
-    """Chunk and index the full export; returns the run facts."""
-    rows = dense_row_id(spark.read.parquet(full_path), ["topic", "rrf_rank", "url"])
+def index_export(
+    spark: SparkSession, full_path: str, index_path: str, titles: Model | None = None, vectors: Model | None = None, **options
+) -> DataFrame:
+    """Chunk and index the full export; returns the run facts.
+
+    Rows are numbered by topic, rank and url, then by what else is in them, so ties get
+    the same numbers at every run. ``titles`` makes a title of each document, ``vectors``
+    the dense vector of each chunk; each text is asked about once, also over several runs.
+    """
+    stored = spark.read.parquet(full_path)
+    rows = stored.withColumn("_row", F.xxhash64(*stored.columns)).drop("id")
+    rows = dense_row_id(rows, ["topic", "rrf_rank", "url", "_row"]).drop("_row")
     docs = textindex.documents(rows).withColumn("topic", F.col("metadata.topic"))
-    return textindex.build_index(docs, index_path, **options)
+    if titles:
+        docs = materialize(with_answers(docs, "text", titles, "title"), "titled")
+        docs = docs.withColumn("title", F.coalesce("title", first_line(F.col("text"))))
+    return textindex.build_index(docs, index_path, vectors=vectors, **options)
 
 
 def answer_prompts(
     questions: DataFrame, index_path: str, system: Column, history: DataFrame | None = None,
-    k: int = C.TOP_K,
+    k: int = C.TOP_K, intents: Model | None = None, rephrasing: Model | None = None, vectors: Model | None = None,
 ) -> DataFrame:
-    """Message rows for every accepted question (question_id, question, intention, category)."""
+    """Message rows for every accepted question (question_id, question, intention, category).
+
+    ``intents`` replies give intention and category where the questions do not bring them,
+    ``rephrasing`` words a question anew (a bare topic word has its own question), and
+    ``vectors`` must be the model of the index. Each text is asked about once. A question
+    that could not be rephrased goes on as it is; one without a vector finds nothing.
+    """
     spark = questions.sparkSession
-    asked = retrieve.in_scope(questions).withColumn(
-        "rephrased", retrieve.rephrase(F.col("question"))
-    )
-    asked = materialize(textindex.vectorize(asked, "rephrased"), "questions")
+    if intents:
+        replied = materialize(with_answers(questions, "question", intents, "_reply"), "intents")
+        questions = parse_intent(replied, "_reply").drop("_reply")
+    asked = retrieve.in_scope(questions).withColumn("rephrased", retrieve.rephrase(F.col("question")))
+    if rephrasing:
+        # a bare topic word has its own question, and the model is not asked
+        plain = asked.withColumn("_plain", F.when(F.col("rephrased") == F.col("question"), F.col("rephrased")))
+        worded = materialize(with_answers(plain, "_plain", rephrasing, "_worded"), "rephrased")
+        asked = worded.withColumn("rephrased", F.coalesce("_worded", "rephrased")).drop("_worded", "_plain")
+    asked = textindex.vectorize(asked, "rephrased")
+    if vectors:
+        asked = textindex.model_vectors(asked, "rephrased", vectors)
+    asked = materialize(asked, "questions")
     chunks = textindex.read_chunks(spark, index_path)
     hits = retrieve.dense_top_k(chunks, asked, k, category="category")
     context = retrieve.contexts(hits, chunks)

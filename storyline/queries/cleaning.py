@@ -115,8 +115,8 @@ def category_parse_parity(spark, sf_dir):
 
 def category_membership(spark, sf_dir):
     rows = _categorized(spark, sf_dir).withColumn("categories", X.parse_categories(F.col("categories")))
-    topics = [r.lang for r in table(spark, sf_dir, "documents").where("lang is not null").select("lang").distinct().collect()]
-    return articles_by_topic(rows, "categories", sorted(topics)).select("doc_id", "topic")
+    topics = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("lang").alias("topic")).distinct()
+    return articles_by_topic(rows, "categories", topics).select("doc_id", "topic")
 
 
 QUERIES = {

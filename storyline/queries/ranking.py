@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.functions import text as X
@@ -125,10 +122,10 @@ def rrf_rank(spark, sf_dir):
 
 def topic_union(spark, sf_dir):
     """The ranked frames of all topics united again."""
-    rows = ranked(spark, sf_dir).select(F.col("id").alias("doc_id"), "topic", "rrf_rank")
-    topics = [r.topic for r in rows.select("topic").distinct().orderBy("topic").collect()]  # a few names
-    frames = [rows.where(F.col("topic").eqNullSafe(F.lit(t))) for t in topics]
-    return functools.reduce(DataFrame.unionByName, frames, rows.limit(0))
+    path = scratch_path(spark, "by-topic")
+    write_table(ranked(spark, sf_dir).select(F.col("id").alias("doc_id"), "topic", "rrf_rank"), path, "overwrite", ["topic"])
+    # one folder per topic: the scan of all of them is the union, whatever the number of topics
+    return spark.read.schema("doc_id long, topic string, rrf_rank long").parquet(path)
 
 
 def top15_with_ties(spark, sf_dir):

@@ -51,19 +51,23 @@ class FeedReader(DataSourceReader):
         for page in range(1, self.max_pages + 1):
             try:
                 articles = self.fetch(query, self.language, self.from_date, page, self.page_size)
-            except Exception as error:
+                rows = [self._values(article) for article in articles]
+            except Exception as error:  # a failed call, or a page that is no list of articles
                 yield (None,) * len(FEED_ARTICLE.fields) + (topic, f"page {page}: {error}")
                 return
-            for article in articles:
-                source = article.get("source") or {}
-                values = [
-                    (source.get("id"), source.get("name")) if name == "source" else article.get(name)
-                    for name in FEED_ARTICLE.fieldNames()
-                ]
+            for values in rows:
                 yield (*values, topic, None)
-            if len(articles) < self.page_size:
+            if len(rows) < self.page_size:
                 return
 
+    @staticmethod
+    def _values(article: dict) -> list:
+        source = article.get("source") or {}
+        return [
+            (source.get("id"), source.get("name")) if name == "source" else article.get(name)
+            for name in FEED_ARTICLE.fieldNames()
+        ]
+
 
 def feed_source(fetch: Fetch, name: str = "article_feed") -> type[DataSource]:
     """A registrable data source over the caller's ``fetch`` function."""
