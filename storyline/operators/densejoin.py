@@ -1,35 +1,50 @@
 """Exact k-nearest-neighbour join of dense vectors by inner product of unit vectors.
 
-Vectors are assigned to the nearest of a bounded number of pivots (cells), cells
-are cut into blocks of bounded size, and blocks are multiplied inside tasks that
-return only the best ``k`` per row. A first pass inside the home cells gives every
-row a lower bound for its k-th similarity; a second pass visits another cell only
-if the angle between the pivots, less both cell radii, could still beat that
-bound. Skipped work is therefore never needed, and what is not skipped is exact.
-Identical vectors are collapsed first, so a mass of copies costs one row.
+Vectors are sorted into a tree of pivots: a cell of more rows than a block is divided
+among a few pivots of its own, chosen by hash, until cells are of bounded size. A node
+knows its pivot and the largest angle of its rows to it, a ball that holds them all.
+Cells are multiplied block by block inside tasks that return only the best ``k`` per
+row. A first pass inside the home cells gives every row a lower bound for its k-th
+similarity; then every cell walks down the tree, and a node is passed over if the angle
+between the pivots, less both radii, cannot beat the bound of any row of the cell.
+Skipped work is therefore never needed, and what is not skipped is exact. Tree, bounds
+and walk are tables; nothing of them is gathered on the driver. Identical vectors are
+collapsed first, so a mass of copies costs one row.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyline.functions.vectors import l2_norm
+from storyline.functions.vectors import inner_product, l2_norm
 from storyline.operators.blocks import best_per_row, matrix
 from storyline.operators.skew import hot_limit, join_hot, top_n_per_group
 from storyline.session import materialize
 
 BLOCK_ROWS = 1024
 BLOCK_VALUES = 1_000_000
-MAX_PIVOTS = 1024
+#: Pivots that divide a cell, and levels of the tree; a cell that is too large at the last
+#: level is cut into blocks.
+FAN = 16
+MAX_DEPTH = 12
 ANGLE_SLACK = 1e-6
 
 
+class Tree(NamedTuple):
+    """``placed``: gid, vec, cell (a leaf) of every row. ``nodes``: node, parent, pivot, radius, leaf, level."""
+
+    placed: DataFrame
+    nodes: DataFrame | None
+    depth: int
+
+
 def _angle(similarity: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(similarity, -1.0, 1.0))
 
@@ -47,33 +62,55 @@ def unit_vectors(df: DataFrame, id_col: str, vector_col: str, normalize: bool =
     return rows.select("id", F.transform("vec", lambda x: x / F.col("_norm")).alias("vec"))
 
 
-def _pivots(vectors: DataFrame, rows: int, block_rows: int) -> np.ndarray:
-    """A bounded, repeatable choice of pivots; it steers the cost, never the result."""
-    count = min(MAX_PIVOTS, max(1, rows // block_rows))
-    picked = vectors.orderBy(F.xxhash64("gid"), "gid").limit(count).select("vec").collect()
-    return np.array([r[0] for r in picked], dtype=np.float64)
-
-
-def _assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    def assign(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            similarity = matrix(batch.column("vec")) @ pivots.T
-            cell = similarity.argmax(axis=1)
-            angle = _angle(similarity[np.arange(len(cell)), cell])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("gid"), batch.column("vec"), pa.array(cell, pa.int32()), pa.array(angle)],
-                names=["gid", "vec", "cell", "angle"],
-            )
-
-    return vectors.mapInArrow(assign, "gid long, vec array<double>, cell int, angle double")
+def _assign():
+    """Child and angle of the rows of one part of a cell, by the cell's pivots."""
+
+    def assign(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        names = ["gid", "vec", "node", "angle"]
+        if not rows.num_rows or not pivots.num_rows:
+            return pa.table([rows["gid"], rows["vec"], pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        similarity = matrix(rows["vec"]) @ matrix(pivots["pivot"]).T
+        best = similarity.argmax(axis=1)
+        angle = _angle(similarity[np.arange(len(best)), best])
+        return pa.table([rows["gid"], rows["vec"], pa.array(pivots["child"].to_numpy()[best]), pa.array(angle)], names=names)
+
+    return assign
+
+
+def pivot_tree(vectors: DataFrame, block_rows: int, fan: int = FAN) -> Tree:
+    """The tree over (gid, vec). Pivots are chosen by hash and steer the cost, never the result."""
+    row = "gid long, vec array<double>, node long, angle double"
+    rows = materialize(vectors.select("gid", "vec", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("angle")), "tree-rows")
+    done, nodes, depth = [], [], 0
+    while True:
+        sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")), "tree-sizes")
+        crowded = sizes.where(F.col("rows") > block_rows)
+        if depth == MAX_DEPTH or crowded.isEmpty():
+            done.append(rows)
+            break
+        done.append(rows.join(crowded.select("node"), "node", "left_anti"))
+        # parts of a cell meet its pivots apart, so that no task holds a large cell
+        divided = rows.join(crowded, "node").withColumn("parts", F.ceil(F.col("rows") / (8 * block_rows)).cast("int"))
+        order = [F.xxhash64("gid", F.lit(depth)), F.col("gid")]
+        chosen = top_n_per_group(divided.select("node", "gid", "parts"), ["node"], order, fan)
+        place = F.row_number().over(Window.partitionBy("node").orderBy("gid"))
+        pivots = chosen.withColumn("child", F.col("node") * fan + place).join(vectors.select("gid", F.col("vec").alias("pivot")), "gid")
+        pivots = materialize(pivots.select("node", "child", "pivot", "parts"), "tree-pivots")
+        each = pivots.select("node", "child", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        dealt = divided.select("node", "gid", "vec", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int").alias("part"))
+        rows = materialize(dealt.groupBy("node", "part").cogroup(each.groupBy("node", "part")).applyInArrow(_assign(), row), "tree-rows")
+        depth += 1
+        balls = rows.groupBy("node").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("rows"))
+        leaf = F.lit(True) if depth == MAX_DEPTH else F.col("rows") <= block_rows
+        level = pivots.select(F.col("child").alias("node"), F.col("node").alias("parent"), "pivot").join(balls, "node")
+        nodes.append(materialize(level.select("node", "parent", "pivot", "radius", leaf.alias("leaf"), F.lit(depth).alias("level")), "tree-nodes"))
+    placed = reduce(DataFrame.unionByName, done).select("gid", "vec", F.col("node").alias("cell"))
+    return Tree(placed, reduce(DataFrame.unionByName, nodes) if nodes else None, depth)
 
 
 def _pack_blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row per block: its cell, number, ids and vectors; of about equal, bounded size."""
-    # one row per cell, at most MAX_PIVOTS
-    blocked = placed.join(F.broadcast(sizes), "cell").withColumn(
+    blocked = placed.join(sizes, "cell").withColumn(
         "block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
     )
     return blocked.groupBy("cell", "block").agg(
@@ -102,21 +139,29 @@ def _best_of_pairs(pairs: DataFrame, k: int, floor: float) -> DataFrame:
     return pairs.select("left", "right").mapInArrow(best, "src long, dst long, sim double")
 
 
-def _cells_to_visit(stats: list, pivots: np.ndarray, unit: bool) -> list[tuple[int, int]]:
-    """Cell pairs that may still hold a better partner; at most MAX_PIVOTS squared."""
-    cells = np.array([r["cell"] for r in stats])
-    radius = np.array([r["radius"] for r in stats])
-    needed = np.array([np.pi if r["floor"] is None else r["floor"] for r in stats])
-    between = _angle(pivots[cells] @ pivots[cells].T)
-    least = between - radius[:, None] - radius[None, :]
-    visit = (least <= needed[:, None] + ANGLE_SLACK) | (not unit)
-    np.fill_diagonal(visit, False)
-    return [(int(cells[i]), int(cells[j])) for i, j in zip(*np.nonzero(visit))]
+def cells_to_visit(tree: Tree, bounds: DataFrame, unit: bool) -> DataFrame:
+    """(cell, cell_b): other cells that may still hold a better partner of a row of the cell.
+
+    ``bounds`` has (cell, needed): the largest angle at which a partner is still wanted.
+    """
+    balls = tree.nodes.where("leaf").select(F.col("node").alias("cell"), F.col("pivot").alias("centre"), F.col("radius").alias("reach"))
+    front = balls.join(bounds, "cell").withColumn("at", F.lit(0).cast("long"))
+    found = []
+    for level in range(1, tree.depth + 1):
+        below = tree.nodes.where(F.col("level") == level).select("node", F.col("parent").alias("at"), "pivot", "radius", "leaf")
+        # the first level has at most FAN nodes
+        met = front.join(F.broadcast(below) if level == 1 else below, "at").drop("at")
+        between = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), inner_product(F.col("centre"), F.col("pivot")))))
+        near = (between - F.col("reach") - F.col("radius") <= F.col("needed") + ANGLE_SLACK) if unit else F.lit(True)
+        met = materialize(met.where(near).withColumnRenamed("node", "at").drop("pivot", "radius"), "tree-walk")
+        found.append(met.where("leaf and at != cell").select("cell", F.col("at").alias("cell_b")))
+        front = met.where("not leaf").drop("leaf")
+    return reduce(DataFrame.unionByName, found)
 
 
 def nearest_neighbours(
     vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS, unit: bool = True,
-    floor: float | None = None,
+    floor: float | None = None, fan: int = FAN,
 ) -> DataFrame:
     """The ``k`` most similar other rows of each row of ``vectors`` (id, vec).
 
@@ -145,10 +190,10 @@ def nearest_neighbours(
     shape = distinct.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vec")).alias("dims")).first()
     # a packed block stays below BLOCK_VALUES numbers, whatever the dimension
     block_rows = max(1, min(block_rows, BLOCK_VALUES // (shape["dims"] or 1)))
-    pivots = _pivots(distinct, shape["rows"], block_rows)
-    if len(pivots) == 0:
+    if not shape["rows"]:
         return spark.createDataFrame([], "src bigint, dst bigint, pos bigint, sim double")
-    placed = materialize(_assign_cells(distinct, pivots), "cells")
+    tree = pivot_tree(distinct, block_rows, fan)
+    placed = tree.placed
     cells = placed.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks")
     )
@@ -159,28 +204,22 @@ def nearest_neighbours(
     home = left.join(right, F.col("cell") == F.col("cell_b"))
     near = materialize(top_by_source(_best_of_pairs(home, k, least), k), "home-neighbours")
 
-    floors = near.groupBy("src").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("found"))
-    floors = floors.select(
-        F.col("src").alias("gid"), F.when(F.col("found") >= k, F.col("kth")).alias("kth")
-    )
-    # a row with fewer than k partners so far has no bound but the given one
-    stats = (
-        placed.select("gid", "cell", "angle")
-        .join(floors, "gid", "left")
-        .withColumn("kth", F.coalesce("kth", F.lit(floor).cast("double")))
-        .groupBy("cell")
-        .agg(
-            F.max("angle").alias("radius"),
-            F.when(F.count("kth") == F.count(F.lit(1)), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.min("kth"))))).alias("floor"),
+    if tree.depth:
+        floors = near.groupBy("src").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("found"))
+        floors = floors.select(
+            F.col("src").alias("gid"), F.when(F.col("found") >= k, F.col("kth")).alias("kth")
         )
-        .collect()
-    )
-    visits = _cells_to_visit(stats, pivots, unit)
-    if visits:
-        visit = spark.createDataFrame(
-            pd.DataFrame(visits, columns=["cell", "cell_b"]), "cell int, cell_b int"
+        # a row with fewer than k partners so far has no bound but the given one
+        needed = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.min("kth"))))
+        bounds = (
+            placed.select("gid", "cell")
+            .join(floors, "gid", "left")
+            .withColumn("kth", F.coalesce("kth", F.lit(floor).cast("double")))
+            .groupBy("cell")
+            .agg(F.when(F.count("kth") == F.count(F.lit(1)), needed).otherwise(F.lit(math.pi)).alias("needed"))
         )
-        away = left.join(F.broadcast(visit), "cell").join(right, "cell_b")
+        visit = materialize(cells_to_visit(tree, bounds, unit), "visits")
+        away = left.join(visit, "cell").join(right, "cell_b")
         near = top_by_source(near.unionByName(_best_of_pairs(away, k, least)), k)
 
     # back to rows: own copies first, then the lowest ids of the near groups

@@ -14,6 +14,9 @@ How the join stays exact and small:
   touch at most D parts, so some part that holds words is the same in both. A part's
   words, four or five of them, are a signature, and only sets that share one are met:
   frequent words tell nothing by themselves and need no list;
+* of the sets that meet, most share a part of one frequent word by chance; a sketch of
+  each set (for every bit, whether an odd number of its words have it) tells at least in
+  how many words two sets differ, and rules these pairs out before any word is compared;
 * a pair is met only where a stretch of shared parts begins, not once per part;
 * signatures of up to ``posting_limit`` sets are joined; those of a mass of near copies
   are cut into blocks and compared inside tasks that return only the best ``k`` per row.
@@ -35,6 +38,7 @@ from storyline.session import materialize, shuffle_partitions
 POSTING_LIMIT = 512
 BLOCK_ROWS = 2048
 VOCABULARY_SLICE = 4096
+SKETCH_BITS = 512
 #: Parts beyond D + 1: sets with at most so many empty parts share one that is not empty.
 SPARE_PARTS = 3
 
@@ -150,6 +154,32 @@ def _reaches(overlap: str, n_a: str, n_b: str, percent: int) -> str:
     return f"10000 * {overlap} * {overlap} >= {percent * percent} * {n_a} * {n_b}"
 
 
+def set_sketches(reps: DataFrame) -> DataFrame:
+    """(gid, sketch): per bit, the parity of the words that have it."""
+
+    def sketch(batches):
+        for batch in batches:
+            lists = batch.column("hashes")
+            bit = _mixed(lists.flatten().to_numpy().view(np.uint64)) % np.uint64(SKETCH_BITS)
+            counts = np.bincount(entry_rows(lists) * SKETCH_BITS + bit.astype(np.int64), minlength=batch.num_rows * SKETCH_BITS)
+            packed = np.packbits((counts % 2).astype(np.uint8)).view(np.int64)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (SKETCH_BITS // 64))
+            yield pa.RecordBatch.from_arrays([batch.column("gid"), pa.ListArray.from_arrays(ends, pa.array(packed))], names=["gid", "sketch"])
+
+    hashed = reps.select("gid", F.transform("terms", lambda w: F.xxhash64(w)).alias("hashes"))
+    return hashed.mapInArrow(sketch, "gid long, sketch array<long>")
+
+
+def likely_pairs(candidates: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Candidates that the sketches do not rule out: words differ in at least as many as bits do."""
+    left = sketches.select(F.col("gid").alias("a"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("gid").alias("b"), F.col("sketch").alias("sb"))
+    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    met = candidates.join(left, "a").join(right, "b").withColumn("_differ", bits)
+    met = met.withColumn("most", F.expr("(na + nb - _differ) div 2"))
+    return met.where(_reaches("most", "na", "nb", percent)).select("a", "b", "na", "nb")
+
+
 def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb) of the sets that share a signature, each pair once, ``a`` at home in its band."""
     a = short.where("home").select("key", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prior").alias("pa"))
@@ -168,7 +198,8 @@ def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
 
 def _short_list_pairs(short: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Verified pairs from short signature lists, in both directions."""
-    candidates = candidate_pairs(short, percent)
+    sketches = materialize(set_sketches(reps), "set-sketches")
+    candidates = materialize(likely_pairs(candidate_pairs(short, percent), sketches, percent), "likely-pairs")
     left = reps.select(F.col("gid").alias("a"), F.col("terms").alias("ta"))
     right = reps.select(F.col("gid").alias("b"), F.col("terms").alias("tb"))
     verified = (

@@ -125,7 +125,8 @@ def embedding_json_roundtrip(spark, sf_dir):
 
 def _neighbours(spark, sf_dir):
     rows = densejoin.unit_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return densejoin.nearest_neighbours(rows, 4)
+    # small cells, so that tables of a few thousand vectors have a tree as well
+    return densejoin.nearest_neighbours(rows, 4, block_rows=128, fan=4)
 
 
 def knn_self_join(spark, sf_dir):

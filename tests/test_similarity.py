@@ -70,6 +70,20 @@ def test_similar_sets_share_a_filled_part(spark):
     assert got == brute_edges(texts, 4, 90) and len(got) > 100
 
 
+def test_sketches_rule_out_chance_pairs_alone(spark):
+    """Unlike sets that share words by chance go; every pair that reaches the threshold stays."""
+    rng = random.Random(6)
+    common = [f"{chr(97 + a)}{chr(97 + b)}" for a in range(8) for b in range(10)]
+    texts = [rng.sample(common, 30) + ["z" + w for w in rng.sample(common, 30)] for _ in range(60)]
+    texts += [t[:-2] + ["new"] for t in texts[:20]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id bigint, text string")
+    reps = termjoin.term_sets(df, "id", "text").select(F.col("id").alias("gid"), "n", "terms")
+    every = reps.select(F.col("gid").alias("a"), F.col("n").alias("na")).join(reps.select(F.col("gid").alias("b"), F.col("n").alias("nb")), F.expr("a < b"))
+    left = {(r["a"], r["b"]) for r in termjoin.likely_pairs(every, termjoin.set_sketches(reps), 90).collect()}
+    near = {(a, b) for a in range(80) for b in range(a + 1, 80) if len(set(texts[a]) & set(texts[b])) ** 2 * 100 >= 81 * len(set(texts[a])) * len(set(texts[b]))}
+    assert near <= left and len(near) >= 20 and len(left) < 80 * 79 / 2 / 10
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 97, 100])
 def test_bands_and_bound_of_differing_words(percent):
     bounds = termjoin.size_bands(300, percent)
@@ -211,6 +225,38 @@ def test_a_floor_gives_the_same_list_cut(spark, floor):
     assert rows(densejoin.nearest_neighbours(df, 4, 8, floor=floor)) == rows(whole)
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_a_deep_tree_skips_cells_and_loses_nothing(spark, fan):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 10))
+    m = centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 10)) * 0.03
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
+    got = defaultdict(list)
+    for r in densejoin.nearest_neighbours(df, 4, 25, fan=fan).orderBy("src", "pos").collect():
+        got[r["src"]].append(r["dst"])
+    assert dict(got) == brute_nearest(list(range(600)), m, 4)
+    tree = densejoin.pivot_tree(df.withColumnRenamed("id", "gid"), 25, fan)
+    leaves = tree.nodes.where("leaf").select("node").distinct().count()
+    assert tree.depth > 1 and tree.placed.count() == 600
+    assert tree.placed.groupBy("cell").count().agg(F.max("count")).first()[0] <= 25
+    bounds = tree.placed.select("cell").distinct().withColumn("needed", F.lit(0.15))
+    visits = densejoin.cells_to_visit(tree, bounds, True)
+    assert visits.count() == visits.distinct().count() < leaves * (leaves - 1) / 2
+    # every node's ball holds all rows of the cells below it
+    place = {r["cell"]: [] for r in tree.placed.select("cell").collect()}
+    for r in tree.placed.collect():
+        place[r["cell"]].append(np.array(r["vec"]))
+    nodes = {r["node"]: r for r in tree.nodes.collect()}
+    for cell, rows_of in place.items():
+        node = cell
+        while node:
+            ball = nodes[node]
+            angles = np.arccos(np.clip(np.array(rows_of) @ np.array(ball["pivot"]), -1, 1))
+            assert angles.max() <= ball["radius"] + 1e-9
+            node = ball["parent"]
+
+
 def test_raw_inner_product_of_vectors_of_any_length(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(80, 5)) * rng.uniform(0.1, 9, size=(80, 1))
