@@ -83,7 +83,7 @@ def pivot_tree(vectors: DataFrame, block_rows: int, fan: int = FAN) -> Tree:
     rows = materialize(vectors.select("gid", "vec", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("angle")), "tree-rows")
     done, nodes, depth = [], [], 0
     while True:
-        sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")), "tree-sizes")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
         crowded = sizes.where(F.col("rows") > block_rows)
         if depth == MAX_DEPTH or crowded.isEmpty():
             done.append(rows)
@@ -103,9 +103,9 @@ def pivot_tree(vectors: DataFrame, block_rows: int, fan: int = FAN) -> Tree:
         balls = rows.groupBy("node").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("rows"))
         leaf = F.lit(True) if depth == MAX_DEPTH else F.col("rows") <= block_rows
         level = pivots.select(F.col("child").alias("node"), F.col("node").alias("parent"), "pivot").join(balls, "node")
-        nodes.append(materialize(level.select("node", "parent", "pivot", "radius", leaf.alias("leaf"), F.lit(depth).alias("level")), "tree-nodes"))
+        nodes.append(level.select("node", "parent", "pivot", "radius", leaf.alias("leaf"), F.lit(depth).alias("level")))
     placed = reduce(DataFrame.unionByName, done).select("gid", "vec", F.col("node").alias("cell"))
-    return Tree(placed, reduce(DataFrame.unionByName, nodes) if nodes else None, depth)
+    return Tree(placed, materialize(reduce(DataFrame.unionByName, nodes), "tree-nodes") if nodes else None, depth)
 
 
 def _pack_blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -153,7 +153,9 @@ def cells_to_visit(tree: Tree, bounds: DataFrame, unit: bool) -> DataFrame:
         met = front.join(F.broadcast(below) if level == 1 else below, "at").drop("at")
         between = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), inner_product(F.col("centre"), F.col("pivot")))))
         near = (between - F.col("reach") - F.col("radius") <= F.col("needed") + ANGLE_SLACK) if unit else F.lit(True)
-        met = materialize(met.where(near).withColumnRenamed("node", "at").drop("pivot", "radius"), "tree-walk")
+        met = met.where(near).withColumnRenamed("node", "at").drop("pivot", "radius")
+        if level < tree.depth:  # read twice
+            met = materialize(met, "tree-walk")
         found.append(met.where("leaf and at != cell").select("cell", F.col("at").alias("cell_b")))
         front = met.where("not leaf").drop("leaf")
     return reduce(DataFrame.unionByName, found)
