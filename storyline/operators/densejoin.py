@@ -77,14 +77,19 @@ def _assign():
     return assign
 
 
-def pivot_tree(vectors: DataFrame, block_rows: int, fan: int = FAN) -> Tree:
-    """The tree over (gid, vec). Pivots are chosen by hash and steer the cost, never the result."""
+def pivot_tree(vectors: DataFrame, block_rows: int, fan: int = FAN, roots: int = 1) -> Tree:
+    """The tree over (gid, vec). Pivots are chosen by hash and steer the cost, never the result.
+
+    A column ``root`` (0 to ``roots`` - 1) gives each root a tree of its own; its number is
+    the node number modulo ``roots``. A cell of one direction only is not divided.
+    """
     row = "gid long, vec array<double>, node long, angle double"
-    rows = materialize(vectors.select("gid", "vec", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("angle")), "tree-rows")
+    top = F.col("root") if "root" in vectors.columns else F.lit(0)
+    rows = materialize(vectors.select("gid", "vec", top.cast("long").alias("node"), F.lit(math.pi).alias("angle")), "tree-rows")
     done, nodes, depth = [], [], 0
     while True:
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
-        crowded = sizes.where(F.col("rows") > block_rows)
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("wide"))
+        crowded = sizes.where((F.col("rows") > block_rows) & (F.col("wide") > ANGLE_SLACK)).drop("wide")
         if depth == MAX_DEPTH or crowded.isEmpty():
             done.append(rows)
             break
@@ -94,14 +99,15 @@ def pivot_tree(vectors: DataFrame, block_rows: int, fan: int = FAN) -> Tree:
         order = [F.xxhash64("gid", F.lit(depth)), F.col("gid")]
         chosen = top_n_per_group(divided.select("node", "gid", "parts"), ["node"], order, fan)
         place = F.row_number().over(Window.partitionBy("node").orderBy("gid"))
-        pivots = chosen.withColumn("child", F.col("node") * fan + place).join(vectors.select("gid", F.col("vec").alias("pivot")), "gid")
+        child = (F.floor(F.col("node") / roots) * fan + place) * roots + F.pmod("node", F.lit(roots))
+        pivots = chosen.withColumn("child", child).join(vectors.select("gid", F.col("vec").alias("pivot")), "gid")
         pivots = materialize(pivots.select("node", "child", "pivot", "parts"), "tree-pivots")
         each = pivots.select("node", "child", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         dealt = divided.select("node", "gid", "vec", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int").alias("part"))
         rows = materialize(dealt.groupBy("node", "part").cogroup(each.groupBy("node", "part")).applyInArrow(_assign(), row), "tree-rows")
         depth += 1
         balls = rows.groupBy("node").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("rows"))
-        leaf = F.lit(True) if depth == MAX_DEPTH else F.col("rows") <= block_rows
+        leaf = F.lit(depth == MAX_DEPTH) | (F.col("rows") <= block_rows) | (F.col("radius") <= ANGLE_SLACK)
         level = pivots.select(F.col("child").alias("node"), F.col("node").alias("parent"), "pivot").join(balls, "node")
         nodes.append(level.select("node", "parent", "pivot", "radius", leaf.alias("leaf"), F.lit(depth).alias("level")))
     placed = reduce(DataFrame.unionByName, done).select("gid", "vec", F.col("node").alias("cell"))

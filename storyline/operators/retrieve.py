@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from storyline import constants as C
 from storyline.functions.vectors import reciprocal_rank_fusion
 from storyline.operators.blocks import best_matrix, matrix, merge_best
+from storyline.operators.cells import DenseIndex, search
 from storyline.operators.postings import SparseIndex, walk
 from storyline.operators.skew import broadcast_if_small, top_n_per_group
 from storyline.session import materialize
@@ -45,6 +46,7 @@ def _scan(
     """Best ``k`` chunks per question and task; ``score(batch)`` gives questions x rows."""
     filtered = categories is not None
     wanted = pa.array(categories or [], pa.string()).to_numpy(zero_copy_only=False)
+    named = np.array([c is not None for c in categories or []], dtype=bool)
 
     def scan(batches):
         held = best_matrix(np.zeros((len(ids), 0)), np.zeros(0, dtype=np.int64), k)
@@ -54,7 +56,7 @@ def _scan(
                 scores = score(batch)
                 if filtered:
                     topics = batch.column("topic").to_numpy(zero_copy_only=False)
-                    match = (wanted[:, None] == C.GENERAL_CATEGORY) | (wanted[:, None] == topics[None, :])
+                    match = (wanted[:, None] == C.GENERAL_CATEGORY) | (named[:, None] & (wanted[:, None] == topics[None, :]))
                     scores = np.where(match, scores, -np.inf)
                 chunk_ids = batch.column("chunk_id").to_numpy()
                 held = merge_best(held, best_matrix(scores, chunk_ids, k))
@@ -106,12 +108,20 @@ def dense_top_k(
             lengths = np.sqrt(norms[:, None] * batch.column("norm2").to_numpy()[None, :])
             return np.where(lengths > 0, dots / np.where(lengths > 0, lengths, 1.0), -np.inf)
 
-        parts.append(_scan(chunks, ["dense", "norm2"], cosine, ids, categories, k))
+        parts.append(_scan(chunks.where("norm2 > 0"), ["dense", "norm2"], cosine, ids, categories, k))
     if not parts:
         return _no_hits(chunks)
     return _ranked(parts, k)
 
 
+def dense_index_top_k(
+    index: DenseIndex, questions: DataFrame, k: int = C.TOP_K, category: str | None = None,
+) -> DataFrame:
+    """:func:`dense_top_k` through the stored cells: only cells that may hold a hit are read."""
+    hits, _ = search(questions, index, k, category)
+    return _ranked([hits], k)
+
+
 def sparse_top_k(
     index: SparseIndex, questions: DataFrame, k: int = C.TOP_K, category: str | None = None,
 ) -> DataFrame:

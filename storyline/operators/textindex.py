@@ -17,6 +17,7 @@ from storyline.functions.times import zone_text
 from storyline.functions.vectors import inner_product
 from storyline.operators.answers import Model, with_answers
 from storyline.operators.blocks import entry_rows
+from storyline.operators.cells import write_cells
 from storyline.operators.postings import idf_weight, postings_of, read_blocks, write_sparse
 from storyline.operators.skew import row_place, with_row_number
 from storyline.schemas import CHUNK_METADATA
@@ -249,7 +250,7 @@ def idf_table(chunks: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
                 overlap: int = C.CHUNK_OVERLAP, dims: int = DENSE_DIMS, vectors: Model | None = None) -> DataFrame:
-    """Write the chunk table (by topic), its postings and the word frequencies below ``path``.
+    """Write the chunk table (by topic), its postings, word frequencies and vector cells below ``path``.
 
     ``vectors`` gives the dense vectors; without it they are counted words.
 
@@ -274,6 +275,7 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
     # the reader's schema, as topics such as 2024 would be read as numbers
     spark.createDataFrame([(chunks.schema.json(),)], "schema string").coalesce(1).write.parquet(f"{path}/schema")
     write_sparse(read_chunks(spark, path), path)
+    write_cells(read_chunks(spark, path), path)
     facts = seen.get
     row = (size, overlap, facts["num_docs"], facts["num_chunks"], path.rstrip("/").split("/")[-1])
     return spark.createDataFrame(

@@ -14,6 +14,7 @@ from storyline.operators.answers import Model, with_answers
 from storyline.operators import callback, dedup, densejoin, rank, retrieve, termjoin, textindex
 from storyline.operators.chat import message_list
 from storyline.operators.clean import clean_articles, stamp_batch
+from storyline.operators.cells import read_cells
 from storyline.operators.skew import dense_row_id, first_per_key
 from storyline.schemas import ARTICLE
 from storyline.session import materialize
@@ -153,7 +154,7 @@ def answer_prompts(
         asked = textindex.model_vectors(asked, "rephrased", vectors)
     asked = materialize(asked, "questions")
     chunks = textindex.read_chunks(spark, index_path)
-    hits = retrieve.dense_top_k(chunks, asked, k, category="category")
+    hits = retrieve.dense_index_top_k(read_cells(spark, index_path), asked, k, category="category")
     context = retrieve.contexts(hits, chunks)
     prompts = asked.join(context, "question_id", "left").select(
         "question_id", "question", "rephrased",

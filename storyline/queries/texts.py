@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyline import constants as C
-from storyline.operators import postings, retrieve, textindex
+from storyline.operators import cells, postings, retrieve, textindex
 from storyline.operators.chat import message_list
 from storyline.queries.base import ARTICLES_SQL, articles, stage, table, texts
 from storyline.session import scratch_path
@@ -125,8 +125,12 @@ def _hits(df, chunks):
     )
 
 
+def _cells(spark, sf_dir):
+    return cells.read_cells(spark, index(spark, sf_dir)[1])
+
+
 def _dense(spark, sf_dir):
-    return retrieve.dense_top_k(chunks(spark, sf_dir), asked(spark, sf_dir))
+    return retrieve.dense_index_top_k(_cells(spark, sf_dir), asked(spark, sf_dir))
 
 
 def _sparse(spark, sf_dir):
@@ -141,7 +145,7 @@ def dense_retrieve_topk(spark, sf_dir):
 
 
 def dense_retrieve_filtered(spark, sf_dir):
-    found = retrieve.dense_top_k(chunks(spark, sf_dir), asked(spark, sf_dir), category="category")
+    found = retrieve.dense_index_top_k(_cells(spark, sf_dir), asked(spark, sf_dir), category="category")
     return _hits(found, chunks(spark, sf_dir))
 
 
@@ -168,7 +172,7 @@ def _asked_rephrased(spark, sf_dir):
 
 
 def _prompt_context(spark, sf_dir):
-    hits = retrieve.dense_top_k(chunks(spark, sf_dir), stage(spark, sf_dir, "asked-rephrased", _asked_rephrased))
+    hits = retrieve.dense_index_top_k(_cells(spark, sf_dir), stage(spark, sf_dir, "asked-rephrased", _asked_rephrased))
     return retrieve.contexts(hits, chunks(spark, sf_dir))
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from storyline.operators import postings, retrieve, skew, textindex
+from storyline.operators import cells, postings, retrieve, skew, textindex
 from storyline.plans import stages
 
 
@@ -160,6 +160,52 @@ def test_dense_top_k_equals_brute_force(spark, index, slice_rows, filtered):
     assert hits(got) == brute_hits(docs, asked, dense_score, 7, filtered)
 
 
+@pytest.mark.parametrize("cell_rows,fan", [(4096, 16), (9, 4)])
+@pytest.mark.parametrize("filtered", [False, True])
+def test_search_of_the_cells_equals_brute_force(spark, index, tmp_path, cell_rows, fan, filtered):
+    path, docs, asked, questions = index
+    cells.write_cells(textindex.read_chunks(spark, path).repartition(3), str(tmp_path), cell_rows, fan)
+    stored = cells.read_cells(spark, str(tmp_path))
+    got = retrieve.dense_index_top_k(stored, questions, 7, "category" if filtered else None)
+    assert hits(got) == brute_hits(docs, asked, dense_score, 7, filtered)
+
+
+def test_the_search_skips_cells_and_topics(spark, tmp_path):
+    """Vectors in clusters, two of three topics, a mass of copies and odd rows; cells read are counted."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 6)) * 8
+    vectors = [(centres[n % 40] + rng.normal(size=6)).astype("f4") for n in range(2400)] + [centres[3].astype("f4")] * 600
+    topics = ["a", "b", None]
+    rows = [(n, topics[n % 3], [float(x) for x in v], float((v.astype("f8") ** 2).sum())) for n, v in enumerate(vectors)]
+    rows += [(9001, "a", [0.0] * 6, 0.0), (9002, "a", None, None)]
+    schema = "chunk_id long, topic string, dense array<float>, norm2 double"
+    chunks = spark.createDataFrame(rows, schema)
+    cells.write_cells(chunks, str(tmp_path / "i"), 40, 8)
+    stored = cells.read_cells(spark, str(tmp_path / "i"))
+    assert stored.nodes.agg(F.max("level")).first()[0] >= 2
+    asked = [(q, rows[7 * q][2], rows[7 * q][3], ["general", "a", "b", None, "nowhere"][q % 5]) for q in range(60)]
+    asked += [(70, [0.0] * 6, 0.0, "general"), (71, None, None, "a")]
+    questions = spark.createDataFrame(asked, "question_id long, dense array<float>, norm2 double, category string")
+    for category in (None, "category"):
+        found, visits = cells.search(questions, stored, 5, category)
+        assert hits(retrieve._ranked([found], 5)) == hits(retrieve.dense_top_k(chunks, questions, 5, category))
+        assert visits.distinct().count() == visits.count()
+    # with the category: a topic question reads no cell of another topic, whatever the others ask
+    roots = {r["topic"]: r["root"] for r in stored.roots.collect()}
+    read = visits.join(questions.select("question_id", "category"), "question_id").collect()
+    assert {r["root"] for r in read if r["category"] == "a"} == {roots["a"]}
+    leaves = stored.nodes.where("leaf").count()
+    general = [r for r in read if r["category"] == "general"]
+    assert len(general) < 12 * leaves / 3, (len(general), leaves)
+    assert not [r for r in read if r["category"] in (None, "nowhere")]
+    # cells of one direction are cut into blocks, others are small
+    assert max(len(r["rows"]) for r in stored.cells.collect()) < 200
+    cells.write_cells(chunks.limit(0), str(tmp_path / "e"))
+    assert cells.search(questions, cells.read_cells(spark, str(tmp_path / "e")), 5)[0].count() == 0
+
+
 @pytest.mark.parametrize("range_chunks,zone_ranges,filtered", [(64, 64, False), (4, 3, False), (4, 3, True), (1, 1, True)])
 def test_sparse_top_k_equals_brute_force(spark, index, tmp_path, range_chunks, zone_ranges, filtered):
     import math
