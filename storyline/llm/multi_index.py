@@ -12,8 +12,8 @@ the angle to beat follows, and from that the bits it may differ in, with a margi
 learned on the sample so that hardly any true neighbour is outside. A query that
 finds too few rows is repeated with a radius that admits all rows.
 
-Queries and rows meet in blocks of bounded size. Shards are dealt by a hash of the
-id, so any number of equal vectors is spread over all of them.
+Rows are sent to their shard once and queries stream past it. Shards are dealt by a
+hash of the id, so any number of equal vectors is spread over all of them.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ SUBSTRING = 16
 #: Rows that the rotations, the margin and each query's radius are learned from.
 SAMPLE_ROWS = 4096
 SHARD_ROWS = 1 << 16
-QUERY_BLOCK = 1 << 14
-PAIR_BLOCK = 1 << 21
 RECALL = 0.98
+#: Differences of two substrings by their number of bits, and how many have at most so many.
+MASKS = np.argsort(np.bitwise_count(np.arange(1 << SUBSTRING)), kind="stable").astype(np.uint16)
+NEIGHBOURS = np.cumsum(np.bincount(np.bitwise_count(np.arange(1 << SUBSTRING))))
 
 
 @dataclass(frozen=True)
@@ -101,41 +102,88 @@ def fit(ids: np.ndarray, vectors: np.ndarray, scale: float, k: int = 20, bits: i
     return Model(rotations, scale, ids, vectors, float(np.quantile((differ - mean) / spread, RECALL)))
 
 
+class SubstringIndex:
+    """The codes of one shard, indexed by the value of each substring.
+
+    ``touched`` counts the codes that probing met, before whole codes were compared.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.wide, self.touched = codes, codes.view(np.uint64), 0
+        self.order, self.starts, self.values = [], [], []
+        for j in range(codes.shape[1]):
+            order = np.argsort(codes[:, j], kind="stable")
+            ends = np.cumsum(np.bincount(codes[:, j], minlength=1 << SUBSTRING))
+            self.order.append(order)
+            self.starts.append(np.concatenate([[0], ends]))
+            self.values.append(np.unique(codes[:, j]))
+
+    def _bucket_rows(self, j: int, value: int, distance: int) -> np.ndarray:
+        """Rows whose substring ``j`` is within ``distance`` bits of ``value``.
+
+        The neighbours of the value are looked up one by one; where they are more than
+        the buckets of the shard, the buckets are gone through instead.
+        """
+        if NEIGHBOURS[distance] <= len(self.values[j]):
+            buckets = value ^ MASKS[: NEIGHBOURS[distance]]
+        else:
+            buckets = self.values[j]
+            buckets = buckets[np.bitwise_count(buckets ^ value) <= distance]
+        starts = self.starts[j]
+        first, size = starts[buckets], starts[buckets.astype(np.int64) + 1] - starts[buckets]
+        some = size > 0
+        first, size = first[some], size[some]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.order[j][np.repeat(first, size) + step]
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose whole code is within ``radius`` bits of ``code``.
+
+        With radius = a x substrings + b, such a row is within a bits of the query in one
+        of the first b + 1 substrings or within a - 1 bits in one of the others.
+        """
+        parts = len(code)
+        near, rest = divmod(int(radius), parts)
+        met = np.zeros(len(self.codes), bool)
+        for j in range(parts):
+            distance = min(near if j <= rest else near - 1, SUBSTRING)
+            if distance >= 0:
+                met[self._bucket_rows(j, code[j], distance)] = True
+        rows = np.flatnonzero(met)
+        self.touched += len(rows)
+        differ = np.bitwise_count(self.wide[rows] ^ code.view(np.uint64)).sum(axis=1)
+        return rows[differ <= radius]
+
+
 def probe(codes: np.ndarray, queries: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of all codes within each query's radius, through the substring indexes."""
-    hit = np.zeros((len(queries), len(codes)), bool)
-    near = radius // codes.shape[1]
-    for j in range(codes.shape[1]):
-        buckets, place = np.unique(codes[:, j], return_inverse=True)
-        inside = np.bitwise_count(queries[:, j, None] ^ buckets) <= near[:, None]
-        hit |= inside[:, place]
-    query, row = np.nonzero(hit)
-    differ = np.zeros(len(query), np.int64)
-    wide_q, wide_c = queries.view(np.uint64), codes.view(np.uint64)
-    for w in range(wide_q.shape[1]):
-        differ += np.bitwise_count(wide_q[query, w] ^ wide_c[row, w])
-    keep = differ <= radius[query]
-    return query[keep], row[keep]
-
-
-def best_in_shard(model: Model, ids, vectors, query_ids, queries, k: int, everything: bool):
-    """(query id, row id, product) of the best rows of one shard for every query of one block."""
-    codes = model.codes(vectors, False)
-    step = max(1, PAIR_BLOCK // max(1, len(ids)))
-    for first in range(0, len(query_ids), step):
-        q_ids, q = query_ids[first : first + step], queries[first : first + step]
-        radius = np.full(len(q), model.bits) if everything else model.radius(q_ids, q, k)
-        query, row = probe(codes, model.codes(q, True), radius)
-        other = q_ids[query] != ids[row]
-        query, row = query[other], row[other]
-        score = np.concatenate([
-            np.einsum("ij,ij->i", q[query[a : a + 65536]], vectors[row[a : a + 65536]]) for a in range(0, len(query), 65536)
-        ] or [np.zeros(0)])
-        order = np.lexsort((ids[row], -score, query))
-        query, row, score = query[order], row[order], score[order]
-        rank = np.arange(len(query)) - np.searchsorted(query, query)
-        keep = rank < k
-        yield q_ids[query[keep]], ids[row[keep]], score[keep]
+    index = SubstringIndex(codes)
+    rows = [index.within(code, r) for code, r in zip(queries, radius)]
+    return np.repeat(np.arange(len(queries)), [len(r) for r in rows]), np.concatenate(rows)
+
+
+class Shard:
+    """Vectors of one shard with their index, built once for all queries."""
+
+    def __init__(self, model: Model, ids: np.ndarray, vectors: np.ndarray):
+        self.model, self.ids, self.vectors = model, ids, vectors
+        self.index = SubstringIndex(model.codes(vectors, False))
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int, everything: bool):
+        """(query ids, row ids, products) of the best rows for every query."""
+        model, found = self.model, []
+        radius = np.full(len(queries), model.bits) if everything else model.radius(query_ids, queries, k)
+        codes = model.codes(queries, True)
+        for n, query_id in enumerate(query_ids):
+            rows = np.arange(len(self.ids)) if radius[n] >= model.bits else self.index.within(codes[n], radius[n])
+            rows = rows[self.ids[rows] != query_id]
+            score = np.einsum("ij,j->i", self.vectors[rows], queries[n])
+            if len(rows) > k:  # all that tie with the k-th stay until ids decide
+                least = np.partition(score, len(score) - k)[len(score) - k]
+                rows, score = rows[score >= least], score[score >= least]
+            order = np.lexsort((self.ids[rows], -score))[:k]
+            found.append((np.full(len(order), query_id), self.ids[rows[order]], score[order]))
+        return [np.concatenate(column) for column in zip(*found)]
 
 
 def _matrix(column) -> np.ndarray:
@@ -151,42 +199,54 @@ def usable(vector: str = "embedding") -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & fine & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def _meet(rows: DataFrame, queries: DataFrame, model, n_rows: int, n_queries: int, k: int, everything: bool) -> DataFrame:
-    shards, blocks = parts_for(n_rows, SHARD_ROWS, 16), parts_for(n_queries, QUERY_BLOCK, 1)
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("shard", spread(shards)).withColumn("block", each(blocks))
-    right = queries.withColumn("block", spread(blocks)).withColumn("shard", each(shards))
+def _meet(rows: DataFrame, queries: DataFrame, model, n_rows: int, k: int, everything: bool) -> DataFrame:
+    """Best ``k`` of each shard for every query. A row is sent once, a query once to every shard."""
+    shards = parts_for(n_rows, SHARD_ROWS, 16)
+    own = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    left = rows.select(own.alias("shard"), F.lit(0).alias("asks"), "id", "v")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v")
+    # the rows of a shard come before its queries
+    dealt = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
 
-    def run(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        parts = []
-        if candidates.num_rows and asked.num_rows:
-            ids, query_ids = candidates.column("id").to_numpy(), asked.column("id").to_numpy()
-            found = best_in_shard(model.value, ids, _matrix(candidates.column("v")), query_ids, _matrix(asked.column("v")), k, everything)
-            parts = [pa.table(dict(zip(["query_id", "vec_id", "score"], map(pa.array, part)))) for part in found]
-        kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        return pa.concat_tables(parts) if parts else kinds.empty_table()
+    def run(batches):
+        number, held, shard = None, [], None
+        for batch in batches:
+            at, asks = batch.column("shard").to_numpy(), batch.column("asks").to_numpy()
+            cuts = np.flatnonzero(np.diff(at.astype(np.int64) * 2 + asks)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(at)]):
+                part = batch.slice(a, b - a)
+                if number is None or at[a] != number:
+                    number, held, shard = at[a], [], None
+                if not asks[a]:
+                    held.append((part.column("id").to_numpy(), _matrix(part.column("v"))))
+                    continue
+                if shard is None and held:
+                    shard = Shard(model.value, *map(np.concatenate, zip(*held)))
+                    held = []
+                if shard is not None:
+                    found = shard.best(part.column("id").to_numpy(), _matrix(part.column("v")), k, everything)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` rows of largest inner product found.
 
     Products are in double precision on the vectors as they are; ties go to the
-    smaller id. Rows with a null id, or a vector that is null, empty, zero, holds null
-    or non-finite components, or is not of the most frequent length, take no part.
+    smaller id. Rows with a null id, or a vector that is null, empty, zero, or holds null
+    or non-finite components, take no part; a shorter vector counts as zero where it ends.
     Rows that share the query's id are its own. Other columns are not read. Every
     query gets ``k`` rows, or all there are.
     """
     spark = rows.sparkSession
     given = rows.where(usable(vector) & F.col(id_col).isNotNull())
-    length = given.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    length = given.agg(F.max(F.size(vector))).first()[0]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if length is None:
         return empty
     x = F.col(vector).cast("array<double>")
-    given = given.where(F.size(vector) == length["d"])
+    x = F.concat(x, F.array_repeat(F.lit(0.0), F.lit(length) - F.size(x)))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
     stored = given.select(F.col(id_col).cast("long").alias("id"), x.alias("v"), is_query.alias("asks"))
     count, asked, scale = given.agg(F.count("*"), F.sum(is_query.cast("long")), F.max(norm)).first()
@@ -198,12 +258,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     model = fit(np.array([r.id for r in sample], np.int64), np.array([r.v for r in sample], float), float(scale), k)
     shared = spark.sparkContext.broadcast(model)  # SAMPLE_ROWS vectors
     queries, candidates = stored.where("asks").select("id", "v"), stored.select("id", "v")
-    found = materialize(_meet(candidates, queries, shared, count, asked, k, False), "found")
+    found = materialize(_meet(candidates, queries, shared, count, k, False), "found")
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, count - 1))
     short = materialize(queries.join(enough, queries["id"] == enough["query_id"], "left_anti"), "short-queries")
     again = short.count()
     if again:
-        rest = _meet(candidates, short, shared, count, again, k, True)
+        rest = _meet(candidates, short, shared, count, k, True)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

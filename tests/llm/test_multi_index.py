@@ -40,18 +40,48 @@ def test_probing_meets_every_code_within_the_radius():
         assert set(zip(*M.probe(codes, queries, radius))) == set(zip(*np.nonzero(differ <= r)))
 
 
+def test_clustered_codes_are_looked_up_and_not_scanned():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 16, (40, 16), dtype=np.uint16)
+    codes = centres[rng.integers(0, 40, 20000)] ^ (rng.random((20000, 16)) < 0.1).astype(np.uint16)
+    index, found = M.SubstringIndex(codes), 0
+    for q in range(50):
+        differ = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
+        for radius in (0, 12, 33):
+            got = index.within(codes[q], radius)
+            assert np.array_equal(got, np.flatnonzero(differ <= radius))
+            found += len(got)
+    # of 3,000,000 pairs few more are touched than lie within the radius
+    assert found <= index.touched < 200_000
+
+
+def test_a_shard_keeps_ties_by_id_across_batches():
+    rng = np.random.default_rng(6)
+    vectors = np.repeat(rng.normal(size=(10, 8)), 30, axis=0)
+    ids = rng.permutation(300)
+    model = M.fit(ids, vectors, float(np.linalg.norm(vectors, axis=1).max()), 5, 64)
+    query, row, score = M.Shard(model, ids, vectors).best(ids[:40], vectors[:40], 5, True)
+    order = np.argsort(ids)
+    want = brute(ids[order].tolist(), vectors[order], [int(i) for i in ids[:40]], 5)
+    for q in ids[:40]:
+        assert row[query == q].tolist() == [i for i, _ in want[int(q)]]
+
+
 def test_odd_rows_ties_and_lengths(spark):
     rng = np.random.default_rng(3)
     rows = [(n, (rng.normal(size=8) * rng.uniform(0.1, 3)).tolist()) for n in range(60)]
     rows += [(n, [1.0] * 8) for n in range(60, 100)]
-    odd = [(200, None), (220, [0.0] * 8), (240, [float("nan")] + [1.0] * 7), (260, [None] + [1.0] * 7), (280, [float("inf")] * 8), (300, [1.0, 2.0]), (None, [1.0] * 8), (320, [])]
+    odd = [(200, None), (220, [0.0] * 8), (240, [float("nan")] + [1.0] * 7), (260, [None] + [1.0] * 7), (280, [float("inf")] * 8), (None, [1.0] * 8), (320, [])]
+    short = [(300, [1.0, 2.0]), (301, [0.5])]  # they count as zero where they end
+    odd += short
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
-    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    full = rows + [(i, v + [0.0] * (8 - len(v))) for i, v in short]
+    ids, vectors = np.array([i for i, _ in full]), np.array([v for _, v in full])
     for k in (20, 500):
         got = {}
         for r in M.nearest(table, F.col("vec_id") % 20 == 0, k).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
-        want = brute(ids, vectors, [n for n in range(100) if n % 20 == 0], k)
+        want = brute(ids, vectors, [n for n in range(len(ids)) if ids[n] % 20 == 0], k)
         assert {q: [(i, round(s, 9)) for i, s in v] for q, v in want.items()}.keys() == got.keys()
         for q in want:
             assert len(got[q]) == len(want[q])
