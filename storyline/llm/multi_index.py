@@ -33,6 +33,7 @@ SUBSTRING = 16
 #: Rows that the rotations, the margin and each query's radius are learned from.
 SAMPLE_ROWS = 4096
 SHARD_ROWS = 1 << 16
+PAIR_BLOCK = 1 << 18
 RECALL = 0.98
 #: Differences of two substrings by their number of bits, and how many have at most so many.
 MASKS = np.argsort(np.bitwise_count(np.arange(1 << SUBSTRING)), kind="stable").astype(np.uint16)
@@ -109,57 +110,70 @@ class SubstringIndex:
     """
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.wide, self.touched = codes, codes.view(np.uint64), 0
-        self.order, self.starts, self.values = [], [], []
+        self.codes, self.touched = codes, 0
+        self.wide = np.ascontiguousarray(codes.view(np.uint64).T)
+        self.order, self.starts, self.values, self.place = [], [], [], []
         for j in range(codes.shape[1]):
             order = np.argsort(codes[:, j], kind="stable")
             ends = np.cumsum(np.bincount(codes[:, j], minlength=1 << SUBSTRING))
             self.order.append(order)
             self.starts.append(np.concatenate([[0], ends]))
-            self.values.append(np.unique(codes[:, j]))
-
-    def _bucket_rows(self, j: int, value: int, distance: int) -> np.ndarray:
-        """Rows whose substring ``j`` is within ``distance`` bits of ``value``.
-
-        The neighbours of the value are looked up one by one; where they are more than
-        the buckets of the shard, the buckets are gone through instead.
-        """
-        if NEIGHBOURS[distance] <= len(self.values[j]):
-            buckets = value ^ MASKS[: NEIGHBOURS[distance]]
-        else:
-            buckets = self.values[j]
-            buckets = buckets[np.bitwise_count(buckets ^ value) <= distance]
-        starts = self.starts[j]
-        first, size = starts[buckets], starts[buckets.astype(np.int64) + 1] - starts[buckets]
+            values, place = np.unique(codes[:, j], return_inverse=True)
+            self.values.append(values)
+            self.place.append(place)
+
+    def _look_up(self, j: int, value: int, distance: int) -> np.ndarray:
+        """Rows whose substring ``j`` is one of the neighbours of ``value``, each looked up."""
+        buckets = (value ^ MASKS[: NEIGHBOURS[distance]]).astype(np.int64)
+        first = self.starts[j][buckets]
+        size = self.starts[j][buckets + 1] - first
         some = size > 0
         first, size = first[some], size[some]
         step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         return self.order[j][np.repeat(first, size) + step]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose whole code is within ``radius`` bits of ``code``.
+    def within(self, queries: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the rows whose whole code is within the radius of each query.
 
         With radius = a x substrings + b, such a row is within a bits of the query in one
-        of the first b + 1 substrings or within a - 1 bits in one of the others.
+        of the first b + 1 substrings or within a - 1 bits in one of the others. Where a
+        value has more neighbours than the shard has buckets, the buckets are gone through.
         """
-        parts = len(code)
-        near, rest = divmod(int(radius), parts)
-        met = np.zeros(len(self.codes), bool)
+        parts = queries.shape[1]
+        near, rest = np.divmod(np.asarray(radius, np.int64), parts)
+        met = np.zeros((len(queries), len(self.codes)), bool)
         for j in range(parts):
-            distance = min(near if j <= rest else near - 1, SUBSTRING)
-            if distance >= 0:
-                met[self._bucket_rows(j, code[j], distance)] = True
-        rows = np.flatnonzero(met)
-        self.touched += len(rows)
-        differ = np.bitwise_count(self.wide[rows] ^ code.view(np.uint64)).sum(axis=1)
-        return rows[differ <= radius]
+            distance = np.minimum(np.where(j <= rest, near, near - 1), SUBSTRING)
+            few = NEIGHBOURS[np.maximum(distance, 0)] <= len(self.values[j])
+            for n in np.flatnonzero(few & (distance >= 0)):
+                met[n, self._look_up(j, queries[n, j], distance[n])] = True
+            many = np.flatnonzero(~few)
+            if len(many):
+                inside = np.bitwise_count(queries[many, j, None] ^ self.values[j]) <= distance[many, None].astype(np.uint8)
+                inside = np.take(inside, self.place[j], axis=1)
+                if len(many) == len(met):
+                    met |= inside
+                else:
+                    met[many] |= inside
+        touched = int(np.count_nonzero(met))
+        self.touched += touched
+        wide = queries.view(np.uint64)
+        if 4 * touched > met.size:  # most are met: compared in place
+            differ = np.zeros(met.shape, np.uint16)
+            for w in range(wide.shape[1]):
+                differ += np.bitwise_count(wide[:, w, None] ^ self.wide[w])
+            return np.nonzero(met & (differ <= np.asarray(radius, np.uint16)[:, None]))
+        query, row = np.nonzero(met)
+        differ = np.zeros(len(row), np.uint16)
+        for w in range(wide.shape[1]):
+            differ += np.bitwise_count(wide[query, w] ^ self.wide[w, row])
+        keep = differ <= np.asarray(radius)[query]
+        return query[keep], row[keep]
 
 
 def probe(codes: np.ndarray, queries: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of all codes within each query's radius, through the substring indexes."""
-    index = SubstringIndex(codes)
-    rows = [index.within(code, r) for code, r in zip(queries, radius)]
-    return np.repeat(np.arange(len(queries)), [len(r) for r in rows]), np.concatenate(rows)
+    return SubstringIndex(codes).within(queries, radius)
 
 
 class Shard:
@@ -171,18 +185,22 @@ class Shard:
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int, everything: bool):
         """(query ids, row ids, products) of the best rows for every query."""
-        model, found = self.model, []
+        model, found, step = self.model, [], max(1, PAIR_BLOCK // len(self.ids))
         radius = np.full(len(queries), model.bits) if everything else model.radius(query_ids, queries, k)
         codes = model.codes(queries, True)
-        for n, query_id in enumerate(query_ids):
-            rows = np.arange(len(self.ids)) if radius[n] >= model.bits else self.index.within(codes[n], radius[n])
-            rows = rows[self.ids[rows] != query_id]
-            score = np.einsum("ij,j->i", self.vectors[rows], queries[n])
-            if len(rows) > k:  # all that tie with the k-th stay until ids decide
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                rows, score = rows[score >= least], score[score >= least]
-            order = np.lexsort((self.ids[rows], -score))[:k]
-            found.append((np.full(len(order), query_id), self.ids[rows[order]], score[order]))
+        for first in range(0, len(queries), step):
+            block = slice(first, first + step)
+            query, row = self.index.within(codes[block], radius[block])
+            ends = np.searchsorted(query, np.arange(len(codes[block]) + 1))
+            for n, query_id in enumerate(query_ids[block]):
+                rows = row[ends[n] : ends[n + 1]]
+                rows = rows[self.ids[rows] != query_id]
+                score = np.einsum("ij,j->i", self.vectors[rows], queries[first + n])
+                if len(rows) > k:  # all that tie with the k-th stay until ids decide
+                    least = np.partition(score, len(score) - k)[len(score) - k]
+                    rows, score = rows[score >= least], score[score >= least]
+                order = np.lexsort((self.ids[rows], -score))[:k]
+                found.append((np.full(len(order), query_id), self.ids[rows[order]], score[order]))
         return [np.concatenate(column) for column in zip(*found)]
 
 

@@ -48,7 +48,7 @@ def test_clustered_codes_are_looked_up_and_not_scanned():
     for q in range(50):
         differ = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
         for radius in (0, 12, 33):
-            got = index.within(codes[q], radius)
+            got = index.within(codes[q : q + 1], np.array([radius]))[1]
             assert np.array_equal(got, np.flatnonzero(differ <= radius))
             found += len(got)
     # of 3,000,000 pairs few more are touched than lie within the radius
