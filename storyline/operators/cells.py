@@ -53,13 +53,13 @@ def _direction() -> Column:
 
 
 def write_cells(chunks: DataFrame, path: str, cell_rows: int = CELL_ROWS, fan: int = FAN) -> None:
-    """Store the index of (chunk_id, topic, dense, norm2) below ``path``.
+    """Store the index of (chunk_id, topic, dense, norm2) below ``path``; ``chunks`` should be a stored table.
 
     Chunks without a vector or with a zero one are in no cell. A null topic has its own tree.
     """
     spark = chunks.sparkSession
-    filled = materialize(chunks.where("norm2 > 0").select("chunk_id", "topic", "dense", "norm2"), "cell-rows")
-    roots = dense_row_id(filled.select("topic").distinct(), ["topic"], "root")
+    filled = chunks.where("norm2 > 0").select("chunk_id", "topic", "dense", "norm2")
+    roots = dense_row_id(chunks.select("topic").distinct(), ["topic"], "root")
     roots.select("topic", F.col("root").cast("long")).write.parquet(f"{path}/cell-roots")
     roots = spark.read.schema(ROOT).parquet(f"{path}/cell-roots")
     facts = filled.agg(F.max(F.size("dense")).alias("dims")).first()
