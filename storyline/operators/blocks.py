@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +20,24 @@ def entry_rows(lists: pa.Array) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
+#: Entries of a list column that are worked on at a time.
+SLICE_ENTRIES = 1 << 18
+
+
+def bounded_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_ENTRIES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` entries of a list column, or of one row.
+
+    What is made of a slice is bounded by it, however many rows a batch has.
+    """
+    for batch in batches:
+        ends = batch.column(column).offsets.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def best_per_row(
     scores: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:

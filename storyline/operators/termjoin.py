@@ -9,38 +9,51 @@ How the join stays exact and small:
 * texts with equal word sets are collapsed first and only the ``k + 1`` lowest
   ids of each group travel on, so a mass of identical copies costs one row;
 * sets are banded by size; similar sets lie in one band or in neighbouring ones, and
-  the band of the larger one bounds in how many words they differ (at most D);
-* the words of a set are dealt by hash to a few more than D + 1 parts. Words that differ
-  touch at most D parts, so some part that holds words is the same in both. A part's
-  words, four or five of them, are a signature, and only sets that share one are met:
-  frequent words tell nothing by themselves and need no list;
-* of the sets that meet, most share a part of one frequent word by chance; a sketch of
-  each set (for every bit, whether an odd number of its words have it) tells at least in
-  how many words two sets differ, and rules these pairs out before any word is compared;
+  the size of a set bounds in how many words a similar one differs (at most D);
+* the words of a set are dealt by hash to the parts of its band, more than D + 1. A word
+  that differs touches one part, so of all parts at most D differ. A part's words are a
+  signature, and only sets that share one are met. Parts have an order that depends on
+  their words alone, rare words and many words first: above the first part that two
+  similar sets share, each has at most D others, so the first D + 1 parts of a set are
+  its signatures and parts of a frequent word or two are left out;
+* of the sets that meet, some share a part by chance; a sketch of each set (for every
+  bit, whether an odd number of its words have it) tells at least in how many words two
+  sets differ, and rules these pairs out before any word is compared;
 * a pair is met only where a stretch of shared parts begins, not once per part;
-* signatures of up to ``posting_limit`` sets are joined; those of a mass of near copies
-  are cut into blocks and compared inside tasks that return only the best ``k`` per row.
+* signatures of up to ``posting_limit`` sets are joined; longer lists are cut into blocks
+  and their sketches are compared inside tasks. A block of few likely pairs gives these
+  pairs, and only a block of a mass of near copies gets the words and returns the best
+  ``k`` per row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline import constants as C
 from storyline.functions.text import word_set
-from storyline.operators.blocks import best_per_row, entry_rows
-from storyline.operators.skew import hot_limit, join_hot, top_n_per_group
+from storyline.operators.blocks import best_per_row, bounded_slices, entry_rows
+from storyline.operators.skew import broadcast_if_small, hot_limit, join_hot, top_n_per_group
 from storyline.session import materialize, shuffle_partitions
 
 POSTING_LIMIT = 512
 BLOCK_ROWS = 2048
 VOCABULARY_SLICE = 4096
 SKETCH_BITS = 512
-#: Parts beyond D + 1: sets with at most so many empty parts share one that is not empty.
+#: A band reaches to this many times its first size, or as far as similar sets do.
+BAND_WIDTH = 2
+#: Parts for each that the largest set of a band needs, and some more for small sets.
+PARTS = 1.3
 SPARE_PARTS = 3
+#: Sets whose words are counted, and words whose counts are used. They order the parts:
+#: they steer the cost, never the result.
+WEIGHT_SETS = 20_000
+WEIGHT_WORDS = 1 << 16
+#: Likely pairs per row up to which a block of a long list gives pairs.
+LIKELY_PER_ROW = 4
 
 
 def term_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,10 +83,14 @@ def copy_groups(sets: DataFrame, k: int) -> DataFrame:
 
 def size_bands(longest: int, percent: int) -> list[int]:
     """First set size of each band; two similar sets lie in one band or in neighbouring ones."""
+
+    def after(size: int) -> int:
+        return max(BAND_WIDTH * size, size + 1, -(-size * 10_000 // (percent * percent)))
+
     bounds = [1]
     while bounds[-1] <= longest:
-        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 10_000 // (percent * percent))))
-    return [*bounds, max(bounds[-1] + 1, -(-bounds[-1] * 10_000 // (percent * percent)))]
+        bounds.append(after(bounds[-1]))
+    return [*bounds, after(bounds[-1])]
 
 
 def differing(largest: int, percent: int) -> int:
@@ -87,55 +104,81 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(33))
 
 
-def _part_signatures(rows: np.ndarray, words: np.ndarray, band: np.ndarray, parts: np.ndarray, spare: np.ndarray) -> tuple:
-    """Signature, row and preceding signature of every part that is looked at.
+def word_weights(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes and weights of the frequent words of a bounded part of the sets; weight of any other word.
 
-    ``parts`` and ``spare`` are per row. Empty parts count only for sets with more of
-    them than there are spare ones.
+    Weights are whole thousandths of the logarithm of one over a word's frequency, so that
+    sums of them do not depend on their order.
+    """
+    total = reps.count()
+    every = -(-total // WEIGHT_SETS) or 1
+    counted = reps.where(F.pmod(F.xxhash64("gid"), F.lit(every)) == 0).select(F.explode("terms").alias("word"))
+    counts = counted.groupBy(F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = np.array(counts.orderBy(F.desc("n"), "word").limit(WEIGHT_WORDS).collect(), np.int64).reshape(-1, 2)
+    rows = rows[np.argsort(rows[:, 0].view(np.uint64) if len(rows) else rows[:, 0])] if len(rows) else rows
+    weigh = lambda n: 1 + np.round(1000 * np.log(np.maximum(total / every / n, 1))).astype(np.int64)
+    return np.ascontiguousarray(rows[:, 0]).view(np.uint64), weigh(rows[:, 1]), int(weigh(np.ones(1))[0])
+
+
+def _part_signatures(
+    rows: np.ndarray, words: np.ndarray, weights: np.ndarray, band: np.ndarray, parts: np.ndarray, most: np.ndarray
+) -> tuple:
+    """Signature, row and preceding signature of the first ``most`` parts of every row.
+
+    ``parts`` and ``most`` are per row. The parts of a row are ordered by the weight of
+    their words, then by signature; empty ones come last.
     """
     begin = np.concatenate(([0], np.cumsum(parts)))
     slot = begin[rows] + (_mixed(words ^ np.uint64(0x5851F42D4C957F2D)) % parts[rows].astype(np.uint64)).astype(np.int64)
     sums = np.zeros(begin[-1], np.uint64)
     np.add.at(sums, slot, _mixed(words))
-    filled = np.bincount(slot, minlength=begin[-1]) > 0
+    # sums of whole numbers: the same in any order
+    weight = np.bincount(slot, weights.astype(np.float64), begin[-1])
     owner = np.repeat(np.arange(len(parts)), parts)
     place = np.arange(begin[-1])
-    empty = parts - np.bincount(owner, filled, len(parts)).astype(np.int64)
     key = _mixed(sums + (place - begin[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + band[owner].astype(np.uint64)
     key = _mixed(key)
-    last = np.maximum.accumulate(np.where(filled, place, -1))
-    before = np.concatenate(([-1], last[:-1])) if len(last) else last
-    inside = before >= begin[owner]
-    prior = np.where(inside, key[np.where(inside, before, 0)], np.uint64(0)) if len(last) else key
-    used = filled | (empty > spare)[owner]
-    return key[used], owner[used], prior[used]
+    order = np.lexsort((key, -weight, owner))
+    used = np.sort(order[place - begin[owner] < most[owner]])
+    key, owner = key[used], owner[used]
+    prior = np.concatenate((np.zeros(1, np.uint64), key[:-1]))[: len(key)]
+    prior[1:][owner[1:] != owner[:-1]] = 0
+    return key, owner, prior
 
 
 def _signatures(reps: DataFrame, percent: int) -> DataFrame:
-    """(key, gid, n, home, prior): what sets have to share, in their own and the next larger band.
+    """(key, gid, n, home, prior): what sets have to share, in their own band and the next
+    larger one, if a similar set may lie there.
 
-    ``home`` marks the own band, ``prior`` is the signature of the filled part before.
+    ``home`` marks the own band, ``prior`` is the signature of the part before, of those used.
     """
     longest = reps.agg(F.max("n")).first()[0] or 1
     bounds = np.array(size_bands(longest, percent))
-    differ = np.array([differing(int(after) - 1, percent) for after in bounds[1:]])
-    spare = np.minimum(differ, SPARE_PARTS)
+    parts_of = np.array([int(PARTS * (differing(int(after) - 1, percent) + 1)) + SPARE_PARTS for after in bounds[1:]])
+    known, weight, rare = word_weights(reps)
 
     def sign(batches):
-        for batch in batches:
+        for batch in bounded_slices(batches, "hashes"):
             lists = batch.column("hashes")
             rows = entry_rows(lists)
             words = lists.flatten().to_numpy().view(np.uint64)
+            weights = np.full(len(words), rare)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                weights = np.where(known[at] == words, weight[at], rare)
             n = batch.column("n").to_numpy()
             own = np.searchsorted(bounds, n, "right") - 1
+            largest = n * 10_000 // (percent * percent)
             for band, home in ((own, True), (own + 1, False)):
+                differ = differing(np.minimum(largest, bounds[band + 1] - 1), percent)
                 # sets that differ in no word are one set
-                wanted = differ[band] > 0
+                wanted = (differ > 0) & (largest >= bounds[band])
                 number = np.cumsum(wanted) - 1
                 take = wanted[rows]
                 picked = np.flatnonzero(wanted)
-                parts = (differ[band] + 1 + spare[band])[picked]
-                key, owner, prior = _part_signatures(number[rows[take]], words[take], band[picked], parts, spare[band][picked])
+                key, owner, prior = _part_signatures(
+                    number[rows[take]], words[take], weights[take], band[picked], parts_of[band[picked]], differ[picked] + 1
+                )
                 owner = picked[owner]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -146,7 +189,7 @@ def _signatures(reps: DataFrame, percent: int) -> DataFrame:
                 )
 
     hashed = reps.select("gid", "n", F.transform("terms", lambda w: F.xxhash64(w)).alias("hashes"))
-    return materialize(hashed.mapInArrow(sign, "key long, gid long, n long, home boolean, prior long"), "signatures")
+    return hashed.mapInArrow(sign, "key long, gid long, n long, home boolean, prior long")
 
 
 def _reaches(overlap: str, n_a: str, n_b: str, percent: int) -> str:
@@ -155,26 +198,44 @@ def _reaches(overlap: str, n_a: str, n_b: str, percent: int) -> str:
 
 
 def set_sketches(reps: DataFrame) -> DataFrame:
-    """(gid, sketch): per bit, the parity of the words that have it."""
+    """(gid, sketch): per bit, the parity of the words that have it.
+
+    A sketch has about as many bits as its set has words, :data:`SKETCH_BITS` at least and
+    that many times a power of two, so that unlike sets differ in more bits than similar ones may.
+    """
 
     def sketch(batches):
-        for batch in batches:
+        for batch in bounded_slices(batches, "hashes"):
             lists = batch.column("hashes")
-            bit = _mixed(lists.flatten().to_numpy().view(np.uint64)) % np.uint64(SKETCH_BITS)
-            counts = np.bincount(entry_rows(lists) * SKETCH_BITS + bit.astype(np.int64), minlength=batch.num_rows * SKETCH_BITS)
+            rows = entry_rows(lists)
+            n = np.maximum(np.bincount(rows, minlength=batch.num_rows), 1)
+            bits = SKETCH_BITS << np.maximum(np.ceil(np.log2(n / SKETCH_BITS)), 0).astype(np.int64)
+            begin = np.concatenate(([0], np.cumsum(bits)))
+            bit = _mixed(lists.flatten().to_numpy().view(np.uint64)) % bits[rows].astype(np.uint64)
+            counts = np.bincount(begin[rows] + bit.astype(np.int64), minlength=begin[-1])
             packed = np.packbits((counts % 2).astype(np.uint8)).view(np.int64)
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (SKETCH_BITS // 64))
+            ends = pa.array((begin // 64).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("gid"), pa.ListArray.from_arrays(ends, pa.array(packed))], names=["gid", "sketch"])
 
     hashed = reps.select("gid", F.transform("terms", lambda w: F.xxhash64(w)).alias("hashes"))
     return hashed.mapInArrow(sketch, "gid long, sketch array<long>")
 
 
+def _folded(sketch: Column, other: Column) -> Column:
+    """The sketch at half its length, if the other one is shorter: what a sketch of that length would hold."""
+    half = (F.size(sketch) / 2).cast("int")
+    parts = F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half)
+    return F.when(F.size(sketch) > F.size(other), F.zip_with(*parts, lambda x, y: x.bitwiseXOR(y))).otherwise(sketch)
+
+
 def likely_pairs(candidates: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Candidates that the sketches do not rule out: words differ in at least as many as bits do."""
     left = sketches.select(F.col("gid").alias("a"), F.col("sketch").alias("sa"))
     right = sketches.select(F.col("gid").alias("b"), F.col("sketch").alias("sb"))
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    pair = _folded(F.col("sa"), F.col("sb")), _folded(F.col("sb"), F.col("sa"))
+    same = F.zip_with(*pair, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    # lengths that are farther apart (at low thresholds) tell nothing
+    bits = F.coalesce(F.aggregate(same, F.lit(0), lambda total, n: total + n), F.lit(0))
     met = candidates.join(left, "a").join(right, "b").withColumn("_differ", bits)
     met = met.withColumn("most", F.expr("(na + nb - _differ) div 2"))
     return met.where(_reaches("most", "na", "nb", percent)).select("a", "b", "na", "nb")
@@ -196,16 +257,18 @@ def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _short_list_pairs(short: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs from short signature lists, in both directions."""
-    sketches = materialize(set_sketches(reps), "set-sketches")
-    candidates = materialize(likely_pairs(candidate_pairs(short, percent), sketches, percent), "likely-pairs")
-    left = reps.select(F.col("gid").alias("a"), F.col("terms").alias("ta"))
-    right = reps.select(F.col("gid").alias("b"), F.col("terms").alias("tb"))
+def _verified(candidates: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (a, b, na, nb) that reach the threshold by their words, in both directions."""
+    named = candidates.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+    # only sets that are in a pair are moved, their words as one text
+    named = broadcast_if_small(materialize(named, "paired-sets"))
+    words = materialize(reps.join(named, "gid", "left_semi").select("gid", F.array_join("terms", " ").alias("words")), "paired-words")
+    left = words.select(F.col("gid").alias("a"), F.col("words").alias("wa"))
+    right = words.select(F.col("gid").alias("b"), F.col("words").alias("wb"))
     verified = (
         candidates.join(left, "a")
         .join(right, "b")
-        .withColumn("o", F.size(F.array_intersect("ta", "tb")).cast("bigint"))
+        .withColumn("o", F.size(F.array_intersect(F.split("wa", " "), F.split("wb", " "))).cast("bigint"))
         .where(_reaches("o", "na", "nb", percent))
         .select("a", "b", "na", "nb", "o")
     )
@@ -275,10 +338,7 @@ def _block_kernel(k: int, percent: int):
             return out_schema.empty_table()
         priors = [p["prior"].to_numpy() for p in parts]
         homes = [p["home"].to_numpy(zero_copy_only=False) for p in parts]
-        # a pair belongs to the lists where a stretch of shared parts begins
-        allowed = (priors[0][:, None] != priors[1][None, :]) | (priors[0][:, None] == 0)
-        allowed &= homes[0][:, None] | homes[1][None, :]
-        allowed &= ids_a[:, None] != ids_b[None, :]
+        allowed = _met(priors, homes, [ids_a, ids_b])
         if not allowed.any():
             return out_schema.empty_table()
         codes: dict = {}
@@ -295,17 +355,82 @@ def _block_kernel(k: int, percent: int):
     return kernel
 
 
-def _long_list_pairs(long: DataFrame, reps: DataFrame, k: int, percent: int, block_rows: int) -> DataFrame:
-    """Best partners from signatures of very many sets, compared block against block."""
+def _met(priors: list, homes: list, ids: list) -> np.ndarray:
+    """Which pairs of two blocks belong to this list: a stretch of shared parts begins here."""
+    met = (priors[0][:, None] != priors[1][None, :]) | (priors[0][:, None] == 0)
+    met &= homes[0][:, None] | homes[1][None, :]
+    return met & (ids[0][:, None] != ids[1][None, :])
+
+
+def _signs(sketches: pa.ListArray, size: int) -> np.ndarray:
+    """The bits of every sketch, folded to ``size`` words, as 1 and -1."""
+    rows = entry_rows(sketches)
+    place = np.arange(len(rows)) - (sketches.offsets.to_numpy()[:-1] - sketches.offsets.to_numpy()[0])[rows]
+    folded = np.zeros((len(sketches), size), np.uint64)
+    np.bitwise_xor.at(folded, (rows, place % size), sketches.flatten().to_numpy().view(np.uint64))
+    return 1 - 2 * np.unpackbits(folded.view(np.uint8), axis=1).astype(np.float32)
+
+
+def _likely_kernel(percent: int):
+    """Likely pairs of one pair of blocks of one signature's list, by their sketches.
+
+    A block of more than :data:`LIKELY_PER_ROW` of them per row gives one row without ids.
+    """
+    out_schema = pa.schema([(c, pa.int64()) for c in ("key", "first", "second", "src", "dst", "n_src", "n_dst")])
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        place = [table[c][0].as_py() for c in ("key", "a", "b")]
+        block = table["block"].to_numpy()
+        parts = [table.filter(pa.array(block == number)) for number in place[1:]]
+        ids, n, priors = [[p[c].to_numpy() for p in parts] for c in ("gid", "n", "prior")]
+        homes = [p["home"].to_numpy() for p in parts]
+        if 0 in (len(ids[0]), len(ids[1])):
+            return out_schema.empty_table()
+        size = min(int(np.diff(p["sketch"].combine_chunks().offsets.to_numpy()).min()) for p in parts)
+        signs = [_signs(p["sketch"].combine_chunks(), size) for p in parts]
+        bits = (64 * size - signs[0] @ signs[1].T) / 2
+        total = n[0][:, None] + n[1][None, :]
+        most = np.minimum((total - bits) // 2, np.minimum(n[0][:, None], n[1][None, :])).astype(np.int64)
+        likely = (most > 0) & (10_000 * most * most >= percent * percent * n[0][:, None] * n[1][None, :])
+        likely &= _met(priors, homes, ids)
+        if place[1] == place[2]:
+            likely &= ids[0][:, None] < ids[1][None, :]
+        rows, cols = np.nonzero(likely)
+        if len(rows) > LIKELY_PER_ROW * max(likely.shape):
+            return pa.table([*([x] for x in place), *([None] for _ in range(4))], schema=out_schema)
+        found = [ids[0][rows], ids[1][cols], n[0][rows], n[1][cols]]
+        return pa.table([*(np.full(len(rows), x) for x in place), *found], schema=out_schema)
+
+    return kernel
+
+
+def _long_lists(long: DataFrame, sketches: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """Likely pairs from signatures of very many sets, and the blocks that have too many of them."""
+    dealt = _paired_blocks(long, block_rows).join(sketches, "gid")
+    likely = dealt.groupBy("key", "a", "b").applyInArrow(
+        _likely_kernel(percent), "key long, first long, second long, src long, dst long, n_src long, n_dst long"
+    )
+    return materialize(likely, "long-lists")
+
+
+def _paired_blocks(long: DataFrame, block_rows: int) -> DataFrame:
+    """Every row of a long list with each block of its list: ``a`` <= ``b`` are the blocks that meet."""
     blocks = F.ceil(F.col("rows") / F.lit(block_rows)).cast("int")
     placed = long.withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
     )
-    paired = placed.join(reps.select("gid", "terms"), "gid").select(
-        "key", "gid", "n", "home", "prior", "block", "terms",
+    return placed.select(
+        "key", "gid", "n", "home", "prior", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
-    return paired.groupBy("key", "a", "b").applyInArrow(
+
+
+def _crowded_pairs(long: DataFrame, crowded: DataFrame, reps: DataFrame, k: int, percent: int, block_rows: int) -> DataFrame:
+    """Best partners within the blocks of long lists that hold a mass of near copies."""
+    wanted = broadcast_if_small(crowded.select("key", F.col("first").alias("a"), F.col("second").alias("b")))
+    paired = _paired_blocks(long, block_rows).join(wanted, ["key", "a", "b"], "left_semi")
+    return paired.join(reps.select("gid", "terms"), "gid").groupBy("key", "a", "b").applyInArrow(
         _block_kernel(k, percent), "src long, dst long, o long, n_dst long"
     )
 
@@ -316,6 +441,13 @@ def shared_lists(signatures: DataFrame) -> DataFrame:
     return materialize(counts.where("rows > 1 and _home").select("key", "rows"), "signature-lists")
 
 
+def shared_signatures(signatures: DataFrame) -> DataFrame:
+    """The rows of :func:`shared_lists`, with ``rows``; signatures move once and are not stored."""
+    same = Window.partitionBy("key")
+    counted = signatures.withColumns({"rows": F.count(F.lit(1)).over(same), "_home": F.max("home").over(same)})
+    return materialize(counted.where("rows > 1 and _home").drop("_home"), "shared-signatures")
+
+
 def neighbour_edges(
     sets: DataFrame,
     k: int = C.NEIGHBOURS,
@@ -329,17 +461,29 @@ def neighbour_edges(
     similarity, then id. Columns: src, dst, pos (1-based), overlap, n_src, n_dst.
     """
     groups = copy_groups(sets, k)
-    reps = sets.join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
-    reps = materialize(reps.select(F.col("id").alias("gid"), "n", "terms"), "distinct-sets")
-    signatures = _signatures(reps, percent)
-    lists = shared_lists(signatures)
-    short = signatures.join(lists.where(F.col("rows") <= posting_limit).select("key"), "key")
-    pairs = _short_list_pairs(short, reps, percent)
-    long_lists = lists.where(F.col("rows") > posting_limit)
-    if not long_lists.isEmpty():
-        long = join_hot(signatures, long_lists, ["key"], "rows", max(hot_limit(signatures.count()), posting_limit))
-        from_long = _long_list_pairs(long, reps, k, percent, block_rows)
-        pairs = pairs.unionByName(from_long).dropDuplicates(["src", "dst"])
+    # words move as one text, a third of their size as a list
+    packed = sets.select("id", "n", F.array_join("terms", " ").alias("words"))
+    reps = packed.join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
+    reps = materialize(reps.select(F.col("id").alias("gid"), "n", F.split("words", " ").alias("terms")), "distinct-sets")
+    shared = shared_signatures(_signatures(reps, percent))
+    sketches = materialize(set_sketches(reps), "set-sketches")
+    likely = likely_pairs(candidate_pairs(shared.where(F.col("rows") <= posting_limit), percent), sketches, percent)
+    long = shared.where(F.col("rows") > posting_limit)
+    crowded = None
+    if not long.isEmpty():
+        listed = _long_lists(long, sketches, percent, block_rows)
+        named = [F.col(old).alias(new) for old, new in (("src", "a"), ("dst", "b"), ("n_src", "na"), ("n_dst", "nb"))]
+        likely = likely.unionByName(listed.where("src is not null").select(*named))
+        crowded = listed.where("src is null")
+    pair = F.least("a", "b"), F.greatest("a", "b")
+    likely = likely.select(
+        pair[0].alias("a"), pair[1].alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
+        F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
+    ).distinct()
+    pairs = _verified(materialize(likely, "likely-pairs"), reps, percent)
+    if crowded is not None and not crowded.isEmpty():
+        from_crowded = _crowded_pairs(long, crowded, reps, k, percent, block_rows)
+        pairs = pairs.unionByName(from_crowded).dropDuplicates(["src", "dst"])
 
     by_similarity = F.desc(F.col("o").cast("double") * F.col("o") / F.col("n_dst"))
     near = top_n_per_group(pairs, ["src"], [by_similarity, F.col("dst")], k)

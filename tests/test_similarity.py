@@ -3,12 +3,13 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from storyline.operators import dedup, densejoin, skew, termjoin
+from storyline.operators import blocks, dedup, densejoin, skew, termjoin
 from storyline.plans import stages
 
 
@@ -84,6 +85,55 @@ def test_sketches_rule_out_chance_pairs_alone(spark):
     assert near <= left and len(near) >= 20 and len(left) < 80 * 79 / 2 / 10
 
 
+def frequent_sets(n):
+    """Unlike sets of words that many sets have, and a near copy of every tenth."""
+    rng = random.Random(n)
+    words = [f"{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(12) for b in range(12) for c in range(4)]
+    texts = [list({w for w in rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=150)}) for _ in range(n)]
+    return [" ".join(t) for t in texts] + [" ".join(t[1:]) for t in texts[::10]]
+
+
+def test_sets_do_not_meet_by_a_part_of_a_frequent_word(spark):
+    texts = frequent_sets(400)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    reps = termjoin.term_sets(df, "id", "text").select(F.col("id").alias("gid"), "n", "terms")
+    signatures = termjoin._signatures(reps, 90)
+    met = signatures.join(termjoin.shared_lists(signatures), "key")
+    # the forty near copies, and by chance 7 % of all pairs (with every part as a signature: 13 %)
+    assert 40 <= termjoin.candidate_pairs(met, 90).count() < 440 * 439 / 2 * 0.08
+
+
+def test_sketches_of_large_sets_rule_out_unlike_ones(spark):
+    rng = random.Random(8)
+    words = [f"{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(26) for b in range(26) for c in range(12)]
+    texts = [rng.sample(words, 1500 + 40 * i) for i in range(12)]
+    texts += [t[:-100] for t in texts]
+    reps = termjoin.term_sets(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id bigint, text string"), "id", "text")
+    reps = reps.select(F.col("id").alias("gid"), "n", "terms")
+    every = reps.select(F.col("gid").alias("a"), F.col("n").alias("na")).join(reps.select(F.col("gid").alias("b"), F.col("n").alias("nb")), F.expr("a < b"))
+    left = {(r["a"], r["b"]) for r in termjoin.likely_pairs(every, termjoin.set_sketches(reps), 90).collect()}
+    assert left == {(i, i + 12) for i in range(12)}
+
+
+@pytest.mark.parametrize("per_row", [0, 1, 100])
+def test_crowded_blocks_of_long_lists_equal_brute_force(spark, monkeypatch, per_row):
+    """Blocks that give their likely pairs, and blocks that give the best partners by their words."""
+    monkeypatch.setattr(termjoin, "LIKELY_PER_ROW", per_row)
+    rng = random.Random(4)
+    base = [f"{chr(97 + a)}{chr(97 + b)}" for a in range(10) for b in range(6)]
+    texts = {i: " ".join([*base[: 57 + i % 3], *(rng.choice("pqrstuvw") * 3 for _ in range(2))]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90, 8, 16)
+    assert {tuple(r) for r in got.collect()} == brute_edges(texts, 4, 90)
+
+
+def test_slices_of_batches_hold_bounded_lists():
+    lists = [[1] * n for n in (3, 0, 9, 2, 2, 0, 30, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([[5], *lists])], names=["id", "hashes"]).slice(1)
+    got = [part.column("hashes").to_pylist() for part in blocks.bounded_slices([batch, batch.slice(0, 0)], "hashes", 8)]
+    assert sum(got, []) == lists and all(len(p) == 1 or sum(map(len, p)) <= 8 for p in got) and len(got) < 7
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 97, 100])
 def test_bands_and_bound_of_differing_words(percent):
     bounds = termjoin.size_bands(300, percent)
