@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from storyline import constants as C
 from storyline.functions.text import list_text, words
 from storyline.functions.vectors import inner_product, l2_normalize, reciprocal_rank_fusion
-from storyline.operators.blocks import entry_rows
+from storyline.operators.blocks import bounded_slices, entry_rows
 from storyline.operators.skew import broadcast_if_small, rank_in_group
 from storyline.session import materialize
 
@@ -82,7 +82,7 @@ def _block_relevance(tokens: DataFrame, key: str, topics: DataFrame) -> DataFram
 
     def multiply(batches):
         shown = pa.array(names, to_arrow_type(topic_type))
-        for batch in batches:
+        for batch in bounded_slices(batches, "_tokens"):
             lists = batch.column("_tokens")
             owner = entry_rows(lists)
             flat = lists.flatten().dictionary_encode()
