@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline import constants as C
-from storyline.operators.blocks import entry_rows
+from storyline.operators.blocks import bounded_slices, entry_rows
 from storyline.operators.skew import MAX_BROADCAST_ROWS, broadcast_if_small, top_n_per_group
 from storyline.session import materialize
 
@@ -61,7 +61,7 @@ def blocks_of(chunks: DataFrame, range_chunks: int = RANGE_CHUNKS, zone_ranges:
     """
 
     def build(batches):
-        for batch in batches:
+        for batch in bounded_slices(batches, "sparse_terms"):
             lists = batch.column("sparse_terms")
             rows = entry_rows(lists)
             ids = batch.column("chunk_id").to_numpy()[rows]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 
@@ -16,7 +17,7 @@ from storyline.functions.text import document_text, first_line, words
 from storyline.functions.times import zone_text
 from storyline.functions.vectors import inner_product
 from storyline.operators.answers import Model, with_answers
-from storyline.operators.blocks import entry_rows
+from storyline.operators.blocks import bounded_slices, entry_rows
 from storyline.operators.cells import write_cells
 from storyline.operators.postings import idf_weight, postings_of, read_blocks, write_sparse
 from storyline.operators.skew import row_place, with_row_number
@@ -168,6 +169,7 @@ def with_title(df: DataFrame) -> DataFrame:
     return df.withColumn("title", first_line(F.col("text")))
 
 
+@functools.lru_cache(1 << 16)  # the words of a slice come again in the next one
 def word_bucket(word: str, dims: int) -> int:
     return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:4], 16) % dims
 
@@ -190,7 +192,7 @@ def vectorize(df: DataFrame, text: str = "text", dims: int = DENSE_DIMS) -> Data
     carried = df.columns
 
     def count(batches):
-        for batch in batches:
+        for batch in bounded_slices(batches, "_words"):
             lists = batch.column("_words")
             rows = entry_rows(lists)
             encoded = lists.flatten().dictionary_encode()
