@@ -7,8 +7,9 @@ Cells are multiplied block by block inside tasks that return only the best ``k``
 row. A first pass inside the home cells gives every row a lower bound for its k-th
 similarity; then every cell walks down the tree, and a node is passed over if the angle
 between the pivots, less both radii, cannot beat the bound of any row of the cell.
-Skipped work is therefore never needed, and what is not skipped is exact. Tree, bounds
-and walk are tables; nothing of them is gathered on the driver. Identical vectors are
+Skipped work is therefore never needed, and what is not skipped is exact. The cells to
+visit lie in groups, and a cell is sent to a group once, however many cells of it it
+visits. Tree, bounds and walk are tables; nothing of them is gathered on the driver. Identical vectors are
 collapsed first, so a mass of copies costs one row.
 """
 
@@ -20,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.functions.vectors import inner_product, l2_norm
@@ -30,6 +31,8 @@ from storyline.session import materialize
 
 BLOCK_ROWS = 1024
 BLOCK_VALUES = 1_000_000
+#: Rows of the cells that are visited together, about.
+GROUP_ROWS = 16_384
 #: Pivots that divide a cell, and levels of the tree; a cell that is too large at the last
 #: level is cut into blocks.
 FAN = 16
@@ -167,9 +170,18 @@ def cells_to_visit(tree: Tree, bounds: DataFrame, unit: bool) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _group(cell: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(cell), F.lit(groups)).cast("int").alias("group")
+
+
+def grouped_visits(visits: DataFrame, groups: int) -> DataFrame:
+    """(cell, group, wanted): the cells to visit in each group, so that a cell is sent once per group."""
+    return visits.groupBy("cell", _group("cell_b", groups)).agg(F.collect_list("cell_b").alias("wanted"))
+
+
 def nearest_neighbours(
     vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS, unit: bool = True,
-    floor: float | None = None, fan: int = FAN,
+    floor: float | None = None, fan: int = FAN, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar other rows of each row of ``vectors`` (id, vec).
 
@@ -227,7 +239,10 @@ def nearest_neighbours(
             .agg(F.when(F.count("kth") == F.count(F.lit(1)), needed).otherwise(F.lit(math.pi)).alias("needed"))
         )
         visit = materialize(cells_to_visit(tree, bounds, unit), "visits")
-        away = left.join(visit, "cell").join(right, "cell_b")
+        # a group for each core, so that a few groups keep all of them busy
+        parts = max(-(-shape["rows"] // group_rows), spark.sparkContext.defaultParallelism)
+        away = left.join(grouped_visits(visit, parts), "cell").join(right.select("*", _group("cell_b", parts)), "group")
+        away = away.where(F.array_contains("wanted", F.col("cell_b")))
         near = top_by_source(near.unionByName(_best_of_pairs(away, k, least)), k)
 
     # back to rows: own copies first, then the lowest ids of the near groups

@@ -307,6 +307,22 @@ def test_a_deep_tree_skips_cells_and_loses_nothing(spark, fan):
             node = ball["parent"]
 
 
+@pytest.mark.parametrize("group_rows", [20, 100_000])
+def test_cells_are_sent_once_per_group(spark, group_rows):
+    m = np.random.default_rng(11).normal(size=(300, 12))
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
+    got = defaultdict(list)
+    for r in densejoin.nearest_neighbours(df, 4, 10, group_rows=group_rows).orderBy("src", "pos").collect():
+        got[r["src"]].append(r["dst"])
+    assert dict(got) == brute_nearest(list(range(300)), m, 4)
+    visits = spark.range(40).crossJoin(spark.range(40).withColumnRenamed("id", "cell_b")).withColumnRenamed("id", "cell").where("cell != cell_b")
+    sent = densejoin.grouped_visits(visits, 5)
+    assert sent.groupBy("cell").count().agg(F.max("count")).first()[0] <= 5
+    found = sent.select("cell", F.explode("wanted").alias("cell_b"))
+    assert found.count() == visits.count() and found.exceptAll(visits).isEmpty()
+
+
 def test_raw_inner_product_of_vectors_of_any_length(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(80, 5)) * rng.uniform(0.1, 9, size=(80, 1))
