@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from storyline import constants as C
 from storyline.functions.text import word_set
 from storyline.operators.blocks import best_per_row, bounded_slices, entry_rows
-from storyline.operators.skew import broadcast_if_small, hot_limit, join_hot, top_n_per_group
+from storyline.operators.skew import MAX_BROADCAST_ROWS, broadcast_if_small, hot_limit, join_hot, top_n_per_group
 from storyline.session import materialize, shuffle_partitions
 
 POSTING_LIMIT = 512
 BLOCK_ROWS = 2048
 VOCABULARY_SLICE = 4096
-SKETCH_BITS = 512
+SKETCH_BITS = 256
 #: A band reaches to this many times its first size, or as far as similar sets do.
 BAND_WIDTH = 2
 #: Parts for each that the largest set of a band needs, and some more for small sets.
@@ -59,13 +59,12 @@ LIKELY_PER_ROW = 4
 def term_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One stored row per text: id, digest of its word set, set size, sorted words."""
     sets = df.select(F.col(id_col).alias("id"), word_set(F.col(text_col)).alias("terms"))
-    sets = sets.select(
-        "id",
-        F.sha2(F.array_join("terms", " "), 256).alias("key"),
-        F.size("terms").cast("bigint").alias("n"),
-        "terms",
-    )
-    return materialize(sets, "term-sets")
+    sets = sets.select("id", F.array_join("terms", " ").alias("words"), F.size("terms").cast("bigint").alias("n"))
+    # words lie as one text, about half their size as a list
+    stored = materialize(sets.select("id", F.sha2("words", 256).alias("key"), "n", "words"), "term-sets", "zstd")
+    none = F.array().cast("array<string>")
+    terms = F.when(F.col("n") > 0, F.split("words", " ")).when(F.col("words").isNotNull(), none)
+    return stored.select("id", "key", "n", terms.alias("terms"))
 
 
 def copy_groups(sets: DataFrame, k: int) -> DataFrame:
@@ -81,6 +80,27 @@ def copy_groups(sets: DataFrame, k: int) -> DataFrame:
     return materialize(groups.select("key", "gid", "ids", "copies"), "copy-groups")
 
 
+def representatives(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gid, n, terms) of the sets that stand for their group, read where they lie.
+
+    Words are not stored again: the ids that stay or those that go, whichever are
+    fewer, are sent to the tasks. Only if both are many are the words moved and stored.
+    """
+    stay = groups.select(F.col("gid").alias("id"))
+    named = sets.where("id is not null")
+    go = materialize(named.select("id").join(stay, "id", "left_anti"), "copied-sets")
+    if groups.count() <= go.count():
+        listed, how = stay, "left_semi"
+    else:
+        listed, how = go, "left_anti"
+    picked = lambda df: df.select(F.col("id").alias("gid"), "n", "terms")
+    if listed.count() <= MAX_BROADCAST_ROWS:
+        return picked(named.join(F.broadcast(listed), "id", how))
+    # words move as one text, a third of their size as a list
+    packed = named.select("id", "n", F.array_join("terms", " ").alias("words")).join(listed, "id", how)
+    return picked(materialize(packed, "distinct-sets", "zstd").withColumn("terms", F.split("words", " ")))
+
+
 def size_bands(longest: int, percent: int) -> list[int]:
     """First set size of each band; two similar sets lie in one band or in neighbouring ones."""
 
@@ -200,7 +220,7 @@ def _reaches(overlap: str, n_a: str, n_b: str, percent: int) -> str:
 def set_sketches(reps: DataFrame) -> DataFrame:
     """(gid, sketch): per bit, the parity of the words that have it.
 
-    A sketch has about as many bits as its set has words, :data:`SKETCH_BITS` at least and
+    A sketch has half as many bits as its set has words or more, :data:`SKETCH_BITS` at least and
     that many times a power of two, so that unlike sets differ in more bits than similar ones may.
     """
 
@@ -209,7 +229,7 @@ def set_sketches(reps: DataFrame) -> DataFrame:
             lists = batch.column("hashes")
             rows = entry_rows(lists)
             n = np.maximum(np.bincount(rows, minlength=batch.num_rows), 1)
-            bits = SKETCH_BITS << np.maximum(np.ceil(np.log2(n / SKETCH_BITS)), 0).astype(np.int64)
+            bits = SKETCH_BITS << np.maximum(np.floor(np.log2(n / SKETCH_BITS)), 0).astype(np.int64)
             begin = np.concatenate(([0], np.cumsum(bits)))
             bit = _mixed(lists.flatten().to_numpy().view(np.uint64)) % bits[rows].astype(np.uint64)
             counts = np.bincount(begin[rows] + bit.astype(np.int64), minlength=begin[-1])
@@ -430,7 +450,10 @@ def _crowded_pairs(long: DataFrame, crowded: DataFrame, reps: DataFrame, k: int,
     """Best partners within the blocks of long lists that hold a mass of near copies."""
     wanted = broadcast_if_small(crowded.select("key", F.col("first").alias("a"), F.col("second").alias("b")))
     paired = _paired_blocks(long, block_rows).join(wanted, ["key", "a", "b"], "left_semi")
-    return paired.join(reps.select("gid", "terms"), "gid").groupBy("key", "a", "b").applyInArrow(
+    # only sets of such blocks are moved
+    named = broadcast_if_small(materialize(paired.select("gid").distinct(), "crowded-sets"))
+    words = reps.select("gid", "terms").join(named, "gid", "left_semi")
+    return paired.join(words, "gid").groupBy("key", "a", "b").applyInArrow(
         _block_kernel(k, percent), "src long, dst long, o long, n_dst long"
     )
 
@@ -461,10 +484,7 @@ def neighbour_edges(
     similarity, then id. Columns: src, dst, pos (1-based), overlap, n_src, n_dst.
     """
     groups = copy_groups(sets, k)
-    # words move as one text, a third of their size as a list
-    packed = sets.select("id", "n", F.array_join("terms", " ").alias("words"))
-    reps = packed.join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
-    reps = materialize(reps.select(F.col("id").alias("gid"), "n", F.split("words", " ").alias("terms")), "distinct-sets")
+    reps = representatives(sets, groups)
     shared = shared_signatures(_signatures(reps, percent))
     sketches = materialize(set_sketches(reps), "set-sketches")
     likely = likely_pairs(candidate_pairs(shared.where(F.col("rows") <= posting_limit), percent), sketches, percent)

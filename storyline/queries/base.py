@@ -69,7 +69,10 @@ ev AS (
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles: documents with their label as sentiment and an event time by id."""
-    docs = texts(spark, sf_dir, "lang", "source")
+    # the text is taken apart before the joins, so that they move only what is asked for
+    docs = texts(spark, sf_dir, "lang", "source").select(
+        "doc_id", "lang", "source", first_line(F.col("text")).alias("headline"), after_first_line(F.col("text")).alias("summary")
+    )
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     times = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("publishedAt")
@@ -82,8 +85,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             number.alias("id"),
             F.struct(F.lit(None).cast("string").alias("id"), F.col("source").alias("name")).alias("source"),
             F.concat(F.lit("by "), F.col("source")).alias("author"),
-            first_line(F.col("text")).alias("headline"),
-            after_first_line(F.col("text")).alias("summary"),
+            "headline",
+            "summary",
             F.when(number % 7 == 1, F.concat(F.lit("plain "), F.col("lang")))
             .when(number % 7 == 2, F.lit(None))
             .when(number % 7 == 3, F.lit("[]"))

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes the shuffle files of a query when it ends, not when they are forgotten.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(
     app_name: str = "storyline", master: str | None = None, shuffle_partitions: int | None = None,
@@ -64,13 +67,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/storyline-scratch/{application}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and lets every later reader
-    prune columns instead of recomputing the plan behind ``df``.
+    prune columns instead of recomputing the plan behind ``df``. What was shuffled
+    for it is dropped as soon as it is stored. ``codec`` names the compression of a
+    large table; the session's is the default.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    kept = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, kept)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -9,8 +10,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from storyline import session
 from storyline.operators import blocks, dedup, densejoin, skew, termjoin
 from storyline.plans import stages
+from storyline.queries.base import articles
 
 
 def brute_edges(texts, k, percent):
@@ -127,6 +130,65 @@ def test_crowded_blocks_of_long_lists_equal_brute_force(spark, monkeypatch, per_
     assert {tuple(r) for r in got.collect()} == brute_edges(texts, 4, 90)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("copies", [1, 5])
+def test_words_of_sets_are_stored_once(spark, monkeypatch, copies, most):
+    """Representatives are read from the stored sets, whether ids that stay or ids that go are sent."""
+    monkeypatch.setattr(termjoin, "MAX_BROADCAST_ROWS", most)
+    labels, keep = [], termjoin.materialize
+    monkeypatch.setattr(termjoin, "materialize", lambda df, label, *codec: labels.append((label, df.columns)) or keep(df, label, *codec))
+    texts = some_texts(5, 60)
+    texts |= {10_000 * c + i: t for c in range(1, copies) for i, t in texts.items()}
+    df = spark.createDataFrame([*texts.items()], "id bigint, text string")
+    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90, 5, 5)
+    assert {tuple(r) for r in got.collect()} == brute_edges(texts, 4, 90)
+    worded = {label for label, columns in labels if {"words", "terms"} & {*columns}}
+    assert worded - {"paired-words"} == ({"term-sets"} if most else {"term-sets", "distinct-sets"})
+
+
+def test_only_sets_of_crowded_blocks_are_moved(spark, monkeypatch):
+    """The words of sets that are in no crowded block stay where they lie."""
+    monkeypatch.setattr(termjoin, "LIKELY_PER_ROW", 0)
+    rng = random.Random(4)
+    base = [f"{chr(97 + a)}{chr(97 + b)}" for a in range(10) for b in range(6)]
+    texts = {i: " ".join([*base[: 57 + i % 3], *(rng.choice("pqrstuvw") * 3 for _ in range(2))]) for i in range(40)}
+    texts |= {i: " ".join("x" * (1 + j) + chr(97 + i % 26) * (1 + i // 26) for j in range(30)) for i in range(40, 140)}
+    stored, keep = {}, termjoin.materialize
+
+    def keeping(df, label, *codec):
+        stored[label] = keep(df, label, *codec)
+        return stored[label]
+
+    monkeypatch.setattr(termjoin, "materialize", keeping)
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90, 8, 16)
+    assert {tuple(r) for r in got.collect()} == brute_edges(texts, 4, 90)
+    assert {r["gid"] for r in stored["crowded-sets"].collect()} <= set(range(40))
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    """What a step shuffled goes when it is stored; the session's setting stays as it was."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in files.getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    old, setting = shuffled(), spark.conf.get(session.DROP_SHUFFLES)
+    spread = spark.range(5000).repartition(3, "id")
+    # written twice: nothing is missed that was dropped
+    stored = [session.materialize(spread, "shuffled") for _ in range(2)]
+    for _ in range(50):
+        left = shuffled() - old
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(session.DROP_SHUFFLES) == setting
+    assert [s.count() for s in stored] == [5000, 5000]
+
+
+def test_texts_are_taken_apart_before_the_joins(spark):
+    """Articles without their summary do not move it."""
+    plan = articles(spark, "/root/testdata/sf0.001").select("id", "headline")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("substring_index")
+
+
 def test_slices_of_batches_hold_bounded_lists():
     lists = [[1] * n for n in (3, 0, 9, 2, 2, 0, 30, 1)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([[5], *lists])], names=["id", "hashes"]).slice(1)
