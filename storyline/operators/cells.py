@@ -26,7 +26,7 @@ from storyline.functions.vectors import inner_product
 from storyline.operators.blocks import best_per_row, matrix
 from storyline.operators.densejoin import ANGLE_SLACK, BLOCK_VALUES, FAN, pivot_tree
 from storyline.operators.skew import dense_row_id, top_n_per_group
-from storyline.session import materialize
+from storyline.session import BOUNDED_BATCHES, materialize, settings
 
 CELL_ROWS = 4096
 #: Cells that a question reads before it has an angle to beat.
@@ -171,7 +171,9 @@ def search(questions: DataFrame, index: DenseIndex, k: int, category: str | None
         return met.where(~F.col("leaf")).unionByName(leaves)
 
     first = materialize(_walk(index, starts, depth, nearest), "first-cells")
-    found = materialize(_scores(index, first, asked, k, parts), "first-hits")
+    # a row is a cell and a block of questions, up to megabytes
+    with settings(questions.sparkSession, BOUNDED_BATCHES):
+        found = materialize(_scores(index, first, asked, k, parts), "first-hits")
     best = top_n_per_group(found, ["question_id"], [F.desc("score"), F.col("chunk_id")], k)
     cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.min("score")))
     needed = best.groupBy("question_id").agg(F.when(F.count(F.lit(1)) >= k, F.acos(cosine)).otherwise(F.lit(math.pi)).alias("needed"))
@@ -182,4 +184,6 @@ def search(questions: DataFrame, index: DenseIndex, k: int, category: str | None
 
     more = _walk(index, bounded, depth, in_reach).join(first, ["question_id", "root", "cell"], "left_anti")
     more = materialize(more, "more-cells")
-    return found.unionByName(_scores(index, more, asked, k, parts)), first.unionByName(more)
+    with settings(questions.sparkSession, BOUNDED_BATCHES):
+        rest = materialize(_scores(index, more, asked, k, parts), "more-hits")
+    return found.unionByName(rest), first.unionByName(more)

@@ -22,7 +22,7 @@ from storyline.operators.cells import write_cells
 from storyline.operators.postings import idf_weight, postings_of, read_blocks, write_sparse
 from storyline.operators.skew import row_place, with_row_number
 from storyline.schemas import CHUNK_METADATA
-from storyline.session import materialize
+from storyline.session import BOUNDED_BATCHES, DROP_SHUFFLES, materialize, settings
 
 BLANK = r" \t\n\r\f"
 # a word with the white space behind it
@@ -30,6 +30,8 @@ WORD = rf"[^{BLANK}]+[{BLANK}]*"
 # a sentence ends with a mark before white space or the end, or before a line break
 SENTENCE = rf"[^{BLANK}](?s:.*?)(?:(?<=[.!?])(?=[{BLANK}]|\z)|(?=\n)|\z)[{BLANK}]*"
 DENSE_DIMS = 64
+#: Settings while the index is written.
+BUILD = BOUNDED_BATCHES | {DROP_SHUFFLES: "true"}
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -254,6 +256,31 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
                 overlap: int = C.CHUNK_OVERLAP, dims: int = DENSE_DIMS, vectors: Model | None = None) -> DataFrame:
     """Write the chunk table (by topic), its postings, word frequencies and vector cells below ``path``.
 
+    Takes what :func:`write_chunks` takes and returns its run facts.
+    """
+    spark = docs.sparkSession
+    facts = write_chunks(docs, path, size, overlap, dims, vectors)
+    add_postings(spark, path)
+    add_cells(spark, path)
+    return facts
+
+
+def add_postings(spark: SparkSession, path: str) -> None:
+    """Postings and word frequencies of the chunks stored below ``path``."""
+    with settings(spark, BUILD):
+        write_sparse(read_chunks(spark, path), path)
+
+
+def add_cells(spark: SparkSession, path: str) -> None:
+    """Vector cells of the chunks stored below ``path``."""
+    with settings(spark, BUILD):
+        write_cells(read_chunks(spark, path), path)
+
+
+def write_chunks(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
+                 overlap: int = C.CHUNK_OVERLAP, dims: int = DENSE_DIMS, vectors: Model | None = None) -> DataFrame:
+    """Write the chunk table (by topic) below ``path``, with the vectors of each chunk.
+
     ``vectors`` gives the dense vectors; without it they are counted words.
 
     ``docs`` has id, text, topic and may carry more columns. Documents are range-sorted
@@ -273,11 +300,10 @@ def build_index(docs: DataFrame, path: str, size: int = C.CHUNK_SIZE,
         F.count(F.lit(1)).alias("num_chunks"),
         F.count_if(F.col("chunk_no") == 0).alias("num_docs"),
     )
-    chunks.write.partitionBy("topic").parquet(f"{path}/chunks")
+    with settings(spark, BUILD):
+        chunks.write.partitionBy("topic").parquet(f"{path}/chunks")
     # the reader's schema, as topics such as 2024 would be read as numbers
     spark.createDataFrame([(chunks.schema.json(),)], "schema string").coalesce(1).write.parquet(f"{path}/schema")
-    write_sparse(read_chunks(spark, path), path)
-    write_cells(read_chunks(spark, path), path)
     facts = seen.get
     row = (size, overlap, facts["num_docs"], facts["num_chunks"], path.rstrip("/").split("/")[-1])
     return spark.createDataFrame(

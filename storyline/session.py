@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark removes the shuffle files of a query when it ends, not when they are forgotten.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes that a task sends to Python at a time, whatever the length of the rows.
+BOUNDED_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def build_session(
@@ -67,6 +71,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/storyline-scratch/{application}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold inside the block only."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -77,10 +94,6 @@ def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    kept = spark.conf.get(DROP_SHUFFLES)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    with settings(spark, {DROP_SHUFFLES: "true"}):
         (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, kept)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,11 +2,14 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from storyline.operators import cells, postings, retrieve, skew, textindex
 from storyline.plans import stages
+from storyline.queries import base, texts
+from storyline.session import BOUNDED_BATCHES, settings
 
 
 def brute_pack(text, size, overlap):
@@ -302,3 +305,50 @@ def test_prompts_of_accepted_questions_only(spark, index):
     prompt = got[4]["content"]
     assert prompt.startswith("\n**User Question:** " + docs[7][2])
     assert prompt.count('    "source": "s",\n') == 7 and '    "url": "",' in prompt and '    "repeated_count": 2,' in prompt
+
+
+def batch_bytes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+
+def test_batches_sent_to_python_are_bounded_by_their_bytes(spark):
+    """Long rows come in small batches while the index is built or searched, and only then."""
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.col("id").cast("string"), 2000).alias("text"))
+    largest = lambda: long.mapInArrow(batch_bytes, "bytes long").agg(F.max("bytes")).first()[0]
+    before = largest()
+    with settings(spark, textindex.BUILD):
+        inside = largest()
+    assert inside < 2 * int(*BOUNDED_BATCHES.values()) < before == largest()
+
+
+def test_the_walk_and_the_build_bound_their_batches(spark, tmp_path, monkeypatch):
+    seen, name = [], next(iter(BOUNDED_BATCHES))
+    keep, write = cells.materialize, textindex.write_sparse
+    monkeypatch.setattr(cells, "materialize", lambda df, label: seen.append((label, spark.conf.get(name))) or keep(df, label))
+    monkeypatch.setattr(textindex, "write_sparse", lambda *a: seen.append(("sparse", spark.conf.get(name))) or write(*a))
+    path, outside = str(tmp_path / "i"), spark.conf.get(name)
+    docs = spark.createDataFrame([(i, "a", f"one {i} two three") for i in range(30)], "id bigint, topic string, text string")
+    textindex.build_index(docs, path)
+    asked = textindex.vectorize(spark.createDataFrame([(1, "one 7")], "question_id bigint, text string"))
+    hits = retrieve.dense_index_top_k(cells.read_cells(spark, path), asked, 3)
+    assert hits.count() == 3 and spark.conf.get(name) == outside
+    bound = BOUNDED_BATCHES[name]
+    assert {("sparse", bound), ("first-hits", bound), ("more-hits", bound)} <= set(seen)
+
+
+def test_queries_on_chunks_build_no_postings_or_cells(spark, monkeypatch):
+    """Parts of the index are added when a query reads them, once."""
+    base.forget_stages()
+    built = []
+    for name in ("write_sparse", "write_cells"):
+        write = getattr(textindex, name)
+        monkeypatch.setattr(textindex, name, lambda *a, _n=name, _w=write: built.append(_n) or _w(*a))
+    small = "/root/testdata/sf0.001"
+    assert texts.chunk_metadata(spark, small).count() == texts.chunk_dense_dims(spark, small).count() > 0
+    assert texts.idf_table(spark, small).count() > 0 and built == []
+    facts = texts.index_run_metrics(spark, small).first()
+    assert facts["num_chunks"] == texts.chunks(spark, small).count() and built == ["write_sparse", "write_cells"]
+    texts.index_build_counts(spark, small)
+    assert texts.index_run_metrics(spark, small).first() == facts and len(built) == 2
+    base.forget_stages()
