@@ -20,14 +20,18 @@ How the join stays exact and small:
   bit, whether an odd number of its words have it) tells at least in how many words two
   sets differ, and rules these pairs out before any word is compared;
 * a pair is met only where a stretch of shared parts begins, not once per part;
-* signatures of up to ``posting_limit`` sets are joined; longer lists are cut into blocks
-  and their sketches are compared inside tasks. A block of few likely pairs gives these
-  pairs, and only a block of a mass of near copies gets the words and returns the best
-  ``k`` per row.
+* signatures are made and shuffled in passes, by band and hash, and the sketches of the sets
+  that share one travel with it: sets meet inside tasks, and only likely pairs leave them;
+* signatures of more than ``posting_limit`` sets are cut into blocks. A block of few likely
+  pairs gives these pairs, and only a block of a mass of near copies gets the words and
+  returns the best ``k`` per row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +41,7 @@ from storyline import constants as C
 from storyline.functions.text import word_set
 from storyline.operators.blocks import best_per_row, bounded_slices, entry_rows
 from storyline.operators.skew import MAX_BROADCAST_ROWS, broadcast_if_small, hot_limit, join_hot, top_n_per_group
-from storyline.session import materialize, shuffle_partitions
+from storyline.session import BOUNDED_BATCHES, materialize, settings, shuffle_partitions
 
 POSTING_LIMIT = 512
 BLOCK_ROWS = 2048
@@ -52,6 +56,13 @@ SPARE_PARTS = 3
 #: they steer the cost, never the result.
 WEIGHT_SETS = 20_000
 WEIGHT_WORDS = 1 << 16
+#: Signatures of a pass and words that its pairs carry, at least, and shares of all of them at most.
+PASS_SIGNATURES = 2_000_000
+PASS_WORDS = 32_000_000
+MOST_SHARES = 6
+#: Rows of short lists that a task compares at a time, and pairs of them that it gives at a time.
+MET_ROWS = 1 << 14
+MET_PAIRS = 1 << 18
 #: Likely pairs per row up to which a block of a long list gives pairs.
 LIKELY_PER_ROW = 4
 
@@ -166,16 +177,62 @@ def _part_signatures(
     return key, owner, prior
 
 
-def _signatures(reps: DataFrame, percent: int) -> DataFrame:
+def _band_bounds(reps: DataFrame, percent: int) -> np.ndarray:
+    return np.array(size_bands(reps.agg(F.max("n")).first()[0] or 1, percent))
+
+
+def _visits(n: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple]:
+    """(band, home, wanted, signatures) of sets of ``n`` words, in their own band and the next larger one."""
+    own = np.searchsorted(bounds, n, "right") - 1
+    largest = n * 10_000 // (percent * percent)
+    visits = []
+    for band, home in ((own, True), (own + 1, False)):
+        differ = differing(np.minimum(largest, bounds[band + 1] - 1), percent)
+        # sets that differ in no word are one set
+        visits.append((band, home, (differ > 0) & (largest >= bounds[band]), differ + 1))
+    return visits
+
+
+def signature_passes(reps: DataFrame, percent: int, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first band, last band, slice, slices) of passes of about as many signatures each.
+
+    Together they make every signature once. Their number is bounded, so is how often
+    a set is read.
+    """
+    # one row per size of a set
+    sizes = np.array(reps.groupBy("n").count().collect(), np.int64).reshape(-1, 2)
+    counts = np.zeros(len(bounds), np.int64)
+    for band, _, wanted, signatures in _visits(sizes[:, 0], bounds, percent):
+        np.add.at(counts, band[wanted], (signatures * sizes[:, 1])[wanted])
+    share = max(PASS_SIGNATURES, -(-int(counts.sum()) // MOST_SHARES))
+    passes, first, held = [], 0, 0
+    for band, count in enumerate(counts.tolist()):
+        if held and held + count > share:
+            passes.append((first, band - 1, 0, 1))
+            first, held = band, 0
+        if count > share:
+            slices = -(-count // share)
+            passes += [(band, band, part, slices) for part in range(slices)]
+            first = band + 1
+        else:
+            held += count
+    return [*passes, (first, len(bounds) - 1, 0, 1)] if held else passes
+
+
+def _signatures(
+    reps: DataFrame, percent: int, bounds: np.ndarray | None = None, weights: tuple | None = None,
+    part: tuple[int, int, int, int] | None = None,
+) -> DataFrame:
     """(key, gid, n, home, prior): what sets have to share, in their own band and the next
     larger one, if a similar set may lie there.
 
     ``home`` marks the own band, ``prior`` is the signature of the part before, of those used.
+    ``part`` is one of :func:`signature_passes`.
     """
-    longest = reps.agg(F.max("n")).first()[0] or 1
-    bounds = np.array(size_bands(longest, percent))
+    bounds = _band_bounds(reps, percent) if bounds is None else bounds
+    first, last, number_of, slices = part or (0, len(bounds), 0, 1)
     parts_of = np.array([int(PARTS * (differing(int(after) - 1, percent) + 1)) + SPARE_PARTS for after in bounds[1:]])
-    known, weight, rare = word_weights(reps)
+    known, weight, rare = weights or word_weights(reps)
 
     def sign(batches):
         for batch in bounded_slices(batches, "hashes"):
@@ -187,19 +244,18 @@ def _signatures(reps: DataFrame, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, words), len(known) - 1)
                 weights = np.where(known[at] == words, weight[at], rare)
             n = batch.column("n").to_numpy()
-            own = np.searchsorted(bounds, n, "right") - 1
-            largest = n * 10_000 // (percent * percent)
-            for band, home in ((own, True), (own + 1, False)):
-                differ = differing(np.minimum(largest, bounds[band + 1] - 1), percent)
-                # sets that differ in no word are one set
-                wanted = (differ > 0) & (largest >= bounds[band])
+            for band, home, wanted, most in _visits(n, bounds, percent):
+                wanted = wanted & (band >= first) & (band <= last)
                 number = np.cumsum(wanted) - 1
                 take = wanted[rows]
                 picked = np.flatnonzero(wanted)
                 key, owner, prior = _part_signatures(
-                    number[rows[take]], words[take], weights[take], band[picked], parts_of[band[picked]], differ[picked] + 1
+                    number[rows[take]], words[take], weights[take], band[picked], parts_of[band[picked]], most[picked]
                 )
                 owner = picked[owner]
+                if slices > 1:
+                    mine = key % np.uint64(slices) == number_of
+                    key, owner, prior = key[mine], owner[mine], prior[mine]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key.view(np.int64)), batch.column("gid").take(pa.array(owner)), pa.array(n[owner]),
@@ -208,6 +264,9 @@ def _signatures(reps: DataFrame, percent: int) -> DataFrame:
                     names=["key", "gid", "n", "home", "prior"],
                 )
 
+    if part:
+        # sets of these bands, and those of the band before that a similar set here may be of
+        reps = reps.where((F.col("n") < int(bounds[min(last + 1, len(bounds) - 1)])) & (F.col("n") >= int(bounds[first]) * percent * percent // 10_000))
     hashed = reps.select("gid", "n", F.transform("terms", lambda w: F.xxhash64(w)).alias("hashes"))
     return hashed.mapInArrow(sign, "key long, gid long, n long, home boolean, prior long")
 
@@ -249,7 +308,10 @@ def _folded(sketch: Column, other: Column) -> Column:
 
 
 def likely_pairs(candidates: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Candidates that the sketches do not rule out: words differ in at least as many as bits do."""
+    """Candidates that the sketches do not rule out: words differ in at least as many as bits do.
+
+    For pairs that are given; the join itself meets sets inside tasks (:func:`met_lists`).
+    """
     left = sketches.select(F.col("gid").alias("a"), F.col("sketch").alias("sa"))
     right = sketches.select(F.col("gid").alias("b"), F.col("sketch").alias("sb"))
     pair = _folded(F.col("sa"), F.col("sb")), _folded(F.col("sb"), F.col("sa"))
@@ -262,7 +324,10 @@ def likely_pairs(candidates: DataFrame, sketches: DataFrame, percent: int) -> Da
 
 
 def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of the sets that share a signature, each pair once, ``a`` at home in its band."""
+    """(a, b, na, nb) of the sets that share a signature, each pair once, ``a`` at home in its band.
+
+    Tests compare :func:`met_lists` with it.
+    """
     a = short.where("home").select("key", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prior").alias("pa"))
     b = short.select("key", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prior").alias("pb"), F.col("home").alias("hb"))
     return (
@@ -277,14 +342,128 @@ def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _verified(candidates: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (a, b, na, nb) that reach the threshold by their words, in both directions."""
+def _folded_rows(sketches: pa.ListArray, size: int) -> np.ndarray:
+    """The sketches of at least ``size`` words, folded to that many; the rows of shorter ones are zero."""
+    starts, lengths = sketches.offsets.to_numpy()[:-1], np.diff(sketches.offsets.to_numpy())
+    words = sketches.values.to_numpy().view(np.uint64)
+    folded = np.zeros((len(sketches), size), np.uint64)
+    for length in np.unique(lengths[lengths >= size]):
+        rows = np.flatnonzero(lengths == length)
+        taken = words[starts[rows][:, None] + np.arange(length)]
+        folded[rows] = np.bitwise_xor.reduce(taken.reshape(len(rows), length // size, size), axis=1)
+    return folded
+
+
+def _meet(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the likely pairs within the lists of one key each; rows of a key lie together."""
+    key, gid, n, prior = (table[c].to_numpy() for c in ("key", "gid", "n", "prior"))
+    home = table["home"].to_numpy()
+    sketches = table["sketch"].combine_chunks()
+    length = np.diff(sketches.offsets.to_numpy())
+    begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+    end = np.repeat(begin[1:], np.diff(begin))
+    folded: dict = {}
+    found: list = []
+    left, step = np.arange(len(key)), 0
+    # rows meet the next one of their list, then the one behind it, and so on
+    while len(left):
+        step += 1
+        left = left[left + step < end[left]]
+        right = left + step
+        met = (home[left] | home[right]) & (gid[left] != gid[right]) & ((prior[left] != prior[right]) | (prior[left] == 0))
+        met &= 10_000 * np.minimum(n[left], n[right]) >= percent * percent * np.maximum(n[left], n[right])
+        a, b = left[met], right[met]
+        shorter = np.minimum(length[a], length[b])
+        for size in np.unique(shorter).tolist():
+            if size not in folded:
+                folded[size] = _folded_rows(sketches, size)
+            x, y = (rows[shorter == size] for rows in (a, b))
+            bits = np.bitwise_count(folded[size][x] ^ folded[size][y]).sum(axis=1).astype(np.int64)
+            most = np.minimum((n[x] + n[y] - bits) // 2, np.minimum(n[x], n[y]))
+            likely = (most > 0) & (10_000 * most * most >= percent * percent * n[x] * n[y])
+            found.append((x[likely], y[likely]))
+        if found and (not len(left) or sum(len(x) for x, _ in found) > MET_PAIRS):
+            yield tuple(np.concatenate(rows) for rows in zip(*found))
+            found = []
+
+
+def met_lists(shared: DataFrame, sketches: DataFrame, percent: int, posting_limit: int) -> DataFrame:
+    """(key, gid, n, home, prior, rows, other, n_other): likely pairs of sets that share a signature.
+
+    ``shared`` has the rows of signatures and in ``rows`` how many a signature has. Lists of more than
+    ``posting_limit`` rows are not compared: their rows come without ``other``.
+    """
+    kinds = {"key": "long", "gid": "long", "n": "long", "home": "boolean", "prior": "long", "rows": "long"}
+
+    def meet(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            long = np.asarray(rows["rows"].to_numpy()) > posting_limit
+            if long.any():
+                listed = rows.filter(pa.array(long)).select(list(kinds))
+                none = pa.nulls(listed.num_rows, pa.int64())
+                yield from listed.append_column("other", none).append_column("n_other", none).combine_chunks().to_batches()
+                rows = rows.filter(pa.array(~long))
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows < MET_ROWS:
+                continue
+            # the last list may go on in the next batch
+            key = held["key"].to_numpy()
+            whole = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            yield from pairs(held.slice(0, whole))
+            held = held.slice(whole)
+        if held is not None:
+            yield from pairs(held)
+
+    def pairs(table):
+        table = table.combine_chunks()
+        for a, b in _meet(table, percent) if table.num_rows > 1 else ():
+            other = table.select(["gid", "n"]).take(pa.array(b))
+            found = table.select(list(kinds)).take(pa.array(a)).append_column("other", other["gid"]).append_column("n_other", other["n"])
+            yield from found.combine_chunks().to_batches()
+
+    # a long list goes to many tasks
+    salt = F.when(F.col("rows") > posting_limit, F.pmod(F.xxhash64("gid"), F.ceil(F.col("rows") / posting_limit))).otherwise(0)
+    dealt = shared.join(sketches, "gid").repartition("key", salt).sortWithinPartitions("key")
+    return dealt.mapInArrow(meet, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", other long, n_other long")
+
+
+def _all_met(reps: DataFrame, sketches: DataFrame, percent: int, posting_limit: int) -> DataFrame:
+    """:func:`met_lists` of all signatures, one pass stored after the other."""
+    bounds = _band_bounds(reps, percent)
+    weights = word_weights(reps)
+    # nothing can be met without signatures, which still gives a table
+    passes = signature_passes(reps, percent, bounds) or [(0, len(bounds) - 1, 0, 1)]
+    with settings(reps.sparkSession, BOUNDED_BATCHES):
+        stored = [
+            materialize(met_lists(shared_signatures(_signatures(reps, percent, bounds, weights, part)), sketches, percent, posting_limit), "met-lists")
+            for part in passes
+        ]
+    return reduce(DataFrame.unionByName, stored)
+
+
+def _stored_pairs(candidates: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """:func:`_verified` in passes by ``a``, as every pair carries words; the words are stored once."""
     named = candidates.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
     # only sets that are in a pair are moved, their words as one text
     named = broadcast_if_small(materialize(named, "paired-sets"))
-    words = materialize(reps.join(named, "gid", "left_semi").select("gid", F.array_join("terms", " ").alias("words")), "paired-words")
-    left = words.select(F.col("gid").alias("a"), F.col("words").alias("wa"))
-    right = words.select(F.col("gid").alias("b"), F.col("words").alias("wb"))
+    words = reps.join(named, "gid", "left_semi").select("gid", F.array_join("terms", " ").alias("words"))
+    words = materialize(words, "paired-words", "zstd")
+    carried = candidates.agg(F.sum("na")).first()[0] or 0
+    passes = min(MOST_SHARES, -(-carried // PASS_WORDS)) or 1
+    mine = lambda column, part: F.pmod(F.xxhash64(column), F.lit(passes)) == part
+    stored = [
+        materialize(_verified(candidates.where(mine("a", part)), words.where(mine("gid", part)), words, percent), "verified-pairs")
+        for part in range(passes)
+    ]
+    return reduce(DataFrame.unionByName, stored)
+
+
+def _verified(candidates: DataFrame, words_a: DataFrame, words_b: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (a, b, na, nb) that reach the threshold by their words, in both directions."""
+    left = words_a.select(F.col("gid").alias("a"), F.col("words").alias("wa"))
+    right = words_b.select(F.col("gid").alias("b"), F.col("words").alias("wb"))
     verified = (
         candidates.join(left, "a")
         .join(right, "b")
@@ -465,10 +644,10 @@ def shared_lists(signatures: DataFrame) -> DataFrame:
 
 
 def shared_signatures(signatures: DataFrame) -> DataFrame:
-    """The rows of :func:`shared_lists`, with ``rows``; signatures move once and are not stored."""
+    """The rows of :func:`shared_lists`, with ``rows``; signatures move once."""
     same = Window.partitionBy("key")
     counted = signatures.withColumns({"rows": F.count(F.lit(1)).over(same), "_home": F.max("home").over(same)})
-    return materialize(counted.where("rows > 1 and _home").drop("_home"), "shared-signatures")
+    return counted.where("rows > 1 and _home").drop("_home")
 
 
 def neighbour_edges(
@@ -485,10 +664,11 @@ def neighbour_edges(
     """
     groups = copy_groups(sets, k)
     reps = representatives(sets, groups)
-    shared = shared_signatures(_signatures(reps, percent))
     sketches = materialize(set_sketches(reps), "set-sketches")
-    likely = likely_pairs(candidate_pairs(shared.where(F.col("rows") <= posting_limit), percent), sketches, percent)
-    long = shared.where(F.col("rows") > posting_limit)
+    met = _all_met(reps, sketches, percent, posting_limit)
+    pairs = met.where("other is not null")
+    likely = pairs.select(F.col("gid").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("n_other").alias("nb"))
+    long = met.where("other is null").drop("other", "n_other")
     crowded = None
     if not long.isEmpty():
         listed = _long_lists(long, sketches, percent, block_rows)
@@ -500,9 +680,9 @@ def neighbour_edges(
         pair[0].alias("a"), pair[1].alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
         F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
     ).distinct()
-    pairs = _verified(materialize(likely, "likely-pairs"), reps, percent)
+    pairs = _stored_pairs(materialize(likely, "likely-pairs"), reps, percent)
     if crowded is not None and not crowded.isEmpty():
-        from_crowded = _crowded_pairs(long, crowded, reps, k, percent, block_rows)
+        from_crowded = materialize(_crowded_pairs(long, crowded, reps, k, percent, block_rows), "crowded-pairs")
         pairs = pairs.unionByName(from_crowded).dropDuplicates(["src", "dst"])
 
     by_similarity = F.desc(F.col("o").cast("double") * F.col("o") / F.col("n_dst"))

@@ -224,6 +224,45 @@ def test_every_matching_part_but_the_first_of_a_stretch_is_passed_over(spark):
     assert starts < parts / 5
 
 
+def test_sets_that_share_a_signature_meet_inside_tasks(spark, monkeypatch):
+    """Lists give their likely pairs, as the join of all that meet would; pairs met by chance are not moved."""
+    monkeypatch.setattr(termjoin, "MET_ROWS", 50)
+    monkeypatch.setattr(termjoin, "MET_PAIRS", 20)
+    df = spark.createDataFrame(list(enumerate(frequent_sets(400))), "id bigint, text string")
+    reps = termjoin.term_sets(df, "id", "text").select(F.col("id").alias("gid"), "n", "terms")
+    sketches = termjoin.set_sketches(reps)
+    shared = session.materialize(termjoin.shared_signatures(termjoin._signatures(reps, 90)), "shared")
+    every = termjoin.candidate_pairs(shared, 90)
+    pairs = lambda rows: {(min(a, b), max(a, b)) for a, b in rows}
+    likely = pairs(termjoin.likely_pairs(every, sketches, 90).select("a", "b").collect())
+    met = termjoin.met_lists(shared, sketches, 90, 512).select("gid", "other").collect()
+    assert pairs(met) == likely and len(likely) >= 40 and len(met) < every.count() / 10
+    # lists above the limit come as they are
+    split = termjoin.met_lists(shared, sketches, 90, 5).cache()
+    long = [c for c in shared.columns if c != "other"]
+    assert sorted(split.where("other is null").select(long).collect()) == sorted(shared.where("rows > 5").select(long).collect())
+    assert pairs(split.where("other is not null").select("gid", "other").collect()) <= likely
+
+
+def test_passes_make_every_signature_once(spark, monkeypatch):
+    """No pass shuffles more than its share; pairs are compared in passes as well."""
+    texts = {**some_texts(7, 60), **{100 + i: text for i, text in enumerate(frequent_sets(60))}}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    sets = termjoin.term_sets(df, "id", "text")
+    reps = sets.where("n > 0").select(F.col("id").alias("gid"), "n", "terms")
+    bounds, weights = termjoin._band_bounds(reps, 90), termjoin.word_weights(reps)
+    assert len(termjoin.signature_passes(reps, 90, bounds)) == 1
+    monkeypatch.setattr(termjoin, "PASS_SIGNATURES", 200)
+    monkeypatch.setattr(termjoin, "PASS_WORDS", 100)
+    passes = termjoin.signature_passes(reps, 90, bounds)
+    made = [termjoin._signatures(reps, 90, bounds, weights, part).collect() for part in passes]
+    every = termjoin._signatures(reps, 90).collect()
+    assert sorted(r for rows in made for r in rows) == sorted(every)
+    assert len(passes) > 2 and max(map(len, made)) < len(every) / 2
+    got = termjoin.neighbour_edges(sets, 4, 90)
+    assert {tuple(r) for r in got.collect()} == brute_edges(texts, 4, 90)
+
+
 def test_hot_words_and_hot_groups_take_the_broadcast_way(spark, monkeypatch):
     monkeypatch.setattr(termjoin, "hot_limit", lambda rows: 3)
     texts = some_texts(7, 80)
