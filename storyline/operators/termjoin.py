@@ -22,6 +22,8 @@ How the join stays exact and small:
 * a pair is met only where a stretch of shared parts begins, not once per part;
 * signatures are made and shuffled in passes, by band and hash, and the sketches of the sets
   that share one travel with it: sets meet inside tasks, and only likely pairs leave them;
+* likely pairs are dealt to blocks of sets that are near each other, so that the words of a set
+  travel once per block and not once per pair, and a block gives the best ``k`` per row;
 * signatures of more than ``posting_limit`` sets are cut into blocks. A block of few likely
   pairs gives these pairs, and only a block of a mass of near copies gets the words and
   returns the best ``k`` per row.
@@ -34,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +59,21 @@ SPARE_PARTS = 3
 #: they steer the cost, never the result.
 WEIGHT_SETS = 20_000
 WEIGHT_WORDS = 1 << 16
-#: Signatures of a pass and words that its pairs carry, at least, and shares of all of them at most.
+#: Signatures of a pass and words that its blocks carry, at least, and shares of all of them at most.
 PASS_SIGNATURES = 2_000_000
+SIGNATURE_SHARES = 12
 PASS_WORDS = 32_000_000
 MOST_SHARES = 6
+#: Bytes of a signature without its sketch, as it is shuffled.
+SIGNATURE_BYTES = 64
+#: Words of a block of sets whose pairs are compared together, and words that a set counts besides its own.
+PAIR_BLOCK_WORDS = 1 << 19
+SET_WORDS = 512
 #: Rows of short lists that a task compares at a time, and pairs of them that it gives at a time.
 MET_ROWS = 1 << 14
 MET_PAIRS = 1 << 18
+#: Bytes of blocks of pairs that a task gathers before it compares them, besides the last block.
+MET_BYTES = 8 << 20
 #: Likely pairs per row up to which a block of a long list gives pairs.
 LIKELY_PER_ROW = 4
 
@@ -194,17 +205,18 @@ def _visits(n: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple]:
 
 
 def signature_passes(reps: DataFrame, percent: int, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(first band, last band, slice, slices) of passes of about as many signatures each.
+    """(first band, last band, slice, slices) of passes that shuffle about as much each.
 
-    Together they make every signature once. Their number is bounded, so is how often
-    a set is read.
+    Together they make every signature once. A signature counts by its bytes with the sketch that
+    may travel with it. The number of passes is bounded, so is how often a set is read.
     """
     # one row per size of a set
     sizes = np.array(reps.groupBy("n").count().collect(), np.int64).reshape(-1, 2)
     counts = np.zeros(len(bounds), np.int64)
+    weight = (SIGNATURE_BYTES + _sketch_bits(sizes[:, 0]) // 8) // (SIGNATURE_BYTES + SKETCH_BITS // 8)
     for band, _, wanted, signatures in _visits(sizes[:, 0], bounds, percent):
-        np.add.at(counts, band[wanted], (signatures * sizes[:, 1])[wanted])
-    share = max(PASS_SIGNATURES, -(-int(counts.sum()) // MOST_SHARES))
+        np.add.at(counts, band[wanted], (signatures * sizes[:, 1] * weight)[wanted])
+    share = max(PASS_SIGNATURES, -(-int(counts.sum()) // SIGNATURE_SHARES))
     passes, first, held = [], 0, 0
     for band, count in enumerate(counts.tolist()):
         if held and held + count > share:
@@ -276,6 +288,10 @@ def _reaches(overlap: str, n_a: str, n_b: str, percent: int) -> str:
     return f"10000 * {overlap} * {overlap} >= {percent * percent} * {n_a} * {n_b}"
 
 
+def _sketch_bits(n: np.ndarray) -> np.ndarray:
+    return SKETCH_BITS << np.maximum(np.floor(np.log2(np.maximum(n, 1) / SKETCH_BITS)), 0).astype(np.int64)
+
+
 def set_sketches(reps: DataFrame) -> DataFrame:
     """(gid, sketch): per bit, the parity of the words that have it.
 
@@ -287,8 +303,7 @@ def set_sketches(reps: DataFrame) -> DataFrame:
         for batch in bounded_slices(batches, "hashes"):
             lists = batch.column("hashes")
             rows = entry_rows(lists)
-            n = np.maximum(np.bincount(rows, minlength=batch.num_rows), 1)
-            bits = SKETCH_BITS << np.maximum(np.floor(np.log2(n / SKETCH_BITS)), 0).astype(np.int64)
+            bits = _sketch_bits(np.bincount(rows, minlength=batch.num_rows))
             begin = np.concatenate(([0], np.cumsum(bits)))
             bit = _mixed(lists.flatten().to_numpy().view(np.uint64)) % bits[rows].astype(np.uint64)
             counts = np.bincount(begin[rows] + bit.astype(np.int64), minlength=begin[-1])
@@ -443,41 +458,112 @@ def _all_met(reps: DataFrame, sketches: DataFrame, percent: int, posting_limit:
     return reduce(DataFrame.unionByName, stored)
 
 
-def _stored_pairs(candidates: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """:func:`_verified` in passes by ``a``, as every pair carries words; the words are stored once."""
+def pair_blocks(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``candidates`` with the ``key`` of the block they are compared in, and the (key, gid, n) of its sets.
+
+    A pair lies in the cell of a small set near its ``a``, so that the pairs of a family of near
+    copies lie together. A cell is cut by hash into blocks of bounded size, which meet in pairs.
+    """
+    near = candidates.groupBy(F.col("b").alias("gid")).agg(F.min("a").alias("near"))
+    near = broadcast_if_small(materialize(near, "near-sets"))
+    placed = candidates.withColumn("cell", F.col("a"))
+    for _ in range(2):
+        step = near.select(F.col("gid").alias("cell"), F.col("near").alias("_near"))
+        placed = placed.join(step, "cell", "left").withColumn("cell", F.coalesce("_near", "cell")).drop("_near")
+    placed = materialize(placed, "placed-pairs")
+    sides = F.explode(F.array(F.struct(F.col("a").alias("gid"), F.col("na").alias("n")), F.struct(F.col("b").alias("gid"), F.col("nb").alias("n"))))
+    members = placed.select("cell", sides.alias("s")).select("cell", "s.gid", "s.n").distinct()
+    blocks = members.groupBy("cell").agg(F.ceil(F.sum(F.col("n") + SET_WORDS) / F.lit(PAIR_BLOCK_WORDS)).alias("blocks"))
+    # most cells are one block
+    cut = broadcast_if_small(materialize(blocks.where("blocks > 1"), "cut-cells"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1)))
+    pairs = placed.join(cut, "cell", "left").withColumn("key", F.xxhash64("cell", part("a"), part("b"))).drop("cell", "blocks")
+    return pairs, pairs.select("key", sides.alias("s")).select("key", "s.gid", "s.n").distinct()
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of whole keys, which lie together, some bounded number of them at a time."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if held.num_rows < MET_ROWS and held.nbytes < MET_BYTES:
+            continue
+        # the last block may go on in the next batch
+        key = held["key"].to_numpy()
+        whole = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+        if whole:
+            yield held.slice(0, whole)
+            held = held.slice(whole)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _best_of_blocks(table: pa.Table, k: int, percent: int) -> pa.RecordBatch:
+    """Best ``k`` partners per set of each block: rows with words are its sets, rows with ``other`` its pairs."""
+    is_pair = pc.is_valid(table["other"])
+    sets, pairs = (table.filter(rows).combine_chunks() for rows in (pc.invert(is_pair), is_pair))
+    _, named = np.unique(np.concatenate([sets["gid"], pairs["gid"], pairs["other"]]), return_inverse=True)
+    _, block = np.unique(np.concatenate([sets["key"], pairs["key"], pairs["key"]]), return_inverse=True)
+    place = block.astype(np.int64) * (len(named) + 1) + named
+    order = np.argsort(place[: len(sets)])
+    row = order[np.searchsorted(place[: len(sets)], place[len(sets) :], sorter=order)]
+    a, b = row[: len(pairs)], row[len(pairs) :]
+    by_a = np.argsort(a, kind="stable")
+    a, b = a[by_a], b[by_a]
+
+    lists = pc.split_pattern(sets["words"], " ").combine_chunks()
+    encoded = lists.flatten().dictionary_encode()
+    codes, ends = encoded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    begin, n = ends[:-1], np.diff(ends)
+    wanted = np.zeros(len(encoded.dictionary), bool)
+    o = np.zeros(len(a), np.int64)
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+    for first, last in zip(starts, [*starts[1:], len(a)]):
+        mine = codes[begin[a[first]] : begin[a[first]] + n[a[first]]]
+        wanted[mine] = True
+        length = n[b[first:last]]
+        at = np.cumsum(length) - length
+        entries = np.arange(length.sum()) + np.repeat(begin[b[first:last]] - at, length)
+        o[first:last] = np.add.reduceat(wanted[codes[entries]], at, dtype=np.int64)
+        wanted[mine] = False
+
+    near = 10_000 * o * o >= percent * percent * n[a] * n[b]
+    a, b, o = a[near], b[near], o[near]
+    a, b, o = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([o, o])
+    ids = sets["gid"].to_numpy()
+    src, dst, n_dst = ids[a], ids[b], n[b]
+    order = np.lexsort((dst, -(o.astype(np.float64) * o / n_dst), src))
+    src = src[order]
+    best = order[np.arange(len(src)) - np.searchsorted(src, src) < k]
+    return pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (ids[a], dst, o, n_dst)], names=["src", "dst", "o", "n_dst"])
+
+
+def _stored_pairs(candidates: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(src, dst, o, n_dst): the best ``k`` partners of each set in each block of pairs, in passes by block."""
     named = candidates.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
     # only sets that are in a pair are moved, their words as one text
     named = broadcast_if_small(materialize(named, "paired-sets"))
     words = reps.join(named, "gid", "left_semi").select("gid", F.array_join("terms", " ").alias("words"))
     words = materialize(words, "paired-words", "zstd")
-    carried = candidates.agg(F.sum("na")).first()[0] or 0
+    pairs, members = pair_blocks(candidates)
+    members = materialize(members, "block-sets")
+    carried = members.agg(F.sum("n")).first()[0] or 0
     passes = min(MOST_SHARES, -(-carried // PASS_WORDS)) or 1
-    mine = lambda column, part: F.pmod(F.xxhash64(column), F.lit(passes)) == part
-    stored = [
-        materialize(_verified(candidates.where(mine("a", part)), words.where(mine("gid", part)), words, percent), "verified-pairs")
-        for part in range(passes)
-    ]
-    return reduce(DataFrame.unionByName, stored)
 
+    def compare(batches):
+        for table in _whole_blocks(batches):
+            yield _best_of_blocks(table, k, percent)
 
-def _verified(candidates: DataFrame, words_a: DataFrame, words_b: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (a, b, na, nb) that reach the threshold by their words, in both directions."""
-    left = words_a.select(F.col("gid").alias("a"), F.col("words").alias("wa"))
-    right = words_b.select(F.col("gid").alias("b"), F.col("words").alias("wb"))
-    verified = (
-        candidates.join(left, "a")
-        .join(right, "b")
-        .withColumn("o", F.size(F.array_intersect(F.split("wa", " "), F.split("wb", " "))).cast("bigint"))
-        .where(_reaches("o", "na", "nb", percent))
-        .select("a", "b", "na", "nb", "o")
-    )
-    both = F.explode(
-        F.array(
-            F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("nb").alias("n_dst")),
-            F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("na").alias("n_dst")),
-        )
-    )
-    return verified.select(both.alias("e"), "o").select("e.src", "e.dst", "o", "e.n_dst")
+    stored = []
+    with settings(reps.sparkSession, BOUNDED_BATCHES):
+        for number in range(passes):
+            mine = F.pmod("key", F.lit(passes)) == number
+            sets = members.where(mine).join(words, "gid").select("key", "gid", "words", F.lit(None).cast("long").alias("other"))
+            met = pairs.where(mine).select("key", F.col("a").alias("gid"), F.lit(None).cast("string").alias("words"), F.col("b").alias("other"))
+            dealt = sets.unionByName(met).repartition("key").sortWithinPartitions("key")
+            stored.append(materialize(dealt.mapInArrow(compare, "src long, dst long, o long, n_dst long"), "verified-pairs"))
+    return reduce(DataFrame.unionByName, stored)
 
 
 def _incidence(lists: pa.ChunkedArray, codes: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -680,7 +766,7 @@ def neighbour_edges(
         pair[0].alias("a"), pair[1].alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
         F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
     ).distinct()
-    pairs = _stored_pairs(materialize(likely, "likely-pairs"), reps, percent)
+    pairs = _stored_pairs(materialize(likely, "likely-pairs"), reps, k, percent)
     if crowded is not None and not crowded.isEmpty():
         from_crowded = materialize(_crowded_pairs(long, crowded, reps, k, percent, block_rows), "crowded-pairs")
         pairs = pairs.unionByName(from_crowded).dropDuplicates(["src", "dst"])

@@ -524,3 +524,61 @@ def test_dense_row_id(spark):
     got = skew.dense_row_id(df.withColumnRenamed("id", "old"), ["half", "old"]).orderBy("id").collect()
     assert [r["id"] for r in got] == list(range(1000))
     assert [(r["half"], r["old"]) for r in got] == sorted((i % 2, i) for i in range(1000))
+
+
+def test_passes_are_shared_out_by_the_bytes_of_sketches(spark, monkeypatch):
+    """Signatures of long sets carry long sketches, so that fewer of them go in one pass."""
+    monkeypatch.setattr(termjoin, "PASS_SIGNATURES", 1)
+    sizes = [(i, n) for i, n in enumerate([300] * 64 + [3000] * 64)]
+    reps = spark.createDataFrame(sizes, "gid bigint, n bigint")
+    bounds = termjoin._band_bounds(reps, 90)
+    passes = termjoin.signature_passes(reps, 90, bounds)
+    carried = lambda n: 64 + termjoin.SKETCH_BITS // 8 * 2 ** int(math.log2(n / termjoin.SKETCH_BITS))
+    parts = [0] * len(passes)
+    for _, n in sizes:
+        for band, _, wanted, signatures in termjoin._visits(np.array([n]), bounds, 90):
+            for i, (first, last, _, slices) in enumerate(passes):
+                parts[i] += int(wanted[0] and first <= band[0] <= last) * int(signatures[0]) * carried(n) / slices
+    assert max(parts) < sum(parts) / 8
+
+
+def test_words_travel_once_per_block_of_pairs(spark, monkeypatch):
+    """A family of near copies has as many pairs as its square; its words move once for each set."""
+    every = [(a, b, 300, 300) for a in range(60) for b in range(a + 1, 60)] + [(100, 101, 300, 300), (101, 102, 300, 300)]
+    pairs = spark.createDataFrame(every, "a bigint, b bigint, na bigint, nb bigint")
+    dealt, members = termjoin.pair_blocks(pairs)
+    assert dealt.count() == len(every)
+    assert sorted(r["gid"] for r in members.collect()) == [*range(60), 100, 101, 102]
+    monkeypatch.setattr(termjoin, "PAIR_BLOCK_WORDS", 10 * (300 + termjoin.SET_WORDS))
+    dealt, members = termjoin.pair_blocks(pairs)
+    assert sorted((r["a"], r["b"]) for r in dealt.select("a", "b").collect()) == sorted(r[:2] for r in every)
+    sets = defaultdict(set)
+    for r in members.collect():
+        sets[r["key"]].add(r["gid"])
+    assert len(sets) > 10 and max(map(len, sets.values())) < 40
+    assert all({r["a"], r["b"]} <= sets[r["key"]] for r in dealt.collect())
+
+
+@pytest.mark.parametrize("words", [1 << 19, 2000])
+def test_blocks_of_pairs_give_the_best_partners(spark, monkeypatch, words):
+    monkeypatch.setattr(termjoin, "PAIR_BLOCK_WORDS", words)
+    monkeypatch.setattr(termjoin, "MET_ROWS", 20)
+    monkeypatch.setattr(termjoin, "PASS_WORDS", 500)
+    rng = random.Random(9)
+    base = [f"{chr(97 + a)}{chr(97 + b)}" for a in range(10) for b in range(6)]
+    texts = {i: " ".join([*base[: 56 + i % 4], *(rng.choice("pqrstuvw") * 3 for _ in range(2))]) for i in range(50)}
+    texts |= {100 + i: t for i, t in some_texts(3, 40).items()}
+    stored, keep = {}, termjoin.materialize
+
+    def keeping(df, label, *codec):
+        stored.setdefault(label, []).append(keep(df, label, *codec))
+        return stored[label][-1]
+
+    monkeypatch.setattr(termjoin, "materialize", keeping)
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    got = termjoin.neighbour_edges(termjoin.term_sets(df, "id", "text"), 4, 90)
+    assert {tuple(r) for r in got.collect()} == brute_edges(texts, 4, 90)
+    # a pair carries no words, and a block gives no more than the best
+    assert sum(d.count() for d in stored["block-sets"]) < stored["likely-pairs"][0].count()
+    if words > 2000:
+        assert sum(d.count() for d in stored["verified-pairs"]) <= 4 * len(texts)
