@@ -478,7 +478,7 @@ def pair_blocks(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = broadcast_if_small(materialize(blocks.where("blocks > 1"), "cut-cells"))
     part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1)))
     pairs = placed.join(cut, "cell", "left").withColumn("key", F.xxhash64("cell", part("a"), part("b"))).drop("cell", "blocks")
-    return pairs, pairs.select("key", sides.alias("s")).select("key", "s.gid", "s.n").distinct()
+    return pairs, pairs.select("key", sides.alias("s")).groupBy("key", "s.gid").agg(F.max("s.n").alias("n"))
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -500,43 +500,60 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _best_of_blocks(table: pa.Table, k: int, percent: int) -> pa.RecordBatch:
-    """Best ``k`` partners per set of each block: rows with words are its sets, rows with ``other`` its pairs."""
+    """Best ``k`` partners per set of each block: rows with words are its sets, rows with ``other`` its pairs.
+
+    An id may have several rows with words; a pair is compared in all of them, and what is found comes
+    as often as they do, at most ``k`` times.
+    """
     is_pair = pc.is_valid(table["other"])
     sets, pairs = (table.filter(rows).combine_chunks() for rows in (pc.invert(is_pair), is_pair))
     _, named = np.unique(np.concatenate([sets["gid"], pairs["gid"], pairs["other"]]), return_inverse=True)
     _, block = np.unique(np.concatenate([sets["key"], pairs["key"], pairs["key"]]), return_inverse=True)
     place = block.astype(np.int64) * (len(named) + 1) + named
-    order = np.argsort(place[: len(sets)])
-    row = order[np.searchsorted(place[: len(sets)], place[len(sets) :], sorter=order)]
-    a, b = row[: len(pairs)], row[len(pairs) :]
+    texts = sets["words"].combine_chunks().dictionary_encode()
+    text = texts.indices.to_numpy()
+    version, copies = np.unique(place[: len(sets)] * (len(text) + 1) + text, return_counts=True)
+    text, holder = version % (len(text) + 1), version // (len(text) + 1)
+    low, high = (np.searchsorted(holder, place[len(sets) :], side) for side in ("left", "right"))
+    low_a, low_b, of_a, of_b = low[: len(pairs)], low[len(pairs) :], *np.split(high - low, 2)
+    pair = np.repeat(np.arange(len(pairs)), of_a * of_b)
+    turn = np.arange(len(pair)) - np.repeat(np.cumsum(of_a * of_b) - of_a * of_b, of_a * of_b)
+    a, b = low_a[pair] + turn // of_b[pair], low_b[pair] + turn % of_b[pair]
     by_a = np.argsort(a, kind="stable")
-    a, b = a[by_a], b[by_a]
+    a, b, pair = a[by_a], b[by_a], pair[by_a]
 
-    lists = pc.split_pattern(sets["words"], " ").combine_chunks()
+    lists = pc.split_pattern(texts.dictionary, " ")
     encoded = lists.flatten().dictionary_encode()
     codes, ends = encoded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-    begin, n = ends[:-1], np.diff(ends)
+    begin, size = ends[:-1][text], np.diff(ends)[text]
     wanted = np.zeros(len(encoded.dictionary), bool)
     o = np.zeros(len(a), np.int64)
     starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
     for first, last in zip(starts, [*starts[1:], len(a)]):
-        mine = codes[begin[a[first]] : begin[a[first]] + n[a[first]]]
+        mine = codes[begin[a[first]] : begin[a[first]] + size[a[first]]]
         wanted[mine] = True
-        length = n[b[first:last]]
+        length = size[b[first:last]]
         at = np.cumsum(length) - length
         entries = np.arange(length.sum()) + np.repeat(begin[b[first:last]] - at, length)
         o[first:last] = np.add.reduceat(wanted[codes[entries]], at, dtype=np.int64)
         wanted[mine] = False
 
-    near = 10_000 * o * o >= percent * percent * n[a] * n[b]
-    a, b, o = a[near], b[near], o[near]
-    a, b, o = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([o, o])
-    ids = sets["gid"].to_numpy()
-    src, dst, n_dst = ids[a], ids[b], n[b]
+    n_a, n_b = pairs["n"].to_numpy()[pair], pairs["n_other"].to_numpy()[pair]
+    near = 10_000 * o * o >= percent * percent * n_a * n_b
+    often = np.minimum(copies[a] * copies[b], k)[near]
+    o, n_a, n_b, pair = o[near], n_a[near], n_b[near], pair[near]
+    ids = pairs["gid"].to_numpy()[pair], pairs["other"].to_numpy()[pair]
+    src, dst, n_dst = np.concatenate(ids), np.concatenate(ids[::-1]), np.concatenate([n_b, n_a])
+    o, often = np.concatenate([o, o]), np.concatenate([often, often])
     order = np.lexsort((dst, -(o.astype(np.float64) * o / n_dst), src))
-    src = src[order]
-    best = order[np.arange(len(src)) - np.searchsorted(src, src) < k]
-    return pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (ids[a], dst, o, n_dst)], names=["src", "dst", "o", "n_dst"])
+    src, dst = src[order], dst[order]
+    # partners count once, however often they come
+    _, first = np.unique(np.stack([src, dst]), axis=1, return_index=True)
+    seen = np.cumsum(np.bincount(first, minlength=len(src)))
+    before = np.append(0, seen)[np.searchsorted(src, src)]
+    best = np.repeat(np.flatnonzero(seen - before <= k), often[order][seen - before <= k])
+    out = src[best], dst[best], o[order][best], n_dst[order][best]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["src", "dst", "o", "n_dst"])
 
 
 def _stored_pairs(candidates: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -559,9 +576,9 @@ def _stored_pairs(candidates: DataFrame, reps: DataFrame, k: int, percent: int)
     with settings(reps.sparkSession, BOUNDED_BATCHES):
         for number in range(passes):
             mine = F.pmod("key", F.lit(passes)) == number
-            sets = members.where(mine).join(words, "gid").select("key", "gid", "words", F.lit(None).cast("long").alias("other"))
-            met = pairs.where(mine).select("key", F.col("a").alias("gid"), F.lit(None).cast("string").alias("words"), F.col("b").alias("other"))
-            dealt = sets.unionByName(met).repartition("key").sortWithinPartitions("key")
+            sets = members.where(mine).join(words, "gid").select("key", "gid", "words")
+            met = pairs.where(mine).select("key", F.col("a").alias("gid"), F.col("na").alias("n"), F.col("b").alias("other"), F.col("nb").alias("n_other"))
+            dealt = sets.unionByName(met, allowMissingColumns=True).repartition("key").sortWithinPartitions("key")
             stored.append(materialize(dealt.mapInArrow(compare, "src long, dst long, o long, n_dst long"), "verified-pairs"))
     return reduce(DataFrame.unionByName, stored)
 

@@ -582,3 +582,16 @@ def test_blocks_of_pairs_give_the_best_partners(spark, monkeypatch, words):
     assert sum(d.count() for d in stored["block-sets"]) < stored["likely-pairs"][0].count()
     if words > 2000:
         assert sum(d.count() for d in stored["verified-pairs"]) <= 4 * len(texts)
+
+
+def test_blocks_of_pairs_keep_rows_of_repeated_ids(spark):
+    """Every row of an id is compared, and what is found comes as often as the rows do."""
+    words = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e f"), (3, "a b c d g"), (3, "a b c d e h")]
+    reps = spark.createDataFrame(words, "gid bigint, t string").select("gid", F.split("t", " ").alias("terms"))
+    pairs = spark.createDataFrame([(1, 2, 5, 6), (1, 3, 5, 6), (2, 3, 6, 6)], "a bigint, b bigint, na bigint, nb bigint")
+    for k in (1, 4):
+        got = sorted(tuple(r) for r in termjoin._stored_pairs(pairs, reps, k, 80).collect())
+        times = min(2, k)
+        known = [(1, 2, 5, 6)] * times + [(2, 1, 5, 5)] * times + [(3, 1, 5, 5)] * times
+        known += ([(1, 3, 5, 6)] * times + [(2, 3, 5, 6), (3, 2, 5, 6)]) if k == 4 else []
+        assert got == sorted(known)
