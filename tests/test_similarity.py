@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from storyline import session
-from storyline.operators import blocks, dedup, densejoin, skew, termjoin
+from storyline.operators import blocks, dedup, densejoin, meeting, skew, termjoin
 from storyline.plans import stages
 from storyline.queries.base import articles
 
@@ -424,6 +424,58 @@ def test_cells_are_sent_once_per_group(spark, group_rows):
     assert found.count() == visits.count() and found.exceptAll(visits).isEmpty()
 
 
+def test_cells_meet_in_groups_and_not_pair_by_pair(spark, monkeypatch):
+    """Where nothing can be passed over, blocks are sent once per group and not once per cell to visit."""
+    m = np.random.default_rng(21).normal(size=(400, 12))
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
+    sent, best = [], densejoin._best_of_pairs
+    monkeypatch.setattr(densejoin, "_best_of_pairs", lambda pairs, *a, **b: sent.append(pairs.count()) or best(pairs, *a, **b))
+    got = defaultdict(list)
+    for r in densejoin.nearest_neighbours(df, 4, 10).orderBy("src", "pos").collect():
+        got[r["src"]].append(r["dst"])
+    assert dict(got) == brute_nearest(list(range(400)), m, 4)
+    cells = densejoin.pivot_tree(df.withColumnRenamed("id", "gid"), 10).placed.select("cell").distinct().count()
+    assert sum(sent) < cells * cells / 4
+
+
+@pytest.mark.parametrize("kind", ["spread", "near", "tight", "raw"])
+def test_two_sides_that_meet_find_what_brute_force_does(kind):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(900, 12))
+    if kind == "near":
+        m[300:] = m[0] + rng.normal(size=(600, 12)) * 0.02
+    if kind == "tight":  # single precision does not tell these apart
+        m[:] = m[0] + rng.normal(size=(900, 12)) * 0.001
+    m = m * rng.uniform(0.01, 50, size=(900, 1)) if kind == "raw" else m / np.linalg.norm(m, axis=1, keepdims=True)
+    ids, cells = rng.permutation(900), np.sort(rng.integers(0, 7, 450))
+    unknown = np.full(450, -np.inf)
+    a, b = (meeting.side(ids[at], m[at], cells, unknown.copy(), 4) for at in (slice(0, 450), slice(450, 900)))
+    for pair in ((a, a), (b, b), (a, b)):
+        meeting.meet(*pair)
+    got = defaultdict(list)
+    for src, dst, sim in sorted(zip(*(np.concatenate(x).tolist() for x in zip(a.best(), b.best()))), key=lambda e: (e[0], -round(e[2], 9 if kind != "tight" else 12), e[1])):
+        got[src].append((dst, sim))
+    products = m @ m.T
+    place = {int(i): at for at, i in enumerate(ids)}
+    for src, partners in got.items():
+        others = np.sort(np.delete(products[place[src]], place[src]))[::-1][:4]
+        assert len({dst for dst, _ in partners} - {src}) == 4
+        assert np.allclose([sim for _, sim in partners], others, rtol=1e-12, atol=1e-14)
+        assert all(abs(products[place[src], place[dst]] - sim) < 1e-9 for dst, sim in partners)
+    assert len(got) == 900
+
+
+def test_only_wanted_cells_meet_and_bounds_hold(monkeypatch):
+    monkeypatch.setattr(meeting, "TILE_ROWS", 2)
+    m = np.eye(4)[[0, 0, 1, 1]] + 0.01
+    a = meeting.side(np.arange(4), m, np.array([0, 0, 1, 1]), np.array([-np.inf, 5.0, -np.inf, -np.inf]), 2)
+    b = meeting.side(np.arange(4) + 10, np.vstack([m[:3], [np.nan] * 4]), np.array([0, 0, 1, 1]), np.full(4, -np.inf), 2)
+    meeting.meet(a, b, np.array([[True, False], [False, True]]))
+    assert set(zip(*(x.tolist() for x in a.best()[:2]))) == {(0, 10), (0, 11), (2, 12), (3, 12)}
+    assert set(zip(*(x.tolist() for x in b.best()[:2]))) == {(10, 0), (10, 1), (11, 0), (11, 1), (12, 2), (12, 3)}
+
+
 def test_raw_inner_product_of_vectors_of_any_length(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(80, 5)) * rng.uniform(0.1, 9, size=(80, 1))
